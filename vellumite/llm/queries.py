@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumite.llm import language, toxicity, urls
+from vellumite.llm import bpe, language, packing, toxicity, urls
 from vellumite.llm.store import crc_mod
 
 
@@ -33,8 +34,22 @@ def toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, ["doc_id", "held_out"], p).withColumn("predicted", (F.col("score") >= p.threshold).cast("int"))
 
 
+#: The tokenizer of the queries that follow; the operators take any path.
+WORD_BPE = "word_bpe_49k.json"
+
+
+def concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(WORD_BPE))
+
+
+def bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe.digest(_table(spark, sf_dir, "documents"), public_tokenizers.path(WORD_BPE))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": language_id,
+    "op4_concatenate_and_cut": concatenate_and_cut,
+    "op5_bpe_automaton": bpe_automaton,
     "op9_url_filter": url_filter,
     "op10_toxicity_pu": toxicity_pu,
 }
