@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumite.llm import bpe, language, packing, toxicity, urls
+from vellumite.llm import bpe, jaccard, language, packing, toxicity, urls
 from vellumite.llm.store import crc_mod
 
 
@@ -16,6 +16,10 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard.join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(crc_mod("doc_id", 5) == 0, F.lit(False)))
     found = language.learn(docs.where("not held_out"))
@@ -47,6 +51,7 @@ def bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_jaccard_join": jaccard_join,
     "op3_language_id": language_id,
     "op4_concatenate_and_cut": concatenate_and_cut,
     "op5_bpe_automaton": bpe_automaton,
