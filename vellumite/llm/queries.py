@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumite.llm import bpe, jaccard, language, packing, toxicity, urls
+from vellumite.llm import bpe, hnsw, html, jaccard, language, neardup, packing, toxicity, urls
 from vellumite.llm.store import crc_mod
 
 
@@ -16,6 +16,19 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return hnsw.nearest(vectors, vectors.where("vec_id % 50 = 0"))
+
+
+def line_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(_table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
+def int8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_duplicates(_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label"))
+
+
 def jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.join(_table(spark, sf_dir, "documents").select("doc_id", "text"))
 
@@ -51,10 +64,13 @@ def bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_hnsw_search": hnsw_search,
     "op2_jaccard_join": jaccard_join,
     "op3_language_id": language_id,
     "op4_concatenate_and_cut": concatenate_and_cut,
     "op5_bpe_automaton": bpe_automaton,
+    "op7_line_block_text": line_block_text,
+    "op8_int8_neardup": int8_neardup,
     "op9_url_filter": url_filter,
     "op10_toxicity_pu": toxicity_pu,
 }
