@@ -51,7 +51,8 @@ class Parameters:
     """sample_texts: expected texts read for each dictionary, sample_chars of each; the bound on what the driver collects. dictionary_bytes: of each dictionary.
 
     most_languages: bound on the labels learned. block_bytes: texts are compressed in whole blocks of this size.
-    least_margin: of the second smallest size over the smallest, below which a text is rejected.
+    least_margin: of the second smallest size over the smallest, below which a text is rejected, from least_bytes of
+    letters on: the sizes of a shorter text are too coarse for a margin to tell.
     """
 
     sample_texts: int = 400
@@ -62,6 +63,7 @@ class Parameters:
     level: int = 6
     least_match: int = 3
     least_margin: float = 0.003
+    least_bytes: int = 512
     sharpness: float = 40.0
 
 
@@ -108,7 +110,7 @@ class Classifier:
         if len(sizes) == 1:
             return self.langs[0], score, True
         second = sorted(sizes)[1]
-        return self.langs[sizes.index(best)], score, (second - best) / best >= self.p.least_margin
+        return self.langs[sizes.index(best)], score, len(raw) < self.p.least_bytes or (second - best) / best >= self.p.least_margin
 
 
 _made: dict[tuple, Classifier] = {}

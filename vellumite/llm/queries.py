@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from vellumite.llm import bpe, hnsw, html, jaccard, language, neardup, packing, toxicity, urls
+from vellumite.llm import bpe, hnsw, html, jaccard, language, lattice, neardup, packing, toxicity, urls
 from vellumite.llm.store import crc_mod
 
 
@@ -16,11 +16,21 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Files of public tokenizers; the operators take any path.
+PIECES = "piece_bpe_32k.model"
+WORD_BPE = "word_bpe_49k.json"
+
+
 def hnsw_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = _table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
     return hnsw.nearest(vectors, vectors.where("vec_id % 50 = 0"))
 
 
+def subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _table(spark, sf_dir, "documents").withColumn("held_out", F.coalesce(crc_mod("doc_id", 5) == 1, F.lit(False)))
+    return lattice.score(docs, docs.where("not held_out"), public_tokenizers.path(PIECES), ["doc_id", "held_out"], "lang")
+
+
 def line_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html.main_text(_table(spark, sf_dir, "pages"), ["page_id", "url"])
 
@@ -51,10 +61,6 @@ def toxicity_pu(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, model, ["doc_id", "held_out"], p).withColumn("predicted", (F.col("score") >= p.threshold).cast("int"))
 
 
-#: The tokenizer of the queries that follow; the operators take any path.
-WORD_BPE = "word_bpe_49k.json"
-
-
 def concatenate_and_cut(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_table(spark, sf_dir, "documents").select("doc_id", "text"), public_tokenizers.path(WORD_BPE))
 
@@ -69,6 +75,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": language_id,
     "op4_concatenate_and_cut": concatenate_and_cut,
     "op5_bpe_automaton": bpe_automaton,
+    "op6_subword_lattice": subword_lattice,
     "op7_line_block_text": line_block_text,
     "op8_int8_neardup": int8_neardup,
     "op9_url_filter": url_filter,
