@@ -8,14 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from vellumite.functions import match
 from vellumite.functions import text as T
 from vellumite.operators import read
-from vellumite.plans import batch
-from vellumite.sources import corpus
+from vellumite.plans import batch, document
+from vellumite.sinks import docx as sink
+from vellumite.sources import corpus, docx, packages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -336,3 +337,36 @@ def conversation_grep(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES["conversation_grep"] = conversation_grep
 ORACLE_SQL["conversation_grep"] = "SELECT conv_id AS doc_id, CAST(turn + 1 AS INTEGER) AS global_ordinal, CAST((length(text) - length(replace(text, 'the', ''))) / 3 AS INTEGER) AS match_count FROM conversations WHERE contains(text, 'the')"
+
+
+def _packages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packages.from_documents(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+
+
+def _doc_id() -> Column:
+    return F.substring_index("path", ".", 1).cast("long").alias("doc_id")
+
+
+def docx_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = docx.scan(_packages(spark, sf_dir))
+    return rows.select(_doc_id(), "id", "global_ordinal", "style_id", "text", F.col("error.code").alias("error"))
+
+
+def docx_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scanned, edited, rebuilt and scanned again."""
+    files = _packages(spark, sf_dir)
+    rows = docx.scan(files)
+    fields = "path string, " + batch.OPERATIONS.split(", ", 1)[1]
+    step = spark.createDataFrame([("", 0, "a", "insert_para_after", "p_000001", None, ["X\n\nY"], None, None, None, None), ("", 1, "b", "replace_text", "p_000001", None, None, "e", False, "[e]", -1)], fields)
+    step = step.drop("path")
+    ops = files.select("path", F.explode(F.array(F.lit(0), F.lit(1))).alias("seq")).join(F.broadcast(step), "seq")
+    edited = document.apply_packages(rows, ops)
+    again = docx.scan(sink.rebuild_packages(files, edited).where("error is null").select("path", F.lit(None).cast("timestamp").alias("modificationTime"), F.length("content").cast("long").alias("length"), "content"))
+    return again.select(_doc_id(), F.col("record_pos").alias("pos"), "text")
+
+
+QUERIES |= {"docx_scan": docx_scan, "docx_round_trip": docx_round_trip}
+ORACLE_SQL["docx_scan"] = P + "SELECT doc_id, id, pos AS global_ordinal, style AS style_id, text, CAST(NULL AS VARCHAR) AS error FROM p"
+ORACLE_SQL["docx_round_trip"] = P + """, ok AS (SELECT doc_id FROM p WHERE pos = 1 AND contains(text, 'e')),
+u AS (SELECT doc_id, pos * 10 AS k, CASE WHEN pos = 1 THEN replace(text, 'e', '[e]') ELSE text END AS text FROM p WHERE doc_id IN (SELECT doc_id FROM ok) UNION ALL SELECT doc_id, 11, 'X' FROM ok UNION ALL SELECT doc_id, 12, 'Y' FROM ok)
+SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) AS INTEGER) AS pos, text FROM u"""
