@@ -6,8 +6,8 @@ the cost, as any one order gives the same links. Two sets within the threshold s
 n-gram of their prefixes, the first ``n - ceil(t * n) + 1`` of them.
 
 Equal sets are collapsed first; then sets of the same size and prefix form one group, and
-only groups post their prefixes. Group pairs that share a posted n-gram and whose sizes
-allow a link are expanded to member pairs, which are verified on the full sets.
+only groups post their prefixes. Group pairs that share posted n-grams, whose sizes
+allow a link and whose number of shared ones does are expanded to member pairs, which are verified on the full sets.
 
 To find components no bucket is expanded to all pairs at once: first each group is held
 against two groups of its bucket (the smallest and one by hash), and members against their
@@ -18,7 +18,8 @@ components is lost.
 Defined cases: a null or empty text, or one without words, has an empty set, is linked with
 nothing and is its own component; a text with fewer words than n has its whole word
 sequence as one n-gram. Equal texts link. Repeated rows (one doc_id more than once) each
-count as rows; they share the component of their id. n-grams are told apart by 64-bit
+count as rows; they share the component of their id, and texts that differ under one id link
+as one document. n-grams are told apart by 64-bit
 hashes, sets by 128 bits and size.
 """
 
@@ -123,26 +124,37 @@ def _may_link(a: str, b: str, p: Parameters):
     return F.greatest(a, b) * p.percent <= F.least(a, b) * 100
 
 
+def _enough(c, a: str, b: str, p: Parameters):
+    """Whether sets of two sizes that share ``c`` n-grams of their prefixes can be similar: what they share beyond is in the rest of one of them."""
+    rest = F.ceil(F.greatest(a, b) * p.percent / F.lit(100)) - 1
+    return (c + rest) * (100 + p.percent) >= (F.col(a) + F.col(b)) * p.percent
+
+
 def join(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` (the smallest doc_id reachable by links), ``n_links`` verified, for each row of ``docs`` (doc_id, text)."""
     scratch = Scratch(docs.sparkSession, "jaccard")
-    sets = scratch.write(_prefixes(docs, _frequencies(docs, p), p), "sets")
+    wide = scratch.write(_prefixes(docs, _frequencies(docs, p), p), "wide")
+    sets = scratch.write(wide.drop("prefix"), "sets")
     # equal sets: one representative, the smallest doc_id
     same = ["n", "one", "two"]
     unique = sets.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("sid"), F.first("prefix_hash").alias("prefix_hash"))
     unique = scratch.write(unique, "unique")
     groups = scratch.write(unique.groupBy("n", "prefix_hash").agg(F.min("sid").alias("gid"), F.count("*").alias("members")), "groups")
     # the posting lists: n-grams that at least two groups' prefixes hold
-    heads = sets.join(groups.select(F.col("gid").alias("doc_id"), "n", "prefix_hash"), ["doc_id", "n", "prefix_hash"])
+    heads = wide.join(groups.select(F.col("gid").alias("doc_id"), "n", "prefix_hash"), ["doc_id", "n", "prefix_hash"])
     posts = scratch.write(heads.select(F.col("doc_id").alias("gid"), "n", F.explode("prefix").alias("gram")), "posts")
-    often = posts.groupBy("gram").agg(F.count("*").alias("c"), F.min("gid").alias("low"), F.max_by("gid", F.xxhash64("gid")).alias("other")).where("c > 1")
-    often = scratch.write(often, "often")
+    scratch.drop("wide")
+    often = scratch.write(posts.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram"), "often")
     posts = scratch.write(posts.join(often, "gram"), "shared")
-    star = posts.select(F.explode(F.array(F.struct("gid", F.col("low").alias("to")), F.struct("gid", F.col("other").alias("to")))).alias("x")).select("x.*").where("gid <> to").distinct()
+    scratch.drop("posts")
+    one = F.struct("gid", "n")
+    ends = scratch.write(posts.groupBy("gram").agg(F.min(one).alias("low"), F.max_by(one, F.xxhash64("gid")).alias("other")), "ends")
+    star = posts.join(ends, "gram").select("gid", "n", F.explode(F.array("low", "other")).alias("x"))
+    star = star.select("gid", "n", F.col("x.gid").alias("to"), F.col("x.n").alias("n_to")).where((F.col("gid") != F.col("to")) & _may_link("n", "n_to", p))
+    star = star.groupBy("gid", "n", "to", "n_to").agg(F.count("*").alias("c")).where(_enough(F.col("c"), "n", "n_to", p))
     member = unique.join(groups.where("members > 1"), ["n", "prefix_hash"]).select("gid", "sid", "n")
     member = scratch.write(member, "members")
     sizes = scratch.write(unique.select("sid", "n"), "sizes")
-    # members of groups of one are left out of the table
     whole = member.select("gid", "sid").unionByName(groups.where("members = 1").select("gid", F.col("gid").alias("sid")))
     whole = scratch.write(whole, "whole")
     star = star.join(whole, "gid").select(F.col("to").alias("a"), F.col("sid").alias("b"))
@@ -158,7 +170,8 @@ def join(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     posts = scratch.write(posts.join(open_, "gram"), "open")
     here, there = posts.select("gram", *(F.col(c).alias(f"{c}_{s}") for s in "a" for c in ("gid", "n", "least", "most"))), posts.select("gram", *(F.col(c).alias(f"{c}_b") for c in ("gid", "n", "least", "most")))
     across = (F.col("least_a") != F.col("least_b")) | (F.col("most_a") != F.col("most_b")) | (F.col("least_a") != F.col("most_a"))
-    pairs = here.join(there, "gram").where((F.col("gid_a") < F.col("gid_b")) & across & _may_link("n_a", "n_b", p)).select("gid_a", "gid_b").distinct()
+    pairs = here.join(there, "gram").where((F.col("gid_a") < F.col("gid_b")) & across & _may_link("n_a", "n_b", p))
+    pairs = pairs.groupBy("gid_a", "gid_b", "n_a", "n_b").agg(F.count("*").alias("c")).where(_enough(F.col("c"), "n_a", "n_b", p)).select("gid_a", "gid_b")
     pairs = scratch.write(pairs, "pairs")
     side = lambda s: labelled.select(F.col("gid").alias(f"gid_{s}"), F.col("sid").alias(s), F.col("component").alias(f"c_{s}"))
     pairs = pairs.join(side("a"), "gid_a").join(side("b"), "gid_b").where("c_a <> c_b").select("a", "b")
@@ -181,10 +194,10 @@ def _verify(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, scratch: Scratc
     pairs = scratch.write(pairs.join(size("a"), "a").join(size("b"), "b").where(_may_link("n_a", "n_b", p)), f"{name}-pairs")
     ids = scratch.write(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), f"{name}-ids")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    whole = scratch.write(_whole_sets(texts, p).dropDuplicates(["sid"]), f"{name}-sets")
+    whole = scratch.write(_whole_sets(texts, p), f"{name}-sets")
     side = lambda s: whole.select(F.col("sid").alias(s), F.col("grams").alias(f"grams_{s}"))
     shared = F.size(F.array_intersect("grams_a", "grams_b"))
-    links = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * shared >= p.percent * (F.col("n_a") + F.col("n_b") - shared))
-    links = scratch.write(links.select(F.col("a").alias("u"), F.col("b").alias("v")), f"{name}-links")
+    links = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * shared >= p.percent * (F.size("grams_a") + F.size("grams_b") - shared))
+    links = scratch.write(links.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), f"{name}-links")
     scratch.drop(f"{name}-sets")
     return links

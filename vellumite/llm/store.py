@@ -14,6 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 CHECKPOINT_SETTING = "spark.checkpoint.dir"
+#: With this, a finished write's shuffle files go at once, not when the driver happens to collect its garbage.
+SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _fallback: dict[str, str] = {}
 
 
@@ -40,7 +42,14 @@ class Scratch:
     def write(self, df: DataFrame, name: str) -> DataFrame:
         """Write ``df`` as Parquet and return the table read back."""
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        conf, before = self.spark.conf, self.spark.conf.get(SHUFFLE_CLEANUP, None)
+        if before is not None:
+            conf.set(SHUFFLE_CLEANUP, "true")
+        try:
+            df.write.mode("overwrite").option("compression", "zstd").parquet(path)
+        finally:
+            if before is not None:
+                conf.set(SHUFFLE_CLEANUP, before)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
