@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
+from vellumite.llm.store import small_batches
 from vellumite.llm.words import buffers
 
 #: The pattern by which the tokenizer's file splits words.
@@ -45,7 +46,7 @@ _LATIN_LETTERS, _LATIN_NUMBERS, _LATIN_SPACE = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0
 _LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN_LETTERS}]+|[{_LATIN_NUMBERS}]|[^{_LATIN_SPACE}{_LATIN_LETTERS}{_LATIN_NUMBERS}]+")
 _ANY = regex.compile(WORD_PATTERN.replace(r"\s", r"\p{White_Space}"))
 #: Words kept with their encodings by each Python worker; beyond that many the store starts anew.
-CACHED_WORDS = {"texts": 400_000, "packed": 1_000_000}
+CACHED_WORDS = {"texts": 400_000, "packed": 700_000}
 _LONG_WORD = 200
 
 
@@ -92,10 +93,12 @@ class Automaton:
         rules: dict[tuple[int, int], int] = {}
         for r, (a, b) in enumerate(merges):
             t = vocab[a + b]
-            if t in rank or rank.get(vocab[a], -1) >= r or rank.get(vocab[b], -1) >= r:
-                raise ValueError(f"merge {r} does not build on earlier ones")
+            if t in rank:
+                raise ValueError(f"merge {r} makes a token again")
             rank[t], left[t], right[t] = r, vocab[a], vocab[b]
             rules[vocab[a], vocab[b]] = r
+        if any(rank.get(x, -1) >= r for t, r in rank.items() for x in (left[t], right[t])):
+            raise ValueError("a merge does not build on earlier ones")
         by_right, self.state, state_end = _preorder(right, rank, size)
         by_left, self.number, number_end = _preorder(left, rank, size)
         cuts = np.empty((len(merges), 4), np.int64)
@@ -159,7 +162,7 @@ class Automaton:
         """Whether a state has an arc; ``key``: the state times the size of its band, plus the arc's number."""
         k = bisect_right(self.cut_from, key) - 1
         found = k < 0 or self.cut_to[k] <= key
-        if len(self.known) > 1_000_000:
+        if len(self.known) >= 250_000:
             self.known.clear()
         self.known[key] = found
         return found
@@ -256,6 +259,13 @@ class Tokenizer:
             yield self.words(raw.tobytes().decode(), not len(raw) or raw.max() < 0xC9)
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that what is made of one takes little memory."""
+    for batch in batches:
+        for k in range(0, len(batch), rows):
+            yield batch.slice(k, rows)
+
+
 class WordStore(dict):
     """Words with what ``make`` gives for their tokens; made on first use, very long words each time."""
 
@@ -298,12 +308,13 @@ def digest(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     A null text counts as empty; an empty one has no token, and digests of the empty string.
     """
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Tokenizer(tokenizer_path))
     kept = docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = store(shared, "texts", _texts_of)
-        for batch in batches:
+        for batch in small(batches):
             counts, ids, decoded = [], [], []
             for text in words.tokenizer.texts(batch.column(1)):
                 found = [words[w] for w in text]
@@ -321,6 +332,7 @@ def _packed(tokenizer: Tokenizer):
 
 def encode(docs: DataFrame, tokenizer_path: str, keep: list[str], end: int | None = None) -> DataFrame:
     """The columns ``keep`` and ``ids``, little-endian unsigned 32-bit token ids, followed by the id ``end`` if given."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Tokenizer(tokenizer_path))
     kept = docs.select(*keep, F.col("text").alias("_text"))
     tail = b"" if end is None else np.array([end], "<u4").tobytes()
@@ -328,7 +340,7 @@ def encode(docs: DataFrame, tokenizer_path: str, keep: list[str], end: int | Non
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = store(shared, "packed", _packed)
         look = words.__getitem__
-        for batch in batches:
+        for batch in small(batches):
             ids = [b"".join(map(look, text)) + tail for text in words.tokenizer.texts(batch.column(len(keep)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(ids, pa.binary())], names=[*keep, "ids"])
 
