@@ -11,7 +11,8 @@ allow a link and whose number of shared ones does are expanded to member pairs,
 
 To find components no bucket is expanded to all pairs at once: first each group is held
 against two groups of its bucket (the smallest and one by hash), and members against their
-group's smallest; what these links join is joined for good, and only pairs across the
+group's smallest; in some further rounds each group that is not of a bucket's largest
+component against a random one that is. What these links join is joined for good, and only pairs across the
 resulting components are verified afterwards, all of them. So no link between different
 components is lost.
 
@@ -35,17 +36,21 @@ from pyspark.sql import functions as F
 
 from vellumite.llm.components import components
 from vellumite.llm.counts import SCHEMA, to_blocks, total
-from vellumite.llm.store import Scratch
+from vellumite.llm.store import Scratch, small_batches
 from vellumite.llm.words import mix, shingles, slices, split
 
 
 @dataclass(frozen=True)
 class Parameters:
-    """percent: least Jaccard similarity of a link. counters: size of the frequency table, 4 bytes each, broadcast."""
+    """percent: least Jaccard similarity of a link. counters: size of the frequency table, broadcast with a byte each.
+
+    rounds: of links to a bucket's largest component before pairs across components are verified one by one.
+    """
 
     width: int = 4
     percent: int = 85
-    counters: int = 1 << 21
+    counters: int = 1 << 22
+    rounds: int = 3
 
 
 def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
@@ -58,7 +63,7 @@ def _slot(hashes: np.ndarray, counters: int) -> np.ndarray:
 
 
 def _frequencies(docs: DataFrame, p: Parameters) -> np.ndarray:
-    """Documents by n-gram slot, over all documents, as powers of two: what the order goes by."""
+    """Documents by n-gram slot, over all documents, as powers of two beyond the usual number: what the order goes by."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
@@ -78,7 +83,10 @@ def _frequencies(docs: DataFrame, p: Parameters) -> np.ndarray:
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("block", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())]))
 
     counts = total(docs.select("text").mapInArrow(run, SCHEMA), p.counters)
-    return np.ceil(np.log2(np.maximum(counts, 1).astype(np.float64) / max(1.0, 2 * counts.mean()))).clip(0, 32).astype(np.uint8)
+    # a slot holds several rare n-grams; what lies above their usual sum is due to a frequent one
+    mean = counts.mean()
+    above = np.maximum(counts - (mean + 4 * np.sqrt(mean)), 0)
+    return np.ceil(np.log2(1 + above)).astype(np.uint8)
 
 
 _SET_SCHEMA = "doc_id long, n long, one long, two long, prefix_hash long, prefix array<long>"
@@ -132,6 +140,7 @@ def _enough(c, a: str, b: str, p: Parameters):
 
 def join(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     """``doc_id``, ``n_shingles``, ``component_id`` (the smallest doc_id reachable by links), ``n_links`` verified, for each row of ``docs`` (doc_id, text)."""
+    small_batches(docs.sparkSession)
     scratch = Scratch(docs.sparkSession, "jaccard")
     wide = scratch.write(_prefixes(docs, _frequencies(docs, p), p), "wide")
     sets = scratch.write(wide.drop("prefix"), "sets")
@@ -161,13 +170,34 @@ def join(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     star = star.unionByName(member.select(F.col("gid").alias("a"), F.col("sid").alias("b")).where("a <> b"))
     links = _verify(docs, star, sizes, scratch, "star", p)
     found = scratch.write(components(links, scratch, "first"), "labels")
-    # what is left: pairs across components
     label = lambda of, by, to: of.join(found.select(F.col("node").alias(by), F.col("component").alias(to)), by, "left").withColumn(to, F.coalesce(to, by))
-    labelled = scratch.write(label(whole, "sid", "component"), "labelled")
-    spread = labelled.groupBy("gid").agg(F.min("component").alias("least"), F.max("component").alias("most"))
-    posts = scratch.write(posts.select("gram", "gid", "n").join(spread, "gid"), "spread")
-    open_ = posts.groupBy("gram").agg(F.min("least").alias("l"), F.max("most").alias("m")).where("l <> m").select("gram")
-    posts = scratch.write(posts.join(open_, "gram"), "open")
+    everywhere = posts
+
+    def opened(tag: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """Members with their components, groups with theirs, and the postings of n-grams that several components hold."""
+        now = scratch.write(label(whole, "sid", "component"), f"labelled-{tag}")
+        size = now.groupBy("component").agg(F.count("*").alias("size"))
+        spread = now.join(size, "component").groupBy("gid").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max(F.struct("size", "component")).alias("main"))
+        spread = scratch.write(spread, f"groups-{tag}")
+        placed = scratch.write(everywhere.select("gram", "gid", "n").join(spread, "gid"), f"spread-{tag}")
+        several = placed.groupBy("gram").agg(F.min("least").alias("l"), F.max("most").alias("m")).where("l <> m").select("gram")
+        return now, spread, scratch.write(placed.join(several, "gram"), f"open-{tag}")
+
+    # more groups join the largest component of a bucket through another of its members each time
+    for k in range(p.rounds):
+        _, _, posts = opened(f"round{k}")
+        lead = posts.groupBy("gram").agg(F.max(F.struct("main.size", F.xxhash64("gid", F.lit(k)).alias("h"), "gid", "n", "main.component")).alias("lead"))
+        star = posts.join(scratch.write(lead, f"lead-{k}"), "gram").where("main.component <> lead.component")
+        star = star.select("gid", "n", F.col("lead.gid").alias("to"), F.col("lead.n").alias("n_to")).where(_may_link("n", "n_to", p))
+        star = star.groupBy("gid", "n", "to", "n_to").agg(F.count("*").alias("c")).where(_enough(F.col("c"), "n", "n_to", p))
+        star = scratch.write(star.join(whole, "gid").select(F.col("to").alias("a"), F.col("sid").alias("b")), f"more-{k}")
+        if not star.head(1):
+            break
+        links = scratch.write(links.unionByName(_verify(docs, star, sizes, scratch, f"round{k}", p)).distinct(), f"links-{k}")
+        found = scratch.write(components(links, scratch, f"round{k}"), f"labels-{k}")
+        scratch.drop(f"spread-round{k}", f"open-round{k}")
+    # what is left: pairs across components
+    labelled, spread, posts = opened("last")
     here, there = posts.select("gram", *(F.col(c).alias(f"{c}_{s}") for s in "a" for c in ("gid", "n", "least", "most"))), posts.select("gram", *(F.col(c).alias(f"{c}_b") for c in ("gid", "n", "least", "most")))
     across = (F.col("least_a") != F.col("least_b")) | (F.col("most_a") != F.col("most_b")) | (F.col("least_a") != F.col("most_a"))
     pairs = here.join(there, "gram").where((F.col("gid_a") < F.col("gid_b")) & across & _may_link("n_a", "n_b", p))
@@ -178,7 +208,7 @@ def join(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     inner = labelled.join(spread.where("least <> most").select("gid"), "gid")
     inner = inner.select("gid", F.col("sid").alias("a"), F.col("component").alias("c_a")).join(inner.select("gid", F.col("sid").alias("b"), F.col("component").alias("c_b")), "gid").where("a < b and c_a <> c_b").select("a", "b")
     more = _verify(docs, pairs.unionByName(inner), sizes, scratch, "rest", p)
-    links = scratch.write(links.unionByName(more), "links")
+    links = scratch.write(links.unionByName(more).distinct(), "links")
     found = scratch.write(components(links, scratch, "second"), "components")
     both = links.select(F.col("u").alias("sid")).unionByName(links.select(F.col("v").alias("sid"))).groupBy("sid").agg(F.count("*").alias("n_links"))
     final = label(unique.select(*same, "sid"), "sid", "component").join(both, "sid", "left")
