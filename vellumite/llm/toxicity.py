@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from vellumite.llm.counts import SCHEMA, to_blocks, total
-from vellumite.llm.store import Scratch
+from vellumite.llm.store import Scratch, small_batches
 from vellumite.llm.words import PUNCTUATION, slices, split
 
 
@@ -38,7 +38,7 @@ class Parameters:
 
     slots: hash slots for features. least_ratio: a feature's frequency in toxic over that in unlabelled texts, and
     least_surprise: minus the log of the chance of that frequency, below which the feature has no weight. prior: the class prior; None: the
-    share of toxic rows among the labelled ones, within 0.01 to 0.5.
+    share of toxic rows among the labelled ones, within 0.01 to 0.5. epochs, batches: steps are their product.
     """
 
     most_positive: int = 20_000
@@ -50,6 +50,7 @@ class Parameters:
     prior: float | None = None
     epochs: int = 60
     batches: int = 20
+    least_in_batch: int = 64
     rate: float = 0.05
     decay: float = 1e-4
     threshold: float = 0.3
@@ -106,6 +107,7 @@ def _counted(texts: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 def train(docs: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -> Model:
     """``docs``: doc_id, text. ``labels``: doc_id, toxic, of the rows that may be learned from."""
+    small_batches(docs.sparkSession)
     nothing = Model(np.zeros(0, np.uint64), np.zeros((0, len(LEVELS)), np.float32), np.zeros(p.slots, bool), -30.0)
     labels = labels.where("toxic is not null and doc_id is not null")
     n, toxic = labels.agg(F.count("*"), F.coalesce(F.sum(F.when(F.col("toxic") == 1, 1).otherwise(0)), F.lit(0))).first()
@@ -226,10 +228,12 @@ def fit(rows: list[np.ndarray], positive: np.ndarray, size: int, prior: float, p
         out[-1] += each.sum()
         return out
 
-    for _ in range(p.epochs):
+    # a batch with few toxic texts estimates their part of the risk too loosely, so fewer of them make larger batches
+    batches = max(1, min(p.batches, len(groups[0]) // p.least_in_batch))
+    for _ in range(p.epochs * p.batches // batches):
         orders = [rng.permutation(g) for g in groups]
-        for k in range(p.batches):
-            ids = [o[k :: p.batches] for o in orders]
+        for k in range(batches):
+            ids = [o[k::batches] for o in orders]
             if not len(ids[0]) or not len(ids[1]):
                 continue
             (of_p, flat_p, n_p), (of_u, flat_u, n_u) = map(gathered, ids)
@@ -242,11 +246,15 @@ def fit(rows: list[np.ndarray], positive: np.ndarray, size: int, prior: float, p
             step += 1
             m, v = 0.9 * m + 0.1 * grad, 0.999 * v + 0.001 * grad**2
             theta -= p.rate * (m / (1 - 0.9**step)) / (np.sqrt(v / (1 - 0.999**step)) + 1e-8)
+            # a text without any feature is no likelier toxic than the prior; reversed steps would else lift it without end
+            theta = np.clip(theta, -15, 15)
+            theta[-1] = min(theta[-1], np.log(prior / (1 - prior)))
     return theta[:-1], theta[-1]
 
 
 def score(docs: DataFrame, model: Model, keep: list[str], p: Parameters = Parameters()) -> DataFrame:
     """The columns ``keep`` of ``docs`` and ``score``; only ``text`` is an input of it. The model's size is set by ``slots``."""
+    small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     kept = docs.select(*[F.col(c) for c in keep], F.col("text").alias("_text"))
     fields = [*kept.schema.fields[:-1]]
