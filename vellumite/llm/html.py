@@ -149,6 +149,8 @@ def extract(page: str | None, p: Parameters = Parameters()) -> str:
         kept, surge = ["" if linked > p.links * len(text) else text for text, linked, _ in found], p.surge
     # blank lines part what follows each other only for having lost what stood between
     rows = [x for text in kept for x in ((text,) if text else ("",) * p.window)]
+    if not rows:
+        return ""
     lengths = np.array([len(x) for x in rows], np.int64)
     sums = np.convolve(lengths, np.ones(p.window, np.int64))[p.window - 1 :]  # of each line and the following ones
     stretches: list[list[str]] = []

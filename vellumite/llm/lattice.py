@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumite.llm.store import Scratch
+from vellumite.llm.store import Scratch, small_batches
 from vellumite.llm.words import buffers
 
 #: No word equals the end of a text, as words hold no white space.
@@ -291,6 +291,7 @@ def score(docs: DataFrame, train: DataFrame, vocabulary: str, keep: list[str], k
     ``kind``: a string column of ``train`` that tells its rows' kinds.
     """
     spark = docs.sparkSession
+    small_batches(spark)
     scratch = Scratch(spark, "lattice")
     train = train.select("text", (F.col(kind) if kind else F.lit(None).cast("string")).alias("kind"))
     shares = train.groupBy("kind").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kind").where("kind is not null").limit(p.most_kinds - 1).collect()

@@ -61,6 +61,16 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+#: Rows in a batch between the JVM and Python; long texts make the default of 10,000 too large for an executor.
+BATCH_ROWS, BATCH_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Lowers the session's batch size for plans that send whole texts to Python."""
+    if not 0 < int(spark.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
+        spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+
+
 def crc_mod(column: str, modulus: int):
     """``crc32`` of a column's text form, modulo ``modulus``."""
     return F.crc32(F.col(column).cast("string")) % F.lit(modulus)
