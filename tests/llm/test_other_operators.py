@@ -28,6 +28,14 @@ def test_main_text(page, text):
     assert html.extract(page) == text
 
 
+@pytest.mark.parametrize("closing", ["word " * 40, "Short end."])
+@pytest.mark.parametrize("page", ["{nav}<div id=body><p>{long}</p><div class=ad>Buy</div><p>{end}</p></div>{nav}", "{nav}<p>{long}</p><div class=ad>Buy</div><p>{end}</p>", "{nav}<div id=body><div><p>{long}</p></div>{nav}<div><p>{long}</p></div>{nav}<p>{end}</p></div>"])
+def test_asides_do_not_part_an_unmarked_text(page, closing):
+    nav = "".join(f"<div><a href=x>Page {k}</a></div>" for k in range(4))
+    text = html.extract(page.format(nav=nav, long="word " * 400, end=closing))
+    assert text.split("\n\n") == [x.strip() for x in ["word " * 400] * page.count("{long}") + [closing]]
+
+
 def test_main_text_of_tables(spark):
     rows = [(1, "u", "<p>" + "long " * 200_000, "t"), (2, None, None, None), (2, None, None, None)]
     pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string")

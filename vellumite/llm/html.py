@@ -2,12 +2,16 @@
 
 Markup is stripped to lines, one for each block of the page. Lines of navigation, headers,
 footers, sidebars, notices, adverts, forms, scripts, styles and reader comments, known by
-their tags, roles or the words of their class and id, count as blank. The lengths of the
-lines are summed over sliding windows. The text surges where a window's sum reaches the
-threshold and dives where a window is blank; what lies between is kept. If a page marks its
-article (``article`` or ``main``), lines outside are blank and any text makes a surge; else
-blocks that are mostly links are blank as well, and of several stretches those are kept that
-hold a fair share of the longest.
+their tags, roles or the words of their class and id, are taken out first; they part nothing.
+So are, if a page marks its article (``article`` or ``main``), the lines outside. What
+characters the others hold, those of lines that are mostly links not counted, is summed over
+sliding windows. The text dives where a window's sum is zero.
+
+In a marked article all lines are kept. Elsewhere the text surges where a window's sum
+reaches the threshold and goes on until it dives. The main container is the smallest
+element around all lines of stretches between surge and dive that are long enough to bear
+a surge; all its lines but those of links are kept, and if there is no such element,
+all stretches.
 
 Character references are decoded; white space within a block becomes one space; blocks are
 trimmed and joined by two newlines. Nothing else is dropped or cut.
@@ -37,20 +41,17 @@ _RAW = frozenset("script style noscript template svg math textarea title iframe
 _SIDE_TAGS = frozenset("nav footer aside form head menu dialog select button".split())
 _SIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer form masthead menu modal nav navbar navigation newsletter notice notices notification pagination popup promo promoted promotion related reply replies respond search share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget".split())
 _SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
+_CONTAINERS = frozenset("blockquote center details div dl fieldset figure ol section table td ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 
 
 @dataclass(frozen=True)
 class Parameters:
-    """window: lines summed at a time. surge: characters in a window, where no article is marked. links: share of link text that makes a block blank there.
-
-    share: of the longest stretch, that another one needs to be kept there.
-    """
+    """window: lines summed at a time. surge: characters in a window, where no article is marked. links: share of link text that makes a line one of links."""
 
     window: int = 3
     surge: int = 86
     links: float = 0.6
-    share: float = 0.25
 
 
 def _aside(tag: str, attributes: str, inside: bool) -> bool:
@@ -68,9 +69,11 @@ def _aside(tag: str, attributes: str, inside: bool) -> bool:
     return False
 
 
-def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
-    """Lines as text, characters of it in links, and whether the marked article holds them; whether an article is marked. Blank text: not part of the text."""
+def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool, list[tuple[int, int]]]:
+    """Lines as text, characters of it in links, and whether the marked article holds them; whether an article is marked; the lines that each container holds (from, to), in the order of their beginnings."""
     out: list[tuple[str, int, bool]] = []
+    spans: list[tuple[int, int]] = []
+    opened: list[tuple[str, int]] = []
     parts: list[str] = []
     linked = link = 0
     article = 0
@@ -126,48 +129,60 @@ def lines(page: str) -> tuple[list[tuple[str, int, bool]], bool]:
             close()
         if tag == "a":
             link = 0 if closing else 1
+        if closing and tag in _CONTAINERS and any(x == tag for x, _ in opened):
+            while True:
+                x, k = opened.pop()
+                spans[k] = spans[k][0], len(out)
+                if x == tag:
+                    break
         if tag in ("article", "main"):
             article = max(0, article + (-1 if closing else 1))
             marked = marked or not closing
         elif not closing and not alone and _aside(tag, m[3], article > 0):
             close()
-            out.append(("", 0, article > 0))
             skip, depth = tag, 1
+        elif tag in _CONTAINERS and not closing and not alone:
+            opened.append((tag, len(spans)))
+            spans.append((len(out), size))
     close()
-    return out, marked
+    return out, marked, [(a, min(b, len(out))) for a, b in spans]
 
 
 def extract(page: str | None, p: Parameters = Parameters()) -> str:
     """The main text of a page."""
     if not page:
         return ""
-    found, marked = lines(page)
-    if marked and any(text and inside for text, _, inside in found):
-        kept, surge = [text if inside else "" for text, _, inside in found], 1
+    rows, marked, spans = lines(page)
+    inside = [x for x in rows if x[2]]
+    if marked and inside:
+        rows = inside
     else:
         marked = False
-        kept, surge = ["" if linked > p.links * len(text) else text for text, linked, _ in found], p.surge
-    # blank lines part what follows each other only for having lost what stood between
-    rows = [x for text in kept for x in ((text,) if text else ("",) * p.window)]
     if not rows:
         return ""
-    lengths = np.array([len(x) for x in rows], np.int64)
-    sums = np.convolve(lengths, np.ones(p.window, np.int64))[p.window - 1 :]  # of each line and the following ones
-    stretches: list[list[str]] = []
-    k = 0
-    while k < len(rows):
-        if sums[k] < surge or not lengths[k]:
-            k += 1
-            continue
-        dive = k
-        while dive < len(rows) and sums[dive] > 0:
-            dive += 1
-        stretches.append([x for x in rows[k:dive] if x])
-        k = dive
-    if not stretches and not marked:
-        stretches = [[x for x in rows if x]]
-    totals = [sum(map(len, x)) for x in stretches]
-    return "\n\n".join(x for s, n in zip(stretches, totals, strict=True) if marked or n >= p.share * max(totals) for x in s)
+    linked = np.array([n > p.links * len(text) for text, n, _ in rows])
+    lengths = np.where(linked, 0, [len(text) for text, *_ in rows])
+    sums = np.convolve(np.append(lengths, np.zeros(p.window - 1, np.int64)), np.ones(p.window, np.int64))[p.window - 1 :][: len(rows)]  # of each line and the following ones
+    dive = np.zeros(len(rows), bool)
+    for k in np.flatnonzero(sums[: max(0, len(rows) - p.window + 1)] == 0):
+        dive[k : k + p.window] = True
+    keep = ~dive | marked
+    if not marked:
+        keep[:] = False
+        surged = False
+        for k in range(len(rows)):
+            surged = not dive[k] and (surged or lengths[k] > 0 and sums[k] >= p.surge)
+            keep[k] = surged
+        bearing = np.flatnonzero(keep & (lengths * p.window >= p.surge))
+        around = [(a, b) for a, b in spans if len(bearing) and a <= bearing[0] and bearing[-1] < b]
+        if around:
+            a, b = around[-1]  # containers begin in order, so the last of those around is the innermost
+            keep[:] = False
+            keep[a:b] = True
+        keep &= ~linked
+    if not keep.any():
+        keep = ~keep if marked else ~linked
+    return "\n\n".join(x[0] for x, k in zip(rows, keep.tolist(), strict=True) if k)
 
 
 def main_text(pages: DataFrame, keep: list[str], p: Parameters = Parameters()) -> DataFrame:
