@@ -28,6 +28,12 @@ def test_main_text(page, text):
     assert html.extract(page) == text
 
 
+def test_lines_of_links_dive_in_a_marked_article():
+    links = "".join(f"<p><a href=x>A story much like this one, {k}</a></p>" for k in range(4))
+    assert html.extract(f"<article><p>{WORDS}</p><div class=xyz>{links}</div><p>End.</p></article>") == f"{WORDS.strip()}\n\nEnd."
+    assert html.extract(f"<article><p>{WORDS}</p><p><a href=x>One link.</a></p><p>Of.</p><p>To.</p><p>In.</p></article>").split("\n\n")[1:] == ["One link.", "Of.", "To.", "In."]
+
+
 @pytest.mark.parametrize("closing", ["word " * 40, "Short end."])
 @pytest.mark.parametrize("page", ["{nav}<div id=body><p>{long}</p><div class=ad>Buy</div><p>{end}</p></div>{nav}", "{nav}<p>{long}</p><div class=ad>Buy</div><p>{end}</p>", "{nav}<div id=body><div><p>{long}</p></div>{nav}<div><p>{long}</p></div>{nav}<p>{end}</p></div>"])
 def test_asides_do_not_part_an_unmarked_text(page, closing):

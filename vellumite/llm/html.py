@@ -7,7 +7,8 @@ So are, if a page marks its article (``article`` or ``main``), the lines outside
 characters the others hold, those of lines that are mostly links not counted, is summed over
 sliding windows. The text dives where a window's sum is zero.
 
-In a marked article all lines are kept. Elsewhere the text surges where a window's sum
+In a marked article only what dives is dropped: runs of lines of links, at least a window
+long; its short lines are as often text. Elsewhere the text surges where a window's sum
 reaches the threshold and goes on until it dives. The main container is the smallest
 element around all lines of stretches between surge and dive that are long enough to bear
 a surge; all its lines but those of links are kept, and if there is no such element,
@@ -166,7 +167,7 @@ def extract(page: str | None, p: Parameters = Parameters()) -> str:
     dive = np.zeros(len(rows), bool)
     for k in np.flatnonzero(sums[: max(0, len(rows) - p.window + 1)] == 0):
         dive[k : k + p.window] = True
-    keep = ~dive | marked
+    keep = ~dive
     if not marked:
         keep[:] = False
         surged = False
