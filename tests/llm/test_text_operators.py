@@ -219,6 +219,18 @@ def test_toxicity(spark):
     assert toxicity.score(docs.limit(0), model, ["doc_id"], p).collect() == []
 
 
+def test_toxicity_learns_from_all_but_near_copies():
+    rng = random.Random(8)
+    some = [" ".join(["a", *("".join(rng.choice("etaonish") for _ in range(5)) for _ in range(60 if k % 2 else 600))]) for k in range(40)]
+    near = [x.replace(x.split()[30], "other") for x in some[:10]]
+    texts = [*some, *near, *some[:5], "", None, "a", "A!"]
+    batch = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array([True] * len(texts))], names=["text", "positive"])
+    rows = pa.Table.from_batches(toxicity._sketches([batch])).append_column("row", pa.array(range(len(texts)), pa.int64()))
+    stay = set(range(len(texts))) - set(toxicity._copies(rows, toxicity.Parameters()))
+    groups = [*range(40), *range(10), *range(5), 40, 40, 41, 41]
+    assert sorted(groups[k] for k in stay) == list(range(42))
+
+
 def test_non_negative_risk_does_not_sink_below_zero():
     rng = np.random.default_rng(0)
     rows = [np.array([0]) if k < 50 else np.array([0] if rng.random() < 0.2 else [1]) for k in range(250)]

@@ -12,8 +12,9 @@ the toxic texts as in the unlabelled ones get a weight, so that a text's length
 doesn't move its score.
 
 Defined cases: a null or empty text has no feature and gets the score of the intercept,
-which is low. Repeated rows are scored alike; each counts in training. With no toxic
-example every score is 0. Null labels count as no label.
+which is low. Repeated rows are scored alike. Of near copies in the sample (word 3-grams
+alike by ``copies``, estimated from their 128 smallest hashes; exact up to these) one counts on each
+side. With no toxic example every score is 0. Null labels count as no label.
 """
 
 from __future__ import annotations
@@ -29,20 +30,21 @@ from pyspark.sql.types import DoubleType, StructField, StructType
 
 from vellumite.llm.counts import SCHEMA, to_blocks, total
 from vellumite.llm.store import Scratch, small_batches
-from vellumite.llm.words import PUNCTUATION, slices, split
+from vellumite.llm.words import PUNCTUATION, shingles, slices, split
 
 
 @dataclass(frozen=True)
 class Parameters:
     """most_positive, most_unlabelled: bounds (the second an expectation) on the texts trained on.
 
-    slots: hash slots for features. least_ratio: a feature's frequency in toxic over that in unlabelled texts, and
+    copies: least Jaccard similarity of texts of which one is trained on. slots: hash slots for features. least_ratio: a feature's frequency in toxic over that in unlabelled texts, and
     least_surprise: minus the log of the chance of that frequency, below which the feature has no weight. prior: the class prior; None: the
     share of toxic rows among the labelled ones, within 0.01 to 0.5. epochs, batches: steps are their product.
     """
 
     most_positive: int = 20_000
     most_unlabelled: int = 40_000
+    copies: float = 0.8
     slots: int = 1 << 20
     prefixes: tuple[int, ...] = (4, 5, 6)
     least_ratio: float = 3.0
@@ -122,8 +124,14 @@ def train(docs: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -> M
     sample = docs.select("doc_id", "text").join(F.broadcast(positive), "doc_id", "left").where(F.col("_positive") | chosen)
     sample = sample.select("text", F.coalesce("_positive", F.lit(False)).alias("positive"))
     # of the sample's near copies one stays on each side, lest their common words pass for toxic ones
-    sample = sample.mapInArrow(_families, "text string, positive boolean, family long").dropDuplicates(["positive", "family"])
-    sample = Scratch(docs.sparkSession, "toxicity").write(sample.select("text", "positive"), "sample")
+    scratch = Scratch(docs.sparkSession, "toxicity")
+    sample = scratch.write(sample.mapInArrow(_sketches, "text string, positive boolean, keys binary, sketch binary").withColumn("row", F.monotonically_increasing_id()), "all")
+    # a fixed number of bytes for each text of the bounded sample
+    gone = _copies(sample.select("row", "positive", "keys", "sketch").toArrow(), p)
+    sample = sample.select("row", "text", "positive")
+    if gone:
+        sample = sample.join(F.broadcast(docs.sparkSession.createDataFrame(pa.table({"row": pa.array(gone, pa.int64())}))), "row", "left_anti")
+    sample = sample.select("text", "positive")
     size, levels = p.slots, len(LEVELS)
     counted = total(sample.mapInArrow(_counter(p), SCHEMA), 2 * levels * size + 2)
     both, (n_positive, n_other) = counted[:-2].astype(np.float64).reshape(2, levels, size), counted[-2:].tolist()
@@ -160,14 +168,68 @@ def train(docs: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -> M
     return Model(hashes[order], table[order].astype(np.float32), held, float(bias))
 
 
-def _families(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Adds the smallest hash of a text's words, which near copies mostly share."""
+#: Hashes in a sketch; keys of two smallest hashes each, one of which texts alike by 0.8 share but for a chance of 1e-7.
+SKETCH, KEYS, GRAM = 128, 16, 3
+_FACTORS = [int(x) | 1 for x in np.random.default_rng(11).integers(1, 2**63, size=2 * KEYS, dtype=np.uint64)]
+
+
+def _sketches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Adds keys that near copies share, and the upper halves of the smallest hashes of a text's word n-grams."""
     for batch in batches:
-        least: list[int] = []
+        keys: list[bytes] = []
+        sketches: list[bytes] = []
         for a, b in slices(batch.column(0)):
-            words = split(batch.column(0).slice(a, b - a), PUNCTUATION)
-            least += [int(words.hashes[i:j].min()) >> 1 if j > i else -1 for i, j in zip(words.first[:-1], words.first[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(least, pa.int64())], names=["text", "positive", "family"])
+            sets = list(shingles(split(batch.column(0).slice(a, b - a), PUNCTUATION), GRAM))
+            sketches += [(x[:SKETCH] >> np.uint64(32)).astype("<u4").tobytes() for x in sets]
+            full = [x for x in sets if len(x)]
+            if full:
+                flat, at = np.concatenate(full), np.cumsum([0, *map(len, full[:-1])])
+                least = [np.minimum.reduceat(flat * np.uint64(x), at) for x in _FACTORS]
+                found = iter(np.stack([least[k] * np.uint64(3) + least[k + 1] for k in range(0, 2 * KEYS, 2)], 1).astype("<u8"))
+            keys += [next(found).tobytes() if len(x) else b"" for x in sets]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(keys, pa.binary()), pa.array(sketches, pa.binary())], names=["text", "positive", "keys", "sketch"])
+
+
+def _copies(rows: pa.Table, p: Parameters) -> list[int]:
+    """The rows that are near copies of one that stays, of the same side."""
+    by = ("positive", "sketch", "keys", "row")
+    order = sorted(zip(*(rows[c].to_pylist() for c in by), strict=True))
+    smallest, last = np.full((len(order), SKETCH), _NONE, np.int64), np.full(len(order), _NONE - 1, np.int64)
+    stay: dict[tuple, list[int]] = {}
+    gone = []
+    before = None
+    for k, (positive, sketch, keys, row) in enumerate(order):
+        if (positive, sketch, keys) == before:  # equal sets
+            gone.append(row)
+            continue
+        before = positive, sketch, keys
+        mine = np.frombuffer(sketch, "<u4").astype(np.int64)
+        smallest[k, : len(mine)] = mine
+        if len(mine) == SKETCH:
+            last[k] = mine[-1]
+        places = [(positive, j, key) for j, key in enumerate(np.frombuffer(keys, "<u8").tolist())]
+        near = np.array(sorted({x for place in places for x in stay.get(place, ())}), np.int64)
+        for at in range(0, len(near), 2000):
+            if (_alike(mine, last[k], smallest[near[at : at + 2000]], last[near[at : at + 2000]]) >= p.copies).any():
+                gone.append(row)
+                break
+        else:
+            for place in places:
+                stay.setdefault(place, []).append(k)
+    return gone
+
+
+#: Fills sketches; above all halves of hashes.
+_NONE = 1 << 40
+
+
+def _alike(mine: np.ndarray, end: int, others: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """Jaccard similarities to ``others`` by the hashes up to the place that both sketches reach."""
+    until = np.minimum(end, ends)
+    held = others <= until[:, None]
+    at = np.minimum(np.searchsorted(mine, others), max(0, len(mine) - 1))
+    shared = ((mine[at] == others) & held).sum(1)
+    return shared / np.maximum(1, held.sum(1) + np.searchsorted(mine, until, side="right") - shared)
 
 
 def _counter(p: Parameters):
