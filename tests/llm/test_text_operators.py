@@ -194,6 +194,14 @@ def test_language_id(spark):
     assert language.predict(docs.limit(0), found, ["doc_id"]).collect() == []
 
 
+def test_language_rejects_short_ties():
+    found = {"aa": language.dictionary(["kalo milo kami"] * 3, 1000), "bb": language.dictionary(["trungsch schtre ungsch"] * 3, 1000)}
+    both = language.Classifier(found, language.Parameters())
+    assert [both.predict(x)[2] for x in ("x", "zzqxj wvyp", "kalo milo kami kalo kami")] == [False, False, True]
+    one = language.Classifier({"aa": found["aa"]}, language.Parameters())
+    assert [one.predict(x)[2] for x in ("x", "zzqxj wvyp", "kalo milo kami kalo kami")] == [False, False, True]
+
+
 def test_toxicity(spark):
     rng = random.Random(4)
     clean = lambda: " ".join("".join(rng.choice("etaonish") for _ in range(rng.randint(2, 6))) for _ in range(40))

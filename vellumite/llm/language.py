@@ -52,8 +52,8 @@ class Parameters:
     """sample_texts: expected texts read for each dictionary, sample_chars of each; the bound on what the driver collects. dictionary_bytes: of each dictionary.
 
     most_languages: bound on the labels learned. block_bytes: texts are compressed in whole blocks of this size.
-    least_margin: of the second smallest size over the smallest, below which a text is rejected, from least_bytes of
-    letters on: the sizes of a shorter text are too coarse for a margin to tell.
+    least_margin: of the second smallest size over the smallest, below which a text of any size is rejected, and
+    least_bytes: the same in bytes, as sizes of short texts are coarse. With one language the second is the size without a dictionary.
     """
 
     sample_texts: int = 400
@@ -64,7 +64,7 @@ class Parameters:
     level: int = 6
     least_match: int = 3
     least_margin: float = 0.003
-    least_bytes: int = 512
+    least_bytes: int = 2
     sharpness: float = 40.0
 
 
@@ -100,6 +100,13 @@ class Classifier:
         blocks = [raw[k : k + step] for k in range(0, n, step)]
         return [sum(len(c.compress(x)) for x in blocks) for c in self.compressors]
 
+    def size_without(self, raw: bytes) -> int:
+        """The size by no language's dictionary."""
+        step = self.p.block_bytes
+        how = zstandard.ZstdCompressionParameters.from_level(self.p.level, source_size=step, min_match=self.p.least_match, write_checksum=0, write_content_size=0, write_dict_id=0)
+        c = zstandard.ZstdCompressor(compression_params=how)
+        return sum(len(c.compress(raw[k : k + step])) for k in range(0, len(raw), step))
+
     def predict(self, text: str) -> tuple[str, float, bool]:
         """Language, score, accepted."""
         raw = normalise(text).encode()
@@ -108,10 +115,8 @@ class Classifier:
         sizes = self.sizes(raw)
         best = min(sizes)
         score = 1.0 / sum(math.exp(-self.p.sharpness * (x - best) / best) for x in sizes)
-        if len(sizes) == 1:
-            return self.langs[0], score, True
-        second = sorted(sizes)[1]
-        return self.langs[sizes.index(best)], score, len(raw) < self.p.least_bytes or (second - best) / best >= self.p.least_margin
+        second = sorted(sizes)[1] if len(sizes) > 1 else self.size_without(raw)
+        return self.langs[sizes.index(best)], score, second - best >= max(self.p.least_bytes, self.p.least_margin * best)
 
 
 _made: dict[tuple, Classifier] = {}
