@@ -1,27 +1,31 @@
 """Exact Jaccard join on word n-grams by grouped prefixes.
 
-A document's set holds the distinct word n-grams of its whole text. Sets are ordered from
-rare n-grams to frequent ones, by a counter table over all documents; the order only steers
-the cost, as any one order gives the same links. Two sets within the threshold share an
-n-gram of their prefixes, the first ``n - ceil(t * n) + 1`` of them.
-
-Equal sets are collapsed first; then sets of the same size and prefix form one group, and
-only groups post their prefixes. Group pairs that share posted n-grams, whose sizes
-allow a link and whose number of shared ones does are expanded to member pairs, which are verified on the full sets.
-
-To find components no bucket is expanded to all pairs at once: first each group is held
-against two groups of its bucket (the smallest and one by hash), and members against their
-group's smallest; in some further rounds each group that is not of a bucket's largest
-component against a random one that is. What these links join is joined for good, and only pairs across the
-resulting components are verified afterwards, all of them. So no link between different
-components is lost.
+A document's set holds the distinct word n-grams of its whole text; texts are split once.
+Sets are ordered from rare n-grams to frequent ones, by a counter table over all documents;
+the order only steers the cost, as any one order gives the same links. Two sets within the
+threshold share an n-gram of their prefixes, the first ``n - ceil(t * n) + 1`` of them.
+
+Equal sets are collapsed; then sets of the same size and prefix form one group, and only
+groups post their prefixes. A posted n-gram that few groups share gives pairs of groups; those
+whose sizes allow a link and that share enough posted n-grams for one stay. A posted n-gram
+that many documents hold gives no pairs: its groups are tied to nodes of that n-gram, one for
+each band of sizes, so that groups whose sizes allow a link are tied together. What is tied,
+directly or through others, makes a block. No link leaves a block: a linked pair shares a
+posted n-gram of the second kind, or all that its prefixes share are of the first.
+
+Groups then expand to their members, and a block's whole sets are compared with each other,
+exactly: a small block in one task, a large one by pairs of tiles of bounded size. A task
+returns for each set its number of links and a spanning forest of them, never pairs. Each set
+moves once for each tile of its block.
 
 Defined cases: a null or empty text, or one without words, has an empty set, is linked with
 nothing and is its own component; a text with fewer words than n has its whole word
 sequence as one n-gram. Equal texts link. Repeated rows (one doc_id more than once) each
-count as rows; they share the component of their id, and texts that differ under one id link
-as one document. n-grams are told apart by 64-bit
-hashes, sets by 128 bits and size.
+count as rows; texts that differ under one id link as one document. A row without doc_id joins
+nothing, but has the component of an equal text. Ties of the order go by hash. An empty
+table gives an empty one; other columns play no part. A very long text is a set like others;
+batches are bounded in bytes. n-grams are told apart by 64-bit hashes, sets by 128 bits and
+size.
 """
 
 from __future__ import annotations
@@ -30,6 +34,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -44,190 +49,317 @@ from vellumite.llm.words import mix, shingles, slices, split
 class Parameters:
     """percent: least Jaccard similarity of a link. counters: size of the frequency table, broadcast with a byte each.
 
-    rounds: of links to a bucket's largest component before pairs across components are verified one by one.
+    few: the most groups that share an n-gram and are paired. posts: of a task that pairs them. tile_sets, tile_grams: of a tile, in
+    expectation. most_broadcast: rows of ids that may be broadcast; more are joined by a shuffle.
     """
 
     width: int = 4
     percent: int = 85
-    counters: int = 1 << 22
-    rounds: int = 3
+    counters: int = 1 << 23
+    few: int = 32
+    posts: int = 250_000
+    tile_sets: int = 1024
+    tile_grams: int = 1 << 20
+    most_broadcast: int = 1_000_000
 
 
-def _sets(column: pa.Array, width: int) -> Iterator[np.ndarray]:
-    for a, b in slices(column):
-        yield from shingles(split(column.slice(a, b - a)), width)
+SAME = ["n", "one", "two"]
+
+
+def _sets(docs: DataFrame, p: Parameters) -> DataFrame:
+    """For each row the size and 128 bits of its set, and the set's hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column(1)):
+                sets = list(shingles(split(batch.column(1).slice(a, b - a)), p.width))
+                one = [mix(x).sum(dtype=np.uint64) for x in sets]
+                two = [mix(x ^ np.uint64(0xA5A5A5A5DEADBEEF)).sum(dtype=np.uint64) for x in sets]
+                arrays = [
+                    batch.column(0).slice(a, b - a),
+                    pa.array([len(x) for x in sets], pa.int64()),
+                    *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two)),
+                    pa.array([x.tobytes() for x in sets], pa.binary()),
+                ]
+                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *SAME, "grams"])
+
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, one long, two long, grams binary")
+
+
+def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The hashes of all rows of a binary column in a row, and where each row's begin (one longer)."""
+    at = np.frombuffer(column.buffers()[1], np.int32)[column.offset : column.offset + len(column) + 1].astype(np.int64)
+    raw = column.buffers()[2]
+    data = np.frombuffer(raw, np.uint8)[at[0] : at[-1]] if raw is not None else np.zeros(0, np.uint8)
+    return np.frombuffer(data.tobytes(), np.uint64), (at - at[0]) // 8
 
 
 def _slot(hashes: np.ndarray, counters: int) -> np.ndarray:
     return (hashes % np.uint64(counters)).astype(np.int64)
 
 
-def _frequencies(docs: DataFrame, p: Parameters) -> np.ndarray:
-    """Documents by n-gram slot, over all documents, as powers of two beyond the usual number: what the order goes by."""
+def _classes(sets: DataFrame, p: Parameters) -> np.ndarray:
+    """For each slot 0, or how far the number of documents that hold its n-grams lies above what it may be for rare ones, in powers of two.
+
+    A slot holds several rare n-grams; what lies above their usual sum is due to a frequent one. An n-gram of class 0 is thus held by a bounded number of documents.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         counts = np.zeros(p.counters, np.uint32)
         for batch in batches:
-            some: list[np.ndarray] = []
-            for x in _sets(batch.column(0), p.width):
-                some.append(x)
-                if len(some) == 2000:
-                    counts += np.bincount(_slot(np.concatenate(some), p.counters), minlength=p.counters).astype(np.uint32)
-                    some = []
-            if some:
-                counts += np.bincount(_slot(np.concatenate(some), p.counters), minlength=p.counters).astype(np.uint32)
+            grams, _ = _flat(batch.column(0))
+            for k in range(0, len(grams), 1 << 20):
+                np.add.at(counts, _slot(grams[k : k + (1 << 20)], p.counters), np.uint32(1))
         rows = list(to_blocks(counts, TaskContext.get().partitionId()))
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("block", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())]))
 
-    counts = total(docs.select("text").mapInArrow(run, SCHEMA), p.counters)
-    # a slot holds several rare n-grams; what lies above their usual sum is due to a frequent one
+    counts = total(sets.select("grams").mapInArrow(run, SCHEMA), p.counters).astype(np.float64)
     mean = counts.mean()
-    above = np.maximum(counts - (mean + 4 * np.sqrt(mean)), 0)
+    above = np.maximum(counts - max(p.few, mean + 4 * np.sqrt(mean)), 0)
     return np.ceil(np.log2(1 + above)).astype(np.uint8)
 
 
-_SET_SCHEMA = "doc_id long, n long, one long, two long, prefix_hash long, prefix array<long>"
-
-
-def _prefixes(docs: DataFrame, order: np.ndarray, p: Parameters) -> DataFrame:
-    """For each row the size and 128 bits of its set, and its prefix in the order of ``order``."""
-    shared = docs.sparkSession.sparkContext.broadcast(order)
+def _heads(sets: DataFrame, shared, p: Parameters) -> DataFrame:
+    """For each row its group, a hash of size and prefix, and the prefix in the order of the classes, ``rare`` n-grams first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = shared.value
         for batch in batches:
-            n, one, two, heads, prefixes = [], [], [], [], []
-            for x in _sets(batch.column(1), p.width):
-                size = len(x)
-                n.append(size)
-                if size:
-                    rank = classes[_slot(x, p.counters)]
-                    head = x[np.argsort(rank, kind="stable")] if rank.any() else x
-                    head = head[: size - (p.percent * size + 99) // 100 + 1]
-                    sums = mix(x).sum(dtype=np.uint64), mix(x ^ np.uint64(0xA5A5A5A5DEADBEEF)).sum(dtype=np.uint64), mix(head).sum(dtype=np.uint64)
+            flat, at = _flat(batch.column(4))
+            ranks = classes[_slot(flat, p.counters)]
+            groups, rare, prefixes = [], [], []
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                head, rank, size = flat[a:b], ranks[a:b], b - a
+                keep = size - (p.percent * size + 99) // 100 + 1 if size else 0
+                if rank.any():
+                    order = np.argsort(rank, kind="stable")[:keep]
+                    head, rank = head[order], rank[order]
                 else:
-                    head, sums = x, (np.uint64(0),) * 3
-                prefixes.append(head.view(np.int64))
-                for out, s in zip((one, two, heads), sums, strict=True):
-                    out.append(int(s.astype(np.int64)))
-            arrays = [batch.column(0), *(pa.array(v, pa.int64()) for v in (n, one, two, heads)), pa.array(prefixes, pa.list_(pa.int64()))]
-            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", "n", "one", "two", "prefix_hash", "prefix"])
-
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, _SET_SCHEMA)
-
+                    head, rank = head[:keep], rank[:keep]
+                groups.append(int(mix(head).sum(dtype=np.uint64)) ^ size)
+                rare.append(int((rank == 0).sum()))
+                prefixes.append(head.tobytes())
+            arrays = [*batch.columns[:4], pa.array(mix(np.array(groups, np.uint64)).view(np.int64)), pa.array(rare, pa.int64()), pa.array(prefixes, pa.binary())]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *SAME, "gid", "rare", "prefix"])
+
+    return sets.mapInArrow(run, "doc_id long, n long, one long, two long, gid long, rare long, prefix binary")
+
+
+def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """Of batches of gid, n, rare, prefix the rows whose group the task has not seen: gids, sizes, rare ones, n-grams, their rows. Copies thus post once for each task."""
+    seen: set[int] = set()
+    for batch in batches:
+        gids = batch.column(0).to_pylist()
+        new = []
+        for k, g in enumerate(gids):
+            if g not in seen:
+                seen.add(g)
+                new.append(k)
+        if len(seen) > 500_000:
+            seen.clear()
+        if new:
+            batch = batch.take(pa.array(new))
+            flat, at = _flat(batch.column(3))
+            yield *(x.to_numpy() for x in batch.columns[:3]), flat, np.repeat(np.arange(len(batch)), np.diff(at))
+
+
+_POST = np.dtype([("gram", "<u8"), ("gid", "<i8"), ("n", "<i8")])
+
+
+def _pairs(heads: DataFrame, p: Parameters) -> DataFrame:
+    """``u``, ``v``: groups that share rare n-grams of their prefixes and may be similar by their sizes and by how many they share."""
+    prefixes = heads.agg(F.coalesce(F.sum("rare"), F.lit(0))).first()[0]
+    ranges = max(1, -(-prefixes // p.posts))
+
+    def post(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(parts: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            rows = np.concatenate(parts)
+            rows = rows[np.argsort(rows["gram"])]
+            ends = np.searchsorted((rows["gram"] >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32), np.arange(ranges + 1, dtype=np.uint64))
+            held = np.flatnonzero(np.diff(ends))
+            yield pa.RecordBatch.from_arrays([pa.array(held.astype(np.int32)), pa.array([rows[ends[k] : ends[k + 1]].tobytes() for k in held], pa.binary())], names=["range", "posts"])
+
+        parts: list[np.ndarray] = []
+        for gids, sizes, rare, grams, rows in _fresh(batches):
+            first = np.searchsorted(rows, np.arange(len(gids)))
+            held = np.arange(len(grams)) - first[rows] < rare[rows]
+            posts = np.empty(int(held.sum()), _POST)
+            posts["gram"], posts["gid"], posts["n"] = grams[held], gids[rows[held]], sizes[rows[held]]
+            parts.append(posts)
+            if sum(map(len, parts)) > 500_000:
+                yield from out(parts)
+                parts = []
+        if parts:
+            yield from out(parts)
+
+    def pair(rows: pd.DataFrame) -> pd.DataFrame:
+        posts = np.frombuffer(b"".join(rows["posts"]), _POST)
+        names, first, of = np.unique(posts["gid"], return_index=True, return_inverse=True)
+        sizes = posts["n"][first]
+        # copies have posted in several tasks
+        order = np.lexsort((of, posts["gram"]))
+        gram, of = posts["gram"][order], of[order]
+        new = np.ones(len(gram), bool)
+        new[1:] = (gram[1:] != gram[:-1]) | (of[1:] != of[:-1])
+        gram, of = gram[new], of[new]
+        at = np.flatnonzero(np.r_[True, gram[1:] != gram[:-1]])
+        runs = np.diff(np.r_[at, len(gram)])
+        codes = [np.zeros(0, np.int64)]
+        for k in range(2, p.few + 1):
+            start = at[runs == k]
+            if len(start):
+                i, j = np.triu_indices(k, 1)
+                a, b = of[(start[:, None] + i).ravel()], of[(start[:, None] + j).ravel()]
+                small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
+                may = large * p.percent <= small * 100
+                codes.append(a[may] * len(names) + b[may])
+        codes, shared = np.unique(np.concatenate(codes), return_counts=True)
+        a, b = codes // len(names), codes % len(names)
+        # longer runs, of a bounded length: in the order of their sizes neighbours are tied, and so all whose sizes allow a link
+        tied = [np.zeros((2, 0), np.int64)]
+        for s, k in zip(at[runs > p.few].tolist(), runs[runs > p.few].tolist(), strict=True):
+            x = of[s : s + k]
+            x = x[np.argsort(sizes[x], kind="stable")]
+            near = sizes[x[1:]] * p.percent <= sizes[x[:-1]] * 100
+            tied.append(np.stack([x[:-1][near], x[1:][near]]))
+        tied = np.concatenate(tied, axis=1)
+        a, b, c = np.r_[a, tied[0]], np.r_[b, tied[1]], np.r_[shared, np.full(tied.shape[1], 1 << 40)]
+        return pd.DataFrame({"u": np.minimum(names[a], names[b]), "v": np.maximum(names[a], names[b]), "small": np.minimum(sizes[a], sizes[b]), "large": np.maximum(sizes[a], sizes[b]), "c": c})
+
+    posts = heads.where("n > 0 and doc_id is not null").select("gid", "n", "rare", "prefix").mapInArrow(post, "range int, posts binary")
+    found = posts.groupBy("range").applyInPandas(pair, "u long, v long, small long, large long, c long")
+    # what two similar sets share beyond their prefixes is in the rest of one of them
+    rest = F.ceil(F.col("large") * p.percent / F.lit(100)) - 1
+    enough = (F.col("c") + rest) * (100 + p.percent) >= (F.col("small") + F.col("large")) * p.percent
+    return found.groupBy("u", "v", "small", "large").agg(F.sum("c").alias("c")).where(enough).select("u", "v")
+
+
+def _ties(heads: DataFrame, p: Parameters) -> DataFrame:
+    """``u``, ``v``: groups, and nodes that stand for a frequent n-gram and a band of sizes; sizes that allow a link have a band in common."""
+    width = np.log(100 / p.percent) * 1.0001 if p.percent < 100 else 1e-9
 
-def _whole_sets(docs: DataFrame, p: Parameters) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [x.view(np.int64) for x in _sets(batch.column(1), p.width)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["sid", "grams"])
+        for gids, sizes, rare, grams, rows in _fresh(batches):
+            first = np.searchsorted(rows, np.arange(len(gids)))
+            held = np.flatnonzero(np.arange(len(grams)) - first[rows] >= rare[rows])
+            if len(held):
+                bands = np.floor(np.log(sizes[rows[held]]) / width).astype(np.int64).view(np.uint64)
+                nodes = [mix(grams[held] ^ mix(bands + np.uint64(k))).view(np.int64) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.tile(gids[rows[held]], 2)), pa.array(np.concatenate(nodes))], names=["u", "v"])
+
+    return heads.where("n > rare and n > 0 and doc_id is not null").select("gid", "n", "rare", "prefix").mapInArrow(run, "u long, v long")
+
+
+def shared_counts(sets: list[np.ndarray], few: int = 16) -> np.ndarray:
+    """How many elements each two of the sorted distinct ``sets`` share; right for row < column."""
+    m = len(sets)
+    out = np.zeros((m, m), np.int32)
+    owner = np.repeat(np.arange(m), [len(x) for x in sets])
+    flat = np.concatenate(sets)
+    order = np.argsort(flat, kind="stable")
+    flat, owner = flat[order], owner[order]
+    at = np.flatnonzero(np.r_[True, flat[1:] != flat[:-1]])
+    runs = np.diff(np.r_[at, len(flat)])
+    # elements of few sets by their pairs, the others by products of matrices, in bounded steps
+    for k in range(2, few + 1):
+        start = at[runs == k]
+        i, j = np.triu_indices(k, 1)
+        for s in range(0, len(start), max(1, (1 << 21) // len(i))):
+            here = start[s : s + max(1, (1 << 21) // len(i))]
+            np.add.at(out.reshape(-1), (owner[here[:, None] + i] * m + owner[here[:, None] + j]).ravel(), 1)
+    start, count = at[runs > few], runs[runs > few]
+    step = max(1, (1 << 22) // m)
+    for s in range(0, len(start), step):
+        c = count[s : s + step]
+        table = np.zeros((m, len(c)), np.float32)
+        places = np.repeat(start[s : s + step], c) + np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+        table[owner[places], np.repeat(np.arange(len(c)), c)] = 1
+        out += (table @ table.T).astype(np.int32)
+    return out
+
+
+def _compare(rows: list[tuple], p: Parameters) -> list[tuple]:
+    """Of one block or pair of tiles, rows of side, sid, n, one, two, copies, grams: sid, n, one, two, links, root for those that have links."""
+    rows = sorted({(x[1], x[2], x[3], x[4], x[0]): x for x in rows}.values(), key=lambda x: x[1:5])
+    side = np.array([x[0] for x in rows])
+    sizes, copies = np.array([x[2] for x in rows]), np.array([x[5] for x in rows])
+    common = shared_counts([np.frombuffer(x[6], np.uint64) for x in rows])
+    linked = 100 * common.astype(np.int64) >= p.percent * (sizes[:, None] + sizes - common)
+    linked = np.triu(linked, 1)
+    if side.any():  # two tiles: their own pairs are compared elsewhere
+        linked &= side[:, None] != side
+    linked |= linked.T
+    links = linked @ copies
+    root = np.arange(len(rows))
+    while True:
+        least = np.minimum(root, np.where(linked, root, len(rows)).min(1))
+        least = least[least]
+        if (least == root).all():
+            break
+        root = least
+    return [(*rows[k][1:5], int(links[k]), rows[root[k]][1]) for k in np.flatnonzero(links).tolist()]
 
-    return docs.select(F.col("doc_id").cast("long").alias("sid"), "text").mapInArrow(run, "sid long, grams array<long>")
 
+def _compared(blocks: DataFrame, p: Parameters) -> DataFrame:
+    names = ["sid", *SAME, "links", "root"]
 
-def _may_link(a: str, b: str, p: Parameters):
-    return F.greatest(a, b) * p.percent <= F.least(a, b) * 100
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
+            found = _compare(rows, p) if len(rows) > 1 else []
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=names)
 
+        now, rows = None, []
+        for batch in batches:
+            for block, low, high, *row in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                if (block, low, high) != now:
+                    yield from out(rows)
+                    now, rows = (block, low, high), []
+                rows.append(tuple(row))
+        yield from out(rows)
 
-def _enough(c, a: str, b: str, p: Parameters):
-    """Whether sets of two sizes that share ``c`` n-grams of their prefixes can be similar: what they share beyond is in the rest of one of them."""
-    rest = F.ceil(F.greatest(a, b) * p.percent / F.lit(100)) - 1
-    return (c + rest) * (100 + p.percent) >= (F.col(a) + F.col(b)) * p.percent
+    key = ["block", "low", "high"]
+    dealt = blocks.select(*key, "side", "sid", *SAME, "copies", "grams").repartition(*key).sortWithinPartitions(*key)
+    return dealt.mapInArrow(run, ", ".join(f"{x} long" for x in names))
 
 
 def join(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
-    """``doc_id``, ``n_shingles``, ``component_id`` (the smallest doc_id reachable by links), ``n_links`` verified, for each row of ``docs`` (doc_id, text)."""
-    small_batches(docs.sparkSession)
-    scratch = Scratch(docs.sparkSession, "jaccard")
-    wide = scratch.write(_prefixes(docs, _frequencies(docs, p), p), "wide")
-    sets = scratch.write(wide.drop("prefix"), "sets")
+    """``doc_id``, ``n_shingles``, ``component_id`` (the smallest doc_id reachable by links), ``n_links`` (other rows linked directly), for each row of ``docs`` (doc_id, text)."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    scratch = Scratch(spark, "jaccard")
+    sets = scratch.write(_sets(docs, p), "sets")
+    heads = scratch.write(_heads(sets, spark.sparkContext.broadcast(_classes(sets, p)), p), "heads")
+    ties = scratch.write(_pairs(heads, p).unionByName(_ties(heads, p)), "ties")
+    rows = scratch.write(heads.drop("rare", "prefix"), "rows")
+    scratch.drop("heads")
+    blocks = components(ties, scratch, "blocks")
     # equal sets: one representative, the smallest doc_id
-    same = ["n", "one", "two"]
-    unique = sets.where("n > 0 and doc_id is not null").groupBy(*same).agg(F.min("doc_id").alias("sid"), F.first("prefix_hash").alias("prefix_hash"))
+    unique = rows.where("n > 0 and doc_id is not null").groupBy(*SAME).agg(F.min("doc_id").alias("sid"), F.count("*").alias("copies"), F.first("gid").alias("gid"))
+    unique = unique.join(blocks.withColumnRenamed("node", "gid"), "gid", "left").select(*SAME, "sid", "copies", F.coalesce("component", "gid").alias("block"))
     unique = scratch.write(unique, "unique")
-    groups = scratch.write(unique.groupBy("n", "prefix_hash").agg(F.min("sid").alias("gid"), F.count("*").alias("members")), "groups")
-    # the posting lists: n-grams that at least two groups' prefixes hold
-    heads = wide.join(groups.select(F.col("gid").alias("doc_id"), "n", "prefix_hash"), ["doc_id", "n", "prefix_hash"])
-    posts = scratch.write(heads.select(F.col("doc_id").alias("gid"), "n", F.explode("prefix").alias("gram")), "posts")
-    scratch.drop("wide")
-    often = scratch.write(posts.groupBy("gram").agg(F.count("*").alias("c")).where("c > 1").select("gram"), "often")
-    posts = scratch.write(posts.join(often, "gram"), "shared")
-    scratch.drop("posts")
-    one = F.struct("gid", "n")
-    ends = scratch.write(posts.groupBy("gram").agg(F.min(one).alias("low"), F.max_by(one, F.xxhash64("gid")).alias("other")), "ends")
-    star = posts.join(ends, "gram").select("gid", "n", F.explode(F.array("low", "other")).alias("x"))
-    star = star.select("gid", "n", F.col("x.gid").alias("to"), F.col("x.n").alias("n_to")).where((F.col("gid") != F.col("to")) & _may_link("n", "n_to", p))
-    star = star.groupBy("gid", "n", "to", "n_to").agg(F.count("*").alias("c")).where(_enough(F.col("c"), "n", "n_to", p))
-    member = unique.join(groups.where("members > 1"), ["n", "prefix_hash"]).select("gid", "sid", "n")
-    member = scratch.write(member, "members")
-    sizes = scratch.write(unique.select("sid", "n"), "sizes")
-    whole = member.select("gid", "sid").unionByName(groups.where("members = 1").select("gid", F.col("gid").alias("sid")))
-    whole = scratch.write(whole, "whole")
-    star = star.join(whole, "gid").select(F.col("to").alias("a"), F.col("sid").alias("b"))
-    star = star.unionByName(member.select(F.col("gid").alias("a"), F.col("sid").alias("b")).where("a <> b"))
-    links = _verify(docs, star, sizes, scratch, "star", p)
-    found = scratch.write(components(links, scratch, "first"), "labels")
-    label = lambda of, by, to: of.join(found.select(F.col("node").alias(by), F.col("component").alias(to)), by, "left").withColumn(to, F.coalesce(to, by))
-    everywhere = posts
-
-    def opened(tag: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-        """Members with their components, groups with theirs, and the postings of n-grams that several components hold."""
-        now = scratch.write(label(whole, "sid", "component"), f"labelled-{tag}")
-        size = now.groupBy("component").agg(F.count("*").alias("size"))
-        spread = now.join(size, "component").groupBy("gid").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max(F.struct("size", "component")).alias("main"))
-        spread = scratch.write(spread, f"groups-{tag}")
-        placed = scratch.write(everywhere.select("gram", "gid", "n").join(spread, "gid"), f"spread-{tag}")
-        several = placed.groupBy("gram").agg(F.min("least").alias("l"), F.max("most").alias("m")).where("l <> m").select("gram")
-        return now, spread, scratch.write(placed.join(several, "gram"), f"open-{tag}")
-
-    # more groups join the largest component of a bucket through another of its members each time
-    for k in range(p.rounds):
-        _, _, posts = opened(f"round{k}")
-        lead = posts.groupBy("gram").agg(F.max(F.struct("main.size", F.xxhash64("gid", F.lit(k)).alias("h"), "gid", "n", "main.component")).alias("lead"))
-        star = posts.join(scratch.write(lead, f"lead-{k}"), "gram").where("main.component <> lead.component")
-        star = star.select("gid", "n", F.col("lead.gid").alias("to"), F.col("lead.n").alias("n_to")).where(_may_link("n", "n_to", p))
-        star = star.groupBy("gid", "n", "to", "n_to").agg(F.count("*").alias("c")).where(_enough(F.col("c"), "n", "n_to", p))
-        star = scratch.write(star.join(whole, "gid").select(F.col("to").alias("a"), F.col("sid").alias("b")), f"more-{k}")
-        if not star.head(1):
-            break
-        links = scratch.write(links.unionByName(_verify(docs, star, sizes, scratch, f"round{k}", p)).distinct(), f"links-{k}")
-        found = scratch.write(components(links, scratch, f"round{k}"), f"labels-{k}")
-        scratch.drop(f"spread-round{k}", f"open-round{k}")
-    # what is left: pairs across components
-    labelled, spread, posts = opened("last")
-    here, there = posts.select("gram", *(F.col(c).alias(f"{c}_{s}") for s in "a" for c in ("gid", "n", "least", "most"))), posts.select("gram", *(F.col(c).alias(f"{c}_b") for c in ("gid", "n", "least", "most")))
-    across = (F.col("least_a") != F.col("least_b")) | (F.col("most_a") != F.col("most_b")) | (F.col("least_a") != F.col("most_a"))
-    pairs = here.join(there, "gram").where((F.col("gid_a") < F.col("gid_b")) & across & _may_link("n_a", "n_b", p))
-    pairs = pairs.groupBy("gid_a", "gid_b", "n_a", "n_b").agg(F.count("*").alias("c")).where(_enough(F.col("c"), "n_a", "n_b", p)).select("gid_a", "gid_b")
-    pairs = scratch.write(pairs, "pairs")
-    side = lambda s: labelled.select(F.col("gid").alias(f"gid_{s}"), F.col("sid").alias(s), F.col("component").alias(f"c_{s}"))
-    pairs = pairs.join(side("a"), "gid_a").join(side("b"), "gid_b").where("c_a <> c_b").select("a", "b")
-    inner = labelled.join(spread.where("least <> most").select("gid"), "gid")
-    inner = inner.select("gid", F.col("sid").alias("a"), F.col("component").alias("c_a")).join(inner.select("gid", F.col("sid").alias("b"), F.col("component").alias("c_b")), "gid").where("a < b and c_a <> c_b").select("a", "b")
-    more = _verify(docs, pairs.unionByName(inner), sizes, scratch, "rest", p)
-    links = scratch.write(links.unionByName(more).distinct(), "links")
-    found = scratch.write(components(links, scratch, "second"), "components")
-    both = links.select(F.col("u").alias("sid")).unionByName(links.select(F.col("v").alias("sid"))).groupBy("sid").agg(F.count("*").alias("n_links"))
-    final = label(unique.select(*same, "sid"), "sid", "component").join(both, "sid", "left")
-    final = scratch.write(final.select(*same, "component", F.coalesce("n_links", F.lit(0)).alias("n_links")), "final")
-    out = sets.select("doc_id", *same).join(final, same, "left")
+    tiles = F.ceil(F.greatest(F.count("*") / F.lit(p.tile_sets), F.sum("n") / F.lit(p.tile_grams))).cast("int")
+    several = unique.groupBy("block").agg(F.count("*").alias("c"), tiles.alias("tiles")).where("c > 1").drop("c")
+    members = scratch.write(unique.join(several, "block"), "members")
+    few = members.count() <= p.most_broadcast
+    whole = sets.withColumnRenamed("doc_id", "sid").join(F.broadcast(members) if few else members, ["sid", *SAME])
+    tile = F.pmod(F.xxhash64("one", "two"), F.col("tiles"))
+    whole = whole.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+    whole = whole.withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other"), "side": (F.col("tile") > F.col("other")).cast("int")})
+    found = scratch.write(_compared(whole, p), "found")
+    scratch.drop("sets")
+    edges = found.select(F.col("sid").alias("u"), F.col("root").alias("v"))
+    again = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
+    again = scratch.write(again, "again")
+    if again.head(1):  # rows that repeat an id
+        edges = edges.unionByName(rows.join(again, "doc_id").join(unique, SAME).select(F.col("doc_id").alias("u"), F.col("sid").alias("v")))
+    label = components(edges, scratch).withColumnRenamed("node", "sid")
+    links = found.groupBy(*SAME).agg(F.sum("links").alias("links"))
+    final = unique.join(label, "sid", "left").join(links, SAME, "left")
+    final = final.select(*SAME, F.coalesce("component", "sid").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
+    final = scratch.write(final, "final")
+    out = rows.select("doc_id", *SAME).join(final, SAME, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-
-
-def _verify(docs: DataFrame, pairs: DataFrame, sizes: DataFrame, scratch: Scratch, name: str, p: Parameters) -> DataFrame:
-    """Links ``u``, ``v`` among the candidates ``a``, ``b``: only the texts of candidates are read into sets again."""
-    pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct()
-    size = lambda s: sizes.select(F.col("sid").alias(s), F.col("n").alias(f"n_{s}"))
-    pairs = scratch.write(pairs.join(size("a"), "a").join(size("b"), "b").where(_may_link("n_a", "n_b", p)), f"{name}-pairs")
-    ids = scratch.write(pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct(), f"{name}-ids")
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(ids, "doc_id", "left_semi")
-    whole = scratch.write(_whole_sets(texts, p), f"{name}-sets")
-    side = lambda s: whole.select(F.col("sid").alias(s), F.col("grams").alias(f"grams_{s}"))
-    shared = F.size(F.array_intersect("grams_a", "grams_b"))
-    links = pairs.join(side("a"), "a").join(side("b"), "b").where(100 * shared >= p.percent * (F.size("grams_a") + F.size("grams_b") - shared))
-    links = scratch.write(links.select(F.col("a").alias("u"), F.col("b").alias("v")).distinct(), f"{name}-links")
-    scratch.drop(f"{name}-sets")
-    return links
