@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from vellumite.llm.store import small_batches
-from vellumite.llm.words import buffers
+from vellumite.llm.words import Words, slices, split
 
 #: The pattern by which the tokenizer's file splits words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -45,8 +45,8 @@ WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 _LATIN_LETTERS, _LATIN_NUMBERS, _LATIN_SPACE = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\t-\r \u0085 "
 _LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN_LETTERS}]+|[{_LATIN_NUMBERS}]|[^{_LATIN_SPACE}{_LATIN_LETTERS}{_LATIN_NUMBERS}]+")
 _ANY = regex.compile(WORD_PATTERN.replace(r"\s", r"\p{White_Space}"))
-#: Words kept with their encodings by each Python worker; beyond that many the store starts anew.
-CACHED_WORDS = {"texts": 400_000, "packed": 700_000}
+#: Chunks kept with their encodings by each Python worker; beyond that many the store starts anew.
+CACHED_CHUNKS = {"texts": 500_000, "packed": 1_000_000}
 _LONG_WORD = 200
 
 
@@ -252,50 +252,108 @@ class Tokenizer:
         text = unicodedata.normalize("NFC", text)
         return _ANY.findall("".join([c.lower() for c in text]) if "Σ" in text else text.lower())
 
-    def texts(self, column: pa.Array) -> Iterator[list[str | int]]:
-        data, offsets = buffers(column)
-        for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True):
-            raw = data[a:b]
-            yield self.words(raw.tobytes().decode(), not len(raw) or raw.max() < 0xC9)
 
+class ChunkStore:
+    """What ``make`` gives for the tokens of chunks (words with what punctuation sticks to them, parted by ASCII white space), by their hashes.
 
-def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
-    """The same rows in smaller batches, so that what is made of one takes little memory."""
-    for batch in batches:
-        for k in range(0, len(batch), rows):
-            yield batch.slice(k, rows)
-
-
-class WordStore(dict):
-    """Words with what ``make`` gives for their tokens; made on first use, very long words each time."""
-
-    def __init__(self, tokenizer: Tokenizer, make, most: int) -> None:
-        super().__init__()
-        self.tokenizer, self.make, self.most = tokenizer, make, most
-
-    def __missing__(self, word: str | int):
-        made = self.make([word] if isinstance(word, int) else self.tokenizer.word(word))
-        if len(self) >= self.most:
-            self.clear()
-        if isinstance(word, int) or len(word) < _LONG_WORD:
-            self[word] = made
-        return made
-
-
-_stores: dict[tuple[str, str], WordStore] = {}
-
+    Rows of ``made`` are filled on first use; beyond ``most`` rows or ``most_bytes`` the store starts anew with the next slice of texts.
+    No token crosses a chunk's end, and A-Z are lower-cased as in the hashes, so a chunk's tokens do not depend on where it stands.
+    """
 
-def store(shared, kind: str, make) -> WordStore:
-    """This worker's store for a broadcast tokenizer; ``make(tokenizer)`` gives what its words are stored with."""
+    def __init__(self, tokenizer: Tokenizer, make, kinds: int, most: int, most_bytes: int = 96 << 20) -> None:
+        self.tokenizer, self.make, self.kinds, self.most, self.most_bytes = tokenizer, make, kinds, most, most_bytes
+        self.clear()
+
+    def clear(self) -> None:
+        self.made: list[list] = [[] for _ in range(self.kinds)]
+        self.words: dict[str, list[int]] = {}
+        self.recent: dict[int, int] = {}
+        self.hashes, self.rows, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
+
+    def tokens(self, text: str, latin: bool) -> list[int]:
+        out: list[int] = []
+        for w in self.tokenizer.words(text, latin):
+            if isinstance(w, int):
+                out.append(w)
+                continue
+            found = self.words.get(w)
+            if found is None:
+                found = self.tokenizer.word(w)
+                if len(w) < _LONG_WORD:
+                    if len(self.words) >= 100_000:
+                        self.words.clear()
+                    self.words[w] = found
+            out += found
+        return out
+
+    def add(self, text: str, latin: bool) -> int:
+        """A new row, by no hash."""
+        made = self.make(self.tokens(text, latin))
+        for k, x in enumerate(made):
+            self.made[k].append(x)
+        self.size += 200 + len(made[0])
+        return len(self.made[0]) - 1
+
+    def find(self, words: Words, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
+        """The rows of distinct ``hashes``, whose chunks stand first at ``first``."""
+        at = np.searchsorted(self.hashes, hashes)
+        at[at == len(self.hashes)] = 0
+        held = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
+        out = np.where(held, self.rows[at], -1) if len(self.hashes) else np.full(len(hashes), -1, np.int64)
+        missing = np.flatnonzero(~held)
+        recent, data = self.recent, words.data
+        for k, h, a, b in zip(missing.tolist(), hashes[missing].tolist(), words.starts[first[missing]].tolist(), words.ends[first[missing]].tolist(), strict=True):
+            row = recent.get(h)
+            if row is None:
+                raw = data[a:b].tobytes()
+                row = recent[h] = self.add(raw.decode(), raw.isascii() or max(raw) < 0xC9)
+            out[k] = row
+        if len(recent) > 100_000:
+            every = np.r_[self.hashes, np.fromiter(recent.keys(), np.uint64, len(recent))]
+            order = np.argsort(every, kind="stable")
+            self.hashes, self.rows = every[order], np.r_[self.rows, np.fromiter(recent.values(), np.int64, len(recent))][order]
+            recent.clear()
+        return out
+
+    def texts(self, column: pa.Array) -> Iterator[list[list]]:
+        """For each text, what its chunks' rows hold, by kind."""
+        for a, b in slices(column):
+            if len(self.made[0]) > self.most or self.size > self.most_bytes:
+                self.clear()
+            words = split(column.slice(a, b - a))
+            hashes, first, of = np.unique(words.hashes, return_index=True, return_inverse=True)
+            rows = self.find(words, hashes, first).tolist()
+            here = [[made[r] for r in rows] for made in self.made]
+            marked = b"<|" in words.data.tobytes()
+            for k, (x, y) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
+                if marked and "<|" in (text := column[a + k].as_py() or ""):  # an added token may stand here, in which case matters
+                    yield [[x] for x in self.make(self.tokens(text, False))]
+                else:
+                    chosen = of[x:y].tolist()
+                    yield [list(map(made.__getitem__, chosen)) for made in here]
+
+
+_stores: dict[tuple[str, str], ChunkStore] = {}
+
+
+def store(shared, kind: str, make, kinds: int) -> ChunkStore:
+    """This worker's store for a broadcast tokenizer; ``make(tokenizer)`` gives what its chunks are stored with."""
     key = (kind, str(getattr(shared, "_path", id(shared))))
     if key not in _stores:
         _stores.clear()
         tokenizer = shared.value
         tokenizer.automaton.ready()
-        _stores[key] = WordStore(tokenizer, make(tokenizer), CACHED_WORDS[kind])
+        _stores[key] = ChunkStore(tokenizer, make(tokenizer), kinds, CACHED_CHUNKS[kind])
     return _stores[key]
 
 
+def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
+    """The same rows in smaller batches, so that what is made of one takes little memory."""
+    for batch in batches:
+        for k in range(0, len(batch), rows):
+            yield batch.slice(k, rows)
+
+
 def _texts_of(tokenizer: Tokenizer):
     def make(ids: list[int]) -> tuple[bytes, bytes, int]:
         return " ".join(map(str, ids)).encode(), " ".join(map(tokenizer.label, ids)).encode(), len(ids)
@@ -313,21 +371,22 @@ def digest(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     kept = docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = store(shared, "texts", _texts_of)
+        chunks = store(shared, "texts", _texts_of, 3)
         for batch in small(batches):
             counts, ids, decoded = [], [], []
-            for text in words.tokenizer.texts(batch.column(1)):
-                found = [words[w] for w in text]
-                counts.append(sum([x[2] for x in found]))
-                ids.append(hashlib.sha256(b" ".join([x[0] for x in found])).hexdigest())
-                decoded.append(hashlib.sha256(b" ".join([x[1] for x in found])).hexdigest())
+            for numbers, labels, n in chunks.texts(batch.column(1)):
+                counts.append(sum(n))
+                # a chunk without a token (white space beyond ASCII) adds no space
+                whole = 0 not in n
+                ids.append(hashlib.sha256(b" ".join(numbers if whole else filter(None, numbers))).hexdigest())
+                decoded.append(hashlib.sha256(b" ".join(labels if whole else filter(None, labels))).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return kept.mapInArrow(run, StructType([kept.schema["doc_id"], StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]))
 
 
 def _packed(tokenizer: Tokenizer):
-    return lambda ids: np.array(ids, "<u4").tobytes()
+    return lambda ids: (np.array(ids, "<u4").tobytes(),)
 
 
 def encode(docs: DataFrame, tokenizer_path: str, keep: list[str], end: int | None = None) -> DataFrame:
@@ -338,10 +397,9 @@ def encode(docs: DataFrame, tokenizer_path: str, keep: list[str], end: int | Non
     tail = b"" if end is None else np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words = store(shared, "packed", _packed)
-        look = words.__getitem__
+        chunks = store(shared, "packed", _packed, 1)
         for batch in small(batches):
-            ids = [b"".join(map(look, text)) + tail for text in words.tokenizer.texts(batch.column(len(keep)))]
+            ids = [b"".join(found) + tail for (found,) in chunks.texts(batch.column(len(keep)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(ids, pa.binary())], names=[*keep, "ids"])
 
     from pyspark.sql.types import BinaryType
