@@ -24,6 +24,7 @@ from __future__ import annotations
 import hashlib
 import json
 import re
+import sys
 import unicodedata
 from array import array
 from bisect import bisect_right
@@ -37,13 +38,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from vellumite.llm.store import small_batches
-from vellumite.llm.words import Words, slices, split
+from vellumite.llm.words import mix, slices, split
 
 #: The pattern by which the tokenizer's file splits words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same for text whose characters all lie below U+0250.
 _LATIN_LETTERS, _LATIN_NUMBERS, _LATIN_SPACE = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\t-\r \u0085 "
 _LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN_LETTERS}]+|[{_LATIN_NUMBERS}]|[^{_LATIN_SPACE}{_LATIN_LETTERS}{_LATIN_NUMBERS}]+")
+_LATIN_LINES = re.compile(f"\n|{_LATIN.pattern}")
 _ANY = regex.compile(WORD_PATTERN.replace(r"\s", r"\p{White_Space}"))
 #: Chunks kept with their encodings by each Python worker; beyond that many the store starts anew.
 CACHED_CHUNKS = {"texts": 500_000, "packed": 1_000_000}
@@ -214,6 +216,97 @@ class Automaton:
                 base = state[path[-1]] * band if path else 0
 
 
+class Table:
+    """The automaton's arcs by hashes of their labels' bytes, to follow many words at once.
+
+    Every beginning of a word is spelt by exactly one path too, so at each place of a word one arc ends: the longest one that starts where
+    the state reached there has it. Words of one length are followed together.
+    """
+
+    def __init__(self, automaton: Automaton) -> None:
+        size = len(automaton.labels)
+        self.state, self.number = (np.array(x, np.int64) for x in (automaton.state, automaton.number))
+        self.cut_from, self.cut_to = (np.array(x, np.int64) for x in (automaton.cut_from, automaton.cut_to))
+        self.band = size + 1
+        of = {c: b for b, c in enumerate(byte_symbols())}
+        self.known = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
+        # of arcs within a word, and of those at its end
+        self.tables = []
+        for last in (False, True):
+            held = [(bytes(of[c] for c in (x.removesuffix(automaton.suffix) if last else x)), t) for x, t in automaton.arcs.items() if x.endswith(automaton.suffix) == last]
+            hashes = np.array([self.hash(x) for x, _ in held], np.uint64)
+            order = np.argsort(hashes)
+            hashes, tokens = hashes[order], np.array([t for _, t in held], np.int64)[order]
+            start = np.searchsorted(hashes >> np.uint64(_SLOT), np.arange((1 << (64 - _SLOT)) + 1, dtype=np.uint64))
+            self.tables.append((hashes, tokens, start.astype(np.int32), int(np.diff(start).max(initial=0)), max((len(x) for x, _ in held), default=0)))
+
+    @staticmethod
+    def hash(label: bytes) -> int:
+        return int(mix(np.array([sum((b + 1) * pow(_POWER, k, 1 << 64) for k, b in enumerate(label)) % (1 << 64)], np.uint64))[0])
+
+    def follows(self, keys: np.ndarray) -> np.ndarray:
+        """Whether states have arcs; recent answers are kept by a hash of the key."""
+        held, found = self.known
+        at = (keys * 0x9E3779B1 >> 7) & (len(held) - 1)
+        out = found[at]
+        new = np.flatnonzero(held[at] != keys)
+        if len(new):
+            some = keys[new]
+            k = np.searchsorted(self.cut_from, some, side="right") - 1
+            answer = (k < 0) | (self.cut_to[np.maximum(k, 0)] <= some)
+            out[new] = answer
+            held[at[new]], found[at[new]] = some, answer
+            # of keys that meet in one place one stays, with its own answer
+            found[at[new]] = np.where(held[at[new]] == some, answer, found[at[new]])
+            clash = new[held[at[new]] != some]
+            held[at[clash]] = -1
+        return out
+
+    def encode(self, words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of words of one length, as rows of bytes: the token that ends at each place, or -1 where the path has none; and its length."""
+        n, length = words.shape
+        sums = np.zeros((length + 1, n), np.uint64)
+        np.cumsum((words.T.astype(np.uint64) + np.uint64(1)) * _UP[:length, None], axis=0, out=sums[1:])
+        last, size = np.full((length + 1, n), -1, np.int64), np.zeros((length + 1, n), np.int64)
+        for b in range(1, length + 1):
+            hashes, tokens, start, most, longest = self.tables[b == length]
+            left = np.arange(n)
+            for a in range(max(0, b - longest), b):
+                if not len(left):
+                    break
+                h = mix((sums[b, left] - sums[a, left]) * _DOWN[a])
+                slot = (h >> np.uint64(_SLOT)).astype(np.int64)
+                at = start[slot]
+                some = np.flatnonzero(start[slot + 1] > at)
+                if not len(some):
+                    continue
+                h, at = h[some], at[some]
+                end = start[slot[some] + 1]
+                t = np.full(len(some), -1, np.int64)
+                for _ in range(most):
+                    same = (at < end) & (hashes[np.minimum(at, len(hashes) - 1)] == h)
+                    t[same] = tokens[at[same]]
+                    at = at + 1
+                some, t = some[t >= 0], t[t >= 0]
+                if a:
+                    before = last[a, left[some]]
+                    ok = before >= 0
+                    some, t, before = some[ok], t[ok], before[ok]
+                    ok = self.follows(self.state[before] * self.band + self.number[t])
+                    some, t = some[ok], t[ok]
+                last[b, left[some]], size[b, left[some]] = t, b - a
+                left = np.delete(left, some)
+        return last, size
+
+
+#: Words of up to this many bytes are followed together.
+_TOGETHER = 40
+_SLOT = 64 - 18
+_POWER = 0x2545F4914F6CDD1D
+_UP = np.array([pow(_POWER, k, 1 << 64) for k in range(_TOGETHER + 1)], np.uint64)
+_DOWN = np.array([pow(pow(_POWER, -1, 1 << 64), k, 1 << 64) for k in range(_TOGETHER + 1)], np.uint64)
+
+
 class Tokenizer:
     """Splits texts and looks words up; holds what it needs of the tokenizer's file."""
 
@@ -234,6 +327,44 @@ class Tokenizer:
         symbols = self.symbols
         return self.automaton.encode("".join([symbols[b] for b in word.encode()]))
 
+    def ready(self) -> Tokenizer:
+        """Prepares look-ups; for each worker after unpickling."""
+        self.table = Table(self.automaton)
+        self.automaton.ready()
+        return self
+
+    def encode_words(self, words: list[str]) -> list[list[int]]:
+        """The tokens of each word."""
+        out: list = [None] * len(words)
+        raw = [w.encode() for w in words]
+        lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+        order = np.argsort(lengths, kind="stable")
+        cuts = np.searchsorted(lengths[order], np.arange(1, _TOGETHER + 2))
+        for length in range(1, _TOGETHER + 1):
+            ids = order[cuts[length - 1] : cuts[length]].tolist()
+            if not ids:
+                continue
+            last, size = self.table.encode(np.frombuffer(b"".join([raw[k] for k in ids]), np.uint8).reshape(len(ids), length))
+            if (last[length] < 0).any():
+                raise ValueError("a symbol has no arc")
+            # back from the end, all words at a time
+            at, rows, steps = np.full(len(ids), length), np.arange(len(ids)), []
+            while len(rows):
+                steps.append((rows, last[at, rows]))
+                at = at - size[at, rows]
+                rows, at = rows[at > 0], at[at > 0]
+            for row, t in zip(ids, steps[0][1].tolist(), strict=True):
+                out[row] = [t]
+            for rows, tokens in steps[1:]:
+                for row, t in zip(rows.tolist(), tokens.tolist(), strict=True):
+                    out[ids[row]].append(t)
+            if len(steps) > 1:
+                for row in steps[1][0].tolist():
+                    out[ids[row]].reverse()
+        for k in order[cuts[_TOGETHER] :].tolist():
+            out[k] = self.word(words[k])
+        return out
+
     def label(self, token: int) -> str:
         """What an arc emits in decoding."""
         if token < len(self.automaton.labels) and self.automaton.labels[token]:
@@ -266,71 +397,76 @@ class ChunkStore:
 
     def clear(self) -> None:
         self.made: list[list] = [[] for _ in range(self.kinds)]
-        self.words: dict[str, list[int]] = {}
         self.recent: dict[int, int] = {}
         self.hashes, self.rows, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
 
-    def tokens(self, text: str, latin: bool) -> list[int]:
-        out: list[int] = []
-        for w in self.tokenizer.words(text, latin):
-            if isinstance(w, int):
-                out.append(w)
-                continue
-            found = self.words.get(w)
-            if found is None:
-                found = self.tokenizer.word(w)
-                if len(w) < _LONG_WORD:
-                    if len(self.words) >= 100_000:
-                        self.words.clear()
-                    self.words[w] = found
-            out += found
-        return out
+    def add(self, chunks: dict[int, bytes]) -> None:
+        """New rows for chunks by their hashes."""
+        latin = {h: x for h, x in chunks.items() if x.isascii() or max(x) < 0xC9}
+        # no chunk holds a line's end, so that it can part them
+        words = _LATIN_LINES.findall("".join([f"{x.decode()}\n" for x in latin.values()]).lower())
+        others = {h: self.tokenizer.words(x.decode(), False) for h, x in chunks.items() if h not in latin}
+        distinct = {w for w in words if w != "\n"} | {w for x in others.values() for w in x if not isinstance(w, int)}
+        tokens = dict(zip(distinct, self.tokenizer.encode_words(list(distinct)), strict=True)) if distinct else {}
+        hashes, found = iter(latin), []
+        for w in words:
+            if w == "\n":
+                self._row(next(hashes), found)
+                found = []
+            else:
+                found += tokens[w]
+        for h, x in others.items():
+            self._row(h, [t for w in x for t in ([w] if isinstance(w, int) else tokens[w])])
 
-    def add(self, text: str, latin: bool) -> int:
-        """A new row, by no hash."""
-        made = self.make(self.tokens(text, latin))
+    def _row(self, h: int, ids: list[int]) -> None:
+        made = self.make(ids)
+        self.recent[h] = len(self.made[0])
         for k, x in enumerate(made):
             self.made[k].append(x)
         self.size += 200 + len(made[0])
-        return len(self.made[0]) - 1
-
-    def find(self, words: Words, hashes: np.ndarray, first: np.ndarray) -> np.ndarray:
-        """The rows of distinct ``hashes``, whose chunks stand first at ``first``."""
-        at = np.searchsorted(self.hashes, hashes)
-        at[at == len(self.hashes)] = 0
-        held = self.hashes[at] == hashes if len(self.hashes) else np.zeros(len(hashes), bool)
-        out = np.where(held, self.rows[at], -1) if len(self.hashes) else np.full(len(hashes), -1, np.int64)
-        missing = np.flatnonzero(~held)
-        recent, data = self.recent, words.data
-        for k, h, a, b in zip(missing.tolist(), hashes[missing].tolist(), words.starts[first[missing]].tolist(), words.ends[first[missing]].tolist(), strict=True):
-            row = recent.get(h)
-            if row is None:
-                raw = data[a:b].tobytes()
-                row = recent[h] = self.add(raw.decode(), raw.isascii() or max(raw) < 0xC9)
-            out[k] = row
-        if len(recent) > 100_000:
-            every = np.r_[self.hashes, np.fromiter(recent.keys(), np.uint64, len(recent))]
-            order = np.argsort(every, kind="stable")
-            self.hashes, self.rows = every[order], np.r_[self.rows, np.fromiter(recent.values(), np.int64, len(recent))][order]
-            recent.clear()
+
+    def find(self, hashes: np.ndarray) -> np.ndarray:
+        """The rows of distinct ``hashes``; -1 for unknown ones."""
+        out = np.full(len(hashes), -1, np.int64)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            held = self.hashes[at] == hashes
+            out[held] = self.rows[at[held]]
+        missing = np.flatnonzero(out < 0)
+        recent = self.recent.get
+        out[missing] = [recent(h, -1) for h in hashes[missing].tolist()]
         return out
 
     def texts(self, column: pa.Array) -> Iterator[list[list]]:
         """For each text, what its chunks' rows hold, by kind."""
+        if len(self.made[0]) > self.most or self.size > self.most_bytes:
+            self.clear()
+        parts, new = [], {}
         for a, b in slices(column):
-            if len(self.made[0]) > self.most or self.size > self.most_bytes:
-                self.clear()
             words = split(column.slice(a, b - a))
             hashes, first, of = np.unique(words.hashes, return_index=True, return_inverse=True)
-            rows = self.find(words, hashes, first).tolist()
+            missing = np.flatnonzero(self.find(hashes) < 0)
+            whole = words.data.tobytes()
+            for h, x, y in zip(hashes[missing].tolist(), words.starts[first[missing]].tolist(), words.ends[first[missing]].tolist(), strict=True):
+                if h not in new:
+                    new[h] = whole[x:y]
+            parts.append((a, words.first, hashes, of.astype(np.int32), b"<|" in whole))
+        self.add(new)
+        for a, firsts, hashes, of, marked in parts:
+            rows = self.find(hashes).tolist()
             here = [[made[r] for r in rows] for made in self.made]
-            marked = b"<|" in words.data.tobytes()
-            for k, (x, y) in enumerate(zip(words.first[:-1].tolist(), words.first[1:].tolist(), strict=True)):
+            for k, (x, y) in enumerate(zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True)):
                 if marked and "<|" in (text := column[a + k].as_py() or ""):  # an added token may stand here, in which case matters
-                    yield [[x] for x in self.make(self.tokens(text, False))]
+                    found = self.tokenizer.words(text, False)
+                    yield [[x] for x in self.make([t for w in found for t in ([w] if isinstance(w, int) else self.tokenizer.word(w))])]
                 else:
                     chosen = of[x:y].tolist()
                     yield [list(map(made.__getitem__, chosen)) for made in here]
+        if len(self.recent) > 100_000:
+            every = np.r_[self.hashes, np.fromiter(self.recent.keys(), np.uint64, len(self.recent))]
+            order = np.argsort(every, kind="stable")
+            self.hashes, self.rows = every[order], np.r_[self.rows, np.fromiter(self.recent.values(), np.int64, len(self.recent))][order]
+            self.recent.clear()
 
 
 _stores: dict[tuple[str, str], ChunkStore] = {}
@@ -341,8 +477,7 @@ def store(shared, kind: str, make, kinds: int) -> ChunkStore:
     key = (kind, str(getattr(shared, "_path", id(shared))))
     if key not in _stores:
         _stores.clear()
-        tokenizer = shared.value
-        tokenizer.automaton.ready()
+        tokenizer = shared.value.ready()
         _stores[key] = ChunkStore(tokenizer, make(tokenizer), kinds, CACHED_CHUNKS[kind])
     return _stores[key]
 
@@ -355,8 +490,14 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Rec
 
 
 def _texts_of(tokenizer: Tokenizer):
+    size = max([len(tokenizer.automaton.labels), *(t + 1 for t in tokenizer.added.values())])
+    numbers = [str(t).encode() for t in range(size)]
+    labels = [x.encode() for x in tokenizer.automaton.labels] + [b""] * (size - len(tokenizer.automaton.labels))
+    for x, t in tokenizer.added.items():
+        labels[t] = labels[t] or x.encode()
+
     def make(ids: list[int]) -> tuple[bytes, bytes, int]:
-        return " ".join(map(str, ids)).encode(), " ".join(map(tokenizer.label, ids)).encode(), len(ids)
+        return b" ".join(map(numbers.__getitem__, ids)), b" ".join(map(labels.__getitem__, ids)), len(ids)
 
     return make
 
@@ -386,7 +527,13 @@ def digest(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
 
 def _packed(tokenizer: Tokenizer):
-    return lambda ids: (np.array(ids, "<u4").tobytes(),)
+    def make(ids: list[int]) -> tuple[bytes]:
+        found = array("I", ids)
+        if sys.byteorder == "big":
+            found.byteswap()
+        return (found.tobytes(),)
+
+    return make
 
 
 def encode(docs: DataFrame, tokenizer_path: str, keep: list[str], end: int | None = None) -> DataFrame:
