@@ -51,11 +51,14 @@ def corpus(seed=1, n=60):
     return [(k, t) for k, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("width,percent", [(4, 85), (5, 80)])
-def test_jaccard_join_is_exact(spark, width, percent):
+#: Usual; with frequent n-grams that tie, not pair, few counters and tiles of some sets.
+@pytest.mark.parametrize("p", [jaccard.Parameters(), jaccard.Parameters(5, 80), jaccard.Parameters(4, 85, 64, 1, 40, 2), jaccard.Parameters(5, 80, 1 << 12, 3, 100, 3, 500, 0), jaccard.Parameters(2, 60, 1 << 16, 4, 50, 8, 1 << 12)])
+def test_jaccard_join_is_exact(spark, p):
     rows = corpus()
+    width, percent = p.width, p.percent
     sets = {i: grams(t, width) for i, t in rows}
     parent = {i: i for i in sets}
+    links = Counter()
 
     def root(x):
         while parent[x] != x:
@@ -64,16 +67,21 @@ def test_jaccard_join_is_exact(spark, width, percent):
 
     for a, b in itertools.combinations(sets, 2):
         if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+            links[a] += 1
+            links[b] += 1
             u, v = sorted((root(a), root(b)))
             parent[v] = u
     docs = spark.createDataFrame([(i, t, None, 1.0) for i, t in rows], SCHEMA)
-    got = {r["doc_id"]: r for r in jaccard.join(docs, jaccard.Parameters(width=width, percent=percent)).collect()}
+    got = {r["doc_id"]: r for r in jaccard.join(docs, p).collect()}
     assert {i: r["n_shingles"] for i, r in got.items()} == {i: len(s) for i, s in sets.items()}
     assert {i: r["component_id"] for i, r in got.items()} == {i: root(i) for i in sets}
+    assert {i: r["n_links"] for i, r in got.items()} == {i: links[i] for i in sets}
 
 
 def test_jaccard_join_of_odd_tables(spark):
     assert jaccard.join(spark.createDataFrame([], SCHEMA)).collect() == []
+    linked = spark.createDataFrame([(1, "a b c d", None, 0.0), (5, "a b c d", None, 0.0), (5, "e f g h i", None, 0.0), (3, "e f g h i", None, 0.0), (2, "z", None, 0.0)], SCHEMA)
+    assert sorted((r["doc_id"], r["component_id"]) for r in jaccard.join(linked).collect()) == [(1, 1), (2, 2), (3, 1), (5, 1), (5, 1)]
     docs = spark.createDataFrame([(1, "a b c d", None, 0.0), (1, "a b c d", None, 0.0), (2, "a b c d", None, 0.0), (None, "a b c d", None, 0.0), (3, None, None, None)], SCHEMA)
     assert sorted((r["doc_id"] or -1, r["component_id"]) for r in jaccard.join(docs).where("doc_id is not null").collect()) == [(1, 1), (1, 1), (2, 1), (3, 3)]
 
@@ -247,19 +255,59 @@ def test_non_negative_risk_does_not_sink_below_zero():
     assert weights[0] + bias > 0 > weights[1] + bias and np.isfinite(weights).all()
 
 
+def spelt(word, weights, byte):
+    """The probability of a word by the sum over all its segmentations, one by one; a character without a piece is spelt by bytes."""
+    if not word:
+        return 1.0
+    total = sum(math.exp(weights[word[:k]]) * spelt(word[k:], weights, byte) for k in range(1, len(word) + 1) if word[:k] in weights)
+    return total if word[0] in weights else total + math.exp(byte * len(word[0].encode())) * spelt(word[1:], weights, byte)
+
+
 def test_lattice_marginal_is_the_sum_over_segmentations():
-    weights = lattice.normalised({x: -1.0 - k * 0.3 for k, x in enumerate(["▁", "▁a", "a", "b", "ab", "ba", "bab"])})
-    pieces = lattice.Pieces(weights, "▁")
-
-    def brute(text):
-        return 1.0 if not text else sum(math.exp(weights[text[:k]]) * brute(text[k:]) for k in range(1, len(text) + 1) if text[:k] in weights)
-
-    for word in ("a", "abab", "babab", "bbba"):
-        assert pieces.marginal(word, 64) == pytest.approx(math.log(brute("▁" + word)))
-        counts = {}
-        pieces.expect(word, 64, 1.0, counts)
-        assert sum(len(x) * c for x, c in counts.items()) == pytest.approx(len(word) + 1)
-    assert math.isfinite(pieces.marginal("ü😀" * 200, 64))
+    names = ["▁", "▁a", "a", "b", "ab", "ba", "bab"]
+    pieces, weights = lattice.Pieces(names, "▁"), lattice.normalised(-1.0 - 0.3 * np.arange(7))
+    by_name, byte = dict(zip(names, weights.tolist())), weights.min() - math.log(256)
+    words = ["a", "abab", "babab", "bbba", "ab€ab", "é", "😀b", "bab" * 4]
+    lat = pieces.lattice(words)
+    arcs = pieces.arcs(np.stack([weights, weights[::-1]]))
+    got = lat.marginals(arcs)
+    for k, word in enumerate(words):
+        assert got[0, k] == pytest.approx(math.log(spelt("▁" + word, by_name, byte)))
+    counts = pieces.lattice(["abab", "babab"]).expected(arcs[0], np.array([2.0, 1.0]))
+    assert sum(len(x) * c for x, c in zip(names, counts)) == pytest.approx(2 * 5 + 6)
+    assert np.isfinite(pieces.lattice(["ü😀" * 2000, "a"]).marginals(arcs)).all()
+    assert pieces.lattice([]).marginals(arcs).shape == (2, 0)
+
+
+def test_lattice_scores_are_those_of_all_segmentations(spark):
+    rng = random.Random(8)
+    vocabulary = public_tokenizers.path("piece_bpe_32k.model")
+    pieces, first = lattice.Pieces.load(vocabulary)
+    weights, byte = dict(zip(pieces.pieces, first.tolist())), first.min() - math.log(256)
+    words = ["the", "cat", "Sat", "mats", "und", "ǆab", "x1"]
+    rows = [(k, " ".join(rng.choice(words) for _ in range(8)), [None, "x", "y"][k % 3], 0.0) for k in range(12)] + [(20, "new cat odd€", "x", 0.0), (21, None, "y", 0.0)]
+    p = lattice.Parameters(frequent=3, rounds=0, range_bytes=64)
+    docs = spark.createDataFrame(rows, SCHEMA)
+    got = {r["doc_id"]: r["score"] for r in lattice.score(docs, docs.where("doc_id < 10"), vocabulary, ["doc_id"], "lang", p).collect()}
+    counts = {x: Counter() for x in (None, "x", "y")}
+    texts = Counter()
+    for i, t, kind, _ in rows:
+        if i < 10:
+            counts[kind].update([*tokens(t), "\n"])
+            texts[kind] += 1
+    every = sum(counts.values(), Counter())
+
+    def left(c):
+        return (p.discount * len(c) + 1) / (sum(c.values()) + 1)
+
+    def chance(word, kind):
+        c = counts[kind]
+        whole = max(0, c[word] - p.discount) / (sum(c.values()) + 1) + left(c) * max(0, every[word] - p.discount) / (sum(every.values()) + 1)
+        return whole + left(c) * left(every) * (math.exp(-20) if word == "\n" else spelt("▁" + word, weights, byte))
+
+    for i, t, *_ in rows:
+        total = sum((texts[k] + 0.5) / (sum(texts.values()) + 1.5) * math.prod(chance(w, k) for w in [*tokens(t), "\n"]) for k in counts)
+        assert got[i] == pytest.approx(math.log10(total))
 
 
 def test_lattice_scores(spark):

@@ -35,10 +35,10 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import LongType, StringType, StructField, StructType
+from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from vellumite.llm.store import small_batches
-from vellumite.llm.words import mix, slices, split
+from vellumite.llm.store import kept, small_batches
+from vellumite.llm.words import Lookup, mix, slices, split
 
 #: The pattern by which the tokenizer's file splits words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
@@ -234,11 +234,8 @@ class Table:
         self.tables = []
         for last in (False, True):
             held = [(bytes(of[c] for c in (x.removesuffix(automaton.suffix) if last else x)), t) for x, t in automaton.arcs.items() if x.endswith(automaton.suffix) == last]
-            hashes = np.array([self.hash(x) for x, _ in held], np.uint64)
-            order = np.argsort(hashes)
-            hashes, tokens = hashes[order], np.array([t for _, t in held], np.int64)[order]
-            start = np.searchsorted(hashes >> np.uint64(_SLOT), np.arange((1 << (64 - _SLOT)) + 1, dtype=np.uint64))
-            self.tables.append((hashes, tokens, start.astype(np.int32), int(np.diff(start).max(initial=0)), max((len(x) for x, _ in held), default=0)))
+            found = Lookup(np.array([self.hash(x) for x, _ in held], np.uint64), np.array([t for _, t in held], np.int64))
+            self.tables.append((found, max((len(x) for x, _ in held), default=0)))
 
     @staticmethod
     def hash(label: bytes) -> int:
@@ -269,25 +266,12 @@ class Table:
         np.cumsum((words.T.astype(np.uint64) + np.uint64(1)) * _UP[:length, None], axis=0, out=sums[1:])
         last, size = np.full((length + 1, n), -1, np.int64), np.zeros((length + 1, n), np.int64)
         for b in range(1, length + 1):
-            hashes, tokens, start, most, longest = self.tables[b == length]
+            found, longest = self.tables[b == length]
             left = np.arange(n)
             for a in range(max(0, b - longest), b):
                 if not len(left):
                     break
-                h = mix((sums[b, left] - sums[a, left]) * _DOWN[a])
-                slot = (h >> np.uint64(_SLOT)).astype(np.int64)
-                at = start[slot]
-                some = np.flatnonzero(start[slot + 1] > at)
-                if not len(some):
-                    continue
-                h, at = h[some], at[some]
-                end = start[slot[some] + 1]
-                t = np.full(len(some), -1, np.int64)
-                for _ in range(most):
-                    same = (at < end) & (hashes[np.minimum(at, len(hashes) - 1)] == h)
-                    t[same] = tokens[at[same]]
-                    at = at + 1
-                some, t = some[t >= 0], t[t >= 0]
+                some, t = found.get(mix((sums[b, left] - sums[a, left]) * _DOWN[a]))
                 if a:
                     before = last[a, left[some]]
                     ok = before >= 0
@@ -301,7 +285,6 @@ class Table:
 
 #: Words of up to this many bytes are followed together.
 _TOGETHER = 40
-_SLOT = 64 - 18
 _POWER = 0x2545F4914F6CDD1D
 _UP = np.array([pow(_POWER, k, 1 << 64) for k in range(_TOGETHER + 1)], np.uint64)
 _DOWN = np.array([pow(pow(_POWER, -1, 1 << 64), k, 1 << 64) for k in range(_TOGETHER + 1)], np.uint64)
@@ -469,17 +452,14 @@ class ChunkStore:
             self.recent.clear()
 
 
-_stores: dict[tuple[str, str], ChunkStore] = {}
-
-
 def store(shared, kind: str, make, kinds: int) -> ChunkStore:
     """This worker's store for a broadcast tokenizer; ``make(tokenizer)`` gives what its chunks are stored with."""
-    key = (kind, str(getattr(shared, "_path", id(shared))))
-    if key not in _stores:
-        _stores.clear()
+    key, stores = (kind, str(getattr(shared, "_path", id(shared)))), kept("bpe")
+    if key not in stores:
+        stores.clear()
         tokenizer = shared.value.ready()
-        _stores[key] = ChunkStore(tokenizer, make(tokenizer), kinds, CACHED_CHUNKS[kind])
-    return _stores[key]
+        stores[key] = ChunkStore(tokenizer, make(tokenizer), kinds, CACHED_CHUNKS[kind])
+    return stores[key]
 
 
 def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.RecordBatch]:
@@ -509,7 +489,7 @@ def digest(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Tokenizer(tokenizer_path))
-    kept = docs.select("doc_id", "text")
+    rows = docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         chunks = store(shared, "texts", _texts_of, 3)
@@ -523,7 +503,7 @@ def digest(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 decoded.append(hashlib.sha256(b" ".join(labels if whole else filter(None, labels))).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return kept.mapInArrow(run, StructType([kept.schema["doc_id"], StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]))
+    return rows.mapInArrow(run, StructType([rows.schema["doc_id"], StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]))
 
 
 def _packed(tokenizer: Tokenizer):
@@ -540,7 +520,7 @@ def encode(docs: DataFrame, tokenizer_path: str, keep: list[str], end: int | Non
     """The columns ``keep`` and ``ids``, little-endian unsigned 32-bit token ids, followed by the id ``end`` if given."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Tokenizer(tokenizer_path))
-    kept = docs.select(*keep, F.col("text").alias("_text"))
+    rows = docs.select(*keep, F.col("text").alias("_text"))
     tail = b"" if end is None else np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -549,15 +529,13 @@ def encode(docs: DataFrame, tokenizer_path: str, keep: list[str], end: int | Non
             ids = [b"".join(found) + tail for (found,) in chunks.texts(batch.column(len(keep)))]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(ids, pa.binary())], names=[*keep, "ids"])
 
-    from pyspark.sql.types import BinaryType
-
-    return kept.mapInArrow(run, StructType([*kept.schema.fields[:-1], StructField("ids", BinaryType())]))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], StructField("ids", BinaryType())]))
 
 
 def decode(tokens: DataFrame, tokenizer_path: str, keep: list[str]) -> DataFrame:
     """The columns ``keep`` and ``text``: the labels of the arcs of ``ids``, joined as the tokenizer's file says, by single spaces."""
     shared = tokens.sparkSession.sparkContext.broadcast(Tokenizer(tokenizer_path))
-    kept = tokens.select(*keep, F.col("ids").alias("_ids"))
+    rows = tokens.select(*keep, F.col("ids").alias("_ids"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = shared.value
@@ -565,4 +543,4 @@ def decode(tokens: DataFrame, tokenizer_path: str, keep: list[str]) -> DataFrame
             texts = [None if x is None else " ".join(map(tokenizer.label, np.frombuffer(x, "<u4").tolist())) for x in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string())], names=[*keep, "text"])
 
-    return kept.mapInArrow(run, StructType([*kept.schema.fields[:-1], StructField("text", StringType())]))
+    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], StructField("text", StringType())]))

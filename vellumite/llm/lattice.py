@@ -2,24 +2,27 @@
 
 A word's probability is the sum over all its segmentations into the pieces of an existing
 unigram vocabulary, by a forward recursion in log space; a text's is the product over its
-tokens, so that the marginal runs over all segmentations of the whole text. The
-vocabulary's scores weigh the pieces first; expectation maximisation over all training
-words then sharpens the weights. A further arc spans a whole word that the corpus knows,
-with its discounted share of the tokens; what the discount takes is left to the pieces.
-
-Training rows may have a kind (a language, say). Each kind has weights and counts of its
-own, backed off to those of all rows, and a text's probability is the sum over kinds, each
-weighed by its share of training rows: the kind of a scored text is never an input. For a
-word that the corpus knows, the pieces' part is computed for its most frequent kind alone,
-where it is of any size.
-
-Tokens are words (A-Z lower-cased) and one end for each text. Word counts are joined, not
-broadcast: only the most frequent words, up to a fixed number, are looked up in place; the
-others are counted for each text and joined by key.
+tokens, so that the marginal runs over all segmentations of the whole text. The vocabulary's
+scores weigh the pieces; expectation maximisation over all training words fits the weights to
+the corpus, with the scores as their prior. One more arc spans each word that the corpus
+knows, with its discounted share of the tokens; what the discounts take is the pieces' part.
+
+Training rows may have a kind (a language, say; null is one too). Each kind has weights and
+counts of its own, backed off to those of all rows, and a text's probability is the sum over
+kinds, each weighed by its share of training rows: the kind of a scored text is never an
+input. Every word has its whole lattice, whatever its length, for every kind; the cost grows
+with the number of kinds.
+
+Tokens are words (A-Z lower-cased) and one end for each text. What is gathered from the
+corpus, the counts of all its words, grows with it and is never in one place: it is kept in
+ranges of the words' hashes, each of the words of a bounded number of bytes of text. Only the most frequent words, up
+to a fixed number, are looked up in place; the other words of the texts are sent, counted by
+text, to the range that knows them.
 
 Defined cases: null texts count as empty; an empty text has one token, its end. With no
 training text all counts are 0, and the base scores follow their formula. Repeated rows
-count in training each and are scored each. Scores are finite for any text.
+count in training each and are scored each. Scores are finite for any text. An empty table
+gives an empty one. Words are told apart by 64-bit hashes where they are looked up in place. Names of ``keep`` may not be those of the new columns.
 """
 
 from __future__ import annotations
@@ -27,59 +30,65 @@ from __future__ import annotations
 import math
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
+import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from vellumite.llm.store import Scratch, small_batches
-from vellumite.llm.words import buffers
+from vellumite.llm.words import Lookup, buffers, mix, powers, slices, split
 
-#: No word equals the end of a text, as words hold no white space.
-END = "\n"
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
+#: Natural log-probability that the pieces' part gives to a text's end, which no piece spells.
+_END = -20.0
 
 
 @dataclass(frozen=True)
 class Parameters:
     """frequent: the number of words looked up in place, which bounds the table that is broadcast. discount: what each known word's count loses.
 
-    prior: weight of the vocabulary's own scores, in counts. rounds: of expectation maximisation. most_kinds: the most frequent
-    ones are told apart, all others are one. longest: bytes of words whose lattice is built in one go;
-    a longer word is cut into such stretches, as a sum of all segmentations that respect the cuts.
+    prior: weight of the vocabulary's own scores, in counts. rounds: of expectation maximisation; 0 keeps the vocabulary's scores.
+    range_bytes: text whose words make a range.
     """
 
     frequent: int = 100_000
     discount: float = 0.6
     prior: float = 20.0
     rounds: int = 3
-    longest: int = 64
-    most_kinds: int = 8
-
-
-def words(raw: bytes) -> list[str]:
-    """The tokens of a text but its end."""
-    return [w.decode() for w in raw.translate(_LOWER).split()]
+    range_bytes: int = 48 << 20
 
 
 class Pieces:
-    """A unigram vocabulary as a lattice: ``weights`` are natural log-probabilities of pieces within a word; a word begins with the mark."""
-
-    def __init__(self, weights: dict[str, float], mark: str) -> None:
-        self.mark = mark
-        self.weights = weights
-        # beginnings of pieces stand with no weight, where a search goes on
-        self.begins: dict[str, float | None] = {}
-        for x, w in weights.items():
-            for k in range(1, len(x)):
-                self.begins.setdefault(x[:k])
-            self.begins[x] = w
-        self.byte = min(weights.values(), default=-10.0) - math.log(256)
+    """A unigram vocabulary as a lattice; a word begins with the mark. A character that is no piece has an arc for its bytes."""
+
+    def __init__(self, pieces: list[str], mark: str) -> None:
+        self.pieces, self.mark = pieces, mark
+        self.longest = max(map(len, pieces))
+        self.table = Lookup(np.array([self._hash(x) for x in pieces], np.uint64), np.arange(len(pieces)))
+        # how long pieces can be that begin with two characters, by a hash of these
+        self.reach = np.ones(1 << 16, np.int64)
+        for x in pieces:
+            if len(x) > 1:
+                k = int(self._pair(np.array([ord(x[0])]), np.array([ord(x[1])]))[0])
+                self.reach[k] = max(self.reach[k], len(x))
+
+    @staticmethod
+    def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        return (a.astype(np.int64) * 0x9E37 + b.astype(np.int64) * 0x85EB) & 0xFFFF
+
+    @staticmethod
+    def _hash(piece: str) -> int:
+        up, _ = powers(64)
+        codes = np.frombuffer(piece.encode("utf-32-le"), "<u4").astype(np.uint64) + np.uint64(1)
+        return int(mix((codes * up[: len(codes)]).sum(dtype=np.uint64) + np.array([len(codes)], np.uint64))[0])
 
     @classmethod
-    def load(cls, path: str) -> Pieces:
-        """Of a sentencepiece model; scores that are ranks (0, -1, -2, ...) are read as Zipf's law."""
+    def load(cls, path: str) -> tuple[Pieces, np.ndarray]:
+        """Of a sentencepiece model, with normalised natural log weights; scores that are ranks (0, -1, -2, ...) are read as Zipf's law."""
         import sentencepiece
 
         model = sentencepiece.SentencePieceProcessor(model_file=path)
@@ -89,200 +98,354 @@ class Pieces:
                 piece = model.id_to_piece(k)
                 if piece == piece.lower():
                     scores[piece] = model.get_score(k)
-        ranked = min(scores.values()) < -1000
-        weights = {x: -math.log(2 - s) if ranked else s for x, s in scores.items()}
-        return cls(normalised(weights), "▁")
-
-    def arcs(self, text: str) -> list[list[tuple[int, float, str]]]:
-        """For each position the pieces that end there: where they begin, their weights, themselves ('' for raw bytes)."""
-        n, begins = len(text), self.begins
-        ending: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]
-        for a in range(n):
-            found = False
-            for b in range(a + 1, n + 1):
-                part = text[a:b]
-                if part not in begins:
-                    break
-                w = begins[part]
-                if w is not None:
-                    ending[b].append((a, w, part))
-                    found = found or b == a + 1
-            if not found:
-                ending[a + 1].append((a, self.byte * len(text[a].encode("utf-8", "surrogatepass")), ""))
-        return ending
-
-    def marginal(self, word: str, longest: int) -> float:
-        """Natural log of the probability of a word over all its segmentations."""
-        text, total = self.mark + word, 0.0
-        for k in range(0, len(text), longest):
-            total += _forward(self.arcs(text[k : k + longest]))[-1]
-        return total
-
-    def expect(self, word: str, longest: int, count: float, out: dict[str, float]) -> None:
-        """Adds ``count`` times the expected counts of the pieces in a word's segmentations."""
-        text = self.mark + word
-        for k in range(0, len(text), longest):
-            ending = [[(a, math.exp(w), piece) for a, w, piece in x] for x in self.arcs(text[k : k + longest])]
-            forward = [1.0] + [0.0] * (len(ending) - 1)
-            back = [0.0] * (len(ending) - 1) + [1.0]
-            for b in range(1, len(ending)):
-                forward[b] = sum([forward[a] * w for a, w, _ in ending[b]])
-            if not forward[-1]:  # too small for a plain product: no word of the vocabulary's characters
-                continue
-            for b in range(len(ending) - 1, 0, -1):
-                for a, w, piece in ending[b]:
-                    x = w * back[b]
-                    back[a] += x
-                    if piece:
-                        out[piece] = out.get(piece, 0.0) + count * forward[a] * x / forward[-1]
-
-
-def _forward(ending: list[list[tuple[int, float, str]]]) -> list[float]:
-    """Log-space forward recursion."""
-    alpha = [0.0] * len(ending)
-    for b in range(1, len(ending)):
-        terms = [alpha[a] + w for a, w, _ in ending[b]]
-        if len(terms) == 1:
-            alpha[b] = terms[0]
-        elif terms:
-            top = max(terms)
-            alpha[b] = top + math.log(sum([math.exp(x - top) for x in terms]))
-        else:
-            alpha[b] = -math.inf
-    return alpha
-
-
-def normalised(weights: dict[str, float]) -> dict[str, float]:
-    top = max(weights.values())
-    total = top + math.log(math.fsum(math.exp(w - top) for w in weights.values()))
-    return {x: w - total for x, w in weights.items()}
-
-
-def _counts(docs: DataFrame, kinds: list[str]) -> DataFrame:
-    """``word``, its counts ``c0``, ``c1``, ... by kind (the last: all others) and ``c`` over all rows; each task counts its texts first."""
+        weights = np.array(list(scores.values()))
+        return cls(list(scores), "▁"), normalised(-np.log(2 - weights) if weights.min() < -1000 else weights)
+
+    def lattice(self, words: list[str]) -> Lattice:
+        """All arcs of all words."""
+        flat = np.frombuffer("".join([f"{self.mark}{w}" for w in words]).encode("utf-32-le"), "<u4").astype(np.int64)
+        lengths = np.fromiter(map(len, words), np.int64, len(words)) + len(self.mark)
+        n, first = len(flat), np.cumsum(lengths) - lengths
+        word = np.repeat(np.arange(len(words)), lengths)
+        place = np.arange(n) - first[word]
+        room = lengths[word] - place
+        up, down = powers(n + 1)
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum((flat + 1).astype(np.uint64) * up[:n], out=sums[1:])
+        reach = np.ones(n, np.int64)
+        if n > 1:
+            reach[:-1] = self.reach[self._pair(flat[:-1], flat[1:])]
+        reach = np.minimum(reach, room)
+        at, ids, size = [], [], []
+        for length in range(1, min(self.longest, int(lengths.max(initial=0))) + 1):
+            here = np.flatnonzero(reach >= length)
+            if not len(here):
+                break
+            held, found = self.table.get(mix((sums[here + length] - sums[here]) * down[here] + np.uint64(length)))
+            at.append(here[held])
+            ids.append(found)
+            size.append(np.full(len(held), length))
+            if length == 1:  # characters that are no piece: as many bytes as they have in UTF-8
+                bare = np.setdiff1d(here, here[held], assume_unique=True)
+                at.append(bare)
+                ids.append(len(self.pieces) - 1 + np.searchsorted([0x80, 0x800, 0x10000], flat[bare], side="right") + 1)
+                size.append(np.ones(len(bare), np.int64))
+        if not at:
+            at = ids = size = [np.zeros(0, np.int64)]
+        at, ids, size = map(np.concatenate, (at, ids, size))
+        order = np.lexsort((size, place[at] + size))
+        at, ids, size = at[order], ids[order], size[order]
+        step = (place[at] + size) * (self.longest + 1) + size
+        cuts = [0, *(np.flatnonzero(step[1:] != step[:-1]) + 1).tolist(), len(step)]
+        # a word has one node more than characters
+        begin = at + word[at]
+        return Lattice(begin, begin + size, ids, word[at], [*zip(cuts[:-1], cuts[1:], strict=True)], first + np.arange(len(words)), lengths)
+
+    def arcs(self, weights: np.ndarray) -> np.ndarray:
+        """Log weights of the pieces (in the last axis), and of one to four bytes."""
+        byte = weights.min(axis=-1, keepdims=True) - math.log(256)
+        return np.concatenate([weights, *(byte * (k + 1) for k in range(4))], axis=-1)
+
+
+@dataclass
+class Lattice:
+    """Arcs between nodes of words, in the order of the recursion: ``steps`` are ranges of arcs that end at one place of their words and are of one length."""
+
+    begin: np.ndarray
+    end: np.ndarray
+    piece: np.ndarray
+    word: np.ndarray
+    steps: list[tuple[int, int]]
+    start: np.ndarray
+    lengths: np.ndarray
+
+    def forward(self, arcs: np.ndarray) -> np.ndarray:
+        """Log-space forward recursion: for each row of ``arcs`` the log of the sum over all ways from a word's beginning to each node."""
+        alpha = np.full((len(arcs), int(self.lengths.sum()) + len(self.lengths)), -np.inf)
+        alpha[:, self.start] = 0
+        for a, b in self.steps:
+            to = self.end[a:b]
+            alpha[:, to] = np.logaddexp(alpha[:, to], alpha[:, self.begin[a:b]] + arcs[:, self.piece[a:b]])
+        return alpha
+
+    def marginals(self, arcs: np.ndarray) -> np.ndarray:
+        """For each row of ``arcs`` and each word the natural log of its probability over all its segmentations."""
+        return self.forward(arcs)[:, self.start + self.lengths]
+
+    def expected(self, arcs: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Expected counts of the arcs' pieces in words that occur ``counts`` times, under one row of arcs."""
+        alpha = self.forward(arcs[None])[0]
+        total = alpha[self.start + self.lengths]
+        beta = np.full(len(alpha), -np.inf)
+        beta[self.start + self.lengths] = 0
+        for a, b in reversed(self.steps):
+            begin = self.begin[a:b]
+            beta[begin] = np.logaddexp(beta[begin], beta[self.end[a:b]] + arcs[self.piece[a:b]])
+        share = np.exp(alpha[self.begin] + arcs[self.piece] + beta[self.end] - total[self.word])
+        return np.bincount(self.piece, weights=share * counts[self.word], minlength=len(arcs))
+
+
+def normalised(weights: np.ndarray) -> np.ndarray:
+    top = weights.max()
+    return weights - top - math.log(math.fsum(np.exp(weights - top)))
+
+
+@dataclass
+class Model:
+    """``rows``: training rows by kind. ``tokens`` and ``types`` by kind, and of all last. ``arcs`` by kind."""
+
+    pieces: Pieces
+    arcs: np.ndarray
+    rows: list[int]
+    tokens: list[int]
+    types: list[int]
+    p: Parameters = field(default_factory=Parameters)
+
+    def values(self, words: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """log10 probabilities by the base formula, and by each kind; ``counts`` by kind (rows) and word."""
+        spelt = [self.pieces.lattice(words[k : k + 20_000]).marginals(self.arcs) for k in range(0, len(words), 20_000)]
+        return self._values(np.concatenate([np.zeros((len(self.arcs), 0)), *spelt], axis=1), counts)
+
+    def end(self) -> tuple[np.ndarray, np.ndarray]:
+        """The same of the end of a text."""
+        return self._values(np.full((len(self.arcs), 1), _END), np.array(self.rows, np.float64)[:, None])
+
+    def _values(self, spelt: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        n, v, d = self.tokens[-1], self.types[-1], self.p.discount
+        c = counts.sum(0)
+        base = np.log10((c + 0.5) / (n + 0.5 * (v + 1)))
+        left = np.array([(d * types + 1) / (tokens + 1) for tokens, types in zip(self.tokens, self.types, strict=True)])
+        whole = np.maximum(0, counts - d) / (np.array(self.tokens[:-1])[:, None] + 1) + left[:-1, None] * np.maximum(0, c - d) / (n + 1)
+        with np.errstate(divide="ignore"):
+            return base, np.logaddexp(np.log(whole), np.log(left[:-1, None] * left[-1]) + spelt) / math.log(10)
+
+    def shares(self) -> np.ndarray:
+        """log10 of the share of each kind's rows."""
+        rows = np.array(self.rows, np.float64) + 0.5
+        return np.log10(rows / rows.sum())
+
+
+def _range(hashes: np.ndarray, ranges: int) -> np.ndarray:
+    return ((hashes >> np.uint64(32)) * np.uint64(ranges) >> np.uint64(32)).astype(np.int64)
+
+
+def _hashed(words: list[bytes]) -> np.ndarray:
+    return split(pa.array([b" ".join(words)], pa.binary()).cast(pa.string())).hashes if words else np.zeros(0, np.uint64)
+
+
+def _by_range(words: list[bytes], ranges: int) -> Iterator[tuple[int, np.ndarray, bytes]]:
+    """For each range that has some of the words, their places and themselves, a line each."""
+    of = _range(_hashed(words), ranges)
+    order = np.argsort(of, kind="stable")
+    cuts = np.flatnonzero(np.r_[True, np.diff(of[order]) != 0]) if len(of) else []
+    for k in np.split(order, cuts[1:]) if len(of) else ():
+        yield int(of[k[0]]), k, b"\n".join([words[i] for i in k.tolist()])
+
+
+def _counts(train: DataFrame, kinds: list[str | None], ranges: int) -> DataFrame:
+    """For each range its ``words``, a line each, and ``counts`` by kind and word; tokens and types, by kind and of all; and how many words there are of each size of count."""
     number = {x: k for k, x in enumerate(kinds)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        counts = [Counter() for _ in range(len(kinds) + 1)]
-        schema = pa.schema([("word", pa.string()), ("kind", pa.int32()), ("c", pa.int64())])
+        counts: list[Counter] = [Counter() for _ in kinds]
 
-        def out() -> Iterator[pa.RecordBatch]:
-            for k, x in enumerate(counts):
-                yield pa.RecordBatch.from_arrays([pa.array(x.keys(), pa.string()), pa.array([k] * len(x), pa.int32()), pa.array(x.values(), pa.int64())], schema=schema)
-                x.clear()
+        def out(k: int) -> Iterator[pa.RecordBatch]:
+            words, times = list(counts[k]), np.array(list(counts[k].values()), "<i8")
+            counts[k].clear()
+            for r, at, lines in _by_range(words, ranges):
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((r, pa.int32()), (k, pa.int32()), (lines, pa.binary()), (times[at].tobytes(), pa.binary()))], names=["range", "kind", "words", "counts"])
 
         for batch in batches:
             data, at = buffers(batch.column(0))
             for a, b, kind in zip(at[:-1].tolist(), at[1:].tolist(), batch.column(1).to_pylist(), strict=True):
-                x = counts[number.get(kind, len(kinds))]
-                x.update(words(data[a:b].tobytes()))
-                x[END] += 1
-                if len(x) > 300_000:
-                    yield from out()
-        yield from out()
+                k = number[kind]
+                counts[k].update(data[a:b].tobytes().translate(_LOWER).split())
+                if len(counts[k]) > 300_000:
+                    yield from out(k)
+        for k in range(len(kinds)):
+            yield from out(k)
+
+    def merge(rows: pd.DataFrame) -> pd.DataFrame:
+        by: list[dict[bytes, int]] = [{} for _ in kinds]
+        for k, lines, times in zip(rows["kind"], rows["words"], rows["counts"], strict=True):
+            here = by[k]
+            for w, c in zip(lines.split(b"\n"), np.frombuffer(times, "<i8").tolist(), strict=True):
+                here[w] = here.get(w, 0) + c
+        words = sorted(set().union(*by))
+        table = np.array([[x.get(w, 0) for w in words] for x in by], np.int64).reshape(len(kinds), len(words))
+        every = np.vstack([table, table.sum(0)])
+        sizes = np.bincount(_size(every[-1]), minlength=_SIZES)
+        return pd.DataFrame({"range": rows["range"].iloc[:1], "words": [b"\n".join(words)], "counts": [table.astype("<i8").tobytes()], "tokens": [every.sum(1).tolist()], "types": [(every > 0).sum(1).tolist()], "sizes": [sizes.tolist()]})
+
+    found = train.select("text", "kind").mapInArrow(run, "range int, kind int, words binary, counts binary")
+    return found.groupBy("range").applyInPandas(merge, "range int, words binary, counts binary, tokens array<long>, types array<long>, sizes array<long>")
+
+
+#: Sizes of counts are told apart by eighths of powers of two.
+_SIZES = 512
+
 
-    found = docs.select("text", "kind").mapInArrow(run, "word string, kind int, c long")
-    return found.groupBy("word").agg(*(F.sum(F.when(F.col("kind") == k, F.col("c")).otherwise(0)).alias(f"c{k}") for k in range(len(kinds) + 1)), F.sum("c").alias("c"))
+def _size(counts: np.ndarray) -> np.ndarray:
+    return np.minimum(np.log2(np.maximum(counts, 1)) * 8, _SIZES - 1).astype(np.int64)
 
 
-def _mostly(n_kinds: int):
-    """The kind in which a word is most frequent, by its number."""
-    counts = [F.col(f"c{k}") for k in range(n_kinds)]
-    return (F.array_position(F.array(*counts), F.greatest(*counts) if n_kinds > 1 else counts[0]) - 1).cast("int")
+def _read(words: bytes, counts: bytes, kinds: int) -> tuple[list[str], np.ndarray]:
+    found = words.decode().split("\n") if words else []
+    return found, np.frombuffer(counts, "<i8").reshape(kinds, len(found))
 
 
-def _estimate(counts: DataFrame, pieces: list[Pieces], first: Pieces, p: Parameters) -> list[Pieces]:
-    """A round over all training words; the sums have as many rows as the vocabulary has pieces, for each kind."""
-    shared = counts.sparkSession.sparkContext.broadcast(pieces)
+def _summed(table: DataFrame, column: str, n: int) -> list[int]:
+    found = {r["pos"]: r["x"] for r in table.select(F.posexplode(column)).groupBy("pos").agg(F.sum("col").alias("x")).collect()}
+    return [found.get(k, 0) for k in range(n)]
+
+
+def _estimate(table: DataFrame, shared, kinds: int, width: int) -> np.ndarray:
+    """Expected counts of pieces by kind, over all training words; each counts in the kind where it is most frequent."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums: list[dict[str, float]] = [{} for _ in pieces]
+        pieces, arcs = shared.value
+        sums = np.zeros(arcs.shape)
         for batch in batches:
-            for word, kind, c in zip(*(x.to_pylist() for x in batch.columns), strict=True):
-                shared.value[kind].expect(word, p.longest, c, sums[kind])
-        for k, x in enumerate(sums):
-            yield pa.RecordBatch.from_arrays([pa.array([k] * len(x), pa.int32()), pa.array(x.keys(), pa.string()), pa.array(x.values(), pa.float64())], names=["kind", "piece", "x"])
-
-    # how often a word occurs says little of how unseen words are made: each known word counts by the logarithm
-    weighed = counts.where(F.col("word") != END).select("word", _mostly(len(pieces)).alias("kind"), F.log2(F.col("c") + 1).alias("c"))
-    found = weighed.mapInArrow(run, "kind int, piece string, x double").groupBy("kind", "piece").agg(F.sum("x").alias("x")).toPandas()
-    by = [dict(zip(x["piece"], x["x"], strict=True)) for k in range(len(pieces)) for x in [found[found["kind"] == k]]]
-    every: dict[str, float] = {}
-    for x in by:
-        for piece, value in x.items():
-            every[piece] = every.get(piece, 0.0) + value
-    top = max(1.0, sum(every.values()))
-    # of the prior one half goes by the vocabulary's scores, the other by the pieces of all kinds
-    return [Pieces(normalised({x: math.log(own.get(x, 0.0) + p.prior * (math.exp(w) + every.get(x, 0.0) / top)) for x, w in first.weights.items()}), first.mark) for own in by]
-
-
-def _tables(docs: DataFrame, keep: list[str], frequent: dict[str, tuple], n_kinds: int) -> DataFrame:
-    """For each row the columns ``keep``, what its frequent words add up to, and its other words with their counts."""
-    shared = docs.sparkSession.sparkContext.broadcast(frequent)
+            for raw, blob in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                words, counts = _read(raw, blob, kinds)
+                kind = counts.argmax(0) if words else np.zeros(0, np.int64)
+                # how often a word occurs says little of how unseen words are made: each known word counts by the logarithm
+                times = np.log2(counts.sum(0) + 1.0)
+                for k in range(kinds):
+                    of = np.flatnonzero(kind == k)
+                    for j in range(0, len(of), 20_000):
+                        some = of[j : j + 20_000]
+                        sums[k] += pieces.lattice([words[i] for i in some.tolist()]).expected(arcs[k], times[some])
+        k, x = np.nonzero(sums)
+        yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(x.astype(np.int32)), pa.array(sums[k, x])], names=["kind", "piece", "x"])
+
+    # as many rows as the vocabulary has pieces, for each kind
+    found = table.select("words", "counts").mapInArrow(run, "kind int, piece int, x double").groupBy("kind", "piece").agg(F.sum("x").alias("x")).toPandas()
+    out = np.zeros((kinds, width))
+    out[found["kind"].to_numpy(np.int64), found["piece"].to_numpy(np.int64)] = found["x"]
+    return out
+
+
+def fit(train: DataFrame, vocabulary: str, scratch: Scratch, p: Parameters = Parameters()) -> tuple[Model, DataFrame, int]:
+    """The model, its words by range, and the number of ranges; from ``text`` and ``kind`` of ``train``."""
+    spark = train.sparkSession
+    found = train.groupBy("kind").agg(F.count("*").alias("n"), F.coalesce(F.sum(F.octet_length("text")), F.lit(0)).alias("size")).orderBy(F.col("kind").asc_nulls_first()).collect()
+    kinds: list[str | None] = [r["kind"] for r in found] or [None]
+    rows = [r["n"] for r in found] or [0]
+    ranges = max(1, -(-sum(r["size"] for r in found) // p.range_bytes))
+    table = scratch.write(_counts(train, kinds, ranges), "counts")
+    tokens, types = (_summed(table, c, len(kinds) + 1) for c in ("tokens", "types"))
+    # the ends
+    tokens = [x + n for x, n in zip(tokens, [*rows, sum(rows)], strict=True)]
+    types = [x + (n > 0) for x, n in zip(types, [*rows, sum(rows)], strict=True)]
+    pieces, first = Pieces.load(vocabulary)
+    weights = np.tile(first, (len(kinds), 1))
+    for _ in range(p.rounds):
+        sums = _estimate(table, spark.sparkContext.broadcast((pieces, pieces.arcs(weights))), len(kinds), len(first) + 4)[:, : len(first)]
+        every = sums.sum(0)
+        # of the prior one half goes by the vocabulary's scores, the other by the pieces of all kinds
+        weights = np.stack([normalised(np.log(own + p.prior * (np.exp(first) + every / max(1.0, every.sum())))) for own in sums])
+    return Model(pieces, pieces.arcs(weights), rows, tokens, types, p), table, ranges
+
+
+def _frequent(table: DataFrame, model, kinds: int, p: Parameters) -> dict[str, np.ndarray]:
+    """Hashes, base scores and those of each kind of the words of the largest counts, at most ``frequent`` of them."""
+    sizes = _summed(table, "sizes", _SIZES)
+    least = next((k for k in range(_SIZES) if sum(sizes[k:]) <= p.frequent), _SIZES)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for raw, blob in zip(*(x.to_pylist() for x in batch.columns), strict=True):
+                words, counts = _read(raw, blob, kinds)
+                some = np.flatnonzero(_size(counts.sum(0)) >= least)
+                if len(some):
+                    words = [words[k] for k in some.tolist()]
+                    values = np.vstack(model.value.values(words, counts[:, some]))
+                    yield pa.RecordBatch.from_arrays([pa.array([_hashed([w.encode() for w in words]).tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary())], names=["hashes", "values"])
+
+    found = table.select("words", "counts").mapInArrow(run, "hashes binary, values binary").toLocalIterator()
+    hashes, values = [np.zeros(0, np.uint64)], [np.zeros((kinds + 1, 0))]
+    for r in found:
+        hashes.append(np.frombuffer(r["hashes"], np.uint64))
+        values.append(np.frombuffer(r["values"]).reshape(kinds + 1, -1))
+    hashes, values = np.concatenate(hashes), np.concatenate(values, axis=1)
+    order = np.argsort(hashes)
+    return {"hashes": hashes[order], "values": values[:, order]}
+
+
+def _looked_up(docs: DataFrame, keep: list[str], frequent, end: np.ndarray, names: list[str]) -> DataFrame:
+    """The columns ``keep``, what frequent words and the end add up to, and the other words of each text."""
     kept = docs.select(*keep, F.col("text").alias("_text"))
-    from pyspark.sql.types import ArrayType, DoubleType, LongType, StringType, StructField, StructType
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = shared.value
+        hashes, values = frequent.value["hashes"], frequent.value["values"]
         for batch in batches:
-            columns: tuple[list, ...] = tuple([] for _ in names)
-            data, at = buffers(batch.column(len(keep)))
-            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
-                counts = Counter(words(data[a:b].tobytes()))
-                counts[END] += 1
-                n = n_known = 0
-                base, scores = 0.0, [0.0] * n_kinds
-                rest: dict[str, int] = {}
-                for w, k in counts.items():
-                    n += k
-                    found = known.get(w)
-                    if found is None:
-                        rest[w] = k
-                    else:
-                        n_known += k * found[0]
-                        base += k * found[1]
-                        for j in range(n_kinds):
-                            scores[j] += k * found[2 + j]
-                for out, x in zip(columns, (n, n_known, base, *scores, list(rest), list(rest.values())), strict=True):
-                    out.append(x)
-            kinds = (pa.int64(), pa.int64(), *[pa.float64()] * (1 + n_kinds), pa.list_(pa.string()), pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], *map(pa.array, columns, kinds)], names=[*keep, *names])
-
-    names = ["n_tokens", "n_known", "base_score", *(f"m{k}" for k in range(n_kinds)), "words", "times"]
-    types = [LongType(), LongType(), *[DoubleType()] * (1 + n_kinds), ArrayType(StringType()), ArrayType(LongType())]
-    return kept.mapInArrow(run, StructType([*kept.schema.fields[:-1], *map(StructField, names, types)]))
-
-
-def _values(counted: DataFrame, pieces: list[Pieces], totals: list[tuple[int, int]], p: Parameters) -> DataFrame:
-    """``word``, ``known``, ``base`` and ``m0``, ``m1``, ...: log10 probabilities by the base formula and by each kind's lattice. ``totals``: tokens and words by kind and of all."""
-    shared = counted.sparkSession.sparkContext.broadcast(pieces)
-    n, v = totals[-1]
-    bottom, kinds = n + 0.5 * (v + 1), range(len(pieces))
-    names = ["word", "known", "base", *(f"m{k}" for k in kinds)]
-    # what the discounts leave for the next model
-    left = [(p.discount * words + 1) / (tokens + 1) for tokens, words in totals]
+            column = batch.column(len(keep))
+            for a, b in slices(column):
+                w, n = split(column.slice(a, b - a)), b - a
+                distinct, of = np.unique(w.hashes, return_inverse=True)
+                at = np.minimum(np.searchsorted(hashes, distinct), max(0, len(hashes) - 1))
+                known = hashes[at] == distinct if len(hashes) else np.zeros(len(distinct), bool)
+                text, held = np.repeat(np.arange(n), np.diff(w.first)), known[of]
+                sums = [np.bincount(text[held], weights=x[at[of[held]]], minlength=n) for x in values]
+                rest: list[list[bytes]] = [[] for _ in range(n)]
+                raw, others = w.data.tobytes(), np.flatnonzero(~held)
+                for t, x, y in zip(text[others].tolist(), w.starts[others].tolist(), w.ends[others].tolist(), strict=True):
+                    rest[t].append(raw[x:y])
+                new = [pa.array(np.diff(w.first) + 1), pa.array(np.bincount(text[held], minlength=n)), *(pa.array(x + y) for x, y in zip(sums, end, strict=True))]
+                texts = pa.array([b" ".join(x).translate(_LOWER).decode() for x in rest], pa.string())
+                yield pa.RecordBatch.from_arrays([*(x.slice(a, n) for x in batch.columns[: len(keep)]), *new, texts], names=[*keep, "n_tokens", "n_known", *names, "_rest"])
+
+    added = [*(StructField(x, LongType()) for x in ("n_tokens", "n_known")), *(StructField(x, DoubleType()) for x in names), StructField("_rest", StringType())]
+    return kept.mapInArrow(run, StructType([*kept.schema.fields[:-1], *added]))
+
+
+def _asked(rows: DataFrame, ranges: int) -> DataFrame:
+    """For each range of words that texts of a batch hold: these, a line each, and the rows and words (by place) with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            known, base, models = [], [], [[] for _ in kinds]
-            columns = [x.to_pylist() for x in batch.columns]
-            for word, *own, c in zip(*columns, strict=True):
-                known.append(int(c > 0))
-                base.append(math.log10((c + 0.5) / bottom))
-                mostly = own.index(max(own))
-                overall = max(0.0, c - p.discount) / (n + 1)
-                for k in kinds:
-                    spelt = -math.inf
-                    if not c or k == mostly:
-                        spelt = math.log(left[k] * left[-1]) + (shared.value[k].marginal(word, p.longest) if word != END else -20.0)
-                    arc = max(0.0, own[k] - p.discount) / (totals[k][0] + 1) + left[k] * overall
-                    arc = math.log(arc) if arc else -math.inf
-                    top = max(spelt, arc)
-                    models[k].append((top + math.log1p(math.exp(min(spelt, arc) - top))) / math.log(10))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(known, pa.int64()), pa.array(base, pa.float64()), *(pa.array(x, pa.float64()) for x in models)], names=names)
-
-    counted = counted.select("word", *(f"c{k}" for k in kinds), "c")
-    return counted.mapInArrow(run, "word string, known long, base double, " + ", ".join(f"m{k} double" for k in kinds))
+            ids = batch.column(0).to_numpy()
+            texts = [x.encode().split() for x in batch.column(1).to_pylist()]
+            place: dict[bytes, int] = {}
+            pairs = np.array([k * (1 << 32) + place.setdefault(w, len(place)) for k, x in enumerate(texts) for w in x], np.int64)
+            pairs, times = np.unique(pairs, return_counts=True)
+            row, word = pairs >> 32, pairs & 0xFFFFFFFF
+            where = np.empty(len(place), np.int64)
+            for r, at, lines in _by_range(list(place), ranges):
+                where[:] = -1
+                where[at] = np.arange(len(at))
+                here = where[word]
+                mine = here >= 0
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), *(pa.array([x], pa.binary()) for x in (lines, ids[row[mine]].tobytes(), here[mine].astype("<i4").tobytes(), times[mine].astype("<i4").tobytes()))], names=["range", "asked", "rows", "places", "times"])
+
+    return rows.select("_row", "_rest").where("_rest <> ''").mapInArrow(run, "range int, asked binary, rows binary, places binary, times binary")
+
+
+def _answered(asked: DataFrame, table: DataFrame, model, kinds: int, names: list[str]) -> DataFrame:
+    """For each row what its words of a range add up to."""
+
+    def answer(questions: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        words, counts = _read(known["words"].iloc[0], known["counts"].iloc[0], kinds) if len(known) else ([], np.zeros((kinds, 0), np.int64))
+        place = {w: k for k, w in enumerate(words)}
+        wanted: dict[str, int] = {}
+        asked = [[wanted.setdefault(w, len(wanted)) for w in x.decode().split("\n")] for x in questions["asked"]]
+        at = np.array([place.get(w, -1) for w in wanted], np.int64)
+        table = np.where(at >= 0, counts[:, at], 0) if len(words) else np.zeros((kinds, len(at)), np.int64)
+        base, models = model.value.values(list(wanted), table)
+        values = np.vstack([(table.sum(0) > 0).astype(float), base, models])
+        ids, sums = [], []
+        for mine, rows, places, times in zip(asked, questions["rows"], questions["places"], questions["times"], strict=True):
+            rows, of = np.unique(np.frombuffer(rows, np.int64), return_inverse=True)
+            which = np.array(mine, np.int64)[np.frombuffer(places, "<i4")]
+            times = np.frombuffer(times, "<i4")
+            ids.append(rows)
+            sums.append(np.stack([np.bincount(of, weights=x[which] * times, minlength=len(rows)) for x in values]))
+        ids, sums = np.concatenate([np.zeros(0, np.int64), *ids]), np.concatenate([np.zeros((len(values), 0)), *sums], axis=1)
+        return pd.DataFrame({"_row": ids, "_known": sums[0].round().astype(np.int64), **{f"_{c}": x for c, x in zip(names, sums[1:], strict=True)}})
+
+    schema = "_row long, _known long, " + ", ".join(f"_{c} double" for c in names)
+    return asked.groupBy("range").cogroup(table.select("range", "words", "counts").groupBy("range")).applyInPandas(answer, schema)
 
 
 def score(docs: DataFrame, train: DataFrame, vocabulary: str, keep: list[str], kind: str | None = None, p: Parameters = Parameters()) -> DataFrame:
@@ -293,32 +456,23 @@ def score(docs: DataFrame, train: DataFrame, vocabulary: str, keep: list[str], k
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "lattice")
-    train = train.select("text", (F.col(kind) if kind else F.lit(None).cast("string")).alias("kind"))
-    shares = train.groupBy("kind").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "kind").where("kind is not null").limit(p.most_kinds - 1).collect()
-    kinds = [r["kind"] for r in shares]
-    n_kinds = len(kinds) + 1
-    counts = scratch.write(_counts(train, kinds), "counts")
-    names = [*(f"c{k}" for k in range(n_kinds)), "c"]
-    found = counts.agg(*(x for c in names for x in (F.coalesce(F.sum(c), F.lit(0)), F.coalesce(F.sum((F.col(c) > 0).cast("long")), F.lit(0))))).first()
-    totals = [(found[2 * k], found[2 * k + 1]) for k in range(len(names))]
-    weights = [math.log10((found_k + 0.5) / (sum(ends) + 0.5 * n_kinds)) for ends in [[*(r["n"] for r in shares), 0]] for found_k in ends]
-    first = Pieces.load(vocabulary)
-    pieces = [first] * n_kinds
-    for _ in range(p.rounds):
-        pieces = _estimate(counts, pieces, first, p)
-    values = scratch.write(_values(counts, pieces, totals, p), "values")
-    top = counts.orderBy(F.desc("c"), "word").limit(p.frequent).select("word")
-    frequent = {r[0]: tuple(r[1:]) for r in values.join(F.broadcast(top), "word").toPandas().itertuples(index=False)}  # at most p.frequent rows
-    rows = scratch.write(_tables(docs.withColumn("_row", F.monotonically_increasing_id()), [*keep, "_row"], frequent, n_kinds), "rows")
-    rest = rows.select("_row", F.explode(F.arrays_zip("words", "times")).alias("x")).select("_row", F.col("x.words").alias("word"), F.col("x.times").alias("k"))
-    new = rest.select("word").distinct().join(counts, "word", "left_anti").select("word", *(F.lit(0).cast("long").alias(c) for c in names))
-    every = scratch.write(values.unionByName(_values(new, pieces, totals, p)), "every")
-    added = ["known", "base", *(f"m{k}" for k in range(n_kinds))]
-    sums = rest.join(every, "word").groupBy("_row").agg(*(F.sum(F.col("k") * F.col(c)).alias(f"_{c}") for c in added))
-    sums = scratch.write(sums, "sums")
+    train = train.select("text", (F.col(kind) if kind else F.lit(None)).cast("string").alias("kind"))
+    model, table, ranges = fit(train, vocabulary, scratch, p)
+    kinds = len(model.rows)
+    names = ["base_score", *(f"_m{k}" for k in range(kinds))]
+    shared = spark.sparkContext.broadcast(model)
+    frequent = spark.sparkContext.broadcast(_frequent(table, shared, kinds, p))
+    base, models = model.end()
+    found = _looked_up(docs, keep, frequent, np.r_[base, models[:, 0]], names)
+    # the end is known wherever there is a training text
+    found = found.withColumns({"_row": F.monotonically_increasing_id(), "n_known": F.col("n_known") + F.lit(int(sum(model.rows) > 0))})
+    rows = scratch.write(found, "rows")
+    sums = _answered(_asked(rows, ranges), table, shared, kinds, names).groupBy("_row")
+    sums = scratch.write(sums.agg(F.sum("_known").alias("_known"), *(F.sum(f"_{c}").alias(f"_{c}") for c in names)), "sums")
+    scratch.drop("counts")
     more = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    out = rows.drop("words", "times").join(sums, "_row", "left")
-    by_kind = [more(f"m{k}", f"_m{k}") + F.lit(w) for k, w in enumerate(weights)]
-    top = F.greatest(*by_kind) if n_kinds > 1 else by_kind[0]
+    out = rows.drop("_rest").join(sums, "_row", "left")
+    by_kind = [more(f"_m{k}", f"__m{k}") + F.lit(w) for k, w in enumerate(model.shares().tolist())]
+    top = F.greatest(*by_kind) if kinds > 1 else by_kind[0]
     total = top + F.log10(sum((F.pow(F.lit(10.0), x - top) for x in by_kind[1:]), F.pow(F.lit(10.0), by_kind[0] - top)))
-    return out.select(*keep, "n_tokens", more("n_known", "_known").alias("n_known"), F.lit(totals[-1][0]).cast("long").alias("train_tokens"), more("base_score", "_base").alias("base_score"), total.alias("score"))
+    return out.select(*keep, "n_tokens", more("n_known", "_known").alias("n_known"), F.lit(model.tokens[-1]).cast("long").alias("train_tokens"), more("base_score", "_base_score").alias("base_score"), total.alias("score"))

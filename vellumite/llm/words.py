@@ -26,7 +26,7 @@ SLICE_BYTES = 1 << 20
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers 0..n-1 of the base and of its inverse, modulo 2**64."""
     if len(_powers[0]) < n:
         for k, x in enumerate((_BASE, _BASE_INVERSE)):
@@ -46,6 +46,31 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+class Lookup:
+    """Values of distinct 64-bit hashes, found for many at once."""
+
+    def __init__(self, hashes: np.ndarray, values: np.ndarray, bits: int = 18) -> None:
+        order = np.argsort(hashes)
+        self.hashes, self.values, self.shift = hashes[order], values[order], np.uint64(64 - bits)
+        self.start = np.searchsorted(self.hashes >> self.shift, np.arange((1 << bits) + 1, dtype=np.uint64)).astype(np.int32)
+        self.most = int(np.diff(self.start).max(initial=0))
+
+    def get(self, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of ``hashes`` are held, and their values."""
+        slot = (hashes >> self.shift).astype(np.int64)
+        at = self.start[slot]
+        end = self.start[slot + 1]
+        some = np.flatnonzero(end > at)
+        at, end, wanted = at[some].astype(np.int64), end[some], hashes[some]
+        found = np.full(len(some), -1, np.int64)
+        for _ in range(self.most):
+            same = (at < end) & (self.hashes[np.minimum(at, len(self.hashes) - 1)] == wanted)
+            found[same] = at[same]
+            at = at + 1
+        held = found >= 0
+        return some[held], self.values[found[held]]
+
+
 @dataclass
 class Words:
     """The words of some texts: hashes, byte ranges in ``data``, and per text the first word (``first``, one longer)."""
@@ -65,7 +90,7 @@ class Words:
         """The words longer than ``length`` bytes, and the hashes of their first ``length`` bytes."""
         which = np.flatnonzero(self.ends - self.starts > length)
         s = self.starts[which]
-        _, down = _tables(len(self.data))
+        _, down = powers(len(self.data))
         return which, mix((self.sums[s + length] - self.sums[s]) * down[s] + np.uint64(length))
 
 
@@ -114,7 +139,7 @@ def split(column: pa.Array, parts: np.ndarray = _SPACE) -> Words:
     ends = word.copy()
     ends[:-1] &= ~word[1:] | cut[1:-1]
     starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
-    up, down = _tables(n)
+    up, down = powers(n)
     sums = np.empty(n + 1, dtype=np.uint64)
     sums[0] = 0
     np.cumsum(_BYTE[data] * up, out=sums[1:])
