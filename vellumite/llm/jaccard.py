@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from vellumite.llm.components import components
 from vellumite.llm.counts import SCHEMA, to_blocks, total
-from vellumite.llm.store import Scratch, small_batches
+from vellumite.llm.store import Scratch, kept, small_batches
 from vellumite.llm.words import mix, shingles, slices, split
 
 
@@ -57,7 +57,7 @@ class Parameters:
     percent: int = 85
     counters: int = 1 << 23
     few: int = 32
-    posts: int = 250_000
+    posts: int = 100_000
     tile_sets: int = 1024
     tile_grams: int = 1 << 20
     most_broadcast: int = 1_000_000
@@ -70,6 +70,7 @@ def _sets(docs: DataFrame, p: Parameters) -> DataFrame:
     """For each row the size and 128 bits of its set, and the set's hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("jaccard")
         for batch in batches:
             for a, b in slices(batch.column(1)):
                 sets = list(shingles(split(batch.column(1).slice(a, b - a)), p.width))
@@ -158,7 +159,7 @@ def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
             if g not in seen:
                 seen.add(g)
                 new.append(k)
-        if len(seen) > 500_000:
+        if len(seen) > 200_000:
             seen.clear()
         if new:
             batch = batch.take(pa.array(new))
@@ -189,7 +190,7 @@ def _pairs(heads: DataFrame, p: Parameters) -> DataFrame:
             posts = np.empty(int(held.sum()), _POST)
             posts["gram"], posts["gid"], posts["n"] = grams[held], gids[rows[held]], sizes[rows[held]]
             parts.append(posts)
-            if sum(map(len, parts)) > 500_000:
+            if sum(map(len, parts)) > 200_000:
                 yield from out(parts)
                 parts = []
         if parts:

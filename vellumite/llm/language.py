@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumite.llm.store import small_batches
+from vellumite.llm.store import kept, small_batches
 from vellumite.llm.words import buffers
 
 UNDETERMINED = "und"
@@ -119,15 +119,13 @@ class Classifier:
         return self.langs[sizes.index(best)], score, second - best >= max(self.p.least_bytes, self.p.least_margin * best)
 
 
-_made: dict[tuple, Classifier] = {}
-
-
 def _classifier(dictionaries: dict[str, bytes], p: Parameters) -> Classifier:
     key = (p, tuple(sorted((k, hash(v)) for k, v in dictionaries.items())))
-    if key not in _made:
-        _made.clear()
-        _made[key] = Classifier(dictionaries, p)
-    return _made[key]
+    made = kept("language")
+    if key not in made:
+        made.clear()
+        made[key] = Classifier(dictionaries, p)
+    return made[key]
 
 
 def predict(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[str], p: Parameters = Parameters()) -> DataFrame:

@@ -61,6 +61,16 @@ class Scratch:
             path.getFileSystem(conf).delete(path, True)
 
 
+_kept: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """What a Python worker keeps between the tasks of one operator; what others have kept is let go, as workers outlive them."""
+    for other in [x for x in _kept if x != owner]:
+        del _kept[other]
+    return _kept.setdefault(owner, {})
+
+
 #: Rows in a batch between the JVM and Python; long texts make the default of 10,000 too large for an executor.
 BATCH_ROWS, BATCH_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 
