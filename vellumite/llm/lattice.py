@@ -401,7 +401,7 @@ def _looked_up(docs: DataFrame, keep: list[str], frequent, end: np.ndarray, name
 
 
 def _asked(rows: DataFrame, ranges: int) -> DataFrame:
-    """For each range of words that texts of a batch hold: these, a line each, and the rows and words (by place) with their counts."""
+    """For each range of words that texts of a batch hold: the batch, these words, a line each, and the rows and words (by place) with their counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -417,9 +417,9 @@ def _asked(rows: DataFrame, ranges: int) -> DataFrame:
                 where[at] = np.arange(len(at))
                 here = where[word]
                 mine = here >= 0
-                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), *(pa.array([x], pa.binary()) for x in (lines, ids[row[mine]].tobytes(), here[mine].astype("<i4").tobytes(), times[mine].astype("<i4").tobytes()))], names=["range", "asked", "rows", "places", "times"])
+                yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), *(pa.array([x], pa.binary()) for x in (lines, ids[row[mine]].tobytes(), here[mine].astype("<i4").tobytes(), times[mine].astype("<i4").tobytes())), pa.array(ids[:1])], names=["range", "asked", "rows", "places", "times", "batch"])
 
-    return rows.select("_row", "_rest").where("_rest <> ''").mapInArrow(run, "range int, asked binary, rows binary, places binary, times binary")
+    return rows.select("_row", "_rest").where("_rest <> ''").mapInArrow(run, "range int, asked binary, rows binary, places binary, times binary, batch long")
 
 
 def _answered(asked: DataFrame, table: DataFrame, model, kinds: int, names: list[str]) -> DataFrame:
@@ -434,18 +434,23 @@ def _answered(asked: DataFrame, table: DataFrame, model, kinds: int, names: list
         table = np.where(at >= 0, counts[:, at], 0) if len(words) else np.zeros((kinds, len(at)), np.int64)
         base, models = model.value.values(list(wanted), table)
         values = np.vstack([(table.sum(0) > 0).astype(float), base, models])
-        ids, sums = [], []
-        for mine, rows, places, times in zip(asked, questions["rows"], questions["places"], questions["times"], strict=True):
+        out = []
+        for mine, batch, rows, places, times in zip(asked, *(questions[c] for c in ("batch", "rows", "places", "times")), strict=True):
             rows, of = np.unique(np.frombuffer(rows, np.int64), return_inverse=True)
             which = np.array(mine, np.int64)[np.frombuffer(places, "<i4")]
             times = np.frombuffer(times, "<i4")
-            ids.append(rows)
-            sums.append(np.stack([np.bincount(of, weights=x[which] * times, minlength=len(rows)) for x in values]))
-        ids, sums = np.concatenate([np.zeros(0, np.int64), *ids]), np.concatenate([np.zeros((len(values), 0)), *sums], axis=1)
-        return pd.DataFrame({"_row": ids, "_known": sums[0].round().astype(np.int64), **{f"_{c}": x for c, x in zip(names, sums[1:], strict=True)}})
+            out.append((batch, rows.tobytes(), b"".join(np.bincount(of, weights=x[which] * times, minlength=len(rows)).tobytes() for x in values)))
+        return pd.DataFrame(out, columns=["batch", "rows", "sums"])
 
-    schema = "_row long, _known long, " + ", ".join(f"_{c} double" for c in names)
-    return asked.groupBy("range").cogroup(table.select("range", "words", "counts").groupBy("range")).applyInPandas(answer, schema)
+    def add(answers: pd.DataFrame) -> pd.DataFrame:
+        parts = [np.frombuffer(x, np.int64) for x in answers["rows"]]
+        rows, of = np.unique(np.concatenate(parts), return_inverse=True)
+        sums = np.concatenate([np.frombuffer(x).reshape(-1, len(k)) for x, k in zip(answers["sums"], parts, strict=True)], axis=1)
+        sums = [np.bincount(of, weights=x, minlength=len(rows)) for x in sums]
+        return pd.DataFrame({"_row": rows, "_known": sums[0].round().astype(np.int64), **{f"_{c}": x for c, x in zip(names, sums[1:], strict=True)}})
+
+    found = asked.groupBy("range").cogroup(table.select("range", "words", "counts").groupBy("range")).applyInPandas(answer, "batch long, rows binary, sums binary")
+    return found.groupBy("batch").applyInPandas(add, "_row long, _known long, " + ", ".join(f"_{c} double" for c in names))
 
 
 def score(docs: DataFrame, train: DataFrame, vocabulary: str, keep: list[str], kind: str | None = None, p: Parameters = Parameters()) -> DataFrame:
@@ -467,8 +472,7 @@ def score(docs: DataFrame, train: DataFrame, vocabulary: str, keep: list[str], k
     # the end is known wherever there is a training text
     found = found.withColumns({"_row": F.monotonically_increasing_id(), "n_known": F.col("n_known") + F.lit(int(sum(model.rows) > 0))})
     rows = scratch.write(found, "rows")
-    sums = _answered(_asked(rows, ranges), table, shared, kinds, names).groupBy("_row")
-    sums = scratch.write(sums.agg(F.sum("_known").alias("_known"), *(F.sum(f"_{c}").alias(f"_{c}") for c in names)), "sums")
+    sums = scratch.write(_answered(_asked(rows, ranges), table, shared, kinds, names), "sums")
     scratch.drop("counts")
     more = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
     out = rows.drop("_rest").join(sums, "_row", "left")
