@@ -24,7 +24,6 @@ from __future__ import annotations
 import hashlib
 import json
 import re
-import sys
 import unicodedata
 from array import array
 from bisect import bisect_right
@@ -38,18 +37,14 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
 from vellumite.llm.store import kept, small_batches
-from vellumite.llm.words import Lookup, mix, slices, split
+from vellumite.llm.words import Lookup, Words, buffers, hashed, mix, slices, split
 
 #: The pattern by which the tokenizer's file splits words.
 WORD_PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: The same for text whose characters all lie below U+0250.
 _LATIN_LETTERS, _LATIN_NUMBERS, _LATIN_SPACE = "A-Za-zªµºÀ-ÖØ-öø-ɏ", "0-9²³¹¼-¾", "\t-\r \u0085 "
 _LATIN = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN_LETTERS}]+|[{_LATIN_NUMBERS}]|[^{_LATIN_SPACE}{_LATIN_LETTERS}{_LATIN_NUMBERS}]+")
-_LATIN_LINES = re.compile(f"\n|{_LATIN.pattern}")
 _ANY = regex.compile(WORD_PATTERN.replace(r"\s", r"\p{White_Space}"))
-#: Chunks kept with their encodings by each Python worker; beyond that many the store starts anew.
-CACHED_CHUNKS = {"texts": 500_000, "packed": 1_000_000}
-_LONG_WORD = 200
 
 
 def byte_symbols() -> list[str]:
@@ -316,37 +311,36 @@ class Tokenizer:
         self.automaton.ready()
         return self
 
-    def encode_words(self, words: list[str]) -> list[list[int]]:
-        """The tokens of each word."""
-        out: list = [None] * len(words)
-        raw = [w.encode() for w in words]
-        lengths = np.fromiter(map(len, raw), np.int64, len(raw))
+    def encode_words(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """The tokens of all words in a row, and how many each word has."""
+        counts = np.zeros(len(words), np.int64)
+        steps: list[tuple[np.ndarray, np.ndarray, int]] = []  # words, a token of each, its place from the word's end
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
         order = np.argsort(lengths, kind="stable")
         cuts = np.searchsorted(lengths[order], np.arange(1, _TOGETHER + 2))
         for length in range(1, _TOGETHER + 1):
-            ids = order[cuts[length - 1] : cuts[length]].tolist()
-            if not ids:
+            ids = order[cuts[length - 1] : cuts[length]]
+            if not len(ids):
                 continue
-            last, size = self.table.encode(np.frombuffer(b"".join([raw[k] for k in ids]), np.uint8).reshape(len(ids), length))
+            last, size = self.table.encode(np.frombuffer(b"".join([words[k] for k in ids.tolist()]), np.uint8).reshape(len(ids), length))
             if (last[length] < 0).any():
                 raise ValueError("a symbol has no arc")
             # back from the end, all words at a time
-            at, rows, steps = np.full(len(ids), length), np.arange(len(ids)), []
+            at, rows, k = np.full(len(ids), length), np.arange(len(ids)), 0
             while len(rows):
-                steps.append((rows, last[at, rows]))
+                steps.append((ids[rows], last[at, rows], k))
+                counts[ids[rows]] += 1
                 at = at - size[at, rows]
-                rows, at = rows[at > 0], at[at > 0]
-            for row, t in zip(ids, steps[0][1].tolist(), strict=True):
-                out[row] = [t]
-            for rows, tokens in steps[1:]:
-                for row, t in zip(rows.tolist(), tokens.tolist(), strict=True):
-                    out[ids[row]].append(t)
-            if len(steps) > 1:
-                for row in steps[1][0].tolist():
-                    out[ids[row]].reverse()
-        for k in order[cuts[_TOGETHER] :].tolist():
-            out[k] = self.word(words[k])
-        return out
+                rows, at, k = rows[at > 0], at[at > 0], k + 1
+        for w in order[cuts[_TOGETHER] :].tolist():
+            found = self.word(words[w].decode())
+            counts[w] = len(found)
+            steps += [(np.array([w]), np.array([t]), len(found) - 1 - k) for k, t in enumerate(found)]
+        ends = np.cumsum(counts)
+        flat = np.empty(int(counts.sum()), np.uint32)
+        for of, tokens, k in steps:
+            flat[ends[of] - 1 - k] = tokens
+        return flat, counts
 
     def label(self, token: int) -> str:
         """What an arc emits in decoding."""
@@ -354,6 +348,14 @@ class Tokenizer:
             return self.automaton.labels[token]
         return next(x for x, t in self.added.items() if t == token)
 
+    def all_labels(self) -> list[bytes]:
+        """What every id is decoded to."""
+        labels = [x.encode() for x in self.automaton.labels]
+        labels += [b""] * (max(self.added.values(), default=0) + 1 - len(labels))
+        for x, t in self.added.items():
+            labels[t] = labels[t] or x.encode()
+        return labels
+
     def words(self, text: str, latin: bool) -> list[str | int]:
         """The words of a text; an added token stands as its id. ``latin``: no character from U+0250 on."""
         if "<|" in text and any(x in text for x in self.added):
@@ -367,98 +369,155 @@ class Tokenizer:
         return _ANY.findall("".join([c.lower() for c in text]) if "Σ" in text else text.lower())
 
 
-class ChunkStore:
-    """What ``make`` gives for the tokens of chunks (words with what punctuation sticks to them, parted by ASCII white space), by their hashes.
+#: Kinds of bytes: white space, letters (and all beyond ASCII), digits, others.
+_KIND = np.array([0 if b in (*range(9, 14), 32) else 1 if b >= 128 or chr(b).isalpha() else 2 if chr(b).isdigit() else 3 for b in range(256)], np.uint8)
+_LOW = np.array([b + 32 if 65 <= b < 91 else b for b in range(256)], np.uint8)
+
 
-    Rows of ``made`` are filled on first use; beyond ``most`` rows or ``most_bytes`` the store starts anew with the next slice of texts.
-    No token crosses a chunk's end, and A-Z are lower-cased as in the hashes, so a chunk's tokens do not depend on where it stands.
+def units(column: pa.Array) -> Words:
+    """The words of (a slice of) a string column as the pattern parts them.
+
+    That holds for letters below U+0240; what white space parts from the rest and holds other characters beyond ASCII is one unit.
+    """
+    data, offsets = buffers(column)
+    data, offsets = data[offsets[0] : offsets[-1]], offsets - offsets[0]
+    n = len(data)
+    if not n:
+        return split(column)
+    kind = _KIND[data]
+    cut = np.zeros(n + 1, bool)
+    cut[offsets] = True
+    new = np.ones(n, bool)
+    new[1:] = (kind[1:] != kind[:-1]) | (kind[1:] == 2)
+    new |= cut[:-1]
+    start = new & (kind > 0)
+    # 's and the like: an apostrophe takes the letters after it along if it begins a word
+    for a in np.flatnonzero(start[:-1] & (data[:-1] == 39) & (kind[1:] == 1) & ~cut[1:-1]).tolist():
+        tail = bytes(_LOW[data[a + 1 : a + 3]])
+        size = 2 if tail[:1] in (b"s", b"t", b"m", b"d") else 3 if tail in (b"re", b"ve", b"ll") and not cut[a + 2] else 0
+        if size:
+            start[a + 1] = False
+            if a + size < n and kind[a + size] == 1:
+                start[a + size] = True
+    # the leading bytes of U+00C0 to U+023F are C3 to C8; the multiplication and division signs are no letters, and a dotted capital I has two when lowered
+    odd = (data >= 0xC9) | (data == 0xC2)
+    after = np.append(data[1:], 0)
+    odd |= (data == 0xC3) & ((after == 0x97) | (after == 0xB7)) | (data == 0xC4) & (after == 0xB0)
+    if odd.any():
+        head = (kind > 0) & np.append(True, kind[:-1] == 0) | (kind > 0) & cut[:-1]
+        chunk = np.cumsum(head) - 1
+        whole = np.zeros(int(chunk[-1]) + 2, bool)
+        whole[chunk[odd]] = True
+        start = np.where(whole[chunk], head, start)
+    ends = np.flatnonzero((kind > 0) & (np.append(start[1:], True) | np.append(kind[1:] == 0, True) | cut[1:])) + 1
+    return hashed(data, np.flatnonzero(start), ends, offsets)
+
+
+class UnitStore:
+    """The tokens of units by their hashes; filled on first use, and beyond ``most`` units anew.
+
+    No token crosses a unit's end, and A-Z are lower-cased as in the hashes, so a unit's tokens do not depend on where it stands.
     """
 
-    def __init__(self, tokenizer: Tokenizer, make, kinds: int, most: int, most_bytes: int = 96 << 20) -> None:
-        self.tokenizer, self.make, self.kinds, self.most, self.most_bytes = tokenizer, make, kinds, most, most_bytes
+    def __init__(self, tokenizer: Tokenizer, most: int = 2_000_000) -> None:
+        self.tokenizer, self.most = tokenizer, most
         self.clear()
 
     def clear(self) -> None:
-        self.made: list[list] = [[] for _ in range(self.kinds)]
-        self.recent: dict[int, int] = {}
-        self.hashes, self.rows, self.size = np.zeros(0, np.uint64), np.zeros(0, np.int64), 0
-
-    def add(self, chunks: dict[int, bytes]) -> None:
-        """New rows for chunks by their hashes."""
-        latin = {h: x for h, x in chunks.items() if x.isascii() or max(x) < 0xC9}
-        # no chunk holds a line's end, so that it can part them
-        words = _LATIN_LINES.findall("".join([f"{x.decode()}\n" for x in latin.values()]).lower())
-        others = {h: self.tokenizer.words(x.decode(), False) for h, x in chunks.items() if h not in latin}
-        distinct = {w for w in words if w != "\n"} | {w for x in others.values() for w in x if not isinstance(w, int)}
-        tokens = dict(zip(distinct, self.tokenizer.encode_words(list(distinct)), strict=True)) if distinct else {}
-        hashes, found = iter(latin), []
-        for w in words:
-            if w == "\n":
-                self._row(next(hashes), found)
-                found = []
-            else:
-                found += tokens[w]
-        for h, x in others.items():
-            self._row(h, [t for w in x for t in ([w] if isinstance(w, int) else tokens[w])])
-
-    def _row(self, h: int, ids: list[int]) -> None:
-        made = self.make(ids)
-        self.recent[h] = len(self.made[0])
-        for k, x in enumerate(made):
-            self.made[k].append(x)
-        self.size += 200 + len(made[0])
+        nothing = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        self.main, self.recent = nothing, nothing
+        self.flat, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The rows of distinct ``hashes``; -1 for unknown ones."""
+        """The rows of ``hashes``; -1 for unknown ones."""
         out = np.full(len(hashes), -1, np.int64)
-        if len(self.hashes):
-            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
-            held = self.hashes[at] == hashes
-            out[held] = self.rows[at[held]]
-        missing = np.flatnonzero(out < 0)
-        recent = self.recent.get
-        out[missing] = [recent(h, -1) for h in hashes[missing].tolist()]
+        for known, rows in (self.main, self.recent):
+            if len(known):
+                at = np.minimum(np.searchsorted(known, hashes), len(known) - 1)
+                held = known[at] == hashes
+                out[held] = rows[at[held]]
         return out
 
-    def texts(self, column: pa.Array) -> Iterator[list[list]]:
-        """For each text, what its chunks' rows hold, by kind."""
-        if len(self.made[0]) > self.most or self.size > self.most_bytes:
+    def add(self, new: dict[int, bytes]) -> None:
+        """Rows for units by their hashes."""
+        words: list[bytes] = []
+        owner: list[int] = []
+        fixed: list[tuple[int, int]] = []  # an added token's unit and id
+        for k, raw in enumerate(new.values()):
+            if raw.isascii():
+                words.append(raw.lower())
+                owner.append(k)
+            elif max(raw) < 0xC9 and 0xC2 not in raw and b"\xc3\x97" not in raw and b"\xc3\xb7" not in raw and b"\xc4\xb0" not in raw:
+                words.append(raw.decode().lower().encode())
+                owner.append(k)
+            else:
+                for w in self.tokenizer.words(raw.decode(), False):
+                    words.append(w.encode() if isinstance(w, str) else b"")
+                    owner.append(k)
+                    if isinstance(w, int):
+                        fixed.append((len(words) - 1, w))
+        flat, counts = self.tokenizer.encode_words(words)
+        if fixed:
+            at = np.cumsum(counts)[[k for k, _ in fixed]]
+            flat = np.insert(flat, at, [t for _, t in fixed])
+            counts[[k for k, _ in fixed]] = 1
+        sizes = np.bincount(np.array(owner, np.int64), weights=counts, minlength=len(new)).astype(np.int64)
+        rows = len(self.size) + np.arange(len(new))
+        self.begin = np.r_[self.begin, len(self.flat) + np.cumsum(sizes) - sizes]
+        self.size = np.r_[self.size, sizes]
+        self.flat = np.r_[self.flat, flat]
+        hashes = np.fromiter(new.keys(), np.uint64, len(new))
+        self.recent = self._merged(self.recent, (hashes, rows))
+        if len(self.recent[0]) > 200_000:
+            self.main, self.recent = self._merged(self.main, self.recent), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+
+    @staticmethod
+    def _merged(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
+        hashes, rows = np.r_[a[0], b[0]], np.r_[a[1], b[1]]
+        order = np.argsort(hashes, kind="stable")
+        return hashes[order], rows[order]
+
+    def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all texts in a row, and where each text's begin (one longer)."""
+        if len(self.size) > self.most or len(self.flat) > 8 * self.most:
             self.clear()
-        parts, new = [], {}
+        parts, new, marked = [], {}, []
         for a, b in slices(column):
-            words = split(column.slice(a, b - a))
+            words = units(column.slice(a, b - a))
             hashes, first, of = np.unique(words.hashes, return_index=True, return_inverse=True)
-            missing = np.flatnonzero(self.find(hashes) < 0)
+            missing = first[self.find(hashes) < 0]
             whole = words.data.tobytes()
-            for h, x, y in zip(hashes[missing].tolist(), words.starts[first[missing]].tolist(), words.ends[first[missing]].tolist(), strict=True):
+            for h, x, y in zip(words.hashes[missing].tolist(), words.starts[missing].tolist(), words.ends[missing].tolist(), strict=True):
                 if h not in new:
                     new[h] = whole[x:y]
-            parts.append((a, words.first, hashes, of.astype(np.int32), b"<|" in whole))
-        self.add(new)
-        for a, firsts, hashes, of, marked in parts:
-            rows = self.find(hashes).tolist()
-            here = [[made[r] for r in rows] for made in self.made]
-            for k, (x, y) in enumerate(zip(firsts[:-1].tolist(), firsts[1:].tolist(), strict=True)):
-                if marked and "<|" in (text := column[a + k].as_py() or ""):  # an added token may stand here, in which case matters
-                    found = self.tokenizer.words(text, False)
-                    yield [[x] for x in self.make([t for w in found for t in ([w] if isinstance(w, int) else self.tokenizer.word(w))])]
-                else:
-                    chosen = of[x:y].tolist()
-                    yield [list(map(made.__getitem__, chosen)) for made in here]
-        if len(self.recent) > 100_000:
-            every = np.r_[self.hashes, np.fromiter(self.recent.keys(), np.uint64, len(self.recent))]
-            order = np.argsort(every, kind="stable")
-            self.hashes, self.rows = every[order], np.r_[self.rows, np.fromiter(self.recent.values(), np.int64, len(self.recent))][order]
-            self.recent.clear()
-
-
-def store(shared, kind: str, make, kinds: int) -> ChunkStore:
-    """This worker's store for a broadcast tokenizer; ``make(tokenizer)`` gives what its chunks are stored with."""
-    key, stores = (kind, str(getattr(shared, "_path", id(shared)))), kept("bpe")
+            parts.append((words.first, hashes, of.astype(np.int32)))
+            if b"<|" in whole:  # an added token may stand in a text, in which case matters
+                marked += [k for k in range(a, b) if "<|" in (column[k].as_py() or "")]
+        if new:
+            self.add(new)
+        ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
+        for firsts, hashes, of in parts:
+            rows = self.find(hashes)[of]
+            size = self.size[rows]
+            ends = np.append(0, np.cumsum(size))
+            ids.append(self.flat[np.repeat(self.begin[rows] - ends[:-1], size) + np.arange(ends[-1])])
+            sizes.append(np.diff(ends[firsts]))
+        ids, at = np.concatenate(ids), np.append(0, np.cumsum(np.concatenate(sizes)))
+        if not marked:
+            return ids, at
+        texts = [ids[x:y] for x, y in zip(at[:-1].tolist(), at[1:].tolist(), strict=True)]
+        for k in marked:
+            words = self.tokenizer.words(column[k].as_py(), False)
+            texts[k] = np.array([t for w in words for t in ([w] if isinstance(w, int) else self.tokenizer.word(w))], np.uint32)
+        return np.concatenate(texts), np.append(0, np.cumsum([len(x) for x in texts]))
+
+
+def store(shared) -> UnitStore:
+    """This worker's store for a broadcast tokenizer."""
+    key, stores = str(getattr(shared, "_path", id(shared))), kept("bpe")
     if key not in stores:
         stores.clear()
-        tokenizer = shared.value.ready()
-        stores[key] = ChunkStore(tokenizer, make(tokenizer), kinds, CACHED_CHUNKS[kind])
+        stores[key] = UnitStore(shared.value.ready())
     return stores[key]
 
 
@@ -469,65 +528,46 @@ def small(batches: Iterator[pa.RecordBatch], rows: int = 500) -> Iterator[pa.Rec
             yield batch.slice(k, rows)
 
 
-def _texts_of(tokenizer: Tokenizer):
-    size = max([len(tokenizer.automaton.labels), *(t + 1 for t in tokenizer.added.values())])
-    numbers = [str(t).encode() for t in range(size)]
-    labels = [x.encode() for x in tokenizer.automaton.labels] + [b""] * (size - len(tokenizer.automaton.labels))
-    for x, t in tokenizer.added.items():
-        labels[t] = labels[t] or x.encode()
-
-    def make(ids: list[int]) -> tuple[bytes, bytes, int]:
-        return b" ".join(map(numbers.__getitem__, ids)), b" ".join(map(labels.__getitem__, ids)), len(ids)
-
-    return make
-
-
 def digest(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     """For each row of ``docs`` (doc_id, text): doc_id, n_tokens, ids_sha256, decoded_sha256.
 
-    A null text counts as empty; an empty one has no token, and digests of the empty string.
+    A null text counts as empty; an empty one has no token, and digests of the empty string. Repeated rows and very long texts are
+    encoded each and whole, an empty table gives an empty one, and other columns play no part.
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Tokenizer(tokenizer_path))
     rows = docs.select("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = store(shared, "texts", _texts_of, 3)
+        units_of = store(shared)
+        labels = units_of.tokenizer.all_labels()
+        numbers = [str(t).encode() for t in range(len(labels))]
         for batch in small(batches):
-            counts, ids, decoded = [], [], []
-            for numbers, labels, n in chunks.texts(batch.column(1)):
-                counts.append(sum(n))
-                # a chunk without a token (white space beyond ASCII) adds no space
-                whole = 0 not in n
-                ids.append(hashlib.sha256(b" ".join(numbers if whole else filter(None, numbers))).hexdigest())
-                decoded.append(hashlib.sha256(b" ".join(labels if whole else filter(None, labels))).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+            found, at = units_of.encode(batch.column(1))
+            ids, decoded = [], []
+            for a, b in zip(at[:-1].tolist(), at[1:].tolist(), strict=True):
+                tokens = found[a:b].tolist()
+                ids.append(hashlib.sha256(b" ".join(map(numbers.__getitem__, tokens))).hexdigest())
+                decoded.append(hashlib.sha256(b" ".join(map(labels.__getitem__, tokens))).hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at), pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return rows.mapInArrow(run, StructType([rows.schema["doc_id"], StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]))
 
 
-def _packed(tokenizer: Tokenizer):
-    def make(ids: list[int]) -> tuple[bytes]:
-        found = array("I", ids)
-        if sys.byteorder == "big":
-            found.byteswap()
-        return (found.tobytes(),)
-
-    return make
-
-
 def encode(docs: DataFrame, tokenizer_path: str, keep: list[str], end: int | None = None) -> DataFrame:
-    """The columns ``keep`` and ``ids``, little-endian unsigned 32-bit token ids, followed by the id ``end`` if given."""
+    """The columns ``keep`` and ``ids``, little-endian unsigned 32-bit token ids, followed by the id ``end`` if given. Cases as in ``digest``; ``keep`` may hold any name but ``ids``."""
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(Tokenizer(tokenizer_path))
     rows = docs.select(*keep, F.col("text").alias("_text"))
-    tail = b"" if end is None else np.array([end], "<u4").tobytes()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunks = store(shared, "packed", _packed, 1)
+        units_of = store(shared)
         for batch in small(batches):
-            ids = [b"".join(found) + tail for (found,) in chunks.texts(batch.column(len(keep)))]
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(ids, pa.binary())], names=[*keep, "ids"])
+            ids, at = units_of.encode(batch.column(len(keep)))
+            if end is not None:
+                ids, at = np.insert(ids, at[1:], end), at + np.arange(len(at))
+            column = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer((at * 4).astype(np.int32).tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], column], names=[*keep, "ids"])
 
     return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], StructField("ids", BinaryType())]))
 

@@ -138,7 +138,12 @@ def split(column: pa.Array, parts: np.ndarray = _SPACE) -> Words:
     starts[1:] &= ~word[:-1] | cut[1:-1]
     ends = word.copy()
     ends[:-1] &= ~word[1:] | cut[1:-1]
-    starts, ends = np.flatnonzero(starts), np.flatnonzero(ends) + 1
+    return hashed(data, np.flatnonzero(starts), np.flatnonzero(ends) + 1, offsets)
+
+
+def hashed(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, offsets: np.ndarray) -> Words:
+    """Stretches of some texts' bytes as words."""
+    n = len(data)
     up, down = powers(n)
     sums = np.empty(n + 1, dtype=np.uint64)
     sums[0] = 0
