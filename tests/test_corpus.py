@@ -15,7 +15,7 @@ from vellumite.errors import InvalidPatternError
 from vellumite.functions import match
 from vellumite.operators import read
 from vellumite.plans import batch
-from vellumite.plans.document import apply_packages
+from vellumite.plans.package import OPERATIONS, as_files, edit_packages, replace_all_packages
 from vellumite.sinks.docx import drifted, save_packages
 from vellumite.sources.docx import read_packages
 from vellumite.streaming import watch
@@ -63,11 +63,11 @@ def test_windows_and_ids_reach_the_scan(spark):
     assert "EqualTo(doc_id,5)" in read.grep(df, "the")._jdf.queryExecution().executedPlan().toString()
 
 
-PATTERNS = ["th", "e[a-z]+t", r"\bthe\b", "[A-Z]\\w*", "(?i)THE", "a*", "x?", "(?P<n>a)(?P=n)", r"\d+", "aa|a", "a(?=b)", "^a", "b$"]
+PATTERNS = [r"\w+", r"\W", r"\s", r"\S+", r"[^\W\d]+", r"\B.", r"[]a-]", r"[\s\d]+x?", r"\v|\t", "th", "e[a-z]+t", r"\bthe\b", "[A-Z]\\w*", "(?i)THE", "a*", "x?", "(?P<n>a)(?P=n)", r"\d+", "aa|a", "a(?=b)", "^a", "b$"]
 
 
 @settings(max_examples=15, deadline=None)
-@given(texts=st.lists(st.text("abTheÉ1２ \n  x", max_size=12), min_size=1, max_size=5), pattern=st.sampled_from(PATTERNS), edit=st.booleans())
+@given(texts=st.lists(st.text("abTheÉ1２ \n x]-́½²Ⅷ‍\x0b\x1c\x1f\x85\xa0ⓐ٣_", max_size=12), min_size=1, max_size=5), pattern=st.sampled_from(PATTERNS), edit=st.booleans())
 def test_regex_ranges_are_pythons(spark, texts, pattern, edit):
     df = spark.createDataFrame([(t,) for t in texts], "t string").select("t", match.ranges(F.col("t"), pattern, True, edit).alias("r"))
     for t, r in df.collect():
@@ -101,7 +101,7 @@ def test_batches_are_atomic_for_each_document(spark):
     out = batch.apply(p, _ops(spark, one | {"doc_id": 1}, two | {"doc_id": 1}, one | {"doc_id": 2}, bad | {"doc_id": 2}))
     texts = {d: [r["text"] for r in out.paragraphs.where(f"doc_id = {d}").orderBy("record_pos").collect()] for d in (1, 2)}
     assert texts == {1: ["Z1", "Z2", "B", "C", "D"], 2: ["A", "B", "C", "D"]}
-    assert [(r["doc_id"], r["operation_index"], "invalid selector" in r["reason"]) for r in out.errors.collect()] == [(2, 1, True)]
+    assert [(r["doc_id"], r["operation_index"], "cannot search" in r["reason"]) for r in out.errors.collect()] == [(2, 1, True)]
     late = _ops(spark, {"doc_id": 1, "seq": 0, "op_id": "a", "op": "delete_para", "target_ids": ["p_000001", "p_000002"]}, {"doc_id": 1, "seq": 1, "op_id": "b", "op": "insert_para_before", "target_id": "p_000002", "items": ["X"]})
     assert batch.apply(p, late).errors.count() == 1
 
@@ -117,21 +117,65 @@ def test_packages(spark, tmp_path):
     assert read_packages(spark, str(tmp_path / "in"), "DROPMALFORMED").where("error is not null").count() == 0
     files = spark.read.format("binaryFile").load(str(tmp_path / "in"))
     a = files.where("path like '%a.docx'").first()["path"]
-    fields = "path string, " + batch.OPERATIONS.split(", ", 1)[1]
-    ops = spark.createDataFrame([(a, 0, "1", "insert_para_after", "p_000002", None, ["E"], None, None, None, None)], fields)
-    saved = save_packages(files, apply_packages(rows, ops), str(tmp_path / "out")).collect()
+    ops = spark.createDataFrame([(a, 0, "1", "insert_para_after", "p_000002", None, ["E"], None, None, None, None, False)], OPERATIONS)
+    edited = edit_packages(files, ops)
+    plan = edited._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Scan binaryFile") == 1 and "SortMergeJoin" not in plan
+    saved = save_packages(edited, str(tmp_path / "out")).collect()
     assert sorted(r["dest"].rpartition("/")[2] for r in saved if r["error"] is None) == ["a.docx", "b.docx"]
     again = read_packages(spark, str(tmp_path / "out"))
     assert [r["text"] for r in again.where("path like '%a.docx'").orderBy("record_pos").collect()] == ["A", "B", "E", "C", "D"]
     assert drifted(rows.where("error is null"), files).count() == 0
 
 
+def test_package_batches(spark, tmp_path):
+    package(ABCD, tmp_path / "a.docx")
+    package('<w:p><w:hyperlink w:anchor="x"><w:r><w:t>there</w:t></w:r></w:hyperlink></w:p>' + para("B B"), tmp_path / "b.docx")
+    (tmp_path / "c.docx").write_bytes(b"no")
+    files = spark.read.format("binaryFile").load(str(tmp_path))
+    known = read_packages(spark, str(tmp_path)).select("path", "source")
+    at = {r["path"].rpartition("/")[2]: r["path"] for r in files.collect()}
+    ops = [
+        (at["a.docx"], 0, "r", "insert_para_after", "p_000001", None, ["<w:p><w:r><w:t>raw</w:t></w:r></w:p>"], None, None, None, None, True),
+        (at["a.docx"], 1, "n", "replace_para", "p_000003", None, ["三十日,共60天"], None, None, None, None, False),
+        (at["b.docx"], 0, "w", "replace_para", "p_000001", None, ["here"], None, None, None, None, False),
+        (at["b.docx"], 1, "f", "replace_text", "p_000002", None, None, "B", False, "b", None, False),
+        (at["c.docx"], 0, "x", "delete_para", None, ["p_000001"], None, None, None, None, None, False),
+    ]
+    edited = edit_packages(files, spark.createDataFrame(ops, OPERATIONS), normalize_text=True, known=known)
+    got = {r["path"].rpartition("/")[2]: r for r in edited.collect()}
+    texts = {r["id"]: r["text"] for r in read_texts(spark, edited, "a.docx")}
+    assert texts == {"p_000001": "A", "p_000002": "raw", "p_000003": "B", "p_000004": "三十日，共 60 天", "p_000005": "D"}
+    assert [x["op_id"] for x in got["a.docx"]["change_log"]] == ["r", "n"] and got["a.docx"]["results"][0]["new_ids"] == ["p_000005"]
+    failed = got["b.docx"]
+    assert (failed["error"]["code"], failed["error"]["operation_index"], failed["error"]["op_id"], failed["error"]["error_type"]) == ("ambiguous_text_match", 1, "f", "AmbiguousTextMatchError")
+    assert [(x["status"], x["expected_paragraph_count"], x["actual_paragraph_count"]) for x in failed["change_log"]] == [("failed", 2, 2)] and failed["results"] == []
+    assert got["c.docx"]["error"]["code"] == "invalid_document"
+    warned = edit_packages(files, spark.createDataFrame(ops[2:3], OPERATIONS)).where("path like '%b.docx'").first()
+    assert list(warned["warnings"]) == ["hyperlink"] == list(warned["results"][0]["warnings"])
+    text_raw = edit_packages(files, spark.createDataFrame([(*ops[3][:-1], True)], OPERATIONS)).where("path like '%b.docx'").first()
+    assert text_raw["error"]["operation_index"] == 1 - 1 and "raw" in text_raw["error"]["reason"]
+    every = {r["path"].rpartition("/")[2]: r for r in replace_all_packages(files, "[AB]", "x", regex=True).collect()}
+    assert [(every[k]["replacements"], every[k]["error"] is None) for k in ("a.docx", "b.docx", "c.docx")] == [(2, True), (2, True), (0, False)]
+    linked = replace_all_packages(files, "[tB]", "x", regex=True).where("path like '%b.docx'").first()
+    assert linked["error"]["code"] == "unsupported_structure" and linked["replacements"] == 0
+    package(ABCD + para("E"), tmp_path / "a.docx")
+    later = spark.read.format("binaryFile").load(str(tmp_path))
+    old = known.where("path like '%b.docx'").unionByName(known.where("path like '%a.docx'").withColumn("source", F.col("source").withField("sha256", F.lit("0"))))
+    assert {r["path"].rpartition("/")[2]: r["error"] and r["error"]["code"] for r in edit_packages(later, spark.createDataFrame(ops[:1], OPERATIONS), known=old).collect()}["a.docx"] == "source_changed"
+
+
+def read_texts(spark, edited, name):
+    from vellumite.sources.docx import scan
+
+    return scan(as_files(edited.where(F.col("path").endswith(name)))).orderBy("record_pos").collect()
+
+
 def test_stream(spark, tmp_path):
     for x in ("in", "out"):
         (tmp_path / x).mkdir()
     package(ABCD, tmp_path / "in" / "a.docx")
-    fields = "path string, " + batch.OPERATIONS.split(", ", 1)[1]
     path = spark.read.format("binaryFile").load(str(tmp_path / "in")).first()["path"]
-    ops = spark.createDataFrame([(path, 0, "1", "delete_para", None, ["p_000001"], None, None, None, None, None)], fields)
+    ops = spark.createDataFrame([(path, 0, "1", "delete_para", None, ["p_000001"], None, None, None, None, None, False)], OPERATIONS)
     watch.edit_stream(watch.read_stream(spark, str(tmp_path / "in")), ops, str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
     assert [r["text"] for r in read_packages(spark, str(tmp_path / "out")).orderBy("record_pos").collect()] == ["B", "C", "D"]

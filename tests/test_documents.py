@@ -4,7 +4,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from tests.packages import ABCD, TABLES, main, package, para, run
+from tests.packages import ABCD, INVOICE, main, package, para, run
 from vellumite import errors as E
 from vellumite.facade import Document
 from vellumite.functions.text import expand_visible_text, normalized, parse_markers
@@ -56,14 +56,23 @@ def test_structured_blocks_count_but_do_not_show(opened):
 
 
 def test_table_places():
-    rows = {r["text"]: r["table_context"] for r in scan_xml(main(TABLES).encode())}
-    get = lambda t: tuple(rows[t][k] for k in ("table_index", "row_index", "physical_cell_index", "logical_column_index", "grid_span", "grid_before", "nesting_depth", "paragraph_index_in_cell"))
-    assert rows["preamble"] is None and rows["epilogue"] is None
-    assert get("inner-a") == (1, 0, 0, 0, 1, 0, 1, 0)
-    assert get("inner-b") == (1, 0, 1, 1, 1, 0, 1, 0)
-    assert get("outer-0-0-tail") == (0, 0, 0, 0, 1, 0, 0, 0)
-    assert get("outer-0-1") == (0, 0, 1, 1, 1, 0, 0, 0)
-    assert get("outer-1-span") == (0, 1, 0, 1, 2, 1, 0, 0)
+    rows = {r["text"]: r["table_context"] for r in scan_xml(main(INVOICE).encode())}
+    names = ("table_index", "row_index", "physical_cell_index", "logical_column_index", "grid_span", "grid_before", "vertical_merge", "nesting_depth", "paragraph_index_in_cell")
+    assert {t: tuple(c[k] for k in names) for t, c in rows.items() if c} == {
+        "number": (0, 0, 0, 0, 1, 0, "none", 0, 0),
+        "date": (0, 0, 0, 0, 1, 0, "none", 0, 1),
+        "item": (0, 0, 1, 1, 3, 0, "restart", 0, 0),
+        "sum": (0, 0, 2, 4, 1, 0, "none", 0, 0),
+        "seven": (0, 1, 0, 2, 1, 2, "none", 0, 0),
+        "screws": (0, 1, 1, 3, 1, 2, "continue", 0, 0),
+        "left": (0, 2, 0, 0, 1, 0, "none", 0, 0),
+        "deepest": (2, 0, 0, 0, 1, 0, "none", 2, 0),
+        "beside": (2, 0, 1, 1, 1, 0, "none", 2, 0),
+        "middle": (1, 0, 1, 1, 1, 0, "none", 1, 0),
+        "below": (0, 2, 0, 0, 1, 0, "none", 0, 1),
+        "second table": (3, 0, 0, 0, 1, 0, "none", 0, 0),
+    }
+    assert rows["thanks"] is None
 
 
 def test_projections():
@@ -183,7 +192,7 @@ def test_edits_match_a_plain_string(parts, data):
 
 
 def test_save_round_trip(opened, tmp_path):
-    doc = opened(TABLES + '<w:p><w:r><w:t xml:space="preserve">é &amp; x</w:t></w:r></w:p>')
+    doc = opened(INVOICE + '<w:p><w:r><w:t xml:space="preserve">é &amp; x</w:t></w:r></w:p>')
     before = doc._main
     doc.insert_para_after("p_000002", ["in the cell"])
     done = doc.save()
@@ -196,7 +205,8 @@ def test_save_round_trip(opened, tmp_path):
     start, end = body.rindex(b"<w:p", 0, cut), body.index(b"</w:p>", cut) + 6
     assert body[:start] + body[end:] == before
     again = Document.open(doc.source_path)
-    assert again.list_paragraphs().paragraphs[2].location.table_context.table_index == 1
+    context = again.list_paragraphs().paragraphs[2].location.table_context
+    assert (context.table_index, context.paragraph_index_in_cell) == (0, 2)
     doc.source_path.write_bytes(doc.source_path.read_bytes() + b" ")
     with pytest.raises(E.SourceChangedError):
         doc.save()
@@ -257,7 +267,16 @@ def test_batch_json():
 def test_content_sources(tmp_path):
     (tmp_path / "a.json").write_text('{"a": {"b": [1, true, null, {"k": "x", "v": "y"}]}}')
     (tmp_path / "t.txt").write_bytes("é".encode("latin-1"))
-    config = ContentResolverConfig(workspace=tmp_path, allow_commands=True)
+    inside = tmp_path / "in"
+    inside.mkdir()
+    (inside / "ok.txt").write_text("ok")
+    (inside / "link.txt").symlink_to(tmp_path / "t.txt")
+    narrow = ContentResolverConfig(workspace=tmp_path, input_roots=(inside,))
+    assert resolve([ContentItem.of({"type": "file", "path": "in/ok.txt"})], narrow) == ["ok"]
+    for path in ("t.txt", "in/link.txt", "in/../t.txt", str(tmp_path / "t.txt")):  # the workspace itself is no input root
+        with pytest.raises(E.InvalidContentError):
+            resolve([ContentItem.of({"type": "file", "path": path})], narrow)
+    config = ContentResolverConfig(workspace=tmp_path, input_roots=(tmp_path,), allow_commands=True)
     items = [ContentItem("x"), {"type": "jsonpath", "source": "a.json", "path": "$.a.b[1]"}, {"type": "jsonpath", "source": "a.json", "path": "$.a.b[?(@.k=='x')].v"}, {"type": "file", "path": "t.txt", "encoding": "latin-1"}, {"type": "command", "argv": ["printf", "hi\\n\\n"]}]
     assert resolve([ContentItem.of(x) for x in items], config) == ["x", "true", "y", "é", "hi\n"]
     bad = [{"type": "jsonpath", "source": "a.json", "path": "$.a"}, {"type": "jsonpath", "source": "a.json", "path": "$.a.b[2]"}, {"type": "jsonpath", "source": "a.json", "path": "$.a.b[*]"}, {"type": "file", "path": "../../etc/passwd"}, {"type": "command", "argv": ["false"]}, {"type": "command", "argv": ["sleep", "5"], "timeout_seconds": 0.1}]
@@ -267,6 +286,42 @@ def test_content_sources(tmp_path):
     assert json_path({"a": {"k": 1}, "b": [{"k": 2}]}, "$..k") == [1, 2]
 
 
+@pytest.mark.parametrize(
+    "path,expected",
+    [
+        ("$.s[0].n", ["ant"]),
+        ("$.s[-1].n", ["bee"]),
+        ("$.s[0:2].w", [3, 5]),
+        ("$.s[::2].n", ["ant", "bee"]),
+        ("$.s[1:].n", ["asp", "bee"]),
+        ("$.s[0,2].n", ["ant", "bee"]),
+        ("$.s[0]['n','w']", ["ant", 3]),
+        ("$.s[0].n,w", ["ant", 3]),
+        ("$.s[*].w", [3, 5, 4]),
+        ("$..n", ["ant", "asp", "bee"]),
+        ("$.s[?(@.w > 3)].n", ["asp", "bee"]),
+        ("$.s[?(@.w >= 4 & @.n =~ '^a')].n", ["asp"]),
+        ("$.s[?(@.n != 'ant')].w", [5, 4]),
+        ("$.s[?(@.x)].n", ["bee"]),
+        ("$.s[?(@.x.y == true)].n", ["bee"]),
+        ("$..y.`parent`.`parent`.n", ["bee"]),
+        ("$.s.`len`", [3]),
+        ("$['s'][1][\"n\"]", ["asp"]),
+        ("$.none", []),
+        ("$.s[9]", []),
+    ],
+)
+def test_json_paths(path, expected):
+    data = {"s": [{"n": "ant", "w": 3}, {"n": "asp", "w": 5}, {"n": "bee", "w": 4, "x": {"y": True}}]}
+    assert json_path(data, path) == expected
+
+
+def test_json_paths_that_are_none():
+    for path in ("s", "$.s[", "$.s[a]", "$s s", "$.s[?(w > 3)]", "$."):
+        with pytest.raises(E.InvalidContentError):
+            json_path({"s": [{"w": 1}]}, path)
+
+
 def test_errors_as_values():
     import pickle
 

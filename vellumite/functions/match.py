@@ -1,8 +1,8 @@
 """Match ranges of literals and regular expressions as columns.
 
 A range is ``struct<start:int,end:int>`` of code-point offsets. Literals, and patterns that
-mean the same to Java and to Python and cannot match nothing, are matched by built-in
-functions; all others go through an Arrow UDF with Python's ``re``.
+can be put so that Java finds what Python does and that cannot match nothing, are matched by
+built-in functions; all others go through an Arrow UDF with Python's ``re``.
 """
 
 from __future__ import annotations
@@ -17,16 +17,59 @@ from pyspark.sql import functions as F
 from vellumite.errors import InvalidPatternError
 
 RANGES = "array<struct<start:int,end:int>>"
-#: Unix lines and Unicode classes: Python's rules; edits let "." match newlines as well.
-READ_FLAGS, EDIT_FLAGS = "(?dU)", "(?dUs)"
-_PYTHON_ONLY = re.compile(r"\(\?P|\(\?\(|\\Z|\(\?[a-zA-Z-]*[aLux]|\{,|\\N|&&|\\[gGhHRXkQE]")
-_NESTED_CLASS = re.compile(r"\[[^\]\\]*(?:\\.[^\]\\]*)*\[")
+#: Unix lines: Python's rule; edits let "." match newlines as well.
+READ_FLAGS, EDIT_FLAGS = "(?d)", "(?ds)"
+_PYTHON_ONLY = re.compile(r"\(\?P|\(\?\(|\(\?[a-zA-Z-]+[:)]|\{,")
+_NESTED_CLASS = re.compile(r"\[[^\]\\]*(?:\\.[^\]\\]*)*\[|&&")
+#: What Python's classes hold, for Java.
+_WORD = r"\p{L}\p{N}_"
+_SPACE = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+_CLASSES = {"w": _WORD, "s": _SPACE, "d": r"\p{Nd}"}
+_EDGES = {"b": f"(?:(?<=[{_WORD}])(?![{_WORD}])|(?<![{_WORD}])(?=[{_WORD}]))", "B": f"(?:(?<=[{_WORD}])(?=[{_WORD}])|(?<![{_WORD}])(?![{_WORD}]))"}
+_SAME = {**dict.fromkeys("nrtfa", None), "v": r"\x0B"}
+
+
+def java(pattern: str) -> str | None:
+    """A Java pattern that finds the same ranges as Python's, none of them empty; null where it is not known to."""
+    if _PYTHON_ONLY.search(pattern) or _NESTED_CLASS.search(pattern) or _parser.parse(pattern).getwidth()[0] == 0:
+        return None
+    out, at, within = [], 0, 0  # within: a class that began there
+    while at < len(pattern):
+        c = pattern[at]
+        if c == "\\":
+            x = pattern[at + 1]
+            at += 2
+            if x in _CLASSES:
+                out.append(_CLASSES[x] if within else f"[{_CLASSES[x]}]")
+            elif x.lower() in _CLASSES:
+                out.append(f"[^{_CLASSES[x.lower()]}]")
+            elif x in _EDGES and not within:
+                out.append(_EDGES[x])
+            elif x in _SAME:
+                out.append(_SAME[x] or "\\" + x)
+            elif x.isascii() and x.isalnum():  # numbers, groups, names: Python's alone
+                return None
+            else:
+                out.append("\\" + x)
+            continue
+        at += 1
+        if c == "[" and not within:
+            within = at
+            head = re.compile(r"\^?\]?").match(pattern, at)[0]  # a bracket that stands first is a character
+            out.append("[" + head.replace("]", "\\]"))
+            at += len(head)
+        elif c == "]" and within:
+            within = 0
+            out.append(c)
+        else:
+            out.append(c)
+    return "".join(out)
 
 
 def checked(pattern: str, regex: bool) -> None:
     """Raises InvalidPatternError for what cannot be searched for."""
     if not regex and not pattern:
-        raise InvalidPatternError(pattern=pattern, reason="literal pattern must not be empty")
+        raise InvalidPatternError(pattern=pattern, reason="an empty literal")
     if regex:
         try:
             re.compile(pattern)
@@ -35,10 +78,8 @@ def checked(pattern: str, regex: bool) -> None:
 
 
 def built_in(pattern: str) -> bool:
-    """Whether Java finds the same ranges as Python, none of them empty."""
-    if _PYTHON_ONLY.search(pattern) or _NESTED_CLASS.search(pattern):
-        return False
-    return _parser.parse(pattern).getwidth()[0] > 0
+    """Whether Java can find the same ranges as Python, none of them empty."""
+    return java(pattern) is not None
 
 
 def quoted(literal: str) -> str:
@@ -96,8 +137,8 @@ def ranges(text: Column, pattern: str, regex: bool = False, edit: bool = False)
         return _folded(gaps, F.transform(gaps, lambda _: F.lit(len(pattern))))
     if not built_in(pattern):
         return _udf(pattern, edit)(text)
-    java = (EDIT_FLAGS if edit else READ_FLAGS) + pattern
-    pieces, found = F.split(text, java, -1), F.regexp_extract_all(text, F.lit(java), F.lit(0))
+    same = (EDIT_FLAGS if edit else READ_FLAGS) + java(pattern)
+    pieces, found = F.split(text, same, -1), F.regexp_extract_all(text, F.lit(same), F.lit(0))
     return _folded(F.transform(F.slice(pieces, 1, F.size(found)), F.length), F.transform(found, F.length))
 
 
@@ -106,7 +147,7 @@ def holds(text: Column, pattern: str, regex: bool = False) -> Column:
     checked(pattern, regex)
     if not regex:
         return F.contains(text, F.lit(pattern))
-    return F.rlike(text, F.lit(READ_FLAGS + pattern)) if built_in(pattern) else F.size(ranges(text, pattern, True)) > 0
+    return F.rlike(text, F.lit(READ_FLAGS + java(pattern))) if built_in(pattern) else F.size(ranges(text, pattern, True)) > 0
 
 
 def count(text: Column, pattern: str, regex: bool = False) -> Column:
@@ -116,7 +157,7 @@ def count(text: Column, pattern: str, regex: bool = False) -> Column:
         gone = F.length(text) - F.length(F.replace(text, F.lit(pattern), F.lit("")))
         return (gone / len(pattern)).cast("long")
     if built_in(pattern):
-        return F.regexp_count(text, F.lit(READ_FLAGS + pattern)).cast("long")
+        return F.regexp_count(text, F.lit(READ_FLAGS + java(pattern))).cast("long")
     return F.size(ranges(text, pattern, True)).cast("long")
 
 

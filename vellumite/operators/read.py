@@ -1,4 +1,4 @@
-"""Read operators over a paragraph relation, all of them built-in expressions.
+"""Read operators over a paragraph relation, in built-in expressions but for patterns that only Python can match (see functions.match).
 
 Windows of rows are filters on ``record_pos``, which reach the scan, not LIMIT and OFFSET.
 """
@@ -101,27 +101,43 @@ def text_not_found(paragraphs: DataFrame, pattern: str, regex: bool = False, occ
 def heading_level(style: Column, prefix: str = "Heading") -> Column:
     """The number after the prefix, in any case of letters; null where no digits alone follow."""
     rest = F.substring(style, len(prefix) + 1, F.length(style))
-    return F.when(F.startswith(F.lower(style), F.lit(prefix.lower())) & F.rlike(rest, F.lit("^[0-9]+$")), F.expr(f"try_cast(substring(style_id, {len(prefix) + 1}) as int)"))
+    return F.when(F.startswith(F.lower(style), F.lit(prefix.lower())) & F.rlike(rest, F.lit("^[0-9]+$")), rest.try_cast("int"))
+
+
+def _ends(heads: Column, last: Column) -> Column:
+    """The places past each heading's stretch, for headings from the last to the first: one pass with a stack of those that may end others."""
+    one = "struct<level:int,pos:int>"
+    first = F.struct(F.lit([]).cast(f"array<{one}>").alias("open"), F.lit([]).cast("array<int>").alias("ends"))
+
+    def add(acc: Column, h: Column) -> Column:
+        # what is open has rising levels from the latest on, and is only shut out by headings of its level or a higher one
+        still = F.filter(acc["open"], lambda x: x["level"] <= h["level"])
+        end = F.coalesce(F.get(still, F.lit(0))["pos"], last)
+        mine = F.array(F.struct(h["level"].alias("level"), h["pos"].alias("pos")).cast(one))
+        rest = F.filter(acc["open"], lambda x: x["level"] < h["level"])
+        return F.struct(F.concat(mine, rest).alias("open"), F.concat(acc["ends"], F.array(end)).alias("ends"))
+
+    return F.aggregate(heads, first, add, lambda acc: acc["ends"])
 
 
 def list_sections(paragraphs: DataFrame, level: int | None = None, style_prefix: str = "Heading") -> DataFrame:
     """Headings with the stretch they own: up to the next heading of their level or a higher one, lower ones included."""
     level_of = heading_level(F.col("style_id"), style_prefix)
-    row = F.struct(F.col("record_pos").alias("pos"), level_of.alias("level"), F.col("id").alias("id"), F.col("text").alias("text"))
-    docs = paragraphs.groupBy("doc_id").agg(F.max("record_pos").alias("last"), F.collect_list(F.when(level_of.isNotNull(), row)).alias("heads"))
-    heads = docs.select("doc_id", "last", "heads", F.explode("heads").alias("h"))
-    after = F.filter("heads", lambda x: (x["pos"] > F.col("h.pos")) & (x["level"] <= F.col("h.level")))
-    end = F.coalesce(F.array_min(F.transform(after, lambda x: x["pos"])), F.col("last") + 1)
-    out = heads.select("doc_id", F.col("h.id").alias("heading_id"), F.col("h.text").alias("heading_text"), F.col("h.level").alias("level"), F.col("h.pos").alias("start_pos"), end.alias("end_pos"))
+    row = F.struct(F.col("record_pos").cast("int").alias("pos"), level_of.alias("level"), F.col("id").alias("id"), F.col("text").alias("text"))
+    docs = paragraphs.groupBy("doc_id").agg((F.max("record_pos") + 1).cast("int").alias("last"), F.reverse(F.array_sort(F.collect_list(F.when(level_of.isNotNull(), row)))).alias("heads"))
+    both = F.arrays_zip(F.col("heads").alias("h"), _ends(F.col("heads"), F.col("last")).alias("end_pos"))
+    heads = docs.where(F.size("heads") > 0).select("doc_id", F.explode(both).alias("x"))
+    out = heads.select("doc_id", F.col("x.h.id").alias("heading_id"), F.col("x.h.text").alias("heading_text"), F.col("x.h.level").alias("level"), F.col("x.h.pos").alias("start_pos"), "x.end_pos")
     out = out.withColumn("body_count", (F.col("end_pos") - F.col("start_pos") - 1).cast("long"))
     return out if level is None else out.where(F.col("level") == level)
 
 
 def section_bodies(paragraphs: DataFrame, level: int | None = None, style_prefix: str = "Heading") -> DataFrame:
     """One row for each paragraph that a section owns besides its heading."""
-    heads = list_sections(paragraphs, level, style_prefix).select("doc_id", "heading_id", "start_pos", "end_pos")
-    rows = paragraphs.select("doc_id", F.col("id").alias("body_id"), "record_pos")
-    return heads.join(rows, "doc_id").where((F.col("record_pos") > F.col("start_pos")) & (F.col("record_pos") < F.col("end_pos"))).select("doc_id", "heading_id", "body_id", "record_pos")
+    heads = list_sections(paragraphs, level, style_prefix).where("body_count > 0")
+    places = heads.select("doc_id", "heading_id", F.explode(F.sequence(F.col("start_pos") + 1, F.col("end_pos") - 1)).alias("record_pos"))
+    rows = paragraphs.select("doc_id", F.col("id").alias("body_id"), F.col("record_pos").cast("int").alias("record_pos"))
+    return places.join(rows, ["doc_id", "record_pos"]).select("doc_id", "heading_id", "body_id", "record_pos")
 
 
 def get_section(paragraphs: DataFrame, heading_id: str, style_prefix: str = "Heading") -> DataFrame:

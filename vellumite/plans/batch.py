@@ -108,14 +108,14 @@ def _shape_error(known: Column) -> Column:
     para, text = op.isin(*PARAGRAPH_OPS), op.isin(*TEXT_OPS)
     say = lambda s: F.concat(op, F.lit(f": {s}"))
     return (
-        F.when(~(para | text | (op == "delete_para")), say("unsupported operation"))
-        .when(para & (F.coalesce(F.size("items"), F.lit(0)) < 1), say("items must be non-empty"))
-        .when((op == "delete_para") & (n < 1), say("target_ids must be non-empty"))
-        .when((op == "delete_para") & (F.size(F.array_distinct("target_ids")) != n), say("target_ids must be unique"))
-        .when(text & (op != "delete_text") & F.col("content").isNull(), say("exactly one of content_literal or content_ref is required"))
-        .when(~known, say("unknown target"))
-        .when(text & (F.col("occurrence") < -1), say("occurrence must be >= -1"))
-        .when(text & ~F.coalesce("regex", F.lit(False)) & (F.coalesce(F.col("find"), F.lit("")) == ""), say("invalid selector: literal pattern must not be empty"))
+        F.when(~(para | text | (op == "delete_para")), say("no such operation"))
+        .when(para & (F.coalesce(F.size("items"), F.lit(0)) < 1), say("needs one item or more"))
+        .when((op == "delete_para") & (n < 1), say("needs one target or more"))
+        .when((op == "delete_para") & (F.size(F.array_distinct("target_ids")) != n), say("names a target twice"))
+        .when(text & (op != "delete_text") & F.col("content").isNull(), say("has either literal content or a reference"))
+        .when(~known, say("no such paragraph"))
+        .when(text & (F.col("occurrence") < -1), say("occurrence is below -1"))
+        .when(text & ~F.coalesce("regex", F.lit(False)) & (F.coalesce(F.col("find"), F.lit("")) == ""), say("cannot search: an empty literal"))
     )
 
 
@@ -129,7 +129,7 @@ def apply(paragraphs: DataFrame, operations: DataFrame) -> Outcome:
     unknown = placed.where("record_pos is null").select("doc_id", "seq").distinct().withColumn("unknown", F.lit(True))
     shaped = operations.join(unknown, ["doc_id", "seq"], "left")
     shape = shaped.select("doc_id", "seq", "op_id", _shape_error(F.col("unknown").isNull()).alias("reason"))
-    patterns = operations.where("regex").select("doc_id", "seq", "op_id", F.concat("op", F.lit(": invalid selector: "), F.pandas_udf(_invalid, "string")("find")).alias("reason"))
+    patterns = operations.where("regex").select("doc_id", "seq", "op_id", F.concat("op", F.lit(": cannot search: "), F.pandas_udf(_invalid, "string")("find")).alias("reason"))
     # conflicts of the operations that meet at one paragraph
     seqs = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col("seq"))))
     groups = targets.groupBy("doc_id", "id").agg(
@@ -150,11 +150,11 @@ def apply(paragraphs: DataFrame, operations: DataFrame) -> Outcome:
             F.when((F.size("deletes") > 0) & (F.size("afters") > 0), F.col("afters")[0]),
         )
     )
-    conflicts = groups.select("doc_id", F.array_min(clash).alias("seq")).where("seq is not null").withColumn("reason", F.lit("conflicting operations on one target"))
+    conflicts = groups.select("doc_id", F.array_min(clash).alias("seq")).where("seq is not null").withColumn("reason", F.lit("two operations exclude each other on one paragraph"))
     # a delete of several targets fires at the first one visited; what comes later to another of them finds it gone
     fires = targets.where(is_delete).join(groups.select("doc_id", "id", "rank", "others"), ["doc_id", "id"])
     fires = fires.withColumn("fire", F.min("rank").over(Window.partitionBy("doc_id", "seq")))
-    gone = fires.where((F.size("others") > 0) & (F.col("rank") > F.col("fire"))).select("doc_id", F.col("others")[0].alias("seq"), F.lit("target was deleted by an earlier operation").alias("reason"))
+    gone = fires.where((F.size("others") > 0) & (F.col("rank") > F.col("fire"))).select("doc_id", F.col("others")[0].alias("seq"), F.lit("its paragraph is deleted before").alias("reason"))
     # text edits, in order on each paragraph
     step = F.struct("seq", "op", "find", F.coalesce("regex", F.lit(False)).alias("regex"), "content", "occurrence")
     sound = shaped.where(F.col("op").isin(*TEXT_OPS) & _shape_error(F.col("unknown").isNull()).isNull())
@@ -234,8 +234,8 @@ def replace_all(paragraphs: DataFrame, pattern: str, content: str, regex: bool =
     content = plain(content)
     counts = match.count(F.col("text"), pattern, regex)
     if regex and match.built_in(pattern):
-        text = F.regexp_replace("text", match.EDIT_FLAGS + pattern, match.replacement(content))
-        counts = F.regexp_count("text", F.lit(match.EDIT_FLAGS + pattern)).cast("long")
+        text = F.regexp_replace("text", match.EDIT_FLAGS + match.java(pattern), match.replacement(content))
+        counts = F.regexp_count("text", F.lit(match.EDIT_FLAGS + match.java(pattern))).cast("long")
     elif regex:
         ranges = match.ranges(F.col("text"), pattern, True, edit=True)
         text, counts = match.spliced(F.col("text"), ranges, instead=content), F.size(ranges).cast("long")

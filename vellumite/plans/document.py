@@ -1,4 +1,4 @@
-"""A batch on the paragraphs of one package: what a grouped task and the single-document handle run.
+"""A batch on the paragraphs of one package: what corpus tasks (plans.package) and the single-document handle run.
 
 The state is an immutable tuple of paragraphs, so that undoing is keeping the old one. An
 operation's place in the new order follows from its anchor, a slot before, at or after it,
@@ -8,17 +8,15 @@ and input order; nothing is moved.
 from __future__ import annotations
 
 import hashlib
+import re
 from collections.abc import Iterable
 from dataclasses import dataclass, replace
 
-import pandas as pd
-from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
-
 from vellumite.errors import BatchOperationError, ParagraphNotFoundError, ValidationError, VellumiteError, preview
+from vellumite.functions import match
 from vellumite.functions.match import checked
 from vellumite.functions.text import expand_visible_text, normalized
-from vellumite.models import Operation, Selector
+from vellumite.models import EditOperation, Operation, Selector
 from vellumite.operators.inline import Paragraph, apply_text_op, new_paragraph, raw_paragraphs
 from vellumite.plans.batch import LOG_LIMIT, PARAGRAPH_OPS, TEXT_OPS
 from vellumite.sources.docx import W14, W, scan_xml
@@ -90,32 +88,34 @@ def prevalidate(ops: list[Operation], ids: set[str]) -> None:
         raise ValidationError(stage="prevalidation", checks=("nonempty",), failed_check="nonempty")
     for seq, o in enumerate(ops):
         targets = o.target_ids if o.op == "delete_para" else (o.target_id,)
+        if o.raw and o.op not in PARAGRAPH_OPS:
+            raise _fail(seq, o, "takes no raw content")
         if o.op in PARAGRAPH_OPS:
             if not o.items:
-                raise _fail(seq, o, "items must be non-empty")
+                raise _fail(seq, o, "needs one item or more")
             if any((x.content_literal is None) == (x.content_ref is None) for x in o.items):
-                raise _fail(seq, o, "an item must provide exactly one of content_literal or content_ref")
+                raise _fail(seq, o, "each item has either literal content or a reference")
         elif o.op == "delete_para":
             if not targets:
-                raise _fail(seq, o, "target_ids must be non-empty")
+                raise _fail(seq, o, "needs one target or more")
             if len({*targets}) < len(targets):
-                raise _fail(seq, o, "target_ids must be unique")
+                raise _fail(seq, o, "names a target twice")
         elif o.op not in TEXT_OPS:
-            raise _fail(seq, o, "unsupported operation")
+            raise _fail(seq, o, "no such operation")
         elif o.op != "delete_text" and (o.content is None or (o.content.content_literal is None) == (o.content.content_ref is None)):
-            raise _fail(seq, o, "exactly one of content_literal or content_ref is required")
+            raise _fail(seq, o, "has either literal content or a reference")
         for t in targets:
             if t not in ids:
-                raise _fail(seq, o, f"unknown target_id {t!r}")
+                raise _fail(seq, o, f"no paragraph {t!r}")
         if o.op in TEXT_OPS:
             if o.occurrence is not None and (isinstance(o.occurrence, bool) or not isinstance(o.occurrence, int)):
-                raise _fail(seq, o, "occurrence must be an integer or None")
+                raise _fail(seq, o, "occurrence is no whole number")
             if o.occurrence is not None and o.occurrence < -1:
-                raise _fail(seq, o, "occurrence must be >= -1")
+                raise _fail(seq, o, "occurrence is below -1")
             try:
                 checked(o.find.pattern, o.find.regex)
             except VellumiteError as e:
-                raise _fail(seq, o, f"invalid selector: {e.reason}", e) from e
+                raise _fail(seq, o, f"cannot search: {e.reason}", e) from e
 
 
 def _order(ops: list[Operation]) -> dict[str, list[tuple[int, Operation]]]:
@@ -129,7 +129,7 @@ def _order(ops: list[Operation]) -> dict[str, list[tuple[int, Operation]]]:
         both = sorted(by["replace_para"][:1] + by["delete_para"][:1], key=lambda x: x[0])
         for found in (by["replace_para"][1:2], by["delete_para"][1:2], both[1:2], by["insert_para_after"][:1] if by["delete_para"] else []):
             if found:
-                raise _fail(*found[0], "conflicting operations on one target")
+                raise _fail(*found[0], "two operations exclude each other on one paragraph")
     return groups
 
 
@@ -235,7 +235,7 @@ def precommit(before: State, after: State, touched: set[str], gone: set[str], re
 
 
 def log_entries(results: list[Result]) -> list[dict]:
-    """Log entries of a committed batch, by the shape that each kind of operation has."""
+    """Log entries of a committed batch, by the shape that each kind of operation has; a log keeps its first LOG_LIMIT entries."""
     out = []
     for r in results:
         entry = {"op_id": r.op_id, "op": r.op, "status": "success", "warnings": list(r.warnings)}
@@ -246,53 +246,20 @@ def log_entries(results: list[Result]) -> list[dict]:
         else:
             entry |= {"target_id": r.target_id, "before": {"preview": r.before_preview}, "after": {"preview": (r.after_previews or ("",))[0]}}
         out.append(entry)
-    return out[-LOG_LIMIT:]
+    return out[:LOG_LIMIT]
 
 
 def failure_entry(e: BatchOperationError, count: int) -> dict:
     return {"op": "batch", "status": "failed", "error_type": type(e.__cause__ or e).__name__, "operation_index": e.operation_index, "op_id": e.op_id, "reason": preview(e.reason), "rolled_back": True, "expected_paragraph_count": count, "actual_paragraph_count": count}
 
 
-_OUT = "path string, id string, record_pos int, text string, xml string, span struct<start:long,end:long>, host string, side int, error string"
-
-
-def apply_packages(paragraphs: DataFrame, operations: DataFrame) -> DataFrame:
-    """Batches over a corpus of packages: their paragraphs afterwards, with the ``error`` of refused batches.
-
-    ``paragraphs``: of sources.docx. ``operations``: plans.batch.OPERATIONS with ``path`` for doc_id, and literal content.
-    Packages without operations do not go through the grouped tasks.
-    """
-    ids = operations.select("path").distinct()
-    held = paragraphs.where("error is null")
-    columns = ["path", "id", "record_pos", "text", "xml", "style_id", "ppr_xml", "rpr_xml", "container", "protected", "span"]
-
-    def one(rows: pd.DataFrame, ops: pd.DataFrame) -> pd.DataFrame:
-        if not len(rows):
-            return pd.DataFrame(columns=["path", "id", "record_pos", "text", "xml", "span", "host", "side", "error"])
-        rows, ops = rows.sort_values("record_pos"), ops.sort_values("seq")
-        state, error = State.of(rows.where(rows.notna(), None).to_dict("records")), None
-        batch = [_operation(o) for o in ops.to_dict("records")]
-        try:
-            state, _ = run_batch(state, batch, [[x.content_literal for x in (o.items or ((o.content,) if o.content else ()))] for o in batch])
-        except VellumiteError as e:
-            error = str(e)
-        out = [(rows["path"].iloc[0], r.id, k, r.text, r.xml, None if r.span is None else {"start": r.span[0], "end": r.span[1]}, r.host, r.side, error) for k, r in enumerate(state.rows, 1)]
-        return pd.DataFrame(out, columns=["path", "id", "record_pos", "text", "xml", "span", "host", "side", "error"])
-
-    edited = held.join(ids, "path", "left_semi").select(*columns).groupBy("path").cogroup(operations.groupBy("path")).applyInPandas(one, _OUT)
-    rest = held.join(ids, "path", "left_anti").select("path", "id", "record_pos", "text", "xml", "span", F.col("id").alias("host"), F.lit(0).alias("side"), F.lit(None).cast("string").alias("error"))
-    return edited.unionByName(rest)
-
-
-def _operation(o: dict) -> Operation:
-    from vellumite.models import ContentItem
-
-    some = lambda x: () if x is None else tuple(x)
-    blank = lambda x: None if x is None or x != x else x
-    find = blank(o["find"])
-    content = blank(o["content"])
-    occurrence = blank(o["occurrence"])
-    return Operation(o["op"], o["op_id"], blank(o["target_id"]), some(o["target_ids"]), tuple(map(ContentItem, some(o["items"]))), None if find is None else Selector(find, bool(blank(o["regex"]))), None if content is None else ContentItem(content), None if occurrence is None else int(occurrence))
+def replacements(state: State, find: Selector, content: str) -> tuple[list[Operation], int]:
+    """A batch that replaces every match of the marked texts, and the number of matches."""
+    checked(find.pattern, find.regex)
+    compiled = re.compile(find.pattern if find.regex else re.escape(find.pattern), re.DOTALL)
+    counts = {r.id: len(match.find(compiled, Paragraph(r.xml).marked_text(), True)) for r in state.rows}
+    ops = [EditOperation.replace_text(k, find, content, occurrence=-1, op_id=f"replace_all_{k}") for k, n in counts.items() if n]
+    return ops, sum(counts.values())
 
 
 def splice(main: bytes, before: State, after: State) -> bytes:

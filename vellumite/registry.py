@@ -14,8 +14,7 @@ from pyspark.sql import functions as F
 from vellumite.functions import match
 from vellumite.functions import text as T
 from vellumite.operators import read
-from vellumite.plans import batch, document
-from vellumite.sinks import docx as sink
+from vellumite.plans import batch, package
 from vellumite.sources import corpus, docx, packages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -225,7 +224,7 @@ def replace_all_regex(p: DataFrame) -> DataFrame:
 
 def _ops(p: DataFrame, *ops: dict) -> DataFrame:
     """The same operations for each document."""
-    fields = {"op_id": "string", "op": "string", "target_id": "string", "target_ids": "array<string>", "items": "array<string>", "find": "string", "regex": "boolean", "content": "string", "occurrence": "int"}
+    fields = {"op_id": "string", "op": "string", "target_id": "string", "target_ids": "array<string>", "items": "array<string>", "find": "string", "regex": "boolean", "content": "string", "occurrence": "int", "raw": "boolean"}
 
     def lit(k: str, x):
         return F.lit(x.get(k)).cast(fields[k]).alias(k)
@@ -300,7 +299,7 @@ def batch_mixed(p: DataFrame) -> DataFrame:
     return _after(p, *_MIXED)
 
 
-@query(_COUNTED + ", d AS (SELECT doc_id, any_value(n) AS n FROM c GROUP BY doc_id) SELECT doc_id, CASE WHEN n < 2 THEN 1 ELSE 2 END AS operation_index, CASE WHEN n < 2 THEN 'replace_para: unknown target' ELSE 'conflicting operations on one target' END AS reason FROM d")
+@query(_COUNTED + ", d AS (SELECT doc_id, any_value(n) AS n FROM c GROUP BY doc_id) SELECT doc_id, CASE WHEN n < 2 THEN 1 ELSE 2 END AS operation_index, CASE WHEN n < 2 THEN 'replace_para: no such paragraph' ELSE 'two operations exclude each other on one paragraph' END AS reason FROM d")
 def batch_conflicts(p: DataFrame) -> DataFrame:
     ops = _ops(p, {"op": "insert_para_before", "target_id": "p_000001", "items": ["A"]}, {"op": "replace_para", "target_id": "p_000002", "items": ["B"]}, {"op": "delete_para", "target_ids": ["p_000001", "p_000002"]})
     return batch.apply(p, ops).errors.select("doc_id", "operation_index", "reason")
@@ -347,6 +346,12 @@ def _doc_id() -> Column:
     return F.substring_index("path", ".", 1).cast("long").alias("doc_id")
 
 
+def _package_ops(spark: SparkSession, sf_dir: str, *ops: dict) -> DataFrame:
+    """The same operations for each package."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id")
+    return _ops(docs, *ops).withColumn("path", F.concat(F.col("doc_id").cast("string"), F.lit(".docx"))).drop("doc_id")
+
+
 def docx_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = docx.scan(_packages(spark, sf_dir))
     return rows.select(_doc_id(), "id", "global_ordinal", "style_id", "text", F.col("error.code").alias("error"))
@@ -354,14 +359,8 @@ def docx_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def docx_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scanned, edited, rebuilt and scanned again."""
-    files = _packages(spark, sf_dir)
-    rows = docx.scan(files)
-    fields = "path string, " + batch.OPERATIONS.split(", ", 1)[1]
-    step = spark.createDataFrame([("", 0, "a", "insert_para_after", "p_000001", None, ["X\n\nY"], None, None, None, None), ("", 1, "b", "replace_text", "p_000001", None, None, "e", False, "[e]", -1)], fields)
-    step = step.drop("path")
-    ops = files.select("path", F.explode(F.array(F.lit(0), F.lit(1))).alias("seq")).join(F.broadcast(step), "seq")
-    edited = document.apply_packages(rows, ops)
-    again = docx.scan(sink.rebuild_packages(files, edited).where("error is null").select("path", F.lit(None).cast("timestamp").alias("modificationTime"), F.length("content").cast("long").alias("length"), "content"))
+    ops = _package_ops(spark, sf_dir, {"op": "insert_para_after", "target_id": "p_000001", "items": ["X\n\nY"]}, {"op": "replace_text", "target_id": "p_000001", "find": "e", "content": "[e]", "occurrence": -1})
+    again = docx.scan(package.as_files(package.edit_packages(_packages(spark, sf_dir), ops)))
     return again.select(_doc_id(), F.col("record_pos").alias("pos"), "text")
 
 

@@ -9,16 +9,15 @@ import shutil
 import uuid
 import zipfile
 from collections.abc import Iterator
-from dataclasses import dataclass, replace
+from dataclasses import dataclass
 from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumite.errors import SourceChangedError, ValidationError, VellumiteError
-from vellumite.plans.document import State, splice
-from vellumite.sources.docx import MAIN_PART, Unreadable, main_part, scan_xml, utf8
+from vellumite.errors import SourceChangedError, ValidationError
+from vellumite.sources.docx import MAIN_PART, Unreadable, main_part, scan_xml
 
 DECLARATION = b'<?xml version="1.0" encoding="UTF-8" standalone="yes"?>\n'
 
@@ -96,31 +95,8 @@ def write(package: bytes, dest: Path, backup: bool = True) -> SaveResult:
     return SaveResult(str(dest), str(kept) if kept else None, hashlib.sha256(package).hexdigest(), len(package))
 
 
-def rebuild_packages(files: DataFrame, edited: DataFrame) -> DataFrame:
-    """Edited packages as bytes: path, content, error.
-
-    ``files``: binary files. ``edited``: of plans.document.apply_packages; refused batches are left out. A package
-    whose bytes are no longer what was scanned is refused as changed.
-    """
-
-    def one(old: pd.DataFrame, new: pd.DataFrame) -> pd.DataFrame:
-        columns = ["path", "content", "error"]
-        if not len(old) or not len(new):
-            return pd.DataFrame(columns=columns)
-        path, content = old["path"].iloc[0], old["content"].iloc[0]
-        try:
-            main = utf8(main_part(content))
-            main = _rewritten(path, main, State.of(scan_xml(main)), new.sort_values("record_pos"))
-            return pd.DataFrame([[path, rebuilt(content, main), None]], columns=columns)
-        except (VellumiteError, Unreadable) as e:
-            return pd.DataFrame([[path, None, str(e)]], columns=columns)
-
-    good = edited.where("error is null").select("path", "id", "record_pos", "xml", "span", "host", "side")
-    return files.select("path", "content").groupBy("path").cogroup(good.groupBy("path")).applyInPandas(one, "path string, content binary, error string")
-
-
-def save_packages(files: DataFrame, edited: DataFrame, folder: str) -> DataFrame:
-    """Writes edited packages into a folder that all executors reach as a path; one row for each: path, dest, sha256, size, error.
+def save_packages(edited: DataFrame, folder: str) -> DataFrame:
+    """Writes packages (path, content, error: see plans.package) into a folder that all executors reach as a path; one row for each: path, dest, sha256, size, error.
 
     A task that runs again writes the same bytes to the same place, through a name of its own.
     """
@@ -137,23 +113,7 @@ def save_packages(files: DataFrame, edited: DataFrame, folder: str) -> DataFrame
                 out.append((path, str(dest), done and done.sha256, done and done.size, error))
             yield pd.DataFrame(out, columns=["path", "dest", "sha256", "size", "error"]).astype({"size": "Int64"})
 
-    return rebuild_packages(files, edited).mapInPandas(run, "path string, dest string, sha256 string, size long, error string")
-
-
-def _rewritten(path: str, main: bytes, before: State, rows: pd.DataFrame) -> bytes:
-    known = {r.id: r for r in before.rows}
-    some = before.rows[0] if before.rows else None
-    after = []
-    for r in rows.to_dict("records"):
-        span = r["span"]
-        if span is not None and span == span:
-            row = known.get(r["id"])
-            if row is None or row.span != (span["start"], span["end"]):
-                raise SourceChangedError(source_path=path)
-            after.append(row)
-        else:
-            after.append(replace(some, id=r["id"], xml=r["xml"], span=None, host=r["host"], side=int(r["side"])))
-    return splice(main, before, State(tuple(after), 0))
+    return edited.select("path", "content", "error.reason").mapInPandas(run, "path string, dest string, sha256 string, size long, error string")
 
 
 def drifted(known: DataFrame, files: DataFrame) -> DataFrame:

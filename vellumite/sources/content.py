@@ -17,7 +17,11 @@ from vellumite.models import ContentItem, ContentSourceCommand, ContentSourceFil
 #: Variables that a command inherits, and the most that it may print.
 INHERITED = ("PATH", "LANG", "LC_ALL")
 MOST_OUTPUT = 1 << 20
-_STEP = re.compile(r"\.([A-Za-z_][\w-]*)|\[(\d+)\]|\['([^']*)'\]|\[\"([^\"]*)\"\]|(\.\*|\[\*\])|\.\.([A-Za-z_][\w-]*)|\[\?\(?@\.([A-Za-z_][\w-]*)\s*(==|!=)\s*(?:'([^']*)'|\"([^\"]*)\"|(-?[\d.]+))\)?\]")
+_QUOTED = r"'[^']*'|\"[^\"]*\""
+_NAME = r"[A-Za-z_][\w-]*"
+_STEP = re.compile(rf"(?P<deep>\.\.)?(?:\.?(?P<name>{_NAME}(?:,{_NAME})*)|\.?(?P<every>\*)|\.?`(?P<word>parent|len)`|\[(?P<inner>(?:{_QUOTED}|[^\]'\"])*)\])")
+_SLICE = re.compile(r"(-?\d*):(-?\d*)(?::(-?\d+))?")
+_TEST = re.compile(rf"@((?:\.{_NAME}|\[\d+\])*)\s*(?:(==|!=|<=|>=|=~|<|>)\s*({_QUOTED}|-?\d+(?:\.\d+)?|true|false|null))?")
 
 
 @dataclass(frozen=True)
@@ -34,9 +38,9 @@ def _bad(reason: str, cause: Exception | None = None) -> InvalidContentError:
 
 
 def contained(path: str, config: ContentResolverConfig) -> Path:
-    """The real place of a path, links followed; it must lie within the workspace or an input root."""
+    """The real place of a path, links followed; it must lie within an input root."""
     found = Path(config.workspace, path).resolve()
-    if not any(found.is_relative_to(Path(r).resolve()) for r in (config.workspace, *config.input_roots)):
+    if not any(found.is_relative_to(Path(r).resolve()) for r in config.input_roots):
         raise _bad(f"{path} lies outside the input roots")
     if not found.is_file():
         raise _bad(f"{path} is not a file")
@@ -44,32 +48,86 @@ def contained(path: str, config: ContentResolverConfig) -> Path:
 
 
 def json_path(document: Any, path: str) -> list[Any]:
-    """Values that a path selects: names, indexes, wildcards, descent and equality filters."""
+    """Values that a path selects.
+
+    Names, indexes, slices, unions of these, wildcards, descent, parents, lengths, and filters by comparisons or regular expressions.
+    """
     if not path.startswith("$"):
         raise _bad(f"not a JSONPath: {path}")
-    at, values = 1, [document]
+    at, nodes = 1, [(document,)]  # a value, and those it lies in
     while at < len(path):
         m = _STEP.match(path, at)
-        if not m:
+        if not m or not m[0]:
             raise _bad(f"not a JSONPath: {path}")
         at = m.end()
-        values = [y for x in values for y in _step(x, m)]
-    return values
-
-
-def _step(x: Any, m: re.Match) -> list[Any]:
-    name, index, every, deep, key = m[1] or m[3] or m[4], m[2], m[5], m[6], m[7]
-    if name is not None:
-        return [x[name]] if isinstance(x, Mapping) and name in x else []
-    if index is not None:
-        return [x[int(index)]] if isinstance(x, list) and int(index) < len(x) else []
-    inner = list(x.values()) if isinstance(x, Mapping) else x if isinstance(x, list) else []
-    if every:
-        return inner
-    if deep:
-        return ([x[deep]] if isinstance(x, Mapping) and deep in x else []) + [z for y in inner for z in _step(y, m)]
-    wanted = float(m[11]) if m[11] else m[9] if m[9] is not None else m[10]
-    return [y for y in inner if isinstance(y, Mapping) and key in y and (y[key] == wanted) == (m[8] == "==")]
+        if m["deep"]:
+            nodes = [y for x in nodes for y in _below(x)]
+        nodes = [y for x in nodes for y in _step(x, m, path)]
+    return [x[0] for x in nodes]
+
+
+def _inner(node: tuple) -> list[tuple]:
+    x = node[0]
+    return [(y, *node) for y in (x.values() if isinstance(x, Mapping) else x if isinstance(x, list) else ())]
+
+
+def _below(node: tuple) -> list[tuple]:
+    """A node and all within it, outer ones first."""
+    return [node, *(y for x in _inner(node) for y in _below(x))]
+
+
+def _key(node: tuple, key: str | int) -> list[tuple]:
+    x = node[0]
+    held = isinstance(x, Mapping) and key in x if isinstance(key, str) else isinstance(x, list) and -len(x) <= key < len(x)
+    return [(x[key], *node)] if held else []
+
+
+def _step(node: tuple, m: re.Match, path: str) -> list[tuple]:
+    if m["every"]:
+        return _inner(node)
+    if m["name"]:
+        return [y for k in m["name"].split(",") for y in _key(node, k)]
+    if m["word"] == "parent":
+        return [node[1:]] if len(node) > 1 else []
+    if m["word"] == "len":
+        return [(len(node[0]), *node)] if isinstance(node[0], (str, list, Mapping)) else []
+    inner = m["inner"].strip()
+    if inner == "*":
+        return _inner(node)
+    if inner.startswith("?"):
+        tests = [x.strip() for x in re.split(r"&&?(?=\s*@)", inner[1:].strip().removeprefix("(").removesuffix(")"))]
+        return [y for y in _inner(node) if all(_holds(y[0], x, path) for x in tests)]
+    if sliced := _SLICE.fullmatch(inner):
+        low, high, step = (int(x) if x else None for x in sliced.groups())
+        return _inner(node)[low:high:step] if isinstance(node[0], list) else []
+    out = []
+    for part in re.findall(rf"{_QUOTED}|[^,]+", inner):
+        part = part.strip()
+        if part[:1] in ("'", '"'):
+            out += _key(node, part[1:-1])
+        elif re.fullmatch(r"-?\d+", part):
+            out += _key(node, int(part))
+        else:
+            raise _bad(f"not a JSONPath: {path}")
+    return out
+
+
+def _holds(x: Any, test: str, path: str) -> bool:
+    m = _TEST.fullmatch(test)
+    if not m:
+        raise _bad(f"not a JSONPath: {path}")
+    found = [(x,)]
+    for k in re.findall(rf"\.({_NAME})|\[(\d+)\]", m[1]):
+        found = [y for n in found for y in _key(n, k[0] or int(k[1]))]
+    if not m[2] or not found:
+        return bool(found)
+    value, other = found[0][0], m[3][1:-1] if m[3][0] in "'\"" else json.loads(m[3])
+    if m[2] == "=~":
+        return isinstance(value, str) and re.search(other, value) is not None
+    if m[2] in ("==", "!="):
+        return (value == other) == (m[2] == "==")
+    alike = isinstance(value, str) == isinstance(other, str) and isinstance(value, (str, int, float)) and other is not None
+    return alike and {"<": value < other, "<=": value <= other, ">": value > other, ">=": value >= other}[m[2]] if alike else False
 
 
 def scalar(x: Any) -> str:

@@ -7,6 +7,7 @@ copy all others as they are. A document that cannot be read gives one row with a
 
 from __future__ import annotations
 
+import hashlib
 import io
 import re
 import zipfile
@@ -14,9 +15,10 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 from xml.parsers import expat
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from vellumite.functions.text import ESCAPED_START, MARKER_END, MARKER_START
 
@@ -290,35 +292,40 @@ def read_packages(spark: SparkSession, path: str, mode: str = "PERMISSIVE") -> D
     return scan(files, mode)
 
 
+#: A batch of rows goes out when it holds so many, or so many bytes of XML.
+_ROWS, _BYTES = 2000, 8 << 20
+
+
 def scan(files: DataFrame, mode: str = "PERMISSIVE") -> DataFrame:
-    """Paragraph rows of packages given as binary files (path, modificationTime, length, content), batch or stream."""
+    """Paragraph rows of packages given as binary files (path, modificationTime, length, content), batch or stream; each file is read once."""
+    schema = StructType.fromDDL(SCHEMA)
+    names = [f.name for f in schema.fields]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = to_arrow_schema(schema)
+
+        def out(rows: list[dict]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in rows], fields.field(n).type) for n in names], schema=fields)
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made, size = [], 0
         for batch in batches:
-            for path, content in zip(batch["path"], batch["content"], strict=True):
+            for path, modified, length, content in zip(*(x.to_pylist() for x in batch.columns), strict=True):
                 try:
                     rows, error = scan_xml(main_part(content)), None
                 except (Unreadable, UnicodeError, LookupError) as e:
                     if mode == "FAILFAST":
                         raise
                     rows, error = ([] if mode == "DROPMALFORMED" else [{}]), {"code": "invalid_document", "path": path, "reason": str(e)}
-                if rows:
-                    names = [x.split()[0] for x in _names(FIELDS)]
-                    yield pd.DataFrame([[path, *(r.get(n) for n in names), error] for r in rows], columns=["path", *names, "error"]).astype({n: "Int32" for n in ("record_pos", "global_ordinal", "container")})
-
-    source = files.select("path", F.struct(F.sha2("content", 256).alias("sha256"), F.col("length").alias("size"), F.col("modificationTime").alias("modified")).alias("source"))
-    out = files.select("path", "content").mapInPandas(run, f"path string, {FIELDS}, error struct<code:string,path:string,reason:string>")
-    return out if files.isStreaming else out.join(source, "path").select("path", "source", *[c for c in out.columns if c != "path"])
-
-
-def _names(fields: str) -> list[str]:
-    """The top-level fields of a schema string."""
-    out, depth, part = [], 0, ""
-    for c in fields:
-        depth += (c in "<(") - (c in ">)")
-        if c == "," and not depth:
-            out.append(part.strip())
-            part = ""
-        else:
-            part += c
-    return [*out, part.strip()]
+                if not rows:
+                    continue
+                source = {"sha256": hashlib.sha256(content).hexdigest(), "size": length, "modified": modified}
+                for r in rows:
+                    made.append(r | {"path": path, "source": source, "error": error})
+                    size += len(r.get("xml", ""))
+                    if len(made) >= _ROWS or size >= _BYTES:
+                        yield out(made)
+                        made, size = [], 0
+        if made:
+            yield out(made)
+
+    return files.select("path", "modificationTime", "length", "content").mapInArrow(run, schema)
