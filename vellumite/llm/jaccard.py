@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from vellumite.llm.components import components
 from vellumite.llm.counts import SCHEMA, to_blocks, total
-from vellumite.llm.store import Scratch, kept, small_batches
+from vellumite.llm.store import Scratch, kept, release, released, small_batches
 from vellumite.llm.words import mix, shingles, slices, split
 
 
@@ -84,7 +84,7 @@ def _sets(docs: DataFrame, p: Parameters) -> DataFrame:
                 ]
                 yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *SAME, "grams"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, n long, one long, two long, grams binary")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), "doc_id long, n long, one long, two long, grams binary")
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -117,7 +117,7 @@ def _classes(sets: DataFrame, p: Parameters) -> np.ndarray:
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("block", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())]))
 
-    counts = total(sets.select("grams").mapInArrow(run, SCHEMA), p.counters).astype(np.float64)
+    counts = total(sets.select("grams").mapInArrow(released(run), SCHEMA), p.counters).astype(np.float64)
     mean = counts.mean()
     above = np.maximum(counts - max(p.few, mean + 4 * np.sqrt(mean)), 0)
     return np.ceil(np.log2(1 + above)).astype(np.uint8)
@@ -146,7 +146,7 @@ def _heads(sets: DataFrame, shared, p: Parameters) -> DataFrame:
             arrays = [*batch.columns[:4], pa.array(mix(np.array(groups, np.uint64)).view(np.int64)), pa.array(rare, pa.int64()), pa.array(prefixes, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *SAME, "gid", "rare", "prefix"])
 
-    return sets.mapInArrow(run, "doc_id long, n long, one long, two long, gid long, rare long, prefix binary")
+    return sets.mapInArrow(released(run), "doc_id long, n long, one long, two long, gid long, rare long, prefix binary")
 
 
 def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -228,9 +228,10 @@ def _pairs(heads: DataFrame, p: Parameters) -> DataFrame:
             tied.append(np.stack([x[:-1][near], x[1:][near]]))
         tied = np.concatenate(tied, axis=1)
         a, b, c = np.r_[a, tied[0]], np.r_[b, tied[1]], np.r_[shared, np.full(tied.shape[1], 1 << 40)]
+        release()
         return pd.DataFrame({"u": np.minimum(names[a], names[b]), "v": np.maximum(names[a], names[b]), "small": np.minimum(sizes[a], sizes[b]), "large": np.maximum(sizes[a], sizes[b]), "c": c})
 
-    posts = heads.where("n > 0 and doc_id is not null").select("gid", "n", "rare", "prefix").mapInArrow(post, "range int, posts binary")
+    posts = heads.where("n > 0 and doc_id is not null").select("gid", "n", "rare", "prefix").mapInArrow(released(post), "range int, posts binary")
     found = posts.groupBy("range").applyInPandas(pair, "u long, v long, small long, large long, c long")
     # what two similar sets share beyond their prefixes is in the rest of one of them
     rest = F.ceil(F.col("large") * p.percent / F.lit(100)) - 1
@@ -251,7 +252,7 @@ def _ties(heads: DataFrame, p: Parameters) -> DataFrame:
                 nodes = [mix(grams[held] ^ mix(bands + np.uint64(k))).view(np.int64) for k in (0, 1)]
                 yield pa.RecordBatch.from_arrays([pa.array(np.tile(gids[rows[held]], 2)), pa.array(np.concatenate(nodes))], names=["u", "v"])
 
-    return heads.where("n > rare and n > 0 and doc_id is not null").select("gid", "n", "rare", "prefix").mapInArrow(run, "u long, v long")
+    return heads.where("n > rare and n > 0 and doc_id is not null").select("gid", "n", "rare", "prefix").mapInArrow(released(run), "u long, v long")
 
 
 def shared_counts(sets: list[np.ndarray], few: int = 16) -> np.ndarray:
@@ -324,7 +325,7 @@ def _compared(blocks: DataFrame, p: Parameters) -> DataFrame:
 
     key = ["block", "low", "high"]
     dealt = blocks.select(*key, "side", "sid", *SAME, "copies", "grams").repartition(*key).sortWithinPartitions(*key)
-    return dealt.mapInArrow(run, ", ".join(f"{x} long" for x in names))
+    return dealt.mapInArrow(released(run), ", ".join(f"{x} long" for x in names))
 
 
 def join(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:

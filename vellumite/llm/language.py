@@ -26,7 +26,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from vellumite.llm.store import kept, small_batches
+from vellumite.llm.store import kept, released, small_batches
 from vellumite.llm.words import buffers
 
 UNDETERMINED = "und"
@@ -135,8 +135,8 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[str], p:
     """
     small_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(dictionaries)
-    kept = docs.select(*[F.col(c) for c in keep], F.col("text").alias("_text"))
-    fields = [*kept.schema.fields[:-1]]
+    rows = docs.select(*[F.col(c) for c in keep], F.col("text").alias("_text"))
+    fields = [*rows.schema.fields[:-1]]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = _classifier(shared.value, p)
@@ -150,4 +150,4 @@ def predict(docs: DataFrame, dictionaries: dict[str, bytes], keep: list[str], p:
     from pyspark.sql.types import BooleanType, DoubleType, StringType, StructField, StructType
 
     schema = StructType([*fields, StructField("lang_pred", StringType()), StructField("score", DoubleType()), StructField("accepted", BooleanType())])
-    return kept.mapInArrow(run, schema)
+    return rows.mapInArrow(released(run), schema)

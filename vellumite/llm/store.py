@@ -7,9 +7,13 @@ where that is unset (tests, a laptop) does the module choose one of its own.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,11 +70,34 @@ _kept: dict[str, dict] = {}
 
 def kept(owner: str) -> dict:
     """What a Python worker keeps between the tasks of one operator; what others have kept is let go, as workers outlive them."""
-    for other in [x for x in _kept if x != owner]:
+    others = [x for x in _kept if x != owner]
+    for other in others:
         del _kept[other]
+    if others:
+        release()
     return _kept.setdefault(owner, {})
 
 
+def release() -> None:
+    """Gives freed memory back to the system, where the C library can: workers live on beside those of the next stage."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
+def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that gives its memory back when it is done."""
+
+    def inner(batches: Iterator) -> Iterator:
+        yield from run(batches)
+        release()
+
+    return inner
+
+
 #: Rows in a batch between the JVM and Python; long texts make the default of 10,000 too large for an executor.
 BATCH_ROWS, BATCH_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
 

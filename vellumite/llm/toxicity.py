@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from vellumite.llm.counts import SCHEMA, to_blocks, total
-from vellumite.llm.store import Scratch, small_batches
+from vellumite.llm.store import Scratch, released, small_batches
 from vellumite.llm.words import PUNCTUATION, shingles, slices, split
 
 
@@ -125,7 +125,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -> M
     sample = sample.select("text", F.coalesce("_positive", F.lit(False)).alias("positive"))
     # of the sample's near copies one stays on each side, lest their common words pass for toxic ones
     scratch = Scratch(docs.sparkSession, "toxicity")
-    sample = scratch.write(sample.mapInArrow(_sketches, "text string, positive boolean, keys binary, sketch binary").withColumn("row", F.monotonically_increasing_id()), "all")
+    sample = scratch.write(sample.mapInArrow(released(_sketches), "text string, positive boolean, keys binary, sketch binary").withColumn("row", F.monotonically_increasing_id()), "all")
     # a fixed number of bytes for each text of the bounded sample
     gone = _copies(sample.select("row", "positive", "keys", "sketch").toArrow(), p)
     sample = sample.select("row", "text", "positive")
@@ -133,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -> M
         sample = sample.join(F.broadcast(docs.sparkSession.createDataFrame(pa.table({"row": pa.array(gone, pa.int64())}))), "row", "left_anti")
     sample = sample.select("text", "positive")
     size, levels = p.slots, len(LEVELS)
-    counted = total(sample.mapInArrow(_counter(p), SCHEMA), 2 * levels * size + 2)
+    counted = total(sample.mapInArrow(released(_counter(p)), SCHEMA), 2 * levels * size + 2)
     both, (n_positive, n_other) = counted[:-2].astype(np.float64).reshape(2, levels, size), counted[-2:].tolist()
     if not n_positive or not n_other:
         return nothing
@@ -141,7 +141,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -> M
     for k in range(levels):
         held[_surprising(both[0, k], both[1, k], n_positive, n_other, p)] = True
     # hashes that share a slot are told apart in the same sample
-    rows = sample.mapInArrow(_sparse(held, p), "positive boolean, hashes array<long>, counts array<int>").toArrow()
+    rows = sample.mapInArrow(released(_sparse(held, p)), "positive boolean, hashes array<long>, counts array<int>").toArrow()
     positive = np.array(rows["positive"].to_pylist(), bool)
     lengths = np.array([len(x) for x in rows["hashes"].to_pylist()], np.int64)
     flat = np.array(rows["hashes"].combine_chunks().flatten(), np.int64)
@@ -336,4 +336,4 @@ def score(docs: DataFrame, model: Model, keep: list[str], p: Parameters = Parame
                 found.append(1 / (1 + np.exp(-np.clip(g, -30, 30))))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(fields)], pa.array(np.concatenate(found), pa.float64())], names=[*[f.name for f in fields], "score"])
 
-    return kept.mapInArrow(run, StructType([*fields, StructField("score", DoubleType())]))
+    return kept.mapInArrow(released(run), StructType([*fields, StructField("score", DoubleType())]))
