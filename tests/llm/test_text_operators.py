@@ -14,10 +14,11 @@ import pyarrow as pa
 import pytest
 from tokenizers import Tokenizer
 
-from vellumite.llm import bpe, jaccard, language, lattice, packing, toxicity, words
+from vellumite.llm import bpe, jaccard, language, lattice, packing, queries, toxicity, words
 from vellumite.llm.components import components
 from vellumite.llm.store import Scratch
 
+DATA = "/root/testdata/sf0.001"
 WORD_BPE = public_tokenizers.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, score double"
 UP = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
@@ -202,8 +203,52 @@ def test_language_id(spark):
     assert language.predict(docs.limit(0), found, ["doc_id"]).collect() == []
 
 
+@pytest.mark.parametrize("text,words", [("½ ² Ⅷ 12 _", ""), ("नमस्ते, World!", "नमस्ते world"), ("Élan x²y", "élan x y"), ("\u0301", ""), ("", ""), ("日本2語", "日本 語")])
+def test_letters_make_words(text, words):
+    assert language.normalise(text) == words
+    assert language.Classifier({"aa": b" a ", "bb": b" b "}, language.Parameters()).predict(text)[0] != "und" if words else True
+
+
+def test_every_language_and_whole_texts_are_learned(spark):
+    rows = [(k, f"wort{k:03d}x " * 900 + "zuletzt", f"l{k:03d}", 0.0) for k in range(90)] + [(5, "wieder", "l005", 0.0)]
+    found = language.learn(spark.createDataFrame(rows, SCHEMA).withColumnRenamed("score", "n"))
+    assert sorted(found) == sorted({lang for *_, lang, _ in rows}) and all(b" zuletzt " in x for x in found.values()) and b" wieder " in found["l005"]
+    small = language.learn(spark.createDataFrame(rows, SCHEMA), language.Parameters(all_bytes=90 * 20))
+    assert all(len(x) <= 20 for x in small.values()) and len(small) == 90
+
+
+def test_languages_are_those_of_the_smallest_sizes(spark):
+    """The query's rows against every text compressed with every dictionary, one by one."""
+    import zstandard
+
+    docs = spark.read.parquet(f"{DATA}/documents.parquet")
+    rows = docs.collect()
+    held = {r["doc_id"]: zlib.crc32(str(r["doc_id"]).encode()) % 5 == 0 for r in rows}
+    counts: dict = {}
+    for r in rows:
+        if not held[r["doc_id"]] and r["lang"] is not None and r["text"]:
+            counts.setdefault(r["lang"], Counter()).update(re.findall(r"[^\W\d_²³¹¼½¾]+", r["text"].lower()))
+    p, made = language.Parameters(), {}
+    for lang, c in counts.items():
+        raw = f" {' '.join(sorted(c, key=lambda w: (c[w], w)))} ".encode()[-p.dictionary_bytes :]
+        how = zstandard.ZstdCompressionParameters.from_level(p.level, dict_size=len(raw), source_size=p.block_bytes, min_match=p.least_match, write_checksum=0, write_content_size=0, write_dict_id=0)
+        made[lang] = zstandard.ZstdCompressor(dict_data=zstandard.ZstdCompressionDict(raw, dict_type=zstandard.DICT_TYPE_RAWCONTENT), compression_params=how)
+    got = {r["doc_id"]: r for r in queries.language_id(spark, DATA).collect()}
+    assert len(got) == len(rows)
+    right = []
+    for r in rows:
+        raw = " ".join(re.findall(r"[^\W\d_²³¹¼½¾]+", (r["text"] or "").lower())).encode()
+        sizes = {lang: sum(len(c.compress(raw[k : k + p.block_bytes])) for k in range(0, len(raw), p.block_bytes)) for lang, c in made.items()}
+        order = sorted(sizes, key=lambda x: (sizes[x], x))
+        one = got[r["doc_id"]]
+        assert one["held_out"] == held[r["doc_id"]] and one["lang_pred"] == (order[0] if raw else "und")
+        assert one["accepted"] == (bool(raw) and sizes[order[1]] - sizes[order[0]] >= max(2, 0.02 * sizes[order[0]]))
+        right += [one["lang_pred"] == r["lang"]] * (held[r["doc_id"]] and one["accepted"])
+    assert len(right) > 20 and sum(right) >= 0.95 * len(right)
+
+
 def test_language_rejects_short_ties():
-    found = {"aa": language.dictionary(["kalo milo kami"] * 3, 1000), "bb": language.dictionary(["trungsch schtre ungsch"] * 3, 1000)}
+    found = {"aa": language.dictionary(Counter("kalo milo kami".split()), 1000), "bb": language.dictionary(Counter("trungsch schtre ungsch".split()), 1000)}
     both = language.Classifier(found, language.Parameters())
     assert [both.predict(x)[2] for x in ("x", "zzqxj wvyp", "kalo milo kami kalo kami")] == [False, False, True]
     one = language.Classifier({"aa": found["aa"]}, language.Parameters())

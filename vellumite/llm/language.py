@@ -1,87 +1,114 @@
 """Language identification by compression.
 
-For each language a zstandard raw-content dictionary is cut from a sample of labelled
-texts. A text is compressed in blocks with every dictionary; the language with the
-smallest total wins. Texts are reduced to lower-cased letters and single spaces first. A
+For each language a zstandard raw-content dictionary is made of a sample of labelled texts. A
+text is compressed in blocks with every dictionary; the language with the smallest total
+wins. Texts are reduced to lower-cased letters, with their marks, and single spaces first. A
 dictionary lists the words of its sample by how often they occur, the most frequent
-last, where matches are cheapest. A narrow margin between the two smallest rejects the text
-(``accepted`` is false) without changing the prediction.
-
-Defined cases: a null text, an empty one and one without a letter get ``und``, score 0,
-not accepted. Ties go to the alphabetically first language. Rows keep their number:
-repeated rows are predicted alike. With no labelled row at all every text gets ``und``.
-Rows are labelled where ``lang`` is not null.
+last, where matches are cheapest; whole texts are counted, on the executors. A narrow margin
+between the two smallest rejects the text (``accepted`` is false) without changing the
+prediction.
+
+Defined cases: a null text, an empty one and one without a letter (of Unicode's category L)
+get ``und``, score 0, not accepted. Ties go to the alphabetically first language, not
+accepted. Repeated rows are predicted alike, and each counts in learning. Very long texts are compressed
+whole, in blocks. An empty table gives an empty one. With no labelled row at all every text
+gets ``und``. Rows are labelled where ``lang`` is not null; every such label is learned.
+Columns to keep may have any names but those of the new ones, and ``_text``.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import sys
+import unicodedata
 from collections import Counter
-from collections.abc import Iterable, Iterator
+from collections.abc import Iterator, Mapping
 from dataclasses import dataclass
+from functools import cache
 
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from vellumite.llm.store import kept, released, small_batches
 from vellumite.llm.words import buffers
 
 UNDETERMINED = "und"
-_NO_LETTERS = re.compile(r"[\W\d_]+")
+#: The same as _others() for texts whose characters all lie below the combining marks.
+_BELOW_MARKS = re.compile(r"[\W\d_²³¹¼½¾]+")
+
+
+@cache
+def _others() -> re.Pattern:
+    """Runs of what is neither a letter nor a mark."""
+    parts, first, last = [], None, None
+    for c in range(sys.maxunicode + 1):
+        if unicodedata.category(chr(c))[0] in "LM":
+            if last != c - 1:
+                parts.append([c, c])
+            parts[-1][1] = last = c
+    return re.compile("[^" + "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in parts) + "]+")
 
 
 def normalise(text: str) -> str:
-    """The words of letters of a text, lower-cased, parted by single spaces."""
-    return _NO_LETTERS.sub(" ", text.lower()).strip()
+    """The words of letters of a text, lower-cased, parted by single spaces; empty without a letter."""
+    text = text.lower()
+    out = (_BELOW_MARKS if max(text, default="") < "\u0300" else _others()).sub(" ", text).strip()
+    return out if any(map(str.isalpha, out)) else ""
 
 
-def dictionary(sample: Iterable[str], size: int) -> bytes:
-    """The last ``size`` bytes of the sample's words in ascending order of frequency, ties in alphabetical order."""
-    counts: Counter[str] = Counter()
-    for text in sample:
-        counts.update(normalise(text).split())
+def dictionary(counts: Mapping[str, int], size: int) -> bytes:
+    """The last ``size`` bytes of words in ascending order of how often they occur, ties in alphabetical order."""
     words = sorted(counts, key=lambda w: (counts[w], w))
     return f" {' '.join(words)} ".encode()[-size:]
 
 
 @dataclass(frozen=True)
 class Parameters:
-    """sample_texts: expected texts read for each dictionary, sample_chars of each; the bound on what the driver collects. dictionary_bytes: of each dictionary.
+    """sample_texts: expected texts that a dictionary is made of, by a hash of doc_id. dictionary_bytes: of each dictionary, and all_bytes of all, which many languages share.
 
-    most_languages: bound on the labels learned. block_bytes: texts are compressed in whole blocks of this size.
-    least_margin: of the second smallest size over the smallest, below which a text of any size is rejected, and
-    least_bytes: the same in bytes, as sizes of short texts are coarse. With one language the second is the size without a dictionary.
+    block_bytes: texts are compressed in whole blocks of this size. least_margin: of the second smallest size over the smallest, below which a
+    text of any size is rejected, and least_bytes: the same in bytes, as sizes of short texts are coarse. With one language the second is the size without a dictionary.
     """
 
     sample_texts: int = 400
-    sample_chars: int = 4000
     dictionary_bytes: int = 32 << 10
-    most_languages: int = 64
+    all_bytes: int = 16 << 20
     block_bytes: int = 16384
     level: int = 6
     least_match: int = 3
-    least_margin: float = 0.003
+    least_margin: float = 0.02
     least_bytes: int = 2
     sharpness: float = 40.0
 
 
 def learn(labelled: DataFrame, p: Parameters = Parameters()) -> dict[str, bytes]:
-    """Dictionaries from ``doc_id``, ``text``, ``lang``; rows are taken by a hash of doc_id, at most a bounded number expected."""
+    """Dictionaries of all languages from ``doc_id``, ``text``, ``lang``."""
+    small_batches(labelled.sparkSession)
     labelled = labelled.where("lang is not null and text is not null and text <> ''")
-    counts = {r["lang"]: r["n"] for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(p.most_languages).collect()}
-    if not counts:
-        return {}
-    rate = F.lit(0.0)
-    for lang, n in counts.items():
-        rate = F.when(F.col("lang") == lang, F.lit(min(1.0, p.sample_texts / n))).otherwise(rate)
+    rows = labelled.groupBy("lang").agg(F.count("*").alias("n"))
+    size = min(p.dictionary_bytes, p.all_bytes // max(1, rows.count()))
+    rates = rows.select("lang", (F.lit(float(p.sample_texts)) / F.col("n")).alias("rate"))
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
-    found: dict[str, list] = {}
-    for r in labelled.where(share < rate).select("lang", F.substring("text", 1, p.sample_chars).alias("text"), F.xxhash64("doc_id").alias("h")).collect():
-        found.setdefault(r["lang"], []).append((r["h"], r["text"]))
-    return {lang: dictionary((x for _, x in sorted(found[lang])), p.dictionary_bytes) for lang in sorted(found)}
+    sample = labelled.select("doc_id", "lang", "text").join(rates, "lang").where(share < F.col("rate")).select("lang", "text")
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[str, Counter[str]] = {}
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                counts.setdefault(lang, Counter()).update(normalise(text).split())
+        for lang, x in counts.items():
+            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(x), pa.string()), pa.array(x.keys(), pa.string()), pa.array(x.values(), pa.int64())], names=["lang", "word", "n"])
+
+    words = sample.mapInArrow(released(count), "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
+    # words have a byte and a space at least, so no more of them can stand in a dictionary
+    place = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("n"), F.desc("word")))
+    found: dict[str, dict[str, int]] = {}
+    for r in words.withColumn("place", place).where(F.col("place") <= size // 2).drop("place").toLocalIterator():
+        found.setdefault(r["lang"], {})[r["word"]] = r["n"]
+    return {lang: dictionary(found[lang], size) for lang in sorted(found)}
 
 
 class Classifier:
