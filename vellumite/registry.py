@@ -11,6 +11,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from vellumite import registry_docx
 from vellumite.functions import match
 from vellumite.functions import text as T
 from vellumite.operators import read
@@ -369,3 +370,6 @@ ORACLE_SQL["docx_scan"] = P + "SELECT doc_id, id, pos AS global_ordinal, style A
 ORACLE_SQL["docx_round_trip"] = P + """, ok AS (SELECT doc_id FROM p WHERE pos = 1 AND contains(text, 'e')),
 u AS (SELECT doc_id, pos * 10 AS k, CASE WHEN pos = 1 THEN replace(text, 'e', '[e]') ELSE text END AS text FROM p WHERE doc_id IN (SELECT doc_id FROM ok) UNION ALL SELECT doc_id, 11, 'X' FROM ok UNION ALL SELECT doc_id, 12, 'Y' FROM ok)
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY k) AS INTEGER) AS pos, text FROM u"""
+
+QUERIES |= registry_docx.QUERIES
+ORACLE_SQL |= registry_docx.ORACLE_SQL
