@@ -1,5 +1,7 @@
 """Operators on pages and vectors, the queries and the pipeline."""
 
+from html.parser import HTMLParser
+
 import numpy as np
 import pytest
 
@@ -22,12 +24,60 @@ WORDS = "word " * 40
         ("<script>var a='<p>no</p>'</script><style>p{}</style><!-- <p>no</p> --><main><p>yes</main>", "yes"),
         ("<div class=ad>never closed<article><p>yes</p></article>", "yes"),
         ("<article></article>", ""),
+        ('<article><p title="a>hello</p><p data-x=don\'t>there</p><p title="a > b" class=x>you</p></article>', "hello\n\nthere\n\nyou"),
+        ('<article><p title="open>one</p><p><a href="y">two</a></p></article>', "one\n\ntwo"),
+        ("<article><p>a <math><mi>x</mi></math> b</p><noscript><p>c</p></noscript><object><p>d</p></object></article>", "a x b\n\nc\n\nd"),
+        ('<article><p class="share-price">1.5</p><p class="note related">see</p><p class="ad">buy</p><div class="share-buttons">x</div><div class="post-comments big">y</div><p>z</p></article>', "1.5\n\nsee\n\nz"),
+        (f"<p>{WORDS}</p><nav><a>x</a></nav><p>Short closing remark.</p>", f"{WORDS.strip()}\n\nShort closing remark."),
     ],
 )
 def test_main_text(page, text):
     assert html.extract(page) == text
 
 
+class Reader(HTMLParser):
+    """The blocks of articles, read by the standard library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.inside, self.raw, self.blocks, self.now = 0, 0, [], ""
+
+    def close_block(self):
+        if self.now.split():
+            self.blocks.append(" ".join(self.now.split()))
+        self.now = ""
+
+    def handle_starttag(self, tag, attrs):
+        self.inside += tag == "article"
+        self.raw += tag in ("script", "style")
+        if tag == "br":
+            self.now += " "
+        elif tag not in ("b", "i", "a", "em", "span"):
+            self.close_block()
+
+    def handle_endtag(self, tag):
+        self.raw -= tag in ("script", "style")
+        if tag not in ("b", "i", "a", "em", "span"):
+            self.close_block()
+        self.inside -= tag == "article"
+
+    def handle_data(self, data):
+        if self.inside and not self.raw:
+            self.now += data
+
+
+def test_main_text_is_what_another_parser_reads(spark):
+    """The query's rows of the given pages, all of which mark an article without asides in it."""
+    pages = {r["page_id"]: r for r in spark.read.parquet(f"{DATA}/pages.parquet").collect()}
+    got = queries.line_block_text(spark, DATA).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        reader = Reader()
+        reader.feed(pages[r["page_id"]]["html"])
+        reader.close_block()
+        assert r["text"] == "\n\n".join(reader.blocks) and r["n_chars"] == len(r["text"]) and r["url"] == pages[r["page_id"]]["url"]
+
+
 def test_lines_of_links_dive_in_a_marked_article():
     links = "".join(f"<p><a href=x>A story much like this one, {k}</a></p>" for k in range(4))
     assert html.extract(f"<article><p>{WORDS}</p><div class=xyz>{links}</div><p>End.</p></article>") == f"{WORDS.strip()}\n\nEnd."

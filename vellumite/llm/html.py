@@ -18,7 +18,9 @@ Character references are decoded; white space within a block becomes one space;
 trimmed and joined by two newlines. Nothing else is dropped or cut.
 
 Defined cases: null or empty html, or a page with no text, gives the empty string. Unclosed
-and stray tags are allowed. Repeated rows are extracted each.
+and stray tags and quotes are allowed. Ties cannot arise but in the main container, where the
+innermost wins. Repeated rows are extracted each, and very long pages whole. An empty table
+gives an empty one. Columns to keep may have any names but ``text`` and ``n_chars``.
 """
 
 from __future__ import annotations
@@ -34,13 +36,19 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType, StringType, StructField, StructType
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s>/]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|\Z)", re.S)
+from vellumite.llm.store import small_batches
+
+#: A quote counts only where a value begins, and if what follows its end may follow a value; else it is a character like others.
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s>/]*)((?>=\s*\"[^\"]*\"(?=[\s/>])|=\s*'[^']*'(?=[\s/>])|[^>])*+)(?:>|\Z)", re.S)
 _ATTRIBUTE = re.compile(r"([A-Za-z-]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _NAME = re.compile(r"[A-Za-z][a-z]*")
 _BLOCKS = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead title tr ul".split())
-_RAW = frozenset("script style noscript template svg math textarea title iframe object canvas video audio".split())
+#: What stands in these is no text of the page: code, forms, graphics, other pages.
+_RAW = frozenset("script style template svg textarea title iframe".split())
 _SIDE_TAGS = frozenset("nav footer aside form head menu dialog select button".split())
 _SIDE_WORDS = frozenset("ad ads advert adverts advertisement advertising alert banner breadcrumb breadcrumbs comment comments cookie cookies consent disqus footer form masthead menu modal nav navbar navigation newsletter notice notices notification pagination popup promo promoted promotion related reply replies respond search share sharing sidebar social sponsor sponsored subscribe subscription toolbar widget".split())
+#: Words that say no more than where or how an element stands: beside a word of the list above they leave it one of a side element.
+_LAYOUT_WORDS = frozenset("area article articles bar block bottom box button buttons col column container content entry group heading inline inner item items label left link links list main mobile module outer page panel post posts right row section signup site slot small story title top unit wide wrap wrapper".split())
 _SIDE_ROLES = frozenset("navigation banner contentinfo complementary search form menu menubar dialog alert alertdialog".split())
 _CONTAINERS = frozenset("blockquote center details div dl fieldset figure ol section table td ul".split())
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -55,16 +63,28 @@ class Parameters:
     links: float = 0.6
 
 
+def _beside(token: str, inside: bool) -> bool:
+    """Whether a class or id names a side element: by words of the list, and none beside them but those of layout; outside of a marked article by any word of the list."""
+    words = [x.lower() for x in _NAME.findall(token)]
+    side = [x in _SIDE_WORDS or x == "header" and not inside for x in words]
+    return any(side) and (not inside or all(y or x in _LAYOUT_WORDS for x, y in zip(words, side, strict=True)))
+
+
 def _aside(tag: str, attributes: str, inside: bool) -> bool:
-    """Whether an element is not part of the text; ``inside``: it is in the marked article."""
+    """Whether an element is not part of the text; ``inside``: it is in the marked article.
+
+    There an element of running text is beside the text only if all its class names say so, any other if one does.
+    """
     if tag in _SIDE_TAGS or tag == "header" and not inside:
         return True
     if not attributes.strip() or tag in ("body", "html", "article", "main"):
         return False
     for m in _ATTRIBUTE.finditer(attributes):
         name, value = m[1].lower(), next((x for x in m.groups()[1:] if x is not None), "")
-        if name in ("class", "id") and any(x.lower() in _SIDE_WORDS or x.lower() == "header" and not inside for x in _NAME.findall(value)):
-            return True
+        if name in ("class", "id"):
+            found = [_beside(x, inside) for x in value.split()]
+            if found and (all(found) if inside and tag not in _CONTAINERS else any(found)):
+                return True
         if name == "role" and value.lower() in _SIDE_ROLES or name == "hidden" or name == "aria-hidden" and value.lower() == "true":
             return True
     return False
@@ -188,6 +208,7 @@ def extract(page: str | None, p: Parameters = Parameters()) -> str:
 
 def main_text(pages: DataFrame, keep: list[str], p: Parameters = Parameters()) -> DataFrame:
     """The columns ``keep`` of ``pages``, ``text`` and ``n_chars``, from the column ``html``."""
+    small_batches(pages.sparkSession)
     kept = pages.select(*keep, F.col("html").alias("_html"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
