@@ -25,8 +25,6 @@ import hashlib
 import json
 import re
 import unicodedata
-from array import array
-from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +34,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BinaryType, LongType, StringType, StructField, StructType
 
-from vellumite.llm.store import kept, small_batches
+from vellumite.llm.store import kept, released, small_batches
 from vellumite.llm.words import Lookup, Words, buffers, hashed, mix, slices, split
 
 #: The pattern by which the tokenizer's file splits words.
@@ -151,15 +149,14 @@ class Automaton:
 
     def ready(self) -> Automaton:
         """Prepares single look-ups; for each worker after unpickling."""
-        self.cut_from, self.cut_to = array("q", np.asarray(self.cut_from).tobytes()), array("q", np.asarray(self.cut_to).tobytes())
         self.known: dict[int, bool] = {}
         return self
 
     def follows(self, key: int) -> bool:
         """Whether a state has an arc; ``key``: the state times the size of its band, plus the arc's number."""
-        k = bisect_right(self.cut_from, key) - 1
-        found = k < 0 or self.cut_to[k] <= key
-        if len(self.known) >= 250_000:
+        k = int(np.searchsorted(self.cut_from, key, side="right")) - 1
+        found = k < 0 or int(self.cut_to[k]) <= key
+        if len(self.known) >= 50_000:
             self.known.clear()
         self.known[key] = found
         return found
@@ -224,7 +221,7 @@ class Table:
         self.cut_from, self.cut_to = (np.array(x, np.int64) for x in (automaton.cut_from, automaton.cut_to))
         self.band = size + 1
         of = {c: b for b, c in enumerate(byte_symbols())}
-        self.known = np.full(1 << 20, -1, np.int64), np.zeros(1 << 20, bool)
+        self.known = np.full(1 << 18, -1, np.int64), np.zeros(1 << 18, bool)
         # of arcs within a word, and of those at its end
         self.tables = []
         for last in (False, True):
@@ -419,14 +416,14 @@ class UnitStore:
     No token crosses a unit's end, and A-Z are lower-cased as in the hashes, so a unit's tokens do not depend on where it stands.
     """
 
-    def __init__(self, tokenizer: Tokenizer, most: int = 2_000_000) -> None:
+    def __init__(self, tokenizer: Tokenizer, most: int = 1_000_000) -> None:
         self.tokenizer, self.most = tokenizer, most
         self.clear()
 
     def clear(self) -> None:
-        nothing = np.zeros(0, np.uint64), np.zeros(0, np.int64)
+        nothing = np.zeros(0, np.uint64), np.zeros(0, np.int32)
         self.main, self.recent = nothing, nothing
-        self.flat, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.flat, self.begin, self.size = np.zeros(0, np.uint32), np.zeros(0, np.int32), np.zeros(0, np.int32)
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
         """The rows of ``hashes``; -1 for unknown ones."""
@@ -462,14 +459,14 @@ class UnitStore:
             flat = np.insert(flat, at, [t for _, t in fixed])
             counts[[k for k, _ in fixed]] = 1
         sizes = np.bincount(np.array(owner, np.int64), weights=counts, minlength=len(new)).astype(np.int64)
-        rows = len(self.size) + np.arange(len(new))
-        self.begin = np.r_[self.begin, len(self.flat) + np.cumsum(sizes) - sizes]
-        self.size = np.r_[self.size, sizes]
+        rows = (len(self.size) + np.arange(len(new))).astype(np.int32)
+        self.begin = np.r_[self.begin, (len(self.flat) + np.cumsum(sizes) - sizes).astype(np.int32)]
+        self.size = np.r_[self.size, sizes.astype(np.int32)]
         self.flat = np.r_[self.flat, flat]
         hashes = np.fromiter(new.keys(), np.uint64, len(new))
         self.recent = self._merged(self.recent, (hashes, rows))
         if len(self.recent[0]) > 200_000:
-            self.main, self.recent = self._merged(self.main, self.recent), (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+            self.main, self.recent = self._merged(self.main, self.recent), (np.zeros(0, np.uint64), np.zeros(0, np.int32))
 
     @staticmethod
     def _merged(a: tuple, b: tuple) -> tuple[np.ndarray, np.ndarray]:
@@ -498,7 +495,7 @@ class UnitStore:
         ids, sizes = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         for firsts, hashes, of in parts:
             rows = self.find(hashes)[of]
-            size = self.size[rows]
+            size = self.size[rows].astype(np.int64)
             ends = np.append(0, np.cumsum(size))
             ids.append(self.flat[np.repeat(self.begin[rows] - ends[:-1], size) + np.arange(ends[-1])])
             sizes.append(np.diff(ends[firsts]))
@@ -551,7 +548,7 @@ def digest(docs: DataFrame, tokenizer_path: str) -> DataFrame:
                 decoded.append(hashlib.sha256(b" ".join(map(labels.__getitem__, tokens))).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.diff(at), pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return rows.mapInArrow(run, StructType([rows.schema["doc_id"], StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]))
+    return rows.mapInArrow(released(run), StructType([rows.schema["doc_id"], StructField("n_tokens", LongType()), StructField("ids_sha256", StringType()), StructField("decoded_sha256", StringType())]))
 
 
 def encode(docs: DataFrame, tokenizer_path: str, keep: list[str], end: int | None = None) -> DataFrame:
@@ -569,7 +566,7 @@ def encode(docs: DataFrame, tokenizer_path: str, keep: list[str], end: int | Non
             column = pa.Array.from_buffers(pa.binary(), len(batch), [None, pa.py_buffer((at * 4).astype(np.int32).tobytes()), pa.py_buffer(ids.astype("<u4").tobytes())])
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], column], names=[*keep, "ids"])
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], StructField("ids", BinaryType())]))
+    return rows.mapInArrow(released(run), StructType([*rows.schema.fields[:-1], StructField("ids", BinaryType())]))
 
 
 def decode(tokens: DataFrame, tokenizer_path: str, keep: list[str]) -> DataFrame:
@@ -583,4 +580,4 @@ def decode(tokens: DataFrame, tokenizer_path: str, keep: list[str]) -> DataFrame
             texts = [None if x is None else " ".join(map(tokenizer.label, np.frombuffer(x, "<u4").tolist())) for x in batch.column(len(keep)).to_pylist()]
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(keep)], pa.array(texts, pa.string())], names=[*keep, "text"])
 
-    return rows.mapInArrow(run, StructType([*rows.schema.fields[:-1], StructField("text", StringType())]))
+    return rows.mapInArrow(released(run), StructType([*rows.schema.fields[:-1], StructField("text", StringType())]))

@@ -22,7 +22,7 @@ _BYTE[65:91] = _BYTE[97:123]
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INVERSE = pow(_BASE, -1, 2**64)
 #: Texts are handled in slices of about this many bytes, so that the 64-bit work arrays stay small.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 19
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
