@@ -39,12 +39,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
-from vellumite.llm.store import Scratch, small_batches
+from vellumite.llm.store import Scratch, kept, release, released, small_batches
 from vellumite.llm.words import Lookup, buffers, mix, powers, slices, split
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Natural log-probability that the pieces' part gives to a text's end, which no piece spells.
 _END = -20.0
+#: Words whose lattices are held at a time.
+_WORDS = 8_000
 
 
 @dataclass(frozen=True)
@@ -59,7 +61,7 @@ class Parameters:
     discount: float = 0.6
     prior: float = 20.0
     rounds: int = 3
-    range_bytes: int = 48 << 20
+    range_bytes: int = 16 << 20
 
 
 class Pieces:
@@ -203,7 +205,7 @@ class Model:
 
     def values(self, words: list[str], counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """log10 probabilities by the base formula, and by each kind; ``counts`` by kind (rows) and word."""
-        spelt = [self.pieces.lattice(words[k : k + 20_000]).marginals(self.arcs) for k in range(0, len(words), 20_000)]
+        spelt = [self.pieces.lattice(words[k : k + _WORDS]).marginals(self.arcs) for k in range(0, len(words), _WORDS)]
         return self._values(np.concatenate([np.zeros((len(self.arcs), 0)), *spelt], axis=1), counts)
 
     def end(self) -> tuple[np.ndarray, np.ndarray]:
@@ -247,9 +249,12 @@ def _counts(train: DataFrame, kinds: list[str | None], ranges: int) -> DataFrame
     number = {x: k for k, x in enumerate(kinds)}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept("lattice")
         counts: list[Counter] = [Counter() for _ in kinds]
 
         def out(k: int) -> Iterator[pa.RecordBatch]:
+            if not counts[k]:
+                return
             words, times = list(counts[k]), np.array(list(counts[k].values()), "<i8")
             counts[k].clear()
             for r, at, lines in _by_range(words, ranges):
@@ -260,7 +265,8 @@ def _counts(train: DataFrame, kinds: list[str | None], ranges: int) -> DataFrame
             for a, b, kind in zip(at[:-1].tolist(), at[1:].tolist(), batch.column(1).to_pylist(), strict=True):
                 k = number[kind]
                 counts[k].update(data[a:b].tobytes().translate(_LOWER).split())
-                if len(counts[k]) > 300_000:
+            if sum(map(len, counts)) > 150_000:
+                for k in range(len(kinds)):
                     yield from out(k)
         for k in range(len(kinds)):
             yield from out(k)
@@ -275,9 +281,10 @@ def _counts(train: DataFrame, kinds: list[str | None], ranges: int) -> DataFrame
         table = np.array([[x.get(w, 0) for w in words] for x in by], np.int64).reshape(len(kinds), len(words))
         every = np.vstack([table, table.sum(0)])
         sizes = np.bincount(_size(every[-1]), minlength=_SIZES)
+        release()
         return pd.DataFrame({"range": rows["range"].iloc[:1], "words": [b"\n".join(words)], "counts": [table.astype("<i8").tobytes()], "tokens": [every.sum(1).tolist()], "types": [(every > 0).sum(1).tolist()], "sizes": [sizes.tolist()]})
 
-    found = train.select("text", "kind").mapInArrow(run, "range int, kind int, words binary, counts binary")
+    found = train.select("text", "kind").mapInArrow(released(run), "range int, kind int, words binary, counts binary")
     return found.groupBy("range").applyInPandas(merge, "range int, words binary, counts binary, tokens array<long>, types array<long>, sizes array<long>")
 
 
@@ -313,14 +320,14 @@ def _estimate(table: DataFrame, shared, kinds: int, width: int) -> np.ndarray:
                 times = np.log2(counts.sum(0) + 1.0)
                 for k in range(kinds):
                     of = np.flatnonzero(kind == k)
-                    for j in range(0, len(of), 20_000):
-                        some = of[j : j + 20_000]
+                    for j in range(0, len(of), _WORDS):
+                        some = of[j : j + _WORDS]
                         sums[k] += pieces.lattice([words[i] for i in some.tolist()]).expected(arcs[k], times[some])
         k, x = np.nonzero(sums)
         yield pa.RecordBatch.from_arrays([pa.array(k.astype(np.int32)), pa.array(x.astype(np.int32)), pa.array(sums[k, x])], names=["kind", "piece", "x"])
 
     # as many rows as the vocabulary has pieces, for each kind
-    found = table.select("words", "counts").mapInArrow(run, "kind int, piece int, x double").groupBy("kind", "piece").agg(F.sum("x").alias("x")).toPandas()
+    found = table.select("words", "counts").mapInArrow(released(run), "kind int, piece int, x double").groupBy("kind", "piece").agg(F.sum("x").alias("x")).toPandas()
     out = np.zeros((kinds, width))
     out[found["kind"].to_numpy(np.int64), found["piece"].to_numpy(np.int64)] = found["x"]
     return out
@@ -363,7 +370,7 @@ def _frequent(table: DataFrame, model, kinds: int, p: Parameters) -> dict[str, n
                     values = np.vstack(model.value.values(words, counts[:, some]))
                     yield pa.RecordBatch.from_arrays([pa.array([_hashed([w.encode() for w in words]).tobytes()], pa.binary()), pa.array([values.tobytes()], pa.binary())], names=["hashes", "values"])
 
-    found = table.select("words", "counts").mapInArrow(run, "hashes binary, values binary").toLocalIterator()
+    found = table.select("words", "counts").mapInArrow(released(run), "hashes binary, values binary").toLocalIterator()
     hashes, values = [np.zeros(0, np.uint64)], [np.zeros((kinds + 1, 0))]
     for r in found:
         hashes.append(np.frombuffer(r["hashes"], np.uint64))
@@ -375,7 +382,7 @@ def _frequent(table: DataFrame, model, kinds: int, p: Parameters) -> dict[str, n
 
 def _looked_up(docs: DataFrame, keep: list[str], frequent, end: np.ndarray, names: list[str]) -> DataFrame:
     """The columns ``keep``, what frequent words and the end add up to, and the other words of each text."""
-    kept = docs.select(*keep, F.col("text").alias("_text"))
+    texts = docs.select(*keep, F.col("text").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, values = frequent.value["hashes"], frequent.value["values"]
@@ -397,7 +404,7 @@ def _looked_up(docs: DataFrame, keep: list[str], frequent, end: np.ndarray, name
                 yield pa.RecordBatch.from_arrays([*(x.slice(a, n) for x in batch.columns[: len(keep)]), *new, texts], names=[*keep, "n_tokens", "n_known", *names, "_rest"])
 
     added = [*(StructField(x, LongType()) for x in ("n_tokens", "n_known")), *(StructField(x, DoubleType()) for x in names), StructField("_rest", StringType())]
-    return kept.mapInArrow(run, StructType([*kept.schema.fields[:-1], *added]))
+    return texts.mapInArrow(released(run), StructType([*texts.schema.fields[:-1], *added]))
 
 
 def _asked(rows: DataFrame, ranges: int) -> DataFrame:
@@ -419,7 +426,7 @@ def _asked(rows: DataFrame, ranges: int) -> DataFrame:
                 mine = here >= 0
                 yield pa.RecordBatch.from_arrays([pa.array([r], pa.int32()), *(pa.array([x], pa.binary()) for x in (lines, ids[row[mine]].tobytes(), here[mine].astype("<i4").tobytes(), times[mine].astype("<i4").tobytes())), pa.array(ids[:1])], names=["range", "asked", "rows", "places", "times", "batch"])
 
-    return rows.select("_row", "_rest").where("_rest <> ''").mapInArrow(run, "range int, asked binary, rows binary, places binary, times binary, batch long")
+    return rows.select("_row", "_rest").where("_rest <> ''").mapInArrow(released(run), "range int, asked binary, rows binary, places binary, times binary, batch long")
 
 
 def _answered(asked: DataFrame, table: DataFrame, model, kinds: int, names: list[str]) -> DataFrame:
@@ -440,6 +447,7 @@ def _answered(asked: DataFrame, table: DataFrame, model, kinds: int, names: list
             which = np.array(mine, np.int64)[np.frombuffer(places, "<i4")]
             times = np.frombuffer(times, "<i4")
             out.append((batch, rows.tobytes(), b"".join(np.bincount(of, weights=x[which] * times, minlength=len(rows)).tobytes() for x in values)))
+        release()
         return pd.DataFrame(out, columns=["batch", "rows", "sums"])
 
     def add(answers: pd.DataFrame) -> pd.DataFrame:
