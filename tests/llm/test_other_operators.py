@@ -4,6 +4,7 @@ from html.parser import HTMLParser
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 import corpus_pipeline
 from vellumite.llm import hnsw, html, neardup, queries, urls
@@ -167,9 +168,33 @@ def test_hnsw(spark):
     assert set(got) == {i for i in good if i % 5 == 0}
     few = table.where("vec_id < 3")
     assert hnsw.nearest(few, few, p).count() == 6
+    same = spark.createDataFrame([(k, [1.0, 2.0], 0) for k in range(200)] + [(900, [2.0, 1.0], 0)], "vec_id long, embedding array<double>, label int")
+    ties = {}
+    for r in hnsw.nearest(same, same.where("vec_id % 50 = 0"), hnsw.Parameters(shard=30)).orderBy("rank").collect():
+        ties.setdefault(r["query_id"], []).append(r["vec_id"])
+    assert ties == {q: [k for k in range(6) if k != q][:5] for q in (0, 50, 100, 150)} | {900: [0, 1, 2, 3, 4]}
     assert hnsw.nearest(table.limit(0), table.limit(0), p).collect() == []
 
 
+def test_hnsw_recall_of_the_query(spark):
+    """The query's rows against brute force on the original vectors."""
+    sf_dir = "/root/testdata/sf0.1"
+    rows = spark.read.parquet(f"{sf_dir}/embeddings.parquet").collect()
+    good = [r for r in rows if r["embedding"] and all(c is not None and np.isfinite(c) for c in r["embedding"]) and any(r["embedding"])]
+    ids, x = np.array([r["vec_id"] for r in good]), np.array([r["embedding"] for r in good], np.float64)
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    got = {}
+    for r in queries.hnsw_search(spark, sf_dir).collect():
+        got.setdefault(r["query_id"], []).append(r["score"])
+    assert set(got) == set(ids[ids % 50 == 0].tolist())
+    hits = []
+    for k in np.flatnonzero(ids % 50 == 0):
+        near = x @ x[k]
+        near[k] = -9
+        hits += [s >= np.sort(near)[-5] - 1e-9 for s in got[ids[k]]]
+    assert len(hits) == 5 * len(got) and np.mean(hits) >= 0.9
+
+
 def test_urls(spark):
     rows = [(1, "http://a.ORG/x", "h"), (2, "https://b.example.org/es/1?q", "h"), (3, "https://example.org/en/12", "h"), (4, "x://example.org/en/2#f", "h"), (5, "http://m.com/de/", "h"), (6, "http://m.com/fr/", "h"), (7, None, "h"), (8, "no scheme", "h"), (9, "http://evil.net", "h"), (10, "http://notexample.org/es/", "h"), (10, "http://notexample.org/es/", "h"), (11, "http://org", "h")]
     pages = spark.createDataFrame(rows, "page_id long, url string, bound string")
@@ -183,6 +208,20 @@ def test_urls(spark):
     assert urls.judge(pages.limit(0), ["page_id"]).collect() == []
 
 
+@pytest.mark.parametrize("host,site,domain,suffix", [("a.b.co.uk", "a.b.co.uk", "b.co.uk", "co.uk"), ("co.uk", "co.uk", "co.uk", "co.uk"), ("x.example.org:8080", "x.example.org", "example.org", "org"), ("me:pw@example.com.", "example.com", "example.com", "com"), ("10.0.0.1:80", "10.0.0.1", "10.0.0.1", "10.0.0.1"), ("localhost", "localhost", "localhost", "localhost"), ("", "", "", ""), ("www.com.de", "www.com.de", "www.com.de", "com.de")])
+def test_registered_domains(spark, host, site, domain, suffix):
+    df = spark.createDataFrame([(host,)], "host string").select(urls.site(F.col("host")).alias("s"))
+    d, x = urls.domain_and_suffix(F.col("s"))
+    assert tuple(df.select("s", d, x).first()) == (site, domain, suffix)
+
+
+def test_hosts_below_a_country_do_not_pool(spark):
+    rows = [(k, f"http://bad.co.uk/de/{k}") for k in range(60)] + [(100 + k, f"http://good.co.uk/fr/{k}") for k in range(60)] + [(300, "http://new.bad.co.uk/"), (301, "http://good.co.uk:81/en/")]
+    rules = (("block", "uk", "/de/"), ("allow", "uk", "/fr/"))
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string"), ["page_id"], rules).collect()}
+    assert (got[300], got[301]) == ("block", "allow")
+
+
 def test_bad_hosts_are_blocked_and_good_ones_are_not(spark):
     rows = [(k, f"http://bad.com/de/{k}") for k in range(60)] + [(100 + k, f"http://good.com/fr/{k}") for k in range(60)] + [(300, "http://bad.com/en/"), (301, "http://good.com/en/"), (302, "http://new.com/en/")]
     pages = spark.createDataFrame(rows, "page_id long, url string")

@@ -24,8 +24,9 @@ b AS (SELECT page_id, coalesce(rest, '') AS rest, regexp_extract(coalesce(rest,
 c AS (SELECT page_id, translate(raw, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(raw) + 1), '^[^?#]*') AS path FROM b),
 rules AS (SELECT * FROM (VALUES ('allow', 'org', '/'), ('block', 'example.org', '/es/'), ('block', 'example.org', '/en/1'), ('allow', 'com', '/fr/'), ('block', 'com', '/de/')) r(verdict, h, p)),
 fits AS (SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS ruled FROM (SELECT DISTINCT page_id, host, path FROM c) c JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id),
-d AS (SELECT c.*, rule, ruled FROM c LEFT JOIN fits USING (page_id)),
-hosts AS (SELECT host, count(ruled) AS n, coalesce(sum((ruled = 'block')::INT), 0) AS b, array_to_string(string_split(host, '.')[-2:], '.') AS domain, string_split(host, '.')[-1] AS suffix FROM d GROUP BY host),
+d AS (SELECT c.*, rule, ruled, regexp_replace(host, '^.*@|:[0-9]*$|\.+(:[0-9]*)?$', '', 'g') AS site FROM c LEFT JOIN fits USING (page_id)),
+labels_of AS (SELECT DISTINCT site, string_split(site, '.') AS l, CASE WHEN regexp_matches(site, '^[0-9]+(\.[0-9]+){3}$|^\[') THEN 0 WHEN regexp_matches(site, '(^|\.)(ac|co|com|edu|gob|gouv|gov|go|gv|mil|ne|net|nom|or|org|sch)\.[a-z][a-z]$') THEN 2 ELSE 1 END AS k FROM d),
+hosts AS (SELECT d.site AS host, count(ruled) AS n, coalesce(sum((ruled = 'block')::INT), 0) AS b, any_value(CASE k WHEN 0 THEN d.site WHEN 2 THEN array_to_string(l[-3:], '.') ELSE array_to_string(l[-2:], '.') END) AS domain, any_value(CASE k WHEN 0 THEN d.site WHEN 2 THEN array_to_string(l[-2:], '.') ELSE l[-1] END) AS suffix FROM d JOIN labels_of USING (site) GROUP BY d.site),
 domains AS (SELECT domain, suffix, sum(n) AS n, sum(b) AS b FROM hosts GROUP BY ALL),
 suffixes AS (SELECT suffix, sum(n) AS n, sum(b) AS b FROM domains GROUP BY ALL),
 units AS (SELECT 1 AS lvl, n::DOUBLE AS n, b::DOUBLE AS b FROM suffixes WHERE n > 0 UNION ALL SELECT 2, n, b FROM domains WHERE n > 0 UNION ALL SELECT 3, n, b FROM hosts WHERE n > 0),
@@ -35,5 +36,5 @@ k AS (SELECT l.lvl, CASE WHEN j >= 2 AND b > 0 AND b < n AND v > 0 THEN least(10
 s2 AS (SELECT suffix, (b + k * ((SELECT sum(b) FROM suffixes) + 1) / ((SELECT sum(n) FROM suffixes) + 2)) / (n + k) AS above FROM suffixes, k WHERE lvl = 1),
 d2 AS (SELECT domain, (b + k * above) / (n + k) AS prior FROM domains JOIN s2 USING (suffix), k WHERE lvl = 2),
 h2 AS (SELECT host, n, k, (b + k * prior) / (n + k) AS mean FROM hosts JOIN d2 USING (domain), k WHERE lvl = 3)
-SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN round(mean - 1.645 * sqrt(mean * (1 - mean) / (n + k + 1)), 9) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM d JOIN h2 USING (host)
+SELECT page_id, host, path, rule, coalesce(ruled, CASE WHEN round(mean - 1.645 * sqrt(mean * (1 - mean) / (n + k + 1)), 9) > 0.5 THEN 'block' ELSE 'allow' END) AS verdict FROM d JOIN (SELECT host AS site, * EXCLUDE (host) FROM h2) h USING (site)
 """

@@ -1,15 +1,19 @@
 """URL filter by empirical-Bayes host reputation, with explicit rules first.
 
 DataFrame functions only. Pages whose outcome is known (``blocked`` true or false) are
-counted by host, registered domain (the last two labels) and suffix (the last label). At
-each level the rate of blocked pages is shrunk towards the level above through a
+counted by site (the host without user and port), registered domain and suffix. The suffix is
+the last label, or the last two where a country's label follows one that many countries sell
+names under; the registered domain has one label more. An address of numbers is a domain and
+suffix of its own. At each level the rate of blocked pages is shrunk towards the level above through a
 beta-binomial prior, whose strength is fitted by moments from how the rates of the level's
 units spread. A host is blocked if the lower bound of its posterior rate lies above the
 threshold.
 
 Defined cases: a null url or one without ``://`` has an empty host and path, fits no rule
 and is judged on the overall prior of the empty suffix. With no known outcome all priors
-are even and nothing is blocked. Repeated rows are judged alike; each counts.
+are even and nothing is blocked. Repeated rows are judged alike; each counts. Of rules of one
+length the last in order of their texts wins. An empty table gives an empty one; urls of any
+length are read whole. Columns to keep may have any names but those of the new ones, ``_ruled`` and ``_site``.
 """
 
 from __future__ import annotations
@@ -36,6 +40,23 @@ class Parameters:
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
 
 
+#: Labels below which registries of many countries sell names.
+REGISTRY_LABELS = "ac|co|com|edu|gob|gouv|gov|go|gv|mil|ne|net|nom|or|org|sch"
+
+
+def site(host: Column) -> Column:
+    """A host without user, port and closing dots."""
+    return F.regexp_replace(host, r"^.*@|:[0-9]*$|\.+(:[0-9]*)?$", "")
+
+
+def domain_and_suffix(site: Column) -> tuple[Column, Column]:
+    """The registered domain and the suffix of a site."""
+    number = F.rlike(site, F.lit(r"^[0-9]+(\.[0-9]+){3}$|^\["))
+    two = F.rlike(site, F.lit(rf"(^|\.)({REGISTRY_LABELS})\.[a-z][a-z]$"))
+    last = lambda n: F.substring_index(site, ".", -n)
+    return F.when(number, site).when(two, last(3)).otherwise(last(2)), F.when(number, site).when(two, last(2)).otherwise(last(1))
+
+
 def host_and_path(url: Column) -> tuple[Column, Column]:
     """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, with A-Z lower-cased; then up to ``?``, ``#`` or the end."""
     at = F.instr(url, "://")
@@ -70,7 +91,8 @@ def _strength(units: DataFrame, p: Parameters) -> float:
 def reputations(outcomes: DataFrame, scratch: Scratch, p: Parameters = Parameters()) -> DataFrame:
     """``host`` and ``bound``, the lower posterior bound of its rate, for each host of ``outcomes`` (host, blocked; null: unknown)."""
     hosts = outcomes.groupBy("host").agg(F.count("blocked").alias("n"), F.coalesce(F.sum(F.col("blocked").cast("long")), F.lit(0)).alias("b"))
-    hosts = scratch.write(hosts.withColumns({"domain": F.substring_index("host", ".", -2), "suffix": F.substring_index("host", ".", -1)}), "hosts")
+    domain, suffix = domain_and_suffix(F.col("host"))
+    hosts = scratch.write(hosts.withColumns({"domain": domain, "suffix": suffix}), "hosts")
     domains = scratch.write(hosts.groupBy("domain", "suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b")), "domains")
     suffixes = scratch.write(domains.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("b").alias("b")), "suffixes")
     n, b = suffixes.agg(F.coalesce(F.sum("n"), F.lit(0)), F.coalesce(F.sum("b"), F.lit(0))).first()
@@ -88,7 +110,8 @@ def judge(pages: DataFrame, keep: list[str], rules=RULES, p: Parameters = Parame
     host, path = host_and_path(F.col("url"))
     pages = pages.select(*keep, host.alias("host"), path.alias("path"))
     name, verdict = rule(F.col("host"), F.col("path"), rules)
-    ruled = pages.withColumns({"rule": name, "_ruled": verdict})
-    found = reputations(ruled.select("host", (F.col("_ruled") == "block").alias("blocked")), Scratch(pages.sparkSession, "urls"), p)
+    ruled = pages.withColumns({"rule": name, "_ruled": verdict, "_site": site(F.col("host"))})
+    found = reputations(ruled.select(F.col("_site").alias("host"), (F.col("_ruled") == "block").alias("blocked")), Scratch(pages.sparkSession, "urls"), p)
+    found = found.withColumnRenamed("host", "_site")
     judged = F.when(F.col("bound") > p.threshold, "block").otherwise("allow")
-    return ruled.join(found, "host").select(*keep, "host", "path", "rule", F.coalesce("_ruled", judged).alias("verdict"), "bound")
+    return ruled.join(found, "_site").select(*keep, "host", "path", "rule", F.coalesce("_ruled", judged).alias("verdict"), "bound")
