@@ -48,6 +48,12 @@ def get_paragraph(paragraphs: DataFrame, paragraph_id: str, raw: bool = False) -
     return _scope(paragraphs, paragraph_id).select("doc_id", "id", _content(raw).alias("content"))
 
 
+def paragraph_not_found(paragraphs: DataFrame, paragraph_id: str) -> DataFrame:
+    """Documents that have no such paragraph."""
+    held = paragraphs.groupBy("doc_id").agg(F.bool_or(F.col("id") == paragraph_id).alias("held"))
+    return held.where("not held").select("doc_id", F.lit(paragraph_id).alias("target_id"), F.lit("paragraph_not_found").alias("error"))
+
+
 def visible_text(paragraphs: DataFrame, raw: bool = False) -> DataFrame:
     """Whole documents: texts joined by newlines, or raw paragraphs one after the other."""
     rows = F.array_sort(F.collect_list(F.struct("global_ordinal", _content(raw).alias("x"))))

@@ -1,19 +1,23 @@
-"""Batches of edits as a relational program, atomic for each document.
+"""Batches of edits, atomic for each document.
 
-``operations`` joins the paragraph relation; each document's first fault by input order
-refuses its whole batch, all other documents get their edits. Paragraph edits are joins,
-unions and one ordering by (anchor, slot, input order); several text edits on one paragraph
-see each other's results and are folded by an Arrow UDF, on edited paragraphs alone.
+Operations are gathered to one row for each document and joined to its paragraphs, so that a
+batch costs one move of the edited documents, and none of the others. Each document's first
+fault by input order refuses its whole batch, all other documents get their edits. A new
+paragraph's place follows from its anchor, a slot before, at or after it, and input order;
+text edits on one paragraph see each other's results.
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructField, StructType
 
 from vellumite.errors import InvalidContentError, preview
 from vellumite.functions import text as T
@@ -66,148 +70,164 @@ def chosen(found: list[tuple[int, int]], occurrence: int | None) -> tuple[list[t
     return ([found[occurrence]], None) if occurrence < len(found) else ([], "text_not_found")
 
 
-_EDITED = "text string, failed int, error string, steps array<struct<seq:int,before:string,after:string>>"
-
-
-def _fold(texts: pd.Series, ops: pd.Series) -> pd.DataFrame:
-    rows = []
-    for text, batch in zip(texts, ops, strict=True):
-        now, steps, failed, error = text, [], None, None
-        for o in batch:
+def _shape_fault(o: dict, known: set[str]) -> str | None:
+    """What is wrong with one operation by itself."""
+    op, targets = o["op"], _targets(o)
+    text = op in TEXT_OPS
+    if op not in (*PARAGRAPH_OPS, *TEXT_OPS, "delete_para"):
+        return "no such operation"
+    if op in PARAGRAPH_OPS and not o["items"]:
+        return "needs one item or more"
+    if op == "delete_para" and not targets:
+        return "needs one target or more"
+    if len({*targets}) < len(targets):
+        return "names a target twice"
+    if text and op != "delete_text" and o["content"] is None:
+        return "has either literal content or a reference"
+    if any(t not in known for t in targets):
+        return "no such paragraph"
+    if text and o["occurrence"] is not None and o["occurrence"] < -1:
+        return "occurrence is below -1"
+    if text and not o["regex"] and not o["find"]:
+        return "cannot search: an empty literal"
+    if o["regex"]:
+        try:
+            re.compile(o["find"] or "")
+        except re.error as e:
+            return f"cannot search: {e}"
+    return None
+
+
+def _targets(o: dict) -> list[str]:
+    return list(o["target_ids"] or ()) if o["op"] == "delete_para" else [o["target_id"]]
+
+
+def _clashes(group: list[dict]) -> list[int]:
+    """The operations to blame where operations on one paragraph exclude each other."""
+    by = {k: [o["seq"] for o in group if o["op"] == k] for k in ("replace_para", "delete_para", "insert_para_after")}
+    replaces, deletes, afters = by.values()
+    both = [max(replaces[0], deletes[0])] if replaces and deletes else []
+    return [*replaces[1:2], *deletes[1:2], *both, *(afters[:1] if deletes else [])]
+
+
+def edit_document(rows: list[dict], ops: list[dict]) -> tuple[list[dict], list[dict], dict | None]:
+    """One document's paragraphs (id, record_pos, style_id, text, in order) after its operations, their results, and the fault that refuses them all."""
+    ops = sorted(ops, key=lambda o: o["seq"])
+    by_id = {r["id"]: r for r in rows}
+    faults: list[tuple[int, int, str]] = []
+
+    def refused() -> tuple[list[dict], list[dict], dict]:
+        _, seq, reason = min(faults)
+        return rows, [], {"operation_index": seq, "op_id": next(o["op_id"] for o in ops if o["seq"] == seq), "reason": reason}
+
+    for o in ops:
+        if fault := _shape_fault(o, {*by_id}):
+            faults.append((0, o["seq"], f"{o['op']}: {fault}"))
+    if faults:
+        return refused()
+    # operations by the paragraph that they meet at, in the order of first use
+    groups: dict[str, list[dict]] = {}
+    for o in ops:
+        for t in _targets(o):
+            groups.setdefault(t, []).append(o)
+    rank = {t: k for k, t in enumerate(groups)}
+    faults += [(1, seq, "two operations exclude each other on one paragraph") for group in groups.values() for seq in _clashes(group)]
+    if faults:
+        return refused()
+    # a delete of several targets fires at the first one visited; what comes later to another of them finds it gone
+    for o in ops:
+        if o["op"] == "delete_para":
+            fires = min(rank[t] for t in _targets(o))
+            late = [[x["seq"] for x in groups[t] if x["op"] != "delete_para"] for t in _targets(o) if rank[t] > fires]
+            faults += [(2, x[0], "its paragraph is deleted before") for x in late if x]
+    # text edits see each other's results
+    texts: dict[str, str] = {}
+    steps: dict[int, tuple[str, str]] = {}
+    for t, group in groups.items():
+        now = by_id[t]["text"]
+        for o in group:
+            if o["op"] not in TEXT_OPS:
+                continue
             before = now
             pattern = re.compile(o["find"] if o["regex"] else re.escape(o["find"]), re.DOTALL)
             try:
                 content = "" if o["op"] == "delete_text" else plain(o["content"])
-                picked, error = chosen(find(pattern, now, True), None if pd.isna(o["occurrence"]) else int(o["occurrence"]))
+                picked, fault = chosen(find(pattern, now, True), o["occurrence"])
             except InvalidContentError as e:
-                picked, error = [], f"{e.code}: {e.reason}"
-            if error:
-                failed = o["seq"]
+                picked, fault = [], f"{e.code}: {e.reason}"
+            if fault:
+                faults.append((2, o["seq"], fault))
                 break
             for a, b in picked:
                 now = edited(now, o["op"], a, b, content)
-            steps.append({"seq": o["seq"], "before": preview(before), "after": preview(now)})
-        rows.append((now, failed, error, steps))
-    return pd.DataFrame(rows, columns=["text", "failed", "error", "steps"]).astype({"failed": "Int32"})
-
-
-def _invalid(patterns: pd.Series) -> pd.Series:
-    def reason(p: str | None) -> str | None:
-        try:
-            re.compile(p or "")
-        except re.error as e:
-            return str(e)
-        return None
-
-    return patterns.map(reason)
-
-
-def _shape_error(known: Column) -> Column:
-    """What is wrong with one operation by itself; ``known``: whether all its targets exist."""
-    op, n = F.col("op"), F.coalesce(F.size("target_ids"), F.lit(0))
-    para, text = op.isin(*PARAGRAPH_OPS), op.isin(*TEXT_OPS)
-    say = lambda s: F.concat(op, F.lit(f": {s}"))
-    return (
-        F.when(~(para | text | (op == "delete_para")), say("no such operation"))
-        .when(para & (F.coalesce(F.size("items"), F.lit(0)) < 1), say("needs one item or more"))
-        .when((op == "delete_para") & (n < 1), say("needs one target or more"))
-        .when((op == "delete_para") & (F.size(F.array_distinct("target_ids")) != n), say("names a target twice"))
-        .when(text & (op != "delete_text") & F.col("content").isNull(), say("has either literal content or a reference"))
-        .when(~known, say("no such paragraph"))
-        .when(text & (F.col("occurrence") < -1), say("occurrence is below -1"))
-        .when(text & ~F.coalesce("regex", F.lit(False)) & (F.coalesce(F.col("find"), F.lit("")) == ""), say("cannot search: an empty literal"))
-    )
+            steps[o["seq"]] = preview(before), preview(now)
+        texts[t] = now
+    if faults:
+        return refused()
+    gone = {t for o in ops if o["op"] in ("delete_para", "replace_para") for t in _targets(o)}
+    place = {r["id"]: k for k, r in enumerate(rows)}
+    last = max((int(r["id"][2:]) for r in rows if r["id"][2:].isdigit()), default=0)
+    made: dict[int, list[dict]] = {}
+    slots: dict[tuple[str, int], list[dict]] = {}
+    for t, group in groups.items():
+        for o in sorted((o for o in group if o["op"] in PARAGRAPH_OPS), key=lambda o: (_PHASE[o["op"]], o["seq"])):
+            style = by_id[t]["style_id"]
+            if o["op"] == "insert_para_before" and place[t]:
+                above = rows[place[t] - 1]["style_id"]
+                style = style if above is None else above
+            for item in o["items"]:
+                for text in T.expand_visible_text(item):
+                    last += 1
+                    row = {"id": f"p_{last:06d}", "style_id": style, "text": text}
+                    made.setdefault(o["seq"], []).append(row)
+                    slots.setdefault((t, _SLOT[o["op"]]), []).append(row)
+    after: list[dict] = []
+    for r in rows:
+        mine = [{"id": r["id"], "style_id": r["style_id"], "text": texts.get(r["id"], r["text"])}] if r["id"] not in gone else []
+        before, instead, behind = (slots.get((r["id"], k), []) for k in range(3))
+        after += [*before, *instead, *mine, *behind]
+    results = []
+    for o in ops:
+        new, (was, becomes) = made.get(o["seq"], []), steps.get(o["seq"], (None, None))
+        first = by_id[_targets(o)[0]]
+        results.append({"seq": o["seq"], "op_id": o["op_id"], "op": o["op"], "target_id": o["target_id"], "target_ids": _targets(o) if o["op"] == "delete_para" else [], "new_ids": [x["id"] for x in new], "before_preview": preview(first["text"]) if was is None else was, "after_previews": [preview(x["text"]) for x in new] or ([] if becomes is None else [becomes])})
+    return after, results, None
+
+
+_PHASE = {"insert_para_before": 0, "insert_para_after": 1, "replace_para": 2}
+_SLOT = {"insert_para_before": 0, "replace_para": 1, "insert_para_after": 2}
+_RESULT = "seq int, op_id string, op string, target_id string, target_ids array<string>, new_ids array<string>, before_preview string, after_previews array<string>"
+_KERNEL = f"rows array<struct<id:string,style_id:string,text:string>>, results array<struct<{_RESULT.replace(' string', ':string').replace(' int', ':int').replace(' array', ':array')}>>, error struct<operation_index:int,op_id:string,reason:string>"
 
 
 def apply(paragraphs: DataFrame, operations: DataFrame) -> Outcome:
-    """Edits ``paragraphs`` (see sources.corpus) by ``operations`` (OPERATIONS); ``seq`` orders a document's operations."""
+    """Edits ``paragraphs`` (see sources.corpus) by ``operations`` (OPERATIONS); ``seq`` orders a document's operations.
+
+    Paragraphs of documents without operations pass through and are not moved; of the others each document is gathered once and edited in one task.
+    """
     rows = paragraphs.select("doc_id", "id", "record_pos", "style_id", "text")
-    is_delete = F.col("op") == "delete_para"
-    named = F.when(is_delete, F.col("target_ids")).otherwise(F.array("target_id"))
-    targets = operations.select("doc_id", "seq", "op", F.posexplode(named).alias("idx", "id"))
-    placed = targets.join(rows.select("doc_id", "id", "record_pos"), ["doc_id", "id"], "left")
-    unknown = placed.where("record_pos is null").select("doc_id", "seq").distinct().withColumn("unknown", F.lit(True))
-    shaped = operations.join(unknown, ["doc_id", "seq"], "left")
-    shape = shaped.select("doc_id", "seq", "op_id", _shape_error(F.col("unknown").isNull()).alias("reason"))
-    patterns = operations.where("regex").select("doc_id", "seq", "op_id", F.concat("op", F.lit(": cannot search: "), F.pandas_udf(_invalid, "string")("find")).alias("reason"))
-    # conflicts of the operations that meet at one paragraph
-    seqs = lambda cond: F.array_sort(F.collect_list(F.when(cond, F.col("seq"))))
-    groups = targets.groupBy("doc_id", "id").agg(
-        F.min("seq").alias("first"),
-        F.min_by("idx", "seq").alias("first_idx"),
-        seqs(F.col("op") == "replace_para").alias("replaces"),
-        seqs(is_delete).alias("deletes"),
-        seqs(F.col("op") == "insert_para_after").alias("afters"),
-        seqs(~is_delete).alias("others"),
-    )
-    rank = F.dense_rank().over(Window.partitionBy("doc_id").orderBy("first", "first_idx"))
-    groups = groups.withColumn("rank", rank)
-    clash = F.array_compact(
-        F.array(
-            F.when(F.size("replaces") > 1, F.col("replaces")[1]),
-            F.when(F.size("deletes") > 1, F.col("deletes")[1]),
-            F.when((F.size("replaces") > 0) & (F.size("deletes") > 0), F.greatest(F.col("replaces")[0], F.col("deletes")[0])),
-            F.when((F.size("deletes") > 0) & (F.size("afters") > 0), F.col("afters")[0]),
-        )
-    )
-    conflicts = groups.select("doc_id", F.array_min(clash).alias("seq")).where("seq is not null").withColumn("reason", F.lit("two operations exclude each other on one paragraph"))
-    # a delete of several targets fires at the first one visited; what comes later to another of them finds it gone
-    fires = targets.where(is_delete).join(groups.select("doc_id", "id", "rank", "others"), ["doc_id", "id"])
-    fires = fires.withColumn("fire", F.min("rank").over(Window.partitionBy("doc_id", "seq")))
-    gone = fires.where((F.size("others") > 0) & (F.col("rank") > F.col("fire"))).select("doc_id", F.col("others")[0].alias("seq"), F.lit("its paragraph is deleted before").alias("reason"))
-    # text edits, in order on each paragraph
-    step = F.struct("seq", "op", "find", F.coalesce("regex", F.lit(False)).alias("regex"), "content", "occurrence")
-    sound = shaped.where(F.col("op").isin(*TEXT_OPS) & _shape_error(F.col("unknown").isNull()).isNull())
-    sound = sound.join(patterns.where("reason is not null").select("doc_id", "seq"), ["doc_id", "seq"], "left_anti")
-    edits = sound.groupBy("doc_id", F.col("target_id").alias("id")).agg(F.array_sort(F.collect_list(step)).alias("ops"))
-    edits = rows.select("doc_id", "id", "text").join(edits, ["doc_id", "id"]).select("doc_id", "id", F.pandas_udf(_fold, _EDITED)("text", "ops").alias("e"))
-    failures = edits.where("e.failed is not null").select("doc_id", F.col("e.failed").alias("seq"), F.col("e.error").alias("reason"))
-    ids = operations.select("doc_id", "seq", "op_id")
-    stages = [(0, shape.drop("op_id")), (0, patterns.drop("op_id")), (1, conflicts), (2, gone), (2, failures)]
-    faults = None
-    for stage, x in stages:
-        x = x.where("reason is not null").select("doc_id", F.lit(stage).alias("stage"), "seq", "reason")
-        faults = x if faults is None else faults.unionByName(x)
-    errors = faults.groupBy("doc_id").agg(F.min(F.struct("stage", "seq", "reason")).alias("x")).select("doc_id", F.col("x.seq").alias("seq"), F.col("x.reason").alias("reason"))
-    errors = errors.join(ids, ["doc_id", "seq"], "left").select("doc_id", F.col("seq").alias("operation_index"), "op_id", "reason", F.lit(True).alias("rolled_back"))
-    good = operations.join(errors.select("doc_id"), "doc_id", "left_anti")
-    # new rows with their place: the anchor's, a slot before, at or after it, then input order
-    styled = rows.withColumn("before", F.lag("style_id").over(Window.partitionBy("doc_id").orderBy("record_pos")))
-    new = good.where(F.col("op").isin(*PARAGRAPH_OPS)).select("doc_id", "seq", "op_id", "op", F.col("target_id").alias("id"), F.posexplode("items").alias("item", "x"))
-    new = new.select("doc_id", "seq", "op", "id", "item", F.posexplode(T.expand_visible(F.col("x"))).alias("part", "text"))
-    new = new.join(styled.select("doc_id", "id", "record_pos", "style_id", "before"), ["doc_id", "id"]).join(groups.select("doc_id", "id", "rank"), ["doc_id", "id"])
-    slot = F.when(F.col("op") == "insert_para_before", 0).when(F.col("op") == "replace_para", 1).otherwise(2)
-    phase = F.when(F.col("op") == "insert_para_before", 0).when(F.col("op") == "insert_para_after", 1).otherwise(2)
-    style = F.when(F.col("op") == "insert_para_before", F.coalesce("before", "style_id")).otherwise(F.col("style_id"))
-    new = new.withColumns({"slot": slot, "style_id": style, "k": F.row_number().over(Window.partitionBy("doc_id").orderBy("rank", phase, "seq", "item", "part"))})
-    used = paragraphs.groupBy("doc_id").agg(F.max(F.expr("try_cast(substring(id, 3) as int)")).alias("last_id"))
-    new = new.join(used, "doc_id").withColumn("new_id", F.format_string("p_%06d", F.col("last_id") + F.col("k")))
-    removed = good.where(is_delete | (F.col("op") == "replace_para")).select("doc_id", F.explode(named).alias("id"))
-    changed = edits.join(errors.select("doc_id"), "doc_id", "left_anti").select("doc_id", "id", F.col("e.text").alias("changed"), F.col("e.steps").alias("steps"))
-    kept = rows.join(removed, ["doc_id", "id"], "left_anti").join(changed.drop("steps"), ["doc_id", "id"], "left")
-    zero = F.lit(0)
-    kept = kept.select("doc_id", "id", "style_id", F.coalesce("changed", "text").alias("text"), F.struct(F.col("record_pos").alias("a"), F.lit(1).alias("b"), F.lit(-1).alias("c"), zero.alias("d"), zero.alias("e")).alias("key"))
-    fresh = new.select("doc_id", F.col("new_id").alias("id"), "style_id", "text", F.struct(F.col("record_pos").alias("a"), F.col("slot").alias("b"), F.col("seq").alias("c"), F.col("item").alias("d"), F.col("part").alias("e")).alias("key"))
-    at = F.row_number().over(Window.partitionBy("doc_id").orderBy("key"))
-    after = kept.unionByName(fresh).withColumn("record_pos", at).select("doc_id", "id", "record_pos", F.col("record_pos").alias("global_ordinal"), "style_id", "text")
-    # what each operation of a committed batch did
-    made = new.groupBy("doc_id", "seq").agg(F.array_sort(F.collect_list(F.struct("item", "part", "new_id", T.preview(F.col("text")).alias("p")))).alias("rows"))
-    previews = rows.select("doc_id", "id", T.preview(F.col("text")).alias("before_preview"))
-    done = good.withColumn("id", F.coalesce("target_id", F.col("target_ids")[0])).join(previews, ["doc_id", "id"]).join(made, ["doc_id", "seq"], "left")
-    steps = changed.select("doc_id", F.explode("steps").alias("s")).select("doc_id", F.col("s.seq").alias("seq"), F.col("s.before").alias("before"), F.col("s.after").alias("after"))
-    done = done.join(steps, ["doc_id", "seq"], "left")
-    results = done.select(
-        "doc_id",
-        "seq",
-        "op_id",
-        "op",
-        "target_id",
-        F.when(is_delete, F.col("target_ids")).otherwise(F.lit([]).cast("array<string>")).alias("target_ids"),
-        F.coalesce(F.transform("rows", lambda r: r["new_id"]), F.lit([]).cast("array<string>")).alias("new_ids"),
-        F.coalesce("before", "before_preview").alias("before_preview"),
-        F.coalesce(F.transform("rows", lambda r: r["p"]), F.when(F.col("after").isNotNull(), F.array("after")), F.lit([]).cast("array<string>")).alias("after_previews"),
-    )
-    return Outcome(after, results, errors)
+    names = [x.split()[0] for x in OPERATIONS.split(", ")[1:]]
+    ops = operations.groupBy("doc_id").agg(F.collect_list(F.struct(*names)).alias("ops"))
+    own = rows.join(ops.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.array_sort(F.collect_list(F.struct("record_pos", "id", "style_id", "text"))).alias("rows"))
+    both = ops.join(own, "doc_id", "left").select("doc_id", "rows", "ops")
+    key = both.schema["doc_id"].dataType
+    schema = StructType([StructField("doc_id", key), *StructType.fromDDL(_KERNEL).fields])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fields = to_arrow_schema(schema)
+        for batch in batches:
+            for k in range(0, len(batch), 500):
+                some = batch.slice(k, 500)
+                done = [edit_document(r or [], o) for r, o in zip(some.column(1).to_pylist(), some.column(2).to_pylist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([some.column(0), *(pa.array([x[j] for x in done], fields.field(j + 1).type) for j in range(3))], schema=fields)
+
+    done = both.mapInArrow(run, schema)
+    place = (F.col("pos") + 1).cast("int")
+    after = done.select("doc_id", F.posexplode("rows").alias("pos", "r")).select("doc_id", "r.id", place.alias("record_pos"), place.alias("global_ordinal"), "r.style_id", "r.text")
+    rest = rows.join(ops.select("doc_id"), "doc_id", "left_anti").select("doc_id", "id", F.col("record_pos").cast("int").alias("record_pos"), F.col("record_pos").cast("int").alias("global_ordinal"), "style_id", "text")
+    results = done.select("doc_id", F.explode("results").alias("r")).select("doc_id", "r.*")
+    errors = done.where("error is not null").select("doc_id", "error.operation_index", "error.op_id", "error.reason", F.lit(True).alias("rolled_back"))
+    return Outcome(after.unionByName(rest), results, errors)
 
 
 def precommit(before: DataFrame, outcome: Outcome, operations: DataFrame) -> DataFrame:

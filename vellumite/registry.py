@@ -86,6 +86,35 @@ def get_paragraph(p: DataFrame) -> DataFrame:
     return read.get_paragraph(p, "p_000003")
 
 
+@query("SELECT doc_id, 'p_000008' AS target_id, 'paragraph_not_found' AS error FROM p GROUP BY doc_id HAVING count(*) < 8")
+def paragraph_not_found(p: DataFrame) -> DataFrame:
+    return read.paragraph_not_found(p, "p_000008")
+
+
+@query("SELECT doc_id, id, pos AS global_ordinal, len(regexp_extract_all(text, '[\\p{L}\\p{N}_]+')) AS match_count FROM p WHERE regexp_matches(text, '[\\p{L}\\p{N}_]')")
+def grep_words(p: DataFrame) -> DataFrame:
+    """Python's words, in letters of any script."""
+    return read.grep(p, r"\w+", regex=True).select("doc_id", "id", "global_ordinal", F.col("match_count").cast("long").alias("match_count"))
+
+
+#: Lines with what white space and words are to Python: marks, numerals, separators of units and lines.
+_ODD = "a" + chr(0x301) + "b" + chr(0x1C) + "c" + chr(0xA0) + "d" + chr(0x2028) + "½" + chr(0x200D) + "Ⅷ" + chr(0x85) + "٣ ⓐ_"
+
+
+@query("SELECT doc_id, id, 0 AS nth, 1 AS start, 2 AS \"end\" FROM p WHERE FALSE" + "".join(f" UNION ALL SELECT doc_id, id, {n}, {a}, {b} FROM p WHERE pos = 1" for n, (a, b) in enumerate([(3, 4), (5, 6), (7, 8), (11, 12), (13, 14)])))
+def grep_spaces(p: DataFrame) -> DataFrame:
+    odd = p.where("record_pos = 1").withColumn("text", F.lit(_ODD))
+    hits = read.grep(odd, r"\s+", regex=True).select("doc_id", "id", F.posexplode("ranges").alias("nth", "r"))
+    return hits.select("doc_id", "id", "nth", "r.start", "r.end")
+
+
+@query("SELECT doc_id, id, 0 AS nth, 1 AS start, 2 AS \"end\" FROM p WHERE FALSE" + "".join(f" UNION ALL SELECT doc_id, id, {n}, {a}, {b} FROM p WHERE pos = 1" for n, (a, b) in enumerate([(0, 1), (2, 3), (4, 5), (6, 7), (8, 9), (10, 11), (12, 13), (15, 16)])))
+def grep_odd_words(p: DataFrame) -> DataFrame:
+    odd = p.where("record_pos = 1").withColumn("text", F.lit(_ODD))
+    hits = read.grep(odd, r"\w+", regex=True).select("doc_id", "id", F.posexplode("ranges").alias("nth", "r"))
+    return hits.select("doc_id", "id", "nth", "r.start", "r.end")
+
+
 @query("WITH d AS (SELECT doc_id, sha256(text) AS digest FROM documents) SELECT * FROM d")
 def visible_text(p: DataFrame) -> DataFrame:
     return read.visible_text(p).select("doc_id", F.sha2("text", 256).alias("digest"))
