@@ -1,13 +1,22 @@
 """Operators on pages and vectors, the queries and the pipeline."""
 
+import itertools
+import math
+import re
+import string
+import zlib
+from collections import Counter
 from html.parser import HTMLParser
 
 import numpy as np
+import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
-from vellumite.llm import hnsw, html, neardup, queries, urls
+from vellumite.llm import hnsw, html, language, neardup, queries, toxicity, urls
 
 DATA = "/root/testdata/sf0.001"
 WORDS = "word " * 40
@@ -239,17 +248,80 @@ def test_queries_run(spark, name):
     assert queries.QUERIES[name](spark, DATA).count() > 0
 
 
-def test_pipeline(spark):
+def shingles(text, width):
+    w = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(str.maketrans(string.ascii_uppercase, string.ascii_lowercase)))
+    return {tuple(w[k : k + width]) for k in range(len(w) - width + 1)} if len(w) >= width else {tuple(w)} if w else set()
+
+
+def first_of_groups(texts, width, percent):
+    """The smallest id of each group of linked texts, by all pairs."""
+    sets, parent = {i: shingles(t, width) for i, t in texts.items()}, {i: i for i in texts}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in itertools.combinations(sorted(sets), 2):
+        if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+            u, v = sorted((root(a), root(b)))
+            parent[v] = u
+    return {i for i in texts if root(i) == i}
+
+
+def test_pipeline_stages_are_their_brute_force_versions(spark):
+    """Each stage on what its predecessor kept, against plain Python; run() against the stages."""
     docs = spark.read.parquet(f"{DATA}/documents.parquet")
-    before = {r["doc_id"]: r for r in docs.collect()}
-    names = docs.columns
-    for name, stage in corpus_pipeline.STAGES:
-        docs = stage(spark, docs, DATA)
-        if name != "packing":
-            assert docs.columns == names
-            kept = {r["doc_id"] for r in docs.collect()}
-            assert kept <= set(before) and len(kept) > 0.8 * len(before)
-    assert {r["doc_id"] for r in docs.select("doc_id").distinct().collect()} == kept
+    names, labels = docs.columns, spark.read.parquet(f"{DATA}/labels.parquet")
+    (_, by_language), (_, by_toxicity), (_, by_copies), (_, packed) = corpus_pipeline.STAGES
+    texts = lambda df: {r["doc_id"]: r["text"] for r in df.collect()}
+
+    kept = by_language(spark, docs, DATA)
+    assert kept.columns == names
+    judge = language.Classifier(language.learn(docs), language.Parameters())
+    before, now = texts(docs), texts(kept)
+    assert now == {i: t for i, t in before.items() if judge.predict(t or "")[2]} and len(now) > 0.9 * len(before)
+
+    kept, docs = by_toxicity(spark, kept, DATA), kept
+    assert kept.columns == names
+    p = toxicity.Parameters()
+    model = toxicity.train(docs, labels, p)
+    weights = dict(zip(model.hashes.tolist(), model.weights.tolist(), strict=True))
+
+    def score(text):
+        _, hashes, _ = next(toxicity.features(pa.array([text]), p))
+        times = Counter(hashes.tolist())
+        g = model.bias + sum(w for h, n in times.items() if h in weights for w, least in zip(weights[h], toxicity.LEVELS, strict=True) if n >= least)
+        return 1 / (1 + math.exp(-max(-30, min(30, g))))
+
+    before, now = now, texts(kept)
+    assert now == {i: t for i, t in before.items() if score(t) < p.threshold} and len(now) > 0.8 * len(before)
+
+    kept = by_copies(spark, kept, DATA)
+    assert kept.columns == names
+    before, now = now, texts(kept)
+    assert now == {i: before[i] for i in first_of_groups(before, 5, 80)} and len(now) < len(before)
+
+    library, full = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json")), {}
+    for i, t in now.items():
+        full[i] = [*library.encode(t or "", add_special_tokens=False).ids, 2]
+    pieces, spans = packed(spark, kept, DATA).collect(), {}
+    for x in pieces:
+        ids = full[x["doc_id"]][x["start"] : x["start"] + x["length"]]
+        assert x["ids_crc32"] == zlib.crc32(np.array(ids, "<u4").tobytes()) and x["doc_tokens"] == len(full[x["doc_id"]])
+        spans.setdefault(x["sequence_id"], []).append((x["offset"], x["length"]))
+    assert sum(x["length"] for x in pieces) == sum(map(len, full.values()))
+    used = [sum(n for _, n in sorted(x)) for _, x in sorted(spans.items())]
+    assert used[:-1] == [4096] * (len(used) - 1) and all(a == sum(n for _, n in sorted(x)[:k]) for x in spans.values() for k, (a, _) in enumerate(sorted(x)))
+    assert {r["doc_id"] for r in corpus_pipeline.run(spark, DATA).select("doc_id").distinct().collect()} == set(now)
+
+
+def test_toxicity_on_held_out_labels(spark):
+    sf_dir = "/root/testdata/sf0.1"
+    labels = {r["doc_id"]: r["toxic"] for r in spark.read.parquet(f"{sf_dir}/labels.parquet").collect()}
+    held = [(labels[r["doc_id"]], r["predicted"]) for r in queries.toxicity_pu(spark, sf_dir).where("held_out").collect() if labels.get(r["doc_id"]) is not None]
+    found, flagged = [p for t, p in held if t == 1], [p for t, p in held if t == 0]
+    assert len(found) > 100 and np.mean(found) >= 0.85 and np.mean(flagged) <= 0.04
 
 
 def test_pipeline_stages_pass_odd_rows_and_names(spark):
@@ -259,4 +331,9 @@ def test_pipeline_stages_pass_odd_rows_and_names(spark):
         docs = stage(spark, docs, DATA)
         assert docs.columns == ["doc_id", "text", "lang", "score", "accepted"]
     assert sorted(r["doc_id"] for r in docs.collect()) == list(range(20))
-    assert corpus_pipeline.STAGES[2][1](spark, docs.limit(0), DATA).count() == 0
+    for _, stage in corpus_pipeline.STAGES:
+        assert stage(spark, docs.limit(0), DATA).count() == 0
+    odd = corpus_pipeline.STAGES[3][1](spark, spark.createDataFrame([(1, None, "a"), (1, None, "b"), (2, "", "c"), (3, "word " * 30_000, "d")], "doc_id long, text string, ids string"), DATA).collect()
+    assert sorted((r["doc_id"], r["length"]) for r in odd if r["doc_id"] < 3) == [(1, 1), (1, 1), (2, 1)] and sum(r["length"] for r in odd) == 30_004
+    gone = corpus_pipeline.STAGES[1][1](spark, spark.createDataFrame([(1, None, 0.5), (2, "", 0.5)], "doc_id long, text string, score double"), DATA)
+    assert sorted(r["doc_id"] for r in gone.collect()) == [1, 2]

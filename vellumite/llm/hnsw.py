@@ -219,7 +219,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, p: Parameters = Parameters()
     used = scratch.write(usable(vectors), "used")
     # one row for each dimension
     shards = scratch.write(used.groupBy("dim").agg(F.ceil(F.count("*") / F.lit(p.shard)).cast("int").alias("shards")), "shards")
-    dealt = used.join(F.broadcast(shards), "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int"))
+    dealt = used.join(shards, "dim").withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.col("shards")).cast("int"))
 
     def make(rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("vec_id")
@@ -230,7 +230,7 @@ def nearest(vectors: DataFrame, queries: DataFrame, p: Parameters = Parameters()
     index = scratch.write(dealt.select("dim", "shard", "vec_id", "embedding").groupBy("dim", "shard").applyInPandas(make, "dim int, shard int, index binary"), "index")
     scratch.drop("used")
     # the stated queries go to every shard, one copy of each; an index is read once, before its queries
-    asked = usable(queries).join(F.broadcast(shards), "dim").select("dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "vec_id", "embedding")
+    asked = usable(queries).join(shards, "dim").select("dim", F.explode(F.sequence(F.lit(0), F.col("shards") - 1)).alias("shard"), "vec_id", "embedding")
     rows = index.select("dim", "shard", F.lit(0).alias("kind"), F.lit(None).cast("long").alias("vec_id"), F.lit(None).cast(asked.schema["embedding"].dataType).alias("embedding"), "index")
     rows = rows.unionByName(asked.select("dim", "shard", F.lit(1).alias("kind"), "vec_id", "embedding", F.lit(None).cast("binary").alias("index")))
     rows = rows.repartition("dim", "shard").sortWithinPartitions("dim", "shard", "kind")

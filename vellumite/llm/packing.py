@@ -9,7 +9,7 @@ last sequence can fall short of the length.
 
 Defined cases: a null text counts as empty; with an end id an empty text has that id as its
 only token; without one it has no piece. An empty table gives no piece. Repeated rows are
-packed each. ``padded_length`` is the sequence's length with padding: none where its tokens
+packed each; a very long text is encoded whole and cut over many sequences. Other columns play no part. ``padded_length`` is the sequence's length with padding: none where its tokens
 are a power of two, else the fixed length.
 """
 
@@ -28,6 +28,10 @@ from vellumite.llm.bpe import encode
 from vellumite.llm.store import Scratch
 
 
+#: Offsets of more input partitions are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
+
+
 def _placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds the task's number, the first id's place in the task's stream and the number of ids."""
     from pyspark import TaskContext
@@ -52,8 +56,9 @@ def pack(docs: DataFrame, tokenizer_path: str, end: int | None = 2, window: int
     everything = bases.pop()
     offsets = spark.createDataFrame([*zip(parts, bases, strict=True)], "part int, base long")
     at = F.col("place") + F.col("base")
-    # broadcast, as it has one row of 12 bytes for each input partition: some 10 MB for 100 TB
-    pieces = encoded.where("n > 0").join(F.broadcast(offsets), "part").withColumn("at", at)
+    # one row of 12 bytes for each input partition
+    few = len(parts) <= MOST_BROADCAST
+    pieces = encoded.where("n > 0").join(F.broadcast(offsets) if few else offsets, "part").withColumn("at", at)
     pieces = pieces.withColumn("sequence_id", F.explode(F.sequence(F.floor(F.col("at") / window), F.floor((F.col("at") + F.col("n") - 1) / window))))
     start = F.greatest(F.lit(0), F.col("sequence_id") * window - F.col("at"))
     length = F.least(F.col("n"), (F.col("sequence_id") + 1) * window - F.col("at")) - start

@@ -14,7 +14,9 @@ doesn't move its score.
 Defined cases: a null or empty text has no feature and gets the score of the intercept,
 which is low. Repeated rows are scored alike. Of near copies in the sample (word 3-grams
 alike by ``copies``, estimated from their 128 smallest hashes; exact up to these) one counts on each
-side. With no toxic example every score is 0. Null labels count as no label.
+side. With no toxic example every score is 0. Null labels count as no label. A score at the threshold is one
+above it. Very long texts are scored whole; an empty table gives an empty one. Columns to keep
+may have any names but ``score`` and ``_text``. Which rows are trained on depends on their ids alone, not on their order.
 """
 
 from __future__ import annotations
