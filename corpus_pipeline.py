@@ -28,19 +28,19 @@ def _rows(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the texts whose language is told by a sufficient margin; null and letterless texts go."""
+    """Keeps the texts whose language is told by a sufficient margin; null and letterless texts, and ties, go. Repeated rows go or stay alike; an empty table stays one."""
     return language.predict(_rows(docs), language.learn(docs), ["_row"]).where("accepted").select("_row.*")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the texts that score below the threshold."""
+    """Keeps the texts that score below the threshold, null and empty ones too (a score at it goes). Repeated rows go or stay alike; with no toxic label, and of an empty table, all stay."""
     p = toxicity.Parameters()
     labels = spark.read.parquet(f"{sf_dir}/labels.parquet")
     return toxicity.score(_rows(docs), toxicity.train(docs, labels, p), ["_row"], p).where(F.col("score") < p.threshold).select("_row.*")
 
 
 def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps of each group of linked documents the one with the smallest doc_id, and all that are linked with nothing."""
+    """Keeps of each group of linked documents the one with the smallest doc_id, and all that are linked with nothing, such as null and empty texts. Of rows that repeat an id one stays; an empty table stays one."""
     scratch = Scratch(spark, "pipeline")
     found = scratch.write(jaccard.join(docs.select("doc_id", "text"), NEAR).select("doc_id", "component_id"), "found")
     gone = scratch.write(found.where("component_id <> doc_id").select("doc_id").distinct(), "gone")
@@ -53,7 +53,7 @@ def keep_one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of the sequences that all remaining documents are packed into."""
+    """Pieces of the sequences that all remaining documents are packed into; a null or empty text is its end token alone, repeated rows are packed each, an empty table gives no piece."""
     return packing.pack(docs.select("doc_id", "text"), public_tokenizers.path(TOKENIZER))
 
 
