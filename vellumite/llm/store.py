@@ -98,14 +98,17 @@ def released(run: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterat
     return inner
 
 
-#: Rows in a batch between the JVM and Python; long texts make the default of 10,000 too large for an executor.
+#: Rows and bytes in a batch between the JVM and Python; long texts make Spark's defaults too large for an executor.
 BATCH_ROWS, BATCH_SETTING = 1000, "spark.sql.execution.arrow.maxRecordsPerBatch"
+BATCH_BYTES, BYTES_SETTING, BYTES_DEFAULT = "16m", "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Lowers the session's batch size for plans that send whole texts to Python."""
+    """Lowers the session's batch size for plans that send whole texts to Python; it stays so, as these plans run when the caller asks for their rows."""
     if not 0 < int(spark.conf.get(BATCH_SETTING)) <= BATCH_ROWS:
         spark.conf.set(BATCH_SETTING, str(BATCH_ROWS))
+    if spark.conf.get(BYTES_SETTING, None) == BYTES_DEFAULT:
+        spark.conf.set(BYTES_SETTING, BATCH_BYTES)
 
 
 def crc_mod(column: str, modulus: int):
