@@ -330,7 +330,8 @@ def test_lattice_scores_are_those_of_all_segmentations(spark):
     pieces, first = lattice.Pieces.load(vocabulary)
     weights, byte = dict(zip(pieces.pieces, first.tolist())), first.min() - math.log(256)
     words = ["the", "cat", "Sat", "mats", "und", "ǆab", "x1"]
-    rows = [(k, " ".join(rng.choice(words) for _ in range(8)), [None, "x", "y"][k % 3], 0.0) for k in range(12)] + [(20, "new cat odd€", "x", 0.0), (21, None, "y", 0.0)]
+    line = lambda: " ".join(rng.choice(words) for _ in range(4))
+    rows = [(k, f"{line()}\n{'same  LINE here' if k % 4 else ''}\n{line()}", [None, "x", "y"][k % 3], 0.0) for k in range(12)] + [(20, "new cat odd€\nSame line here", "x", 0.0), (21, None, "y", 0.0)]
     p = lattice.Parameters(frequent=3, rounds=0, range_bytes=64)
     docs = spark.createDataFrame(rows, SCHEMA)
     got = {r["doc_id"]: r["score"] for r in lattice.score(docs, docs.where("doc_id < 10"), vocabulary, ["doc_id"], "lang", p).collect()}
@@ -350,8 +351,16 @@ def test_lattice_scores_are_those_of_all_segmentations(spark):
         whole = max(0, c[word] - p.discount) / (sum(c.values()) + 1) + left(c) * max(0, every[word] - p.discount) / (sum(every.values()) + 1)
         return whole + left(c) * left(every) * (math.exp(-20) if word == "\n" else spelt("▁" + word, weights, byte))
 
+    of = lambda t: [tuple(tokens(x)) for x in (t or "").split("\n") if tokens(x)]
+    held = Counter(x for i, t, *_ in rows if i < 10 for x in of(t))
+    n = sum(held.values())
+    assert max(held.values()) > 3
+
+    def line_chance(x, kind):
+        return max(0, held[x] - 1) / n + len(held) / n * math.prod(chance(w, kind) for w in x)
+
     for i, t, *_ in rows:
-        total = sum((texts[k] + 0.5) / (sum(texts.values()) + 1.5) * math.prod(chance(w, k) for w in [*tokens(t), "\n"]) for k in counts)
+        total = sum((texts[k] + 0.5) / (sum(texts.values()) + 1.5) * math.prod(line_chance(x, k) for x in of(t)) * chance("\n", k) for k in counts)
         assert got[i] == pytest.approx(math.log10(total))
 
 

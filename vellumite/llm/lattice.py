@@ -6,6 +6,8 @@ tokens, so that the marginal runs over all segmentations of the whole text. The
 scores weigh the pieces; expectation maximisation over all training words fits the weights to
 the corpus, with the scores as their prior. One more arc spans each word that the corpus
 knows, with its discounted share of the tokens; what the discounts take is the pieces' part.
+Likewise one more arc spans each line that the corpus holds more than once, with its share of
+the lines, less one: the rest is the words' part. So what repeats over documents is scored apart.
 
 Training rows may have a kind (a language, say; null is one too). Each kind has weights and
 counts of its own, backed off to those of all rows, and a text's probability is the sum over
@@ -14,7 +16,7 @@ input. Every word has its whole lattice, whatever its length, for every kind; th
 with the number of kinds.
 
 Tokens are words (A-Z lower-cased) and one end for each text. What is gathered from the
-corpus, the counts of all its words, grows with it and is never in one place: it is kept in
+corpus, the counts of all its words and of its repeated lines, grows with it and is never in one place: words are kept in
 ranges of the words' hashes, each of the words of a bounded number of bytes of text. Only the most frequent words, up
 to a fixed number, are looked up in place; the other words of the texts are sent, counted by
 text, to the range that knows them.
@@ -40,7 +42,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, LongType, StringType, StructField, StructType
 
 from vellumite.llm.store import Scratch, kept, release, released, small_batches
-from vellumite.llm.words import Lookup, buffers, mix, powers, slices, split
+from vellumite.llm.words import Lookup, buffers, lines, mix, powers, sequences, slices, split
 
 _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 #: Natural log-probability that the pieces' part gives to a text's end, which no piece spells.
@@ -380,31 +382,57 @@ def _frequent(table: DataFrame, model, kinds: int, p: Parameters) -> dict[str, n
     return {"hashes": hashes[order], "values": values[:, order]}
 
 
+def _repeated(train: DataFrame, scratch: Scratch) -> tuple[DataFrame, int, int]:
+    """``hash`` and ``arc``, log10 of the share of lines that the corpus holds more than once; its numbers of lines and of different ones."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for a, b in slices(batch.column(0)):
+                w = split(lines(batch.column(0).slice(a, b - a))[0])
+                found, n = np.unique(sequences(w)[np.diff(w.first) > 0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found.view(np.int64)), pa.array(n, pa.int64())], names=["hash", "n"])
+
+    counts = train.select("text").mapInArrow(released(run), "hash long, n long").groupBy("hash").agg(F.sum("n").alias("n"))
+    counts = scratch.write(counts, "lines")
+    different, every = counts.agg(F.count("*"), F.coalesce(F.sum("n"), F.lit(0))).first()
+    return counts.where("n > 1").select("hash", F.log10((F.col("n") - 1) / F.lit(max(1, every))).alias("arc")), every, different
+
+
 def _looked_up(docs: DataFrame, keep: list[str], frequent, end: np.ndarray, names: list[str]) -> DataFrame:
-    """The columns ``keep``, what frequent words and the end add up to, and the other words of each text."""
+    """For each text the columns ``keep`` and its end's values, and a row for each of its lines that holds a word: its hash, what its frequent words add up to, and its other words."""
     texts = docs.select(*keep, F.col("text").alias("_text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
         hashes, values = frequent.value["hashes"], frequent.value["values"]
+        number = TaskContext.get().partitionId() << 40
         for batch in batches:
             column = batch.column(len(keep))
             for a, b in slices(column):
-                w, n = split(column.slice(a, b - a)), b - a
+                part, n = [x.slice(a, b - a) for x in batch.columns[: len(keep)]], b - a
+                docs = number + np.arange(n)
+                number += n
+                yield pa.RecordBatch.from_arrays([*part, pa.array(docs), pa.nulls(n, pa.int64()), pa.array(np.ones(n, np.int64)), pa.array(np.zeros(n, np.int64)), *(pa.array(np.full(n, x)) for x in end), pa.nulls(n, pa.string())], names=columns)
+                each, parent = lines(column.slice(a, n))
+                w = split(each)
                 distinct, of = np.unique(w.hashes, return_inverse=True)
                 at = np.minimum(np.searchsorted(hashes, distinct), max(0, len(hashes) - 1))
                 known = hashes[at] == distinct if len(hashes) else np.zeros(len(distinct), bool)
-                text, held = np.repeat(np.arange(n), np.diff(w.first)), known[of]
-                sums = [np.bincount(text[held], weights=x[at[of[held]]], minlength=n) for x in values]
-                rest: list[list[bytes]] = [[] for _ in range(n)]
+                line, held = np.repeat(np.arange(len(each)), np.diff(w.first)), known[of]
+                some = np.flatnonzero(np.diff(w.first) > 0)
+                sums = [np.bincount(line[held], weights=x[at[of[held]]], minlength=len(each))[some].astype(np.float64) for x in values]
+                rest: list[list[bytes]] = [[] for _ in range(len(each))]
                 raw, others = w.data.tobytes(), np.flatnonzero(~held)
-                for t, x, y in zip(text[others].tolist(), w.starts[others].tolist(), w.ends[others].tolist(), strict=True):
+                for t, x, y in zip(line[others].tolist(), w.starts[others].tolist(), w.ends[others].tolist(), strict=True):
                     rest[t].append(raw[x:y])
-                new = [pa.array(np.diff(w.first) + 1), pa.array(np.bincount(text[held], minlength=n)), *(pa.array(x + y) for x, y in zip(sums, end, strict=True))]
-                texts = pa.array([b" ".join(x).translate(_LOWER).decode() for x in rest], pa.string())
-                yield pa.RecordBatch.from_arrays([*(x.slice(a, n) for x in batch.columns[: len(keep)]), *new, texts], names=[*keep, "n_tokens", "n_known", *names, "_rest"])
+                words = pa.array([b" ".join(rest[k]).translate(_LOWER).decode() for k in some.tolist()], pa.string())
+                yield pa.RecordBatch.from_arrays([*(pa.nulls(len(some), x.type) for x in part), pa.array(docs[parent[some]]), pa.array(sequences(w)[some].view(np.int64)), pa.array(np.diff(w.first)[some]), pa.array(np.bincount(line[held], minlength=len(each))[some]), *map(pa.array, sums), words], names=columns)
 
-    added = [*(StructField(x, LongType()) for x in ("n_tokens", "n_known")), *(StructField(x, DoubleType()) for x in names), StructField("_rest", StringType())]
-    return texts.mapInArrow(released(run), StructType([*texts.schema.fields[:-1], *added]))
+    columns = [*keep, "_doc", "_line", "n_tokens", "n_known", *names, "_rest"]
+    kept = [StructField(f.name, f.dataType, True) for f in texts.schema.fields[:-1]]
+    added = [*(StructField(x, LongType()) for x in ("_doc", "_line", "n_tokens", "n_known")), *(StructField(x, DoubleType()) for x in names), StructField("_rest", StringType())]
+    return texts.mapInArrow(released(run), StructType([*kept, *added]))
 
 
 def _asked(rows: DataFrame, ranges: int) -> DataFrame:
@@ -476,15 +504,26 @@ def score(docs: DataFrame, train: DataFrame, vocabulary: str, keep: list[str], k
     shared = spark.sparkContext.broadcast(model)
     frequent = spark.sparkContext.broadcast(_frequent(table, shared, kinds, p))
     base, models = model.end()
-    found = _looked_up(docs, keep, frequent, np.r_[base, models[:, 0]], names)
     # the end is known wherever there is a training text
-    found = found.withColumns({"_row": F.monotonically_increasing_id(), "n_known": F.col("n_known") + F.lit(int(sum(model.rows) > 0))})
+    found = _looked_up(docs, keep, frequent, np.r_[base, models[:, 0]], names)
+    found = found.withColumns({"_row": F.monotonically_increasing_id(), "n_known": F.col("n_known") + F.when(F.col("_line").isNull(), int(sum(model.rows) > 0)).otherwise(0)})
     rows = scratch.write(found, "rows")
     sums = scratch.write(_answered(_asked(rows, ranges), table, shared, kinds, names), "sums")
     scratch.drop("counts")
+    repeated, every, different = _repeated(train, scratch)
     more = lambda a, b: F.col(a) + F.coalesce(b, F.lit(0))
-    out = rows.drop("_rest").join(sums, "_row", "left")
-    by_kind = [more(f"_m{k}", f"__m{k}") + F.lit(w) for k, w in enumerate(model.shares().tolist())]
+    left = F.when(F.col("_line").isNull(), 0.0).otherwise(math.log10(different / every) if every else 0.0)
+    each = rows.where("_line is not null").drop(*keep, "_rest").join(sums, "_row", "left").join(repeated, F.col("_line") == F.col("hash"), "left")
+    values = {"n_tokens": F.col("n_tokens"), "n_known": more("n_known", "_known"), "base_score": more("base_score", "_base_score")}
+    for k in range(kinds):
+        words = more(f"_m{k}", f"__m{k}") + left
+        top = F.greatest(words, "arc")
+        values[f"_m{k}"] = F.coalesce(top + F.log10(F.pow(F.lit(10.0), words - top) + F.pow(F.lit(10.0), F.col("arc") - top)), words)
+    totals = each.groupBy("_doc").agg(*(F.sum(x).alias(f"_{c}_") for c, x in values.items()))
+    # the first row of each text has its columns and its end
+    out = rows.where("_line is null").drop("_rest", "_row", "_line").join(totals, "_doc", "left")
+    both = {c: more(c, f"_{c}_") for c in values}
+    by_kind = [both[f"_m{k}"] + F.lit(w) for k, w in enumerate(model.shares().tolist())]
     top = F.greatest(*by_kind) if kinds > 1 else by_kind[0]
     total = top + F.log10(sum((F.pow(F.lit(10.0), x - top) for x in by_kind[1:]), F.pow(F.lit(10.0), by_kind[0] - top)))
-    return out.select(*keep, "n_tokens", more("n_known", "_known").alias("n_known"), F.lit(model.tokens[-1]).cast("long").alias("train_tokens"), more("base_score", "_base_score").alias("base_score"), total.alias("score"))
+    return out.select(*keep, both["n_tokens"].alias("n_tokens"), both["n_known"].alias("n_known"), F.lit(model.tokens[-1]).cast("long").alias("train_tokens"), both["base_score"].alias("base_score"), total.alias("score"))

@@ -13,6 +13,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 
 _RNG = np.random.Generator(np.random.PCG64(0x5EED))
 _SPACE = np.zeros(256, dtype=bool)
@@ -174,3 +175,18 @@ def shingles(words: Words, width: int) -> Iterator[np.ndarray]:
                 yield mix(np.array([total + np.uint64(b - a)], np.uint64))
         else:
             yield np.zeros(0, np.uint64)
+
+
+def sequences(words: Words) -> np.ndarray:
+    """For each text a hash of its words in their order."""
+    up, down = powers(len(words.hashes) + 1)
+    sums = np.zeros(len(words.hashes) + 1, np.uint64)
+    np.cumsum(mix(words.hashes) * up[:-1], out=sums[1:])
+    a, b = words.first[:-1], words.first[1:]
+    return mix((sums[b] - sums[a]) * down[a] + (b - a).astype(np.uint64))
+
+
+def lines(column: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The lines of all texts of a string column in a row, and the numbers of their texts; a null has none."""
+    parts = pc.split_pattern(column.cast(pa.large_string()), "\n")
+    return parts.flatten(), np.asarray(pc.list_parent_indices(parts), np.int64)
