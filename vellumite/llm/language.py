@@ -88,9 +88,12 @@ def learn(labelled: DataFrame, p: Parameters = Parameters()) -> dict[str, bytes]
     """Dictionaries of all languages from ``doc_id``, ``text``, ``lang``."""
     small_batches(labelled.sparkSession)
     labelled = labelled.where("lang is not null and text is not null and text <> ''")
-    rows = labelled.groupBy("lang").agg(F.count("*").alias("n"))
-    size = min(p.dictionary_bytes, p.all_bytes // max(1, rows.count()))
-    rates = rows.select("lang", (F.lit(float(p.sample_texts)) / F.col("n")).alias("rate"))
+    # a row for each language, as there will be dictionaries
+    rates = [(r["lang"], p.sample_texts / r["n"]) for r in labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()]
+    if not rates:
+        return {}
+    size = min(p.dictionary_bytes, p.all_bytes // len(rates))
+    rates = F.broadcast(labelled.sparkSession.createDataFrame(rates, "lang string, rate double"))
     share = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     sample = labelled.select("doc_id", "lang", "text").join(rates, "lang").where(share < F.col("rate")).select("lang", "text")
 
