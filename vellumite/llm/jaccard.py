@@ -363,5 +363,6 @@ def join(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     final = unique.join(label, "sid", "left").join(links, SAME, "left")
     final = final.select(*SAME, F.coalesce("component", "sid").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     final = scratch.write(final, "final")
+    scratch.drop("ties", "unique", "members", "found", "again")
     out = rows.select("doc_id", *SAME).join(final, SAME, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

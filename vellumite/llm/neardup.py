@@ -147,6 +147,7 @@ def near_duplicates(vectors: DataFrame, p: Parameters = Parameters()) -> DataFra
     whole = near.join(used.select("vec_id", "embedding"), "vec_id")
     found = whole.groupBy(*pair).applyInPandas(lambda rows: _tiles(rows, p), "vec_id long, links long, root long")
     found = scratch.write(found, "found")
+    scratch.drop("codes", "near", "used")
     joined = components(found.select(F.col("vec_id").alias("u"), F.col("root").alias("v")), scratch)
     counts = found.groupBy("vec_id").agg(F.sum("links").alias("n_links"))
     counts = scratch.write(counts.join(joined.withColumnRenamed("node", "vec_id"), "vec_id", "left"), "counts")

@@ -7,8 +7,10 @@ where that is unset (tests, a laptop) does the module choose one of its own.
 
 from __future__ import annotations
 
+import atexit
 import ctypes
 import gc
+import shutil
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -32,7 +34,9 @@ def shared_dir(spark: SparkSession) -> str:
     if app not in _fallback:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_SETTING} to a folder that driver and executors share")
-        _fallback[app] = "file://" + tempfile.mkdtemp(prefix="vellumite-")
+        folder = tempfile.mkdtemp(prefix="vellumite-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        _fallback[app] = f"file://{folder}"
     return _fallback[app]
 
 

@@ -148,6 +148,7 @@ def train(docs: DataFrame, labels: DataFrame, p: Parameters = Parameters()) -> M
     lengths = np.array([len(x) for x in rows["hashes"].to_pylist()], np.int64)
     flat = np.array(rows["hashes"].combine_chunks().flatten(), np.int64)
     times = np.array(rows["counts"].combine_chunks().flatten(), np.int64)
+    scratch.drop("all")
     known, of = np.unique(flat, return_inverse=True)
     text = np.repeat(np.arange(len(lengths)), lengths)
     place = np.full((levels, len(known)), -1, np.int64)
