@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import json
+import shutil
 import tempfile
 import uuid
 import zipfile
@@ -333,6 +335,8 @@ def _folder(spark: SparkSession) -> Path:
         raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     out = Path((shared or tempfile.gettempdir()).removeprefix("file://"), f"packages-{uuid.uuid4().hex}")
     out.mkdir(parents=True)
+    if not shared:
+        atexit.register(shutil.rmtree, out, ignore_errors=True)
     return out
 
 
