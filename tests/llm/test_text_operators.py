@@ -381,5 +381,9 @@ def test_lattice_scores(spark):
         assert (r["n_tokens"], r["n_known"], r["train_tokens"]) == (len(w), sum(counts[x] > 0 for x in w), n)
         assert r["base_score"] == pytest.approx(sum(math.log10((counts[x] + 0.5) / (n + 0.5 * (v + 1))) for x in w))
         assert math.isfinite(r["score"]) and r["score"] < 0
+    clash = docs.selectExpr("doc_id as _doc", "text", "score as _row", "lang as _rest", "score as _m0")
+    again = lattice.score(clash, train, public_tokenizers.path("piece_bpe_32k.model"), ["_doc", "_row", "_rest", "_m0"], "lang", p).collect()
+    assert sorted(r["score"] for r in again) == pytest.approx(sorted(r["score"] for r in got)) and {(r["_doc"], r["_rest"]) for r in again} == {(i, k) for i, _, k, _ in rows}
+    assert lattice.score(docs.limit(0), train, public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"], "lang", p).collect() == []
     empty = lattice.score(docs, train.limit(0), public_tokenizers.path("piece_bpe_32k.model"), ["doc_id"], None, p).collect()
     assert len(empty) == len(rows) and all(math.isfinite(r["score"]) for r in empty)

@@ -571,6 +571,7 @@ def encode(docs: DataFrame, tokenizer_path: str, keep: list[str], end: int | Non
 
 def decode(tokens: DataFrame, tokenizer_path: str, keep: list[str]) -> DataFrame:
     """The columns ``keep`` and ``text``: the labels of the arcs of ``ids``, joined as the tokenizer's file says, by single spaces."""
+    small_batches(tokens.sparkSession)
     shared = tokens.sparkSession.sparkContext.broadcast(Tokenizer(tokenizer_path))
     rows = tokens.select(*keep, F.col("ids").alias("_ids"))
 

@@ -24,7 +24,7 @@ text, to the range that knows them.
 Defined cases: null texts count as empty; an empty text has one token, its end. With no
 training text all counts are 0, and the base scores follow their formula. Repeated rows
 count in training each and are scored each. Scores are finite for any text. An empty table
-gives an empty one. Words are told apart by 64-bit hashes where they are looked up in place. Names of ``keep`` may not be those of the new columns.
+gives an empty one. Words are told apart by 64-bit hashes where they are looked up in place. Names of ``keep`` may be any but those of the result's other columns.
 """
 
 from __future__ import annotations
@@ -498,6 +498,8 @@ def score(docs: DataFrame, train: DataFrame, vocabulary: str, keep: list[str], k
     small_batches(spark)
     scratch = Scratch(spark, "lattice")
     train = train.select("text", (F.col(kind) if kind else F.lit(None)).cast("string").alias("kind"))
+    # as one column no name can clash with those added here
+    docs, keep = docs.select(F.struct(*keep).alias("_keep"), "text"), ["_keep"]
     model, table, ranges = fit(train, vocabulary, scratch, p)
     kinds = len(model.rows)
     names = ["base_score", *(f"_m{k}" for k in range(kinds))]
@@ -526,4 +528,4 @@ def score(docs: DataFrame, train: DataFrame, vocabulary: str, keep: list[str], k
     by_kind = [both[f"_m{k}"] + F.lit(w) for k, w in enumerate(model.shares().tolist())]
     top = F.greatest(*by_kind) if kinds > 1 else by_kind[0]
     total = top + F.log10(sum((F.pow(F.lit(10.0), x - top) for x in by_kind[1:]), F.pow(F.lit(10.0), by_kind[0] - top)))
-    return out.select(*keep, both["n_tokens"].alias("n_tokens"), both["n_known"].alias("n_known"), F.lit(model.tokens[-1]).cast("long").alias("train_tokens"), both["base_score"].alias("base_score"), total.alias("score"))
+    return out.select("_keep.*", both["n_tokens"].alias("n_tokens"), both["n_known"].alias("n_known"), F.lit(model.tokens[-1]).cast("long").alias("train_tokens"), both["base_score"].alias("base_score"), total.alias("score"))
