@@ -143,6 +143,9 @@ def test_near_duplicates(spark):
     for r in got:
         i = r["vec_id"]
         assert (r["n_links"], r["component_id"], r["kept"]) == (links[i], root(i), root(i) == i)
+    # tiles that are empty
+    few = neardup.near_duplicates(spark.createDataFrame([(k, [1.0, 2.0], 0) for k in range(6)], "vec_id long, embedding array<double>, label int"), neardup.Parameters(tile=1)).collect()
+    assert [(r["n_links"], r["component_id"]) for r in few] == [(5, 0)] * 6
     assert neardup.near_duplicates(table.limit(0)).collect() == []
 
 

@@ -11,7 +11,9 @@ whose sizes allow a link and that share enough posted n-grams for one stay. A po
 that many documents hold gives no pairs: its groups are tied to nodes of that n-gram, one for
 each band of sizes, so that groups whose sizes allow a link are tied together. What is tied,
 directly or through others, makes a block. No link leaves a block: a linked pair shares a
-posted n-gram of the second kind, or all that its prefixes share are of the first.
+posted n-gram of the second kind, or all that its prefixes share are of the first. Where so
+many documents share the counters that rare n-grams look frequent, the sets of large blocks are
+ordered and tied once more among themselves, as long as that parts them.
 
 Groups then expand to their members, and a block's whole sets are compared with each other,
 exactly: a small block in one task, a large one by pairs of tiles of bounded size. A task
@@ -49,7 +51,7 @@ from vellumite.llm.words import mix, shingles, slices, split
 class Parameters:
     """percent: least Jaccard similarity of a link. counters: size of the frequency table, broadcast with a byte each.
 
-    few: the most groups that share an n-gram and are paired. posts: of a task that pairs them. tile_sets, tile_grams: of a tile, in
+    few: the most groups that share an n-gram and are paired; with more n-grams than this to a counter, large blocks are tied anew, at most ``rounds`` times. posts: of a task that pairs them. tile_sets, tile_grams: of a tile, in
     expectation. most_broadcast: rows of ids that may be broadcast; more are joined by a shuffle.
     """
 
@@ -61,6 +63,7 @@ class Parameters:
     tile_sets: int = 1024
     tile_grams: int = 1 << 20
     most_broadcast: int = 1_000_000
+    rounds: int = 4
 
 
 SAME = ["n", "one", "two"]
@@ -99,10 +102,11 @@ def _slot(hashes: np.ndarray, counters: int) -> np.ndarray:
     return (hashes % np.uint64(counters)).astype(np.int64)
 
 
-def _classes(sets: DataFrame, p: Parameters) -> np.ndarray:
+def _classes(sets: DataFrame, p: Parameters) -> tuple[np.ndarray, float]:
     """For each slot 0, or how far the number of documents that hold its n-grams lies above what it may be for rare ones, in powers of two.
 
     A slot holds several rare n-grams; what lies above their usual sum is due to a frequent one. An n-gram of class 0 is thus held by a bounded number of documents.
+    Then the mean of the counters.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +124,7 @@ def _classes(sets: DataFrame, p: Parameters) -> np.ndarray:
     counts = total(sets.select("grams").mapInArrow(released(run), SCHEMA), p.counters).astype(np.float64)
     mean = counts.mean()
     above = np.maximum(counts - max(p.few, mean + 4 * np.sqrt(mean)), 0)
-    return np.ceil(np.log2(1 + above)).astype(np.uint8)
+    return np.ceil(np.log2(1 + above)).astype(np.uint8), float(mean)
 
 
 def _heads(sets: DataFrame, shared, p: Parameters) -> DataFrame:
@@ -283,15 +287,15 @@ def shared_counts(sets: list[np.ndarray], few: int = 16) -> np.ndarray:
     return out
 
 
-def _compare(rows: list[tuple], p: Parameters) -> list[tuple]:
-    """Of one block or pair of tiles, rows of side, sid, n, one, two, copies, grams: sid, n, one, two, links, root for those that have links."""
+def _compare(rows: list[tuple], same: bool, p: Parameters) -> list[tuple]:
+    """Of one tile (``same``) or a pair of tiles, rows of side, sid, n, one, two, copies, grams: sid, n, one, two, links, root for those that have links."""
     rows = sorted({(x[1], x[2], x[3], x[4], x[0]): x for x in rows}.values(), key=lambda x: x[1:5])
     side = np.array([x[0] for x in rows])
     sizes, copies = np.array([x[2] for x in rows]), np.array([x[5] for x in rows])
     common = shared_counts([np.frombuffer(x[6], np.uint64) for x in rows])
     linked = 100 * common.astype(np.int64) >= p.percent * (sizes[:, None] + sizes - common)
     linked = np.triu(linked, 1)
-    if side.any():  # two tiles: their own pairs are compared elsewhere
+    if not same:  # the tiles' own pairs are compared elsewhere
         linked &= side[:, None] != side
     linked |= linked.T
     links = linked @ copies
@@ -310,7 +314,7 @@ def _compared(blocks: DataFrame, p: Parameters) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[tuple]) -> Iterator[pa.RecordBatch]:
-            found = _compare(rows, p) if len(rows) > 1 else []
+            found = _compare(rows, now[1] == now[2], p) if len(rows) > 1 else []
             if found:
                 yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in zip(*found, strict=True)], names=names)
 
@@ -334,15 +338,36 @@ def join(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     small_batches(spark)
     scratch = Scratch(spark, "jaccard")
     sets = scratch.write(_sets(docs, p), "sets")
-    heads = scratch.write(_heads(sets, spark.sparkContext.broadcast(_classes(sets, p)), p), "heads")
-    ties = scratch.write(_pairs(heads, p).unionByName(_ties(heads, p)), "ties")
-    rows = scratch.write(heads.drop("rare", "prefix"), "rows")
-    scratch.drop("heads")
-    blocks = components(ties, scratch, "blocks")
+
+    def tied(sets: DataFrame, tag: str) -> tuple[DataFrame, float]:
+        """The rows of ``sets`` with their groups' blocks, and the load of the counters."""
+        classes, load = _classes(sets, p)
+        heads = scratch.write(_heads(sets, spark.sparkContext.broadcast(classes), p), f"heads{tag}")
+        ties = scratch.write(_pairs(heads, p).unionByName(_ties(heads, p)), f"ties{tag}")
+        rows = scratch.write(heads.drop("rare", "prefix"), f"rows{tag}")
+        scratch.drop(f"heads{tag}")
+        blocks = components(ties, scratch, f"blocks{tag}").withColumnRenamed("node", "gid")
+        scratch.drop(f"ties{tag}")
+        return rows.join(blocks, "gid", "left").select("doc_id", *SAME, F.coalesce("component", "gid").alias("block")), load
+
+    rows, load = tied(sets, "")
+    rows = scratch.write(rows, "blocked")
+    scratch.drop("rows")
     # equal sets: one representative, the smallest doc_id
-    unique = rows.where("n > 0 and doc_id is not null").groupBy(*SAME).agg(F.min("doc_id").alias("sid"), F.count("*").alias("copies"), F.first("gid").alias("gid"))
-    unique = unique.join(blocks.withColumnRenamed("node", "gid"), "gid", "left").select(*SAME, "sid", "copies", F.coalesce("component", "gid").alias("block"))
+    unique = rows.where("n > 0 and doc_id is not null").groupBy(*SAME).agg(F.min("doc_id").alias("sid"), F.count("*").alias("copies"), F.first("block").alias("block"))
     unique = scratch.write(unique, "unique")
+    before = None
+    for k in range(p.rounds if load > p.few else 0):
+        large = unique.groupBy("block").agg(F.count("*").alias("c")).where(F.col("c") > p.tile_sets)
+        size = large.agg(F.coalesce(F.sum(F.col("c") * F.col("c")), F.lit(0))).first()[0]
+        if not size or before is not None and size > 0.9 * before:
+            break
+        before = size
+        some = unique.join(large.select("block"), "block", "left_semi").select(F.col("sid").alias("doc_id"), *SAME)
+        again, _ = tied(sets.join(some, ["doc_id", *SAME], "left_semi").select(*sets.columns), f"-{k}")
+        again = again.groupBy(*SAME).agg(F.min("block").alias("new"))
+        unique = unique.join(again, SAME, "left").select(*SAME, "sid", "copies", F.coalesce("new", "block").alias("block"))
+        unique = scratch.write(unique, f"unique-{k}")
     tiles = F.ceil(F.greatest(F.count("*") / F.lit(p.tile_sets), F.sum("n") / F.lit(p.tile_grams))).cast("int")
     several = unique.groupBy("block").agg(F.count("*").alias("c"), tiles.alias("tiles")).where("c > 1").drop("c")
     members = scratch.write(unique.join(several, "block"), "members")
@@ -363,6 +388,6 @@ def join(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     final = unique.join(label, "sid", "left").join(links, SAME, "left")
     final = final.select(*SAME, F.coalesce("component", "sid").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     final = scratch.write(final, "final")
-    scratch.drop("ties", "unique", "members", "found", "again")
+    scratch.drop("unique", "members", "found", "again")
     out = rows.select("doc_id", *SAME).join(final, SAME, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))

@@ -98,10 +98,10 @@ def _partners(rows: pd.DataFrame, p: Parameters) -> pd.DataFrame:
     codes = np.frombuffer(b"".join(rows["codes"]), np.int8).reshape(len(rows), -1)
     every = (codes, *(rows[c].to_numpy() for c in ("scale", "error", "norm")))
     n_left = int((rows["side"] == 0).sum())
-    same = n_left == len(rows)
+    same = rows["low"].iloc[0] == rows["high"].iloc[0]
     left, right, shift = tuple(x[:n_left] for x in every), tuple(x[0 if same else n_left :] for x in every), 0 if same else n_left
     held = np.zeros(len(rows), bool)
-    for a, b in possible(left, right, p) if n_left else ():
+    for a, b in possible(left, right, p) if n_left and len(right[0]) else ():
         b = b + shift
         held[a[a != b]] = held[b[a != b]] = True
     return rows.loc[held, ["label", "dim", "low", "high", "side", "vec_id"]]
@@ -112,7 +112,7 @@ def _tiles(rows: pd.DataFrame, p: Parameters) -> pd.DataFrame:
     rows = rows.sort_values(["side", "vec_id"])
     ids, vectors, side = rows["vec_id"].to_numpy(), matrix(rows["embedding"]), rows["side"].to_numpy()
     n_left = int((side == 0).sum())
-    same = n_left == len(rows)
+    same = rows["low"].iloc[0] == rows["high"].iloc[0]
     left, right, shift = vectors[:n_left], (vectors if same else vectors[n_left:]), (0 if same else n_left)
     links, root = np.zeros(len(ids), np.int64), np.arange(len(ids))
     for a, b in linked(left, right, p) if len(right) and n_left else ():
