@@ -43,9 +43,9 @@ def parse_markers(text: str) -> list[tuple[str, str]]:
             literal += MARKER_START if m[1] else m[4]
             continue
         if not m[3]:
-            raise InvalidContentError(raw=False, reason=f"unterminated reserved marker at offset {m.start()}")
+            raise InvalidContentError(raw=False, reason=f"a marker begins at {m.start()} and does not end")
         if m[2] not in MARKERS:
-            raise InvalidContentError(raw=False, reason=f"unknown reserved marker: {m[0]}")
+            raise InvalidContentError(raw=False, reason=f"no such marker: {m[0]}")
         if literal:
             out.append(("text", literal))
             literal = ""
