@@ -370,7 +370,8 @@ def join(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
         unique = scratch.write(unique, f"unique-{k}")
     tiles = F.ceil(F.greatest(F.count("*") / F.lit(p.tile_sets), F.sum("n") / F.lit(p.tile_grams))).cast("int")
     several = unique.groupBy("block").agg(F.count("*").alias("c"), tiles.alias("tiles")).where("c > 1").drop("c")
-    members = scratch.write(unique.join(several, "block"), "members")
+    several = scratch.write(several, "several")
+    members = scratch.write(unique.join(F.broadcast(several) if several.count() <= p.most_broadcast else several, "block"), "members")
     few = members.count() <= p.most_broadcast
     whole = sets.withColumnRenamed("doc_id", "sid").join(F.broadcast(members) if few else members, ["sid", *SAME])
     tile = F.pmod(F.xxhash64("one", "two"), F.col("tiles"))
@@ -388,6 +389,6 @@ def join(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     final = unique.join(label, "sid", "left").join(links, SAME, "left")
     final = final.select(*SAME, F.coalesce("component", "sid").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     final = scratch.write(final, "final")
-    scratch.drop("unique", "members", "found", "again")
+    scratch.drop("unique", "several", "members", "found", "again")
     out = rows.select("doc_id", *SAME).join(final, SAME, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
