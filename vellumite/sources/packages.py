@@ -86,5 +86,9 @@ def from_documents(documents: DataFrame, rich: bool = False) -> DataFrame:
             content = [rich_package(k, first_word(x)) if rich else package(x or "") for k, x in zip(b["doc_id"], b["text"], strict=True)]
             yield pd.DataFrame({"path": [f"{x}.docx" for x in b["doc_id"]], "length": list(map(len, content)), "content": content})
 
-    made = documents.select("doc_id", "text").mapInPandas(run, "path string, length long, content binary")
+    # a small table may be one partition; making packages is worth all cores
+    documents, cores = documents.select("doc_id", "text"), documents.sparkSession.sparkContext.defaultParallelism
+    if documents.rdd.getNumPartitions() < cores:
+        documents = documents.repartition(cores)
+    made = documents.mapInPandas(run, "path string, length long, content binary")
     return made.select("path", F.lit("1980-01-01").cast("timestamp").alias("modificationTime"), "length", "content")
