@@ -79,6 +79,33 @@ def test_jaccard_join_is_exact(spark, p):
     assert {i: r["n_links"] for i, r in got.items()} == {i: links[i] for i in sets}
 
 
+def test_jaccard_join_moves_no_sets_for_its_choices(spark, monkeypatch):
+    """Where large blocks are tied anew, and where members are more than one broadcast takes, the sets of all rows stay where they are."""
+    p = jaccard.Parameters(4, 85, 64, 1, 40, 2, most_broadcast=60)
+    texts = [" ".join(f"w{(k // 4) * 7 % 13 + j}" for j in range(30)) + f" end{k}" for k in range(120)]
+    docs = spark.createDataFrame([*enumerate(texts)], "doc_id long, text string")
+    plans = []
+    for name in ("_classes", "_compared"):
+        monkeypatch.setattr(jaccard, name, lambda df, p, f=getattr(jaccard, name), name=name: (plans.append((name, df._jdf.queryExecution().executedPlan().toString())), f(df, p))[1])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in jaccard.join(docs, p).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    sets = [{tuple(t.split()[k : k + 4]) for k in range(28)} for t in texts]
+    root = list(range(len(sets)))
+    for i in range(len(sets)):
+        for j in range(i):
+            if 100 * len(sets[i] & sets[j]) >= 85 * len(sets[i] | sets[j]):
+                a, b = sorted((root[i], root[j]))
+                root = [a if r == b else r for r in root]
+    assert got == dict(enumerate(root)) and len(set(root)) < len(root)
+    names = [name for name, _ in plans]
+    assert names.count("_classes") > 1 and names.count("_compared") > 1
+    assert not any("SortMergeJoin" in plan or "ShuffledHashJoin" in plan for _, plan in plans)
+
+
 def test_jaccard_join_of_odd_tables(spark):
     assert jaccard.join(spark.createDataFrame([], SCHEMA)).collect() == []
     linked = spark.createDataFrame([(1, "a b c d", None, 0.0), (5, "a b c d", None, 0.0), (5, "e f g h i", None, 0.0), (3, "e f g h i", None, 0.0), (2, "z", None, 0.0)], SCHEMA)

@@ -52,7 +52,7 @@ class Parameters:
     """percent: least Jaccard similarity of a link. counters: size of the frequency table, broadcast with a byte each.
 
     few: the most groups that share an n-gram and are paired; with more n-grams than this to a counter, large blocks are tied anew, at most ``rounds`` times. posts: of a task that pairs them. tile_sets, tile_grams: of a tile, in
-    expectation. most_broadcast: rows of ids that may be broadcast; more are joined by a shuffle.
+    expectation. most_broadcast: rows of ids that may be broadcast (four times as many of their hashes); members are compared in parts of so many.
     """
 
     width: int = 4
@@ -174,6 +174,16 @@ def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
 _POST = np.dtype([("gram", "<u8"), ("gid", "<i8"), ("n", "<i8")])
 
 
+def _chosen(sets: DataFrame, some: DataFrame, p: Parameters) -> DataFrame:
+    """The rows of ``sets`` that ``some`` (doc_id, SAME) names; sets are not moved for it, as all of them are about twice the input."""
+    # one hash of 8 bytes a row is sent; what a collision of hashes lets in only adds to the counters
+    few = some.count() <= 4 * p.most_broadcast
+    if not few:
+        return sets.join(some, ["doc_id", *SAME], "left_semi").select(*sets.columns)
+    key = F.xxhash64("doc_id", *SAME)
+    return sets.withColumn("key", key).join(F.broadcast(some.select(key.alias("key"))), "key", "left_semi").select(*sets.columns)
+
+
 def _pairs(heads: DataFrame, p: Parameters) -> DataFrame:
     """``u``, ``v``: groups that share rare n-grams of their prefixes and may be similar by their sizes and by how many they share."""
     prefixes = heads.agg(F.coalesce(F.sum("rare"), F.lit(0))).first()[0]
@@ -363,21 +373,27 @@ def join(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
         if not size or before is not None and size > 0.9 * before:
             break
         before = size
-        some = unique.join(large.select("block"), "block", "left_semi").select(F.col("sid").alias("doc_id"), *SAME)
-        again, _ = tied(sets.join(some, ["doc_id", *SAME], "left_semi").select(*sets.columns), f"-{k}")
-        again = again.groupBy(*SAME).agg(F.min("block").alias("new"))
+        some = scratch.write(unique.join(large.select("block"), "block", "left_semi").select(F.col("sid").alias("doc_id"), *SAME), f"large-{k}")
+        again, _ = tied(_chosen(sets, some, p), f"-{k}")
+        again = again.join(some.select(*SAME), SAME, "left_semi").groupBy(*SAME).agg(F.min("block").alias("new"))
         unique = unique.join(again, SAME, "left").select(*SAME, "sid", "copies", F.coalesce("new", "block").alias("block"))
         unique = scratch.write(unique, f"unique-{k}")
     tiles = F.ceil(F.greatest(F.count("*") / F.lit(p.tile_sets), F.sum("n") / F.lit(p.tile_grams))).cast("int")
     several = unique.groupBy("block").agg(F.count("*").alias("c"), tiles.alias("tiles")).where("c > 1").drop("c")
     several = scratch.write(several, "several")
     members = scratch.write(unique.join(F.broadcast(several) if several.count() <= p.most_broadcast else several, "block"), "members")
-    few = members.count() <= p.most_broadcast
-    whole = sets.withColumnRenamed("doc_id", "sid").join(F.broadcast(members) if few else members, ["sid", *SAME])
-    tile = F.pmod(F.xxhash64("one", "two"), F.col("tiles"))
-    whole = whole.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
-    whole = whole.withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other"), "side": (F.col("tile") > F.col("other")).cast("int")})
-    found = scratch.write(_compared(whole, p), "found")
+    # in parts of whole blocks, so that neither their rows are too many to broadcast nor all that is compared is on disk at once
+    parts, names = max(1, -(-members.count() // p.most_broadcast)) if p.most_broadcast else 1, []
+    for k in range(parts):
+        some = members.where(F.pmod(F.xxhash64("block"), F.lit(parts)) == k)
+        few = some.count() <= 2 * p.most_broadcast
+        whole = sets.withColumnRenamed("doc_id", "sid").join(F.broadcast(some) if few else some, ["sid", *SAME])
+        tile = F.pmod(F.xxhash64("one", "two"), F.col("tiles"))
+        whole = whole.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
+        whole = whole.withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other"), "side": (F.col("tile") > F.col("other")).cast("int")})
+        names.append(f"found-{k}")
+        part = scratch.write(_compared(whole, p), names[-1])
+        found = part if not k else found.unionByName(part)
     scratch.drop("sets")
     edges = found.select(F.col("sid").alias("u"), F.col("root").alias("v"))
     again = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
@@ -389,6 +405,6 @@ def join(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     final = unique.join(label, "sid", "left").join(links, SAME, "left")
     final = final.select(*SAME, F.coalesce("component", "sid").alias("component"), (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"))
     final = scratch.write(final, "final")
-    scratch.drop("unique", "several", "members", "found", "again")
+    scratch.drop("unique", "several", "members", *names, "again")
     out = rows.select("doc_id", *SAME).join(final, SAME, "left")
     return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
