@@ -18,6 +18,7 @@ from vellumite.plans import batch
 from vellumite.plans import package as packages_plan
 from vellumite.plans.package import OPERATIONS, as_files, edit_packages, replace_all_packages
 from vellumite.sinks.docx import drifted, save_packages
+from vellumite.sources import docx
 from vellumite.sources.docx import read_packages
 from vellumite.streaming import watch
 
@@ -70,7 +71,7 @@ def test_batches_for_all_packages_are_those_of_each(spark, tmp_path):
     for k in range(3):
         package(para(f"A{k}") + para("B"), tmp_path / f"{k}.docx")
     (tmp_path / "no.docx").write_bytes(b"no package")
-    files = spark.read.format("binaryFile").load(str(tmp_path))
+    files = docx.binary_files(spark, str(tmp_path))
     both = {name: [packages_plan.operation(o)] for name, o in (("good", good), ("bad", bad))}
     got = packages_plan.edit_all_packages(files, both)
     for name, o in (("good", good), ("bad", bad)):
@@ -81,6 +82,19 @@ def test_batches_for_all_packages_are_those_of_each(spark, tmp_path):
     assert some.columns == ["batch", "path", "error"] and some.count() == 8
 
 
+def test_many_small_files_are_few_tasks(spark, tmp_path):
+    for k in range(300):
+        package(para(f"A{k}"), tmp_path / f"{k}.docx")
+    before = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "4m")
+    try:
+        files = docx.binary_files(spark, str(tmp_path))
+        assert files.rdd.getNumPartitions() <= 32 * spark.sparkContext.defaultParallelism
+        assert {r["text"] for r in read_packages(spark, str(tmp_path)).select("text").collect()} == {f"A{k}" for k in range(300)}
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", before)
+
+
 def test_entry(spark):
     assert entry.entry(spark).limit(1).collect()
     assert set(entry.oracle_sql()) <= set(entry.queries())
