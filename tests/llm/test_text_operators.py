@@ -106,6 +106,42 @@ def test_jaccard_join_moves_no_sets_for_its_choices(spark, monkeypatch):
     assert not any("SortMergeJoin" in plan or "ShuffledHashJoin" in plan for _, plan in plans)
 
 
+@pytest.mark.parametrize("p", [jaccard.Parameters(4, 85, few=3, tile_sets=16), jaccard.Parameters(5, 80, few=3, tile_sets=16)])
+def test_jaccard_join_of_ngrams_that_many_unlike_texts_share(spark, monkeypatch, p):
+    """Passages each shared by more texts than ``few``, otherwise unlike, make no block of all texts; and no table holds the sets."""
+    rng, n = random.Random(3), 120
+    passages = [" ".join(f"p{k}w{j}" for j in range(8)) for k in range(60)]
+    texts = []
+    for k in range(n):
+        parts = [f"t{k}x{j}" for j in range(25 + k // 4)] + rng.sample(passages, 4)
+        rng.shuffle(parts)
+        texts.append(" ".join(parts))
+    texts += [t + " more" for t in texts[:10]]
+    moved, written = [], []
+    monkeypatch.setattr(jaccard, "_compared", lambda df, p, f=jaccard._compared: (moved.append(df.count()), f(df, p))[1])
+    monkeypatch.setattr(Scratch, "write", lambda self, df, name, f=Scratch.write: (written.extend(df.columns), f(self, df, name))[1])
+    got = {r["doc_id"]: r["component_id"] for r in jaccard.join(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), p).collect()}
+    assert got == {k: k - n if k >= n else k for k in range(len(texts))}
+    assert sum(moved) < len(texts) and "grams" not in written
+
+
+def test_jaccard_join_compares_a_large_block_in_parts(spark, monkeypatch):
+    """What a block of many tiles moves is bounded at each time, and every pair of tiles is compared once."""
+    p = jaccard.Parameters(4, 85, tile_sets=2, moved=1 << 10)
+    texts = [" ".join(f"w{j}" for j in range(60)) + f" end{k}" for k in range(40)] + [" ".join(f"v{j}" for j in range(30)) + f" end{k % 2}" for k in range(3)]
+    moved, pairs = [], Counter()
+
+    def compared(df, p, f=jaccard._compared):
+        moved.append(df.agg({"n": "sum"}).first()[0] * 8)
+        pairs.update(tuple(r) for r in df.select("block", "low", "high").distinct().collect())
+        return f(df, p)
+
+    monkeypatch.setattr(jaccard, "_compared", compared)
+    got = {r["doc_id"]: (r["component_id"], r["n_links"]) for r in jaccard.join(spark.createDataFrame([*enumerate(texts)], "doc_id long, text string"), p).collect()}
+    assert got == {k: (0, 39) if k < 40 else (40, 2) for k in range(43)}
+    assert len(moved) > 4 and max(moved) < sum(moved) / 3 and set(pairs.values()) == {1}
+
+
 def test_jaccard_join_of_odd_tables(spark):
     assert jaccard.join(spark.createDataFrame([], SCHEMA)).collect() == []
     linked = spark.createDataFrame([(1, "a b c d", None, 0.0), (5, "a b c d", None, 0.0), (5, "e f g h i", None, 0.0), (3, "e f g h i", None, 0.0), (2, "z", None, 0.0)], SCHEMA)

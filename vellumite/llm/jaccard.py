@@ -1,13 +1,15 @@
 """Exact Jaccard join on word n-grams by grouped prefixes.
 
-A document's set holds the distinct word n-grams of its whole text; texts are split once.
+A document's set holds the distinct word n-grams of its whole text. All sets together are about
+twice the input, so they are never written: each pass that needs them splits the texts anew.
 Sets are ordered from rare n-grams to frequent ones, by a counter table over all documents;
 the order only steers the cost, as any one order gives the same links. Two sets within the
 threshold share an n-gram of their prefixes, the first ``n - ceil(t * n) + 1`` of them.
 
 Equal sets are collapsed; then sets of the same size and prefix form one group, and only
 groups post their prefixes. A posted n-gram that few groups share gives pairs of groups; those
-whose sizes allow a link and that share enough posted n-grams for one stay. A posted n-gram
+whose sizes allow a link and that share enough posted n-grams for one stay. So do n-grams that
+more groups share, as long as few of these are alike in size. A posted n-gram
 that many documents hold gives no pairs: its groups are tied to nodes of that n-gram, one for
 each band of sizes, so that groups whose sizes allow a link are tied together. What is tied,
 directly or through others, makes a block. No link leaves a block: a linked pair shares a
@@ -18,7 +20,8 @@ ordered and tied once more among themselves, as long as that parts them.
 Groups then expand to their members, and a block's whole sets are compared with each other,
 exactly: a small block in one task, a large one by pairs of tiles of bounded size. A task
 returns for each set its number of links and a spanning forest of them, never pairs. Each set
-moves once for each tile of its block.
+moves once for each tile of its block; what moves at once is bounded, beyond that the tiles are
+compared in parts.
 
 Defined cases: a null or empty text, or one without words, has an empty set, is linked with
 nothing and is its own component; a text with fewer words than n has its whole word
@@ -51,8 +54,9 @@ from vellumite.llm.words import mix, shingles, slices, split
 class Parameters:
     """percent: least Jaccard similarity of a link. counters: size of the frequency table, broadcast with a byte each.
 
-    few: the most groups that share an n-gram and are paired; with more n-grams than this to a counter, large blocks are tied anew, at most ``rounds`` times. posts: of a task that pairs them. tile_sets, tile_grams: of a tile, in
-    expectation. most_broadcast: rows of ids that may be broadcast (four times as many of their hashes); members are compared in parts of so many.
+    few: the most groups that share an n-gram and are paired whatever their sizes; more are paired while their sizes leave each ``partners`` others in the mean. With more n-grams than ``few`` to a counter, large blocks are tied anew, at
+    most ``rounds`` times. posts: of a task that pairs them. tile_sets, tile_grams: of a tile, in expectation. most_broadcast: rows of ids that may be broadcast (four times as many of them alone); members are compared in parts of so many.
+    moved: bytes of sets that may be on disk for a comparison in any case; half of all sets may be.
     """
 
     width: int = 4
@@ -64,30 +68,33 @@ class Parameters:
     tile_grams: int = 1 << 20
     most_broadcast: int = 1_000_000
     rounds: int = 4
+    partners: int = 64
+    moved: int = 1 << 28
 
 
 SAME = ["n", "one", "two"]
 
 
-def _sets(docs: DataFrame, p: Parameters) -> DataFrame:
-    """For each row the size and 128 bits of its set, and the set's hashes."""
+def _sets(batches: Iterator[pa.RecordBatch], p: Parameters) -> Iterator[pa.RecordBatch]:
+    """For each row of doc_id and text the size and 128 bits of its set, and the set's hashes."""
+    kept("jaccard")
+    for batch in batches:
+        for a, b in slices(batch.column(1)):
+            sets = list(shingles(split(batch.column(1).slice(a, b - a)), p.width))
+            one = [mix(x).sum(dtype=np.uint64) for x in sets]
+            two = [mix(x ^ np.uint64(0xA5A5A5A5DEADBEEF)).sum(dtype=np.uint64) for x in sets]
+            arrays = [
+                batch.column(0).slice(a, b - a),
+                pa.array([len(x) for x in sets], pa.int64()),
+                *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two)),
+                pa.array([x.tobytes() for x in sets], pa.binary()),
+            ]
+            yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *SAME, "grams"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept("jaccard")
-        for batch in batches:
-            for a, b in slices(batch.column(1)):
-                sets = list(shingles(split(batch.column(1).slice(a, b - a)), p.width))
-                one = [mix(x).sum(dtype=np.uint64) for x in sets]
-                two = [mix(x ^ np.uint64(0xA5A5A5A5DEADBEEF)).sum(dtype=np.uint64) for x in sets]
-                arrays = [
-                    batch.column(0).slice(a, b - a),
-                    pa.array([len(x) for x in sets], pa.int64()),
-                    *(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (one, two)),
-                    pa.array([x.tobytes() for x in sets], pa.binary()),
-                ]
-                yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *SAME, "grams"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(released(run), "doc_id long, n long, one long, two long, grams binary")
+def _whole(docs: DataFrame, p: Parameters) -> DataFrame:
+    """The sets of all rows of ``docs``."""
+    return docs.mapInArrow(released(lambda batches: _sets(batches, p)), "doc_id long, n long, one long, two long, grams binary")
 
 
 def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -102,7 +109,7 @@ def _slot(hashes: np.ndarray, counters: int) -> np.ndarray:
     return (hashes % np.uint64(counters)).astype(np.int64)
 
 
-def _classes(sets: DataFrame, p: Parameters) -> tuple[np.ndarray, float]:
+def _classes(docs: DataFrame, p: Parameters) -> tuple[np.ndarray, float]:
     """For each slot 0, or how far the number of documents that hold its n-grams lies above what it may be for rare ones, in powers of two.
 
     A slot holds several rare n-grams; what lies above their usual sum is due to a frequent one. An n-gram of class 0 is thus held by a bounded number of documents.
@@ -114,25 +121,26 @@ def _classes(sets: DataFrame, p: Parameters) -> tuple[np.ndarray, float]:
 
         counts = np.zeros(p.counters, np.uint32)
         for batch in batches:
-            grams, _ = _flat(batch.column(0))
-            for k in range(0, len(grams), 1 << 20):
-                np.add.at(counts, _slot(grams[k : k + (1 << 20)], p.counters), np.uint32(1))
+            for a, b in slices(batch.column(0)):
+                for grams in shingles(split(batch.column(0).slice(a, b - a)), p.width):
+                    for k in range(0, len(grams), 1 << 20):
+                        np.add.at(counts, _slot(grams[k : k + (1 << 20)], p.counters), np.uint32(1))
         rows = list(to_blocks(counts, TaskContext.get().partitionId()))
         if rows:
             yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("block", pa.int32()), ("part", pa.int32()), ("counts", pa.binary())]))
 
-    counts = total(sets.select("grams").mapInArrow(released(run), SCHEMA), p.counters).astype(np.float64)
+    counts = total(docs.select("text").mapInArrow(released(run), SCHEMA), p.counters).astype(np.float64)
     mean = counts.mean()
     above = np.maximum(counts - max(p.few, mean + 4 * np.sqrt(mean)), 0)
     return np.ceil(np.log2(1 + above)).astype(np.uint8), float(mean)
 
 
-def _heads(sets: DataFrame, shared, p: Parameters) -> DataFrame:
+def _heads(docs: DataFrame, shared, p: Parameters) -> DataFrame:
     """For each row its group, a hash of size and prefix, and the prefix in the order of the classes, ``rare`` n-grams first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         classes = shared.value
-        for batch in batches:
+        for batch in _sets(batches, p):
             flat, at = _flat(batch.column(4))
             ranks = classes[_slot(flat, p.counters)]
             groups, rare, prefixes = [], [], []
@@ -150,7 +158,7 @@ def _heads(sets: DataFrame, shared, p: Parameters) -> DataFrame:
             arrays = [*batch.columns[:4], pa.array(mix(np.array(groups, np.uint64)).view(np.int64)), pa.array(rare, pa.int64()), pa.array(prefixes, pa.binary())]
             yield pa.RecordBatch.from_arrays(arrays, names=["doc_id", *SAME, "gid", "rare", "prefix"])
 
-    return sets.mapInArrow(released(run), "doc_id long, n long, one long, two long, gid long, rare long, prefix binary")
+    return docs.mapInArrow(released(run), "doc_id long, n long, one long, two long, gid long, rare long, prefix binary")
 
 
 def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -174,14 +182,9 @@ def _fresh(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.n
 _POST = np.dtype([("gram", "<u8"), ("gid", "<i8"), ("n", "<i8")])
 
 
-def _chosen(sets: DataFrame, some: DataFrame, p: Parameters) -> DataFrame:
-    """The rows of ``sets`` that ``some`` (doc_id, SAME) names; sets are not moved for it, as all of them are about twice the input."""
-    # one hash of 8 bytes a row is sent; what a collision of hashes lets in only adds to the counters
-    few = some.count() <= 4 * p.most_broadcast
-    if not few:
-        return sets.join(some, ["doc_id", *SAME], "left_semi").select(*sets.columns)
-    key = F.xxhash64("doc_id", *SAME)
-    return sets.withColumn("key", key).join(F.broadcast(some.select(key.alias("key"))), "key", "left_semi").select(*sets.columns)
+def _chosen(docs: DataFrame, ids: DataFrame, most: int) -> DataFrame:
+    """The rows of ``docs`` whose doc_id is in ``ids``; texts are not moved for it while these are at most ``most``. What other texts have such an id come too."""
+    return docs.join(F.broadcast(ids) if ids.count() <= most else ids, "doc_id", "left_semi")
 
 
 def _pairs(heads: DataFrame, p: Parameters) -> DataFrame:
@@ -231,15 +234,21 @@ def _pairs(heads: DataFrame, p: Parameters) -> DataFrame:
                 small, large = np.minimum(sizes[a], sizes[b]), np.maximum(sizes[a], sizes[b])
                 may = large * p.percent <= small * 100
                 codes.append(a[may] * len(names) + b[may])
-        codes, shared = np.unique(np.concatenate(codes), return_counts=True)
-        a, b = codes // len(names), codes % len(names)
-        # longer runs, of a bounded length: in the order of their sizes neighbours are tied, and so all whose sizes allow a link
+        # longer runs, of a bounded length: in the order of their sizes, with those within reach; where these are too many, neighbours are tied, and so all whose sizes allow a link
         tied = [np.zeros((2, 0), np.int64)]
         for s, k in zip(at[runs > p.few].tolist(), runs[runs > p.few].tolist(), strict=True):
             x = of[s : s + k]
             x = x[np.argsort(sizes[x], kind="stable")]
-            near = sizes[x[1:]] * p.percent <= sizes[x[:-1]] * 100
-            tied.append(np.stack([x[:-1][near], x[1:][near]]))
+            reach = np.searchsorted(sizes[x] * p.percent, sizes[x] * 100, side="right") - np.arange(1, k + 1)
+            if reach.sum() <= p.partners * k:
+                a = np.repeat(np.arange(k), reach)
+                b = a + 1 + np.arange(len(a)) - np.repeat(np.cumsum(reach) - reach, reach)
+                codes.append(np.minimum(x[a], x[b]) * len(names) + np.maximum(x[a], x[b]))
+            else:
+                near = reach[:-1] > 0
+                tied.append(np.stack([x[:-1][near], x[1:][near]]))
+        codes, shared = np.unique(np.concatenate(codes), return_counts=True)
+        a, b = codes // len(names), codes % len(names)
         tied = np.concatenate(tied, axis=1)
         a, b, c = np.r_[a, tied[0]], np.r_[b, tied[1]], np.r_[shared, np.full(tied.shape[1], 1 << 40)]
         release()
@@ -347,12 +356,12 @@ def join(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
     spark = docs.sparkSession
     small_batches(spark)
     scratch = Scratch(spark, "jaccard")
-    sets = scratch.write(_sets(docs, p), "sets")
+    docs = docs.select(F.col("doc_id").cast("long"), "text")
 
-    def tied(sets: DataFrame, tag: str) -> tuple[DataFrame, float]:
-        """The rows of ``sets`` with their groups' blocks, and the load of the counters."""
-        classes, load = _classes(sets, p)
-        heads = scratch.write(_heads(sets, spark.sparkContext.broadcast(classes), p), f"heads{tag}")
+    def tied(docs: DataFrame, tag: str) -> tuple[DataFrame, float]:
+        """The rows of ``docs`` with their groups' blocks, and the load of the counters."""
+        classes, load = _classes(docs, p)
+        heads = scratch.write(_heads(docs, spark.sparkContext.broadcast(classes), p), f"heads{tag}")
         ties = scratch.write(_pairs(heads, p).unionByName(_ties(heads, p)), f"ties{tag}")
         rows = scratch.write(heads.drop("rare", "prefix"), f"rows{tag}")
         scratch.drop(f"heads{tag}")
@@ -360,7 +369,7 @@ def join(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
         scratch.drop(f"ties{tag}")
         return rows.join(blocks, "gid", "left").select("doc_id", *SAME, F.coalesce("component", "gid").alias("block")), load
 
-    rows, load = tied(sets, "")
+    rows, load = tied(docs, "")
     rows = scratch.write(rows, "blocked")
     scratch.drop("rows")
     # equal sets: one representative, the smallest doc_id
@@ -374,27 +383,32 @@ def join(docs: DataFrame, p: Parameters = Parameters()) -> DataFrame:
             break
         before = size
         some = scratch.write(unique.join(large.select("block"), "block", "left_semi").select(F.col("sid").alias("doc_id"), *SAME), f"large-{k}")
-        again, _ = tied(_chosen(sets, some, p), f"-{k}")
+        again, _ = tied(_chosen(docs, some.select("doc_id").distinct(), 4 * p.most_broadcast), f"-{k}")
         again = again.join(some.select(*SAME), SAME, "left_semi").groupBy(*SAME).agg(F.min("block").alias("new"))
         unique = unique.join(again, SAME, "left").select(*SAME, "sid", "copies", F.coalesce("new", "block").alias("block"))
         unique = scratch.write(unique, f"unique-{k}")
     tiles = F.ceil(F.greatest(F.count("*") / F.lit(p.tile_sets), F.sum("n") / F.lit(p.tile_grams))).cast("int")
-    several = unique.groupBy("block").agg(F.count("*").alias("c"), tiles.alias("tiles")).where("c > 1").drop("c")
+    several = unique.groupBy("block").agg(F.count("*").alias("c"), tiles.alias("tiles"), (F.sum("n") * 8 * tiles).alias("moved")).where("c > 1")
     several = scratch.write(several, "several")
+    # in parts, so that neither their rows are too many to broadcast nor all that is compared is on disk at once; a block is in one part, or by pairs of its tiles in several
+    count, moved = several.agg(F.coalesce(F.sum("c"), F.lit(0)), F.coalesce(F.sum("moved"), F.lit(0))).first()
+    limit = max(p.moved, unique.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0] * 4)
+    parts, names = max(1, -(-moved // limit), -(-count // p.most_broadcast) if p.most_broadcast else 1), []
+    several = several.select("block", "tiles", F.least(F.lit(parts), F.ceil(F.col("moved") / limit)).alias("spread"))
     members = scratch.write(unique.join(F.broadcast(several) if several.count() <= p.most_broadcast else several, "block"), "members")
-    # in parts of whole blocks, so that neither their rows are too many to broadcast nor all that is compared is on disk at once
-    parts, names = max(1, -(-members.count() // p.most_broadcast)) if p.most_broadcast else 1, []
+    first = F.xxhash64("block")
     for k in range(parts):
-        some = members.where(F.pmod(F.xxhash64("block"), F.lit(parts)) == k)
+        some = members.where(F.pmod(F.lit(k) - F.pmod(first, F.lit(parts)), F.lit(parts)) < F.col("spread"))
         few = some.count() <= 2 * p.most_broadcast
-        whole = sets.withColumnRenamed("doc_id", "sid").join(F.broadcast(some) if few else some, ["sid", *SAME])
+        whole = _whole(_chosen(docs, some.select(F.col("sid").alias("doc_id")).distinct(), 4 * p.most_broadcast), p)
+        whole = whole.withColumnRenamed("doc_id", "sid").join(F.broadcast(some) if few else some, ["sid", *SAME])
         tile = F.pmod(F.xxhash64("one", "two"), F.col("tiles"))
         whole = whole.withColumn("tile", tile).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("tiles") - 1)))
         whole = whole.withColumns({"low": F.least("tile", "other"), "high": F.greatest("tile", "other"), "side": (F.col("tile") > F.col("other")).cast("int")})
+        whole = whole.where(F.pmod(F.pmod(first, F.lit(parts)) + F.pmod(F.xxhash64("low", "high"), F.col("spread")), F.lit(parts)) == k)
         names.append(f"found-{k}")
         part = scratch.write(_compared(whole, p), names[-1])
         found = part if not k else found.unionByName(part)
-    scratch.drop("sets")
     edges = found.select(F.col("sid").alias("u"), F.col("root").alias("v"))
     again = rows.where("n > 0 and doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("c")).where("c > 1").select("doc_id")
     again = scratch.write(again, "again")
