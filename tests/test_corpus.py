@@ -95,6 +95,23 @@ def test_many_small_files_are_few_tasks(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", before)
 
 
+def test_saved_packages_are_read_by_names_in_one_scan(spark, tmp_path):
+    for k in range(70):
+        package(para(f"A{k}"), tmp_path / f"{k}.docx")
+    (tmp_path / "7.docx.bak").write_bytes((tmp_path / "7.docx").read_bytes())
+    (tmp_path / ".9.docx").write_bytes(b"hidden")
+    files = docx.folder_files(spark, str(tmp_path))
+    key = lambda r: (r["path"].rpartition("/")[2], r["modificationTime"].replace(microsecond=0), r["length"], bytes(r["content"]))
+    assert sorted(map(key, files.collect())) == sorted(map(key, docx.binary_files(spark, str(tmp_path)).collect()))
+    assert files.rdd.getNumPartitions() <= 32 * spark.sparkContext.defaultParallelism
+    assert docx.folder_files(spark, str(tmp_path), ("*.docx", "*.bak")).count() == 71 and docx.folder_files(spark, str(tmp_path), ("*.none",)).count() == 0
+    saved = entry.queries()["docx_save"](spark, "/root/testdata/sf0.001")
+    plan = saved._jdf.queryExecution().optimizedPlan().toString()
+    assert "binaryFile" not in plan and plan.count("MapInArrow") == 2
+    docs = [r["doc_id"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id").collect()]
+    assert sorted(map(tuple, saved.collect())) == sorted(x for d in docs for x in ((d, "docx", f"second {d}"), (d, "bak", f"first {d}")))
+
+
 def test_entry(spark):
     assert entry.entry(spark).limit(1).collect()
     assert set(entry.oracle_sql()) <= set(entry.queries())
